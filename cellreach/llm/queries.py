@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellreach.llm import oracles
+from cellreach.llm.ngram_join import ngram_jaccard_groups
 from cellreach.llm.quality_rules import quality_rules
 
 
@@ -12,14 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
+    "op6_ngram_jaccard_join": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
 }
