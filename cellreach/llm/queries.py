@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellreach.llm import oracles
 from cellreach.llm.ngram_join import ngram_jaccard_groups
+from cellreach.llm.packing import pack_documents
 from cellreach.llm.quality_rules import quality_rules
 
 
@@ -17,12 +18,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
