@@ -54,3 +54,23 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL
 """
+
+_ALNUM = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format(_FOLDED)} AS ws FROM documents),
+i AS (SELECT item_id, {_ALNUM.format(_FOLDED)} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[s:s + 9], ' ') AS g
+       FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS g
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, ks WHERE len(ws) >= k)),
+h AS (SELECT doc_id, s, dw.k, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.k = iw.k),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(hi.n, 0) AS BIGINT) AS n_items, sha256(coalesce(hi.l, '')) AS items_sha256,
+       coalesce(hw.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellreach.llm import oracles
+from cellreach.llm.decontaminate import decontaminate, digest
 from cellreach.llm.ngram_join import ngram_jaccard_groups
 from cellreach.llm.packing import pack_documents
 from cellreach.llm.quality_rules import quality_rules
@@ -26,13 +27,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES = {
     "op6_ngram_jaccard_join": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
+    "op10_benchmark_decontamination": oracles.OP10,
 }
