@@ -74,3 +74,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIG
        coalesce(hw.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
+
+OP5 = f"""
+WITH l AS (SELECT doc_id, k - 1 AS line_no, regexp_extract_all({_FOLDED.replace("coalesce(text, '')", "ls[k]")}, '[^\\x20\\x09-\\x0D]+') AS ws
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+t AS (SELECT DISTINCT doc_id, line_no, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, line_no, ws, unnest(range(1, len(ws) - 3)) AS i FROM l WHERE len(ws) >= 5)),
+n AS (SELECT doc_id, line_no, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT x.doc_id AS xd, x.line_no AS xl, y.doc_id AS yd, y.line_no AS yl, count(*) AS c
+      FROM t x JOIN t y ON x.g = y.g AND (x.doc_id, x.line_no) > (y.doc_id, y.line_no) GROUP BY ALL),
+gone AS (SELECT DISTINCT xd, xl FROM p JOIN n a ON a.doc_id = xd AND a.line_no = xl
+         JOIN n b ON b.doc_id = yd AND b.line_no = yl WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r AS (SELECT xd AS doc_id, count(*) AS n, string_agg(CAST(xl AS VARCHAR), ',' ORDER BY xl) AS s FROM gone GROUP BY xd)
+SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
+       CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.s, '') AS removed_lines
+FROM documents d LEFT JOIN r USING (doc_id)
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellreach.llm import oracles
 from cellreach.llm.decontaminate import decontaminate, digest
+from cellreach.llm.line_dedup import line_dedup
 from cellreach.llm.ngram_join import ngram_jaccard_groups
 from cellreach.llm.packing import pack_documents
 from cellreach.llm.quality_rules import quality_rules
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -39,6 +45,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_line_dedup": oracles.OP5,
     "op6_ngram_jaccard_join": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
     "op10_benchmark_decontamination": oracles.OP10,
