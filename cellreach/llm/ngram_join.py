@@ -19,9 +19,9 @@ document. Nothing but the fixed-size bucket counts goes to the driver; rounds of
 and the candidate tables are written to the shared folder, so lost executors cost only a recomputation.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; fewer than five
-words are one shingle; rows that repeat a doc_id are one node but each keeps its own output row; a
-null doc_id is counted but has component null; empty tables give empty results; other columns are
-ignored. Shingles are compared by 64-bit hashes and sets by 128-bit digests.
+words are one shingle; rows that repeat a doc_id each keep their own output row; a null doc_id is counted but has
+component null; empty tables give empty results; other columns are ignored. Shingles are compared by
+64-bit hashes, and a set's class is the 64-bit sum of its shingle hashes.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, d1, d2) of every document, and rows (part, counts) of every task's bucket counts."""
-    kind = "doc_id long, n int, d1 long, d2 long, part int, counts array<int>"
+    """Rows (doc_id, n, node) of every document, and rows (part, counts) of every task's bucket counts."""
+    kind = "doc_id long, n int, node long, part int, counts array<int>"
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -62,18 +62,15 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data, width)
                 every = np.concatenate(sets)
                 counts += np.bincount(_buckets(every), minlength=BUCKETS)
-                sums = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(WIDTH)).sum(dtype=np.uint64))) for s in sets]
-                digests = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(digests[:, 0].copy()),
-                        pa.array(digests[:, 1].copy()),
+                        pa.array(np.array([_set_key(s) for s in sets], np.uint64).view(np.int64)),
                         pa.nulls(len(ids), pa.int32()),
                         pa.nulls(len(ids), pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "part", "counts"],
+                    names=["doc_id", "n", "node", "part", "counts"],
                 )
         step = BUCKETS // COUNT_ROWS
         none = pa.nulls(COUNT_ROWS, pa.int64())
@@ -82,13 +79,12 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
                 none,
                 pa.nulls(COUNT_ROWS, pa.int32()),
                 none,
-                none,
                 pa.array(range(COUNT_ROWS), pa.int32()),
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(0, BUCKETS + 1, step), pa.int32()), pa.array(np.minimum(counts, 2**31 - 1), pa.int32())
                 ),
             ],
-            names=["doc_id", "n", "d1", "d2", "part", "counts"],
+            names=["doc_id", "n", "node", "part", "counts"],
         )
 
     return docs.mapInArrow(run, kind)
@@ -110,8 +106,13 @@ def _bucket_counts(survey: DataFrame) -> np.ndarray:
     return out
 
 
+def _set_key(s: np.ndarray) -> int:
+    """The 64-bit key of a set: the sum of its shingle hashes."""
+    return int(s.sum(dtype=np.uint64))
+
+
 def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(shingle, salt, doc_id, n, pos): the prefix of each document; of equal sets in one chunk only the first."""
+    """(shingle, salt, node, n, pos, hot): the prefix of each set, under its key; equal sets of one chunk once."""
     held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def run(batches):
@@ -119,63 +120,63 @@ def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
         extra = np.maximum(by_bucket - int(by_bucket.mean()), 0)
         salts = np.where(extra > HOT, extra // HOT + 1, 1)
         for batch in batches:
-            for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen, parts = set(), []
-                for i, s in zip(ids, shingle_sets(data, width), strict=True):
-                    if not len(s) or i is None or (key := s.tobytes()) in seen:
+                for s in shingle_sets(data, width):
+                    if not len(s) or (key := _set_key(s)) in seen:
                         continue
                     seen.add(key)
                     bucket = _buckets(s)
-                    rank = by_bucket[bucket]
                     n = len(s)
                     take = n - -(-n * percent // 100) + 1
-                    order = np.lexsort((s, rank))[:take]
-                    salt = int(mix(np.array([i], np.int64).view(np.uint64))[0] >> np.uint64(1)) % salts[bucket[order]]
-                    parts.append((s[order].view(np.int64), salt, i, n))
+                    order = np.lexsort((s, by_bucket[bucket]))[:take]
+                    parted = salts[bucket[order]]
+                    parts.append((s[order], (key >> 1) % parted, parted > 1, key, n))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([p[0] for p in parts])),
+                            pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
                             pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
-                            pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), sizes)),
-                            pa.array(np.repeat(np.array([p[3] for p in parts], np.int32), sizes)),
+                            pa.array(np.repeat(np.array([p[3] for p in parts], np.uint64).view(np.int64), sizes)),
+                            pa.array(np.repeat(np.array([p[4] for p in parts], np.int32), sizes)),
                             pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
-                            pa.array(np.concatenate([salts[_buckets(p[0].view(np.uint64))] > 1 for p in parts])),
+                            pa.array(np.concatenate([p[2] for p in parts])),
                         ],
-                        names=["shingle", "salt", "doc_id", "n", "pos", "hot"],
+                        names=["shingle", "salt", "node", "n", "pos", "hot"],
                     )
 
-    return docs.mapInArrow(run, "shingle long, salt int, doc_id long, n int, pos int, hot boolean")
+    return docs.mapInArrow(run, "shingle long, salt int, node long, n int, pos int, hot boolean")
 
 
 def _fragments(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, frag, part): each set cut into FRAGMENTS ranges of the hash."""
+    """(node, frag, part): each set, under its key, cut into FRAGMENTS ranges of the hash."""
     bits = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
     def run(batches):
         for batch in batches:
-            for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
-                for i, s in zip(ids, shingle_sets(data, width), strict=True):
+                for s in shingle_sets(data, width):
+                    key = np.array([_set_key(s)], np.uint64).view(np.int64)[0]
                     cuts = np.searchsorted(s >> bits, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                    rows += [(i, f, s[cuts[f] : cuts[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
+                    rows += [(key, f, s[cuts[f] : cuts[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "frag", "part"],
+                    names=["node", "frag", "part"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, frag int, part array<long>")
+    return docs.mapInArrow(run, "node long, frag int, part array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, na, b, nb) whose fragments' overlaps sum to a Jaccard similarity of percent or more."""
-    left = sets.select(F.col("doc_id").alias("a"), "frag", F.col("part").alias("pa"))
-    right = sets.select(F.col("doc_id").alias("b"), "frag", F.col("part").alias("pb"))
+    left = sets.select(F.col("node").alias("a"), "frag", F.col("part").alias("pa"))
+    right = sets.select(F.col("node").alias("b"), "frag", F.col("part").alias("pb"))
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
         "a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("c")
     )
@@ -206,21 +207,16 @@ def ngram_jaccard_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = _written(_surveyed(texts, width), "ngram-survey")
     counts = _bucket_counts(survey)
-    rows = survey.where("part is null").select("doc_id", "n", "d1", "d2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # Repeated ids with different texts: every set of the id is the same node, so all its classes share that node.
-    keyed = rows.where("n > 0 and doc_id is not null").join(classes, ["d1", "d2"])
-    node = keyed.groupBy("doc_id").agg(F.min("rep").alias("node"))
+    rows = survey.where("part is null").select("doc_id", "n", "node")
 
     same = Window.partitionBy("shingle", "salt")
-    prefixes = _prefixes(texts, width, percent, counts)
-    shared = prefixes.withColumn("times", F.count(F.lit(1)).over(same)).where("hot or times > 1")
-    live = _written(
-        shared.join(node, "doc_id").groupBy("shingle", "node").agg(F.min(F.struct("pos", "n")).alias("x")).select(
-            "shingle", "node", F.col("x.pos").alias("pos"), F.col("x.n").alias("n")
-        ),
-        "ngram-live",
+    shared = (
+        _prefixes(texts, width, percent, counts)
+        .withColumn("lo", F.min("node").over(same))
+        .withColumn("hi", F.max("node").over(same))
+        .where("hot or lo <> hi")
     )
+    live = _written(shared.select("shingle", "node", "pos", "n").distinct(), "ngram-live")
     pivots = (
         live.groupBy("shingle")
         .agg(F.min(F.struct("pos", "node", "n")).alias("p"), F.count(F.lit(1)).alias("c"))
@@ -242,10 +238,11 @@ def ngram_jaccard_groups(
         "ngram-pairs",
     )
     members = live.join(pivots.select("shingle"), "shingle", "left_semi").select("node").distinct()
+    bearers = (
+        rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(members, "node", "left_semi")
+    )
     sets = _written(
-        _fragments(
-            texts.join(members, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), width
-        ),
+        _fragments(texts.join(bearers, F.col("doc_id") == F.col("rep"), "left_semi"), width).dropDuplicates(["node", "frag"]),
         "ngram-sets",
     )
     links = _written(_linked(first, sets, percent), "ngram-links")
@@ -267,13 +264,15 @@ def ngram_jaccard_groups(
     more = _written(_linked(_written(second, "ngram-pairs"), sets, percent), "ngram-links")
     final = connected_components(links.union(more)) if more.head(1) else comp
 
-    known = classes.join(final, F.col("rep") == F.col("node"), "left").select(
-        "d1", "d2", F.coalesce("component", "rep").alias("component")
+    united = final.select("node", F.col("component").alias("united"))
+    placed_rows = rows.join(united, "node", "left").select(
+        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("united", "node")).alias("united")
     )
-    return rows.join(known, ["d1", "d2"], "left").select(
+    names = placed_rows.where("n > 0").groupBy("united").agg(F.min("doc_id").alias("first"))
+    return placed_rows.join(names, "united", "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),
     )
 
 
