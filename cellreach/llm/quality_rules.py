@@ -80,7 +80,7 @@ def _signals(text: Column, words: Column) -> dict[str, Column]:
         "word_chars": F.length(F.translate(plain, SPACES, "")).cast("long"),
         "n_symbols": (F.length(plain) - F.length(F.translate(plain, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(words),
+        "n_repeat_words": let(words, _repeat_words),  # a variable: else every lambda would split the text anew
     }
 
 
@@ -126,11 +126,9 @@ def _joined(rows: DataFrame, lost: DataFrame) -> DataFrame:
     ).drop("l_id", "l_th")
 
 
-def _verdict(min_words: int, max_repeat_percent: int, min_left_percent: int) -> tuple[Column, Column]:
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+def _depleted(min_left_percent: int) -> Column:
     gone = F.coalesce(F.aggregate("q_lost", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
-    depleted = 100 * (F.col("q_chars") - gone) < min_left_percent * F.col("q_chars")
-    return failed, ~failed & ~depleted
+    return 100 * (F.col("q_chars") - gone) < min_left_percent * F.col("q_chars")
 
 
 def quality_rules(
@@ -155,7 +153,7 @@ def quality_rules(
         F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("q_chars"),
         *[c.alias(name) for name, c in _signals(F.col("q_text"), F.col("q_words")).items()],
     )
-    failed, kept = _verdict(min_words, max_repeat_percent, min_left_percent)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     joined = _joined(rows, _losses(docs, id_col, text_col, host_col, max_docs_per_line))
     return joined.select(
         F.col("q_id").alias(id_col),
@@ -165,7 +163,7 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        kept.alias("kept"),
+        (~failed & ~_depleted(min_left_percent)).alias("kept"),
         F.coalesce(F.size("q_lost"), F.lit(0)).cast("long").alias("n_boilerplate_lines"),
     )
 
@@ -185,19 +183,26 @@ def apply_quality_rules(
     A column n_chars, if there is one, is set to the new length where lines were taken out.
     """
     text = F.col(f"row.`{text_col}`")
-    rows = docs.select(row_struct(docs).alias("row")).select(
-        "row", F.col(f"row.`{id_col}`").alias("q_id"), F.xxhash64(text).alias("q_th"), space_words(text).alias("q_words")
+    passes = let(
+        space_words(text),
+        lambda w: F.when(F.size(w) < min_words, F.lit(False)).otherwise(
+            100 * _repeat_words(w) <= max_repeat_percent * F.size(w)
+        ),
     )
-    rows = rows.select(
-        "row",
-        "q_id",
-        "q_th",
-        F.aggregate(F.array_distinct(_norm_lines(text)), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("q_chars"),
-        F.size("q_words").alias("n_words"),
-        F.when(F.size("q_words") >= min_words, _repeat_words(F.col("q_words"))).otherwise(F.lit(0)).alias("n_repeat_words"),
-    ).where((F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= max_repeat_percent * F.col("n_words")))
-    _, kept = _verdict(min_words, max_repeat_percent, min_left_percent)
-    out = _joined(rows, _losses(docs, id_col, text_col, host_col, max_docs_per_line)).where(kept)
+    rows = (
+        docs.select(row_struct(docs).alias("row"))
+        .where(passes)
+        .select(
+            "row",
+            F.col(f"row.`{id_col}`").alias("q_id"),
+            F.xxhash64(text).alias("q_th"),
+            F.aggregate(
+                F.array_distinct(_norm_lines(text)), F.lit(0).cast("long"), lambda a, x: a + F.length(x)
+            ).alias("q_chars"),
+        )
+    )
+    lost = _losses(docs, id_col, text_col, host_col, max_docs_per_line)
+    out = _joined(rows, lost).where(~_depleted(min_left_percent))
     gone = F.transform("q_lost", lambda x: x["h"])
     left = F.array_join(
         F.transform(
