@@ -91,3 +91,44 @@ SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT)
        CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.s, '') AS removed_lines
 FROM documents d LEFT JOIN r USING (doc_id)
 """
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op1() -> str:
+    from cellreach.llm.url_filter import PATTERN_RULES, SITE_RULES
+
+    sites = ", ".join(
+        f"('{a}', '{r}', '{r.partition('/')[0]}', '{r[len(r.partition('/')[0]):]}')" for a, r in SITE_RULES
+    )
+    patterns = ", ".join(f"('{a}', '{p}')" for a, p in PATTERN_RULES)
+    return f"""
+WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u, {_HOST} AS host,
+                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s(action, rule, h, pre) AS (VALUES {sites}),
+q(action, rx) AS (VALUES {patterns}),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+         FROM p JOIN s ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id),
+found AS (SELECT page_id, arg_max(rx, (length(rx), action)) AS rx, arg_max(action, (length(rx), action)) AS action
+          FROM p JOIN q ON regexp_matches(u, rx) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(best.action, found.action, 'allow') AS verdict, rx AS pattern
+FROM p LEFT JOIN best USING (page_id) LEFT JOIN found USING (page_id)
+"""
+
+
+OP1 = _op1()
+
+_QUINTET = (
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((strpos('0123456789abcdef', hx[(5 * i) // 4 + 1]) - 1) * 16"
+    " + coalesce(nullif(strpos('0123456789abcdef', hx[(5 * i) // 4 + 2]), 0) - 1, 0)) >> (3 - (5 * i) % 4)) % 32, 1)"
+)
+
+OP2 = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, string_split(h, '') AS hx FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: {_QUINTET}), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellreach.llm import oracles
 from cellreach.llm.decontaminate import decontaminate, digest
@@ -10,12 +11,31 @@ from cellreach.llm.line_dedup import line_dedup
 from cellreach.llm.ngram_join import ngram_jaccard_groups
 from cellreach.llm.packing import pack_documents
 from cellreach.llm.quality_rules import quality_rules
+from cellreach.llm.sharding import shard_by_bytes
+from cellreach.llm.url_filter import judge_urls
+from cellreach.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).select(
+        F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "pattern"
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, _table(spark, sf_dir, "pages")).drop("url")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +57,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_warc": op2_warc,
+    "op3_sharding": op3_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -45,6 +68,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filters": oracles.OP1,
+    "op2_warc": oracles.OP2,
     "op5_line_dedup": oracles.OP5,
     "op6_ngram_jaccard_join": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
