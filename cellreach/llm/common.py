@@ -59,3 +59,12 @@ def row_struct(df: DataFrame) -> Column:
 def unpack(df: DataFrame, struct: str, names: list[str], **replaced: Column) -> DataFrame:
     """Back to the columns packed by row_struct; those in `replaced` take the given values."""
     return df.select(*[replaced.get(c, F.col(f"{struct}.`{c}`")).alias(c) for c in names])
+
+
+#: A key list of at most so many rows (some 16 MB) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df (a table already written) marked for broadcast if a count proves it short enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import fresh_path
+from cellreach.llm.common import fresh_path, small_side
 from cellreach.llm.components import connected_components
 from cellreach.llm.shingles import mix, shingle_sets, text_chunks
 
@@ -173,14 +173,24 @@ def _fragments(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, frag int, part array<long>")
 
 
+def _sets(texts: DataFrame, bearers: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The fragments of the sets in pairs, each from the first document that bears it."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = _written(bearers.join(wanted, "node", "left_semi").select("rep"), "ngram-bearers")
+    own = texts.join(small_side(chosen), F.col("doc_id") == F.col("rep"), "left_semi")
+    return _written(_fragments(own, width), "ngram-sets")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, na, b, nb) whose fragments' overlaps sum to a Jaccard similarity of percent or more."""
     left = sets.select(F.col("node").alias("a"), "frag", F.col("part").alias("pa"))
     right = sets.select(F.col("node").alias("b"), "frag", F.col("part").alias("pb"))
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
-        "a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("c")
+        "a", "na", "b", "nb", "frag", F.size(F.array_intersect("pa", "pb")).alias("c")
     )
-    total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
+    # Rows that repeat a document repeat its fragments.
+    once = partial.groupBy("a", "na", "b", "nb", "frag").agg(F.max("c").alias("c"))
+    total = once.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
     return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
@@ -212,57 +222,54 @@ def ngram_jaccard_groups(
     same = Window.partitionBy("shingle", "salt")
     shared = (
         _prefixes(texts, width, percent, counts)
+        .repartition("shingle", "salt")
+        .dropDuplicates(["shingle", "salt", "node"])  # no second shuffle: copies are in one partition already
         .withColumn("lo", F.min("node").over(same))
         .withColumn("hi", F.max("node").over(same))
+        .withColumn("pivot", F.min(F.struct("pos", "node", "n")).over(same))
         .where("hot or lo <> hi")
     )
-    live = _written(shared.select("shingle", "node", "pos", "n").distinct(), "ngram-live")
-    pivots = (
-        live.groupBy("shingle")
-        .agg(F.min(F.struct("pos", "node", "n")).alias("p"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-        .select("shingle", F.col("p.node").alias("node"), F.col("p.pos").alias("pos"), F.col("p.n").alias("n"))
-    )
-    ordered = [
-        F.least("x.node", "y.node").alias("a"),
-        F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
-        F.greatest("x.node", "y.node").alias("b"),
-        F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"),
-    ]
+    live = _written(shared.select("shingle", "node", "pos", "n", "pivot"), "ngram-live")
+
+    def ordered(x: str, y: str) -> list:
+        up = F.col(f"{x}.node") < F.col(f"{y}.node")
+        return [
+            F.least(f"{x}.node", f"{y}.node").alias("a"),
+            F.when(up, F.col(f"{x}.n")).otherwise(F.col(f"{y}.n")).alias("na"),
+            F.greatest(f"{x}.node", f"{y}.node").alias("b"),
+            F.when(up, F.col(f"{y}.n")).otherwise(F.col(f"{x}.n")).alias("nb"),
+        ]
+
+    starred = live.select(F.struct("node", "pos", "n").alias("x"), F.col("pivot").alias("y"))
     first = _written(
-        live.alias("x")
-        .join(pivots.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-        .where(f"x.node <> y.node and {_possible(percent, 'x', 'y')}")
-        .select(*ordered)
-        .distinct(),
+        starred.where(f"x.node <> y.node and {_possible(percent, 'x', 'y')}").select(*ordered("x", "y")).distinct(),
         "ngram-pairs",
     )
-    members = live.join(pivots.select("shingle"), "shingle", "left_semi").select("node").distinct()
-    bearers = (
-        rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(members, "node", "left_semi")
-    )
-    sets = _written(
-        _fragments(texts.join(bearers, F.col("doc_id") == F.col("rep"), "left_semi"), width).dropDuplicates(["node", "frag"]),
-        "ngram-sets",
-    )
-    links = _written(_linked(first, sets, percent), "ngram-links")
+    bearers = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    links = _written(_linked(first, _sets(texts, bearers, first, width), percent), "ngram-links")
     comp = _written(connected_components(links), "ngram-comps")
 
-    placed = live.join(comp, "node", "left").select(
-        "shingle", "node", "pos", "n", F.coalesce("component", "node").alias("component")
+    placed = (
+        live.select("shingle", "node", "pos", "n")
+        .join(small_side(comp), "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    apart = _written(placed.join(mixed.select("shingle"), "shingle", "left_semi"), "ngram-apart")
-    second = (
+    spans = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = _written(spans.where("lo <> hi").select("shingle"), "ngram-mixed")
+    apart = _written(placed.join(small_side(mixed), "shingle", "left_semi"), "ngram-apart")
+    second = _written(
         apart.alias("x")
         .join(apart.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
         .where(f"x.node < y.node and x.component <> y.component and {_possible(percent, 'x', 'y')}")
-        .select(*ordered)
+        .select(*ordered("x", "y"))
         .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
+        .join(first.select("a", "b"), ["a", "b"], "left_anti"),
+        "ngram-pairs",
     )
-    more = _written(_linked(_written(second, "ngram-pairs"), sets, percent), "ngram-links")
-    final = connected_components(links.union(more)) if more.head(1) else comp
+    final = comp
+    if second.head(1):
+        more = _written(_linked(second, _sets(texts, bearers, second, width), percent), "ngram-links")
+        final = connected_components(links.union(more)) if more.head(1) else comp
 
     united = final.select("node", F.col("component").alias("united"))
     placed_rows = rows.join(united, "node", "left").select(
