@@ -65,6 +65,17 @@ def unpack(df: DataFrame, struct: str, names: list[str], **replaced: Column) ->
 BROADCAST_ROWS = 500_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a count proves df (a table already written, of a few narrow columns) short enough to broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small_side(df: DataFrame) -> DataFrame:
-    """df (a table already written) marked for broadcast if a count proves it short enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

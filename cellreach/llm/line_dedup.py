@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import SPACES, fresh_path, let, lower_ascii, row_struct, space_words, unpack
+from cellreach.llm.common import SPACES, let, lower_ascii, row_struct, small_side, space_words, unpack, written
 
 WIDTH = 5
 PERCENT = 80
@@ -84,12 +84,6 @@ def _ordered(line: Column, width: int, ranks: bytearray) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_tokens(line, width), key)))
 
 
-def _written(df: DataFrame, what: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _prefix_size(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
@@ -122,7 +116,7 @@ def repeated_lines(
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     tokens = lines.select("doc", "line_no", _ordered(F.col("line"), width, ranks).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
-    judged = _written(
+    judged = written(
         tokens.select(
             "doc", "line_no", F.xxhash64("tokens").alias("c"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")
         ),
@@ -143,7 +137,7 @@ def repeated_lines(
         .select("token", "c", "n", "pos")
         .distinct()
     )
-    live = _written(shared.join(classes, "c").select("token", "c", "n", "pos", "at"), "lines-live")
+    live = written(shared.join(classes, "c").select("token", "c", "n", "pos", "at"), "lines-live")
     pivots = (
         live.groupBy("token")
         .agg(F.min(F.struct("pos", "at", "c", "n")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"))
@@ -151,13 +145,14 @@ def repeated_lines(
         .select("token", F.col("p.pos").alias("pos"), F.col("p.at").alias("at"), F.col("p.c").alias("c"), F.col("p.n").alias("n"))
     )
     crowded = live.join(pivots.select("token"), "token", "left_semi")
-    wanted = (
-        crowded.select("at").distinct().groupBy(F.col("at.doc").alias("w_doc")).agg(F.collect_set("at.line_no").alias("w_lines"))
+    wanted = written(
+        crowded.select("at").distinct().groupBy(F.col("at.doc").alias("w_doc")).agg(F.collect_set("at.line_no").alias("w_lines")),
+        "lines-wanted",
     )
-    some = texts.join(wanted, F.col("doc") == F.col("w_doc")).select(
+    some = texts.join(small_side(wanted), F.col("doc") == F.col("w_doc")).select(
         "w_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).where(F.array_contains("w_lines", F.col("line_no")))
-    sets = _written(
+    sets = written(
         some.select(_ordered(F.col("line"), width, ranks).alias("tokens")).select(F.xxhash64("tokens").alias("c"), "tokens").dropDuplicates(["c"]),
         "lines-sets",
     )
@@ -169,7 +164,7 @@ def repeated_lines(
             F.when(late, F.col(f"{y}.c")).otherwise(F.col(f"{x}.c")).alias("y"),
         ]
 
-    tried = _written(
+    tried = written(
         live.alias("x")
         .join(pivots.alias("y"), F.col("x.token") == F.col("y.token"))
         .where(f"x.c <> y.c and {_possible(percent)}")
@@ -177,7 +172,7 @@ def repeated_lines(
         .distinct(),
         "lines-pairs",
     )
-    settled = _written(_matches(tried, sets, percent).select("x").distinct(), "lines-settled")
+    settled = written(_matches(tried, sets, percent).select("x").distinct(), "lines-settled")
     open_ones = live.join(settled.select(F.col("x").alias("c")), "c", "left_anti")
     rest = (
         open_ones.alias("x")
@@ -187,7 +182,7 @@ def repeated_lines(
         .distinct()
         .join(tried, ["x", "y"], "left_anti")
     )
-    gone = settled.union(_matches(_written(rest, "lines-pairs"), sets, percent).select("x")).distinct()
+    gone = settled.union(_matches(written(rest, "lines-pairs"), sets, percent).select("x")).distinct()
     state = classes.join(gone, F.col("c") == F.col("x"), "left").select(
         "c", F.when(F.col("x").isNull(), F.col("at")).alias("kept_at")
     )

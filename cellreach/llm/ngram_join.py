@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import fresh_path, small_side
+from cellreach.llm.common import small_side, written
 from cellreach.llm.components import connected_components
 from cellreach.llm.shingles import mix, shingle_sets, text_chunks
 
@@ -176,9 +176,9 @@ def _fragments(docs: DataFrame, width: int) -> DataFrame:
 def _sets(texts: DataFrame, bearers: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The fragments of the sets in pairs, each from the first document that bears it."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = _written(bearers.join(wanted, "node", "left_semi").select("rep"), "ngram-bearers")
+    chosen = written(bearers.join(wanted, "node", "left_semi").select("rep"), "ngram-bearers")
     own = texts.join(small_side(chosen), F.col("doc_id") == F.col("rep"), "left_semi")
-    return _written(_fragments(own, width), "ngram-sets")
+    return written(_fragments(own, width), "ngram-sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,19 +203,13 @@ def _possible(percent: int, p: str, q: str) -> str:
     )
 
 
-def _written(df: DataFrame, what: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ngram_jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents linked by 100 * overlap >= percent * union."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = _written(_surveyed(texts, width), "ngram-survey")
+    survey = written(_surveyed(texts, width), "ngram-survey")
     counts = _bucket_counts(survey)
     rows = survey.where("part is null").select("doc_id", "n", "node")
 
@@ -229,7 +223,7 @@ def ngram_jaccard_groups(
         .withColumn("pivot", F.min(F.struct("pos", "node", "n")).over(same))
         .where("hot or lo <> hi")
     )
-    live = _written(shared.select("shingle", "node", "pos", "n", "pivot"), "ngram-live")
+    live = written(shared.select("shingle", "node", "pos", "n", "pivot"), "ngram-live")
 
     def ordered(x: str, y: str) -> list:
         up = F.col(f"{x}.node") < F.col(f"{y}.node")
@@ -241,13 +235,13 @@ def ngram_jaccard_groups(
         ]
 
     starred = live.select(F.struct("node", "pos", "n").alias("x"), F.col("pivot").alias("y"))
-    first = _written(
+    first = written(
         starred.where(f"x.node <> y.node and {_possible(percent, 'x', 'y')}").select(*ordered("x", "y")).distinct(),
         "ngram-pairs",
     )
     bearers = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    links = _written(_linked(first, _sets(texts, bearers, first, width), percent), "ngram-links")
-    comp = _written(connected_components(links), "ngram-comps")
+    links = written(_linked(first, _sets(texts, bearers, first, width), percent), "ngram-links")
+    comp = written(connected_components(links), "ngram-comps")
 
     placed = (
         live.select("shingle", "node", "pos", "n")
@@ -255,9 +249,9 @@ def ngram_jaccard_groups(
         .withColumn("component", F.coalesce("component", "node"))
     )
     spans = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = _written(spans.where("lo <> hi").select("shingle"), "ngram-mixed")
-    apart = _written(placed.join(small_side(mixed), "shingle", "left_semi"), "ngram-apart")
-    second = _written(
+    mixed = written(spans.where("lo <> hi").select("shingle"), "ngram-mixed")
+    apart = written(placed.join(small_side(mixed), "shingle", "left_semi"), "ngram-apart")
+    second = written(
         apart.alias("x")
         .join(apart.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
         .where(f"x.node < y.node and x.component <> y.component and {_possible(percent, 'x', 'y')}")
@@ -268,7 +262,7 @@ def ngram_jaccard_groups(
     )
     final = comp
     if second.head(1):
-        more = _written(_linked(second, _sets(texts, bearers, second, width), percent), "ngram-links")
+        more = written(_linked(second, _sets(texts, bearers, second, width), percent), "ngram-links")
         final = connected_components(links.union(more)) if more.head(1) else comp
 
     united = final.select("node", F.col("component").alias("united"))

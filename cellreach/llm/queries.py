@@ -12,6 +12,7 @@ from cellreach.llm.ngram_join import ngram_jaccard_groups
 from cellreach.llm.packing import pack_documents
 from cellreach.llm.quality_rules import quality_rules
 from cellreach.llm.sharding import shard_by_bytes
+from cellreach.llm.suffix_dedup import remove_repeats
 from cellreach.llm.url_filter import judge_urls
 from cellreach.llm.warc import archive_round_trip
 
@@ -36,6 +37,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
