@@ -75,7 +75,12 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
+    """df as a Parquet table in the shared folder: computed once, and safe from lost executors.
+
+    The shuffle files of the job are of no more use then; Spark drops them once the driver's garbage collector has
+    seen that, which is asked for here rather than at the next half-hourly call.
+    """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
