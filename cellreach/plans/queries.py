@@ -202,11 +202,11 @@ def nearest_within_priority(spark, d):
 
 
 @query(f"""
-WITH {s.POINTS}, n AS (SELECT n_nationkey AS poly, -73.4 + (n_nationkey % 5) * 0.6::DOUBLE AS x, 41.25 + (n_nationkey // 5) * 0.3::DOUBLE AS y FROM nation)
+WITH {s.POINTS}, n AS (SELECT n_nationkey AS poly, -73.40037 + (n_nationkey % 5) * 0.6::DOUBLE AS x, 41.25043 + (n_nationkey // 5) * 0.3::DOUBLE AS y FROM nation)
 SELECT id, poly FROM points, n WHERE lat > y AND lat < y + 0.2 AND lon > x + (lat - y) AND lon < x + 0.5 - (lat - y)""")
 def point_in_polygon(spark, d):
-    x = F.lit(-73.4) + (F.col("n_nationkey") % 5) * 0.6
-    y = F.lit(41.25) + F.floor(F.col("n_nationkey") / 5) * 0.3
+    x = F.lit(-73.40037) + (F.col("n_nationkey") % 5) * 0.6
+    y = F.lit(41.25043) + F.floor(F.col("n_nationkey") / 5) * 0.3
     corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
     ring = F.array(corner(0.0, 0.0), corner(0.5, 0.0), corner(0.3, 0.2), corner(0.2, 0.2), corner(0.0, 0.0))
     polys = table(spark, d, "nation").select(F.col("n_nationkey").alias("poly"), ring.alias("ring"))
