@@ -8,7 +8,14 @@ from pyspark.sql import types as T
 
 from cellreach.operators.tables import conform
 
-LEGS = T.StructType.fromDDL("anchor long, entity string, mode int, seconds int, snapshot_ts date")
+LEGS = (
+    T.StructType()
+    .add("anchor", T.LongType())
+    .add("entity", T.StringType())
+    .add("mode", T.IntegerType())
+    .add("seconds", T.IntegerType())
+    .add("snapshot_ts", T.DateType())
+)
 LEGACY = {"anchor_int_id": "anchor", "anchor_id": "anchor", "seconds_u16": "seconds", "category_id": "entity", "brand_id": "entity"}
 TRAUMA_LEVELS = {"Level I Trauma Center": "adult", "Level I Pediatric Trauma Center": "pediatric"}
 
