@@ -13,7 +13,7 @@ document, only for documents with candidates; prefixes are shuffled once, hot to
 salted parts. Each token's classes are first tried against the one that has it earliest in
 the order, and only lines that this does not settle are tried against the other earlier ones,
 so groups of near copies do not become all their pairs. The driver holds the fixed-size
-bucket ranks alone.
+bucket counts alone.
 
 Defined results: null, empty and blank texts have no lines to judge; a null doc_id comes after all others; rows
 that repeat a doc_id are one document and have the same lines removed; a document that loses all its words is dropped by
@@ -33,11 +33,12 @@ from cellreach.llm.common import SPACES, let, lower_ascii, row_struct, small_sid
 
 WIDTH = 5
 PERCENT = 80
-#: Buckets of the token counts (their ranks travel in the plan, one byte each), and their number as bits.
+#: Buckets of the token counts, as bits; fixed, whatever the corpus.
 BUCKET_BITS = 15
-TOP_RANK = 127
-#: Ranks from here on (four times the average bucket) are dealt out in salted parts.
-HOT_RANK = 64
+#: A token's rank is the number of these multiples of the average bucket that its bucket reaches.
+STEPS = (1.25, 2, 4, 8, 16, 32, 64, 128)
+#: Ranks from here on are dealt out in salted parts, twice as many for each further rank.
+HOT_RANK = 3
 
 
 def _tokens(line: Column, width: int) -> Column:
@@ -57,8 +58,8 @@ def _bucket(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - BUCKET_BITS)
 
 
-def _ranks(docs: DataFrame, text_col: str, width: int) -> bytearray:
-    """A rank from 0 to TOP_RANK for each bucket: 32 steps for each doubling above the average count."""
+def _ranks(docs: DataFrame, text_col: str, width: int) -> list[list[int]]:
+    """For each of STEPS the buckets that reach it (and stand out from chance); at most 2**BUCKET_BITS numbers each."""
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
     counts = (
         lines.select(F.explode(_tokens(F.col("line"), width)).alias("token"))
@@ -67,19 +68,22 @@ def _ranks(docs: DataFrame, text_col: str, width: int) -> bytearray:
         .collect()  # one row a bucket, whatever the corpus
     )
     mean = max(1.0, sum(r["c"] for r in counts) / (1 << BUCKET_BITS))
-    ranks = bytearray(1 << BUCKET_BITS)
-    for r in counts:
-        ranks[r["b"]] = min(TOP_RANK, max(0, round(32 * math.log2(r["c"] / mean))))
-    return ranks
+    chance = mean + 5 * math.sqrt(mean)
+    return [[r["b"] for r in counts if r["c"] >= max(chance, step * mean)] for step in STEPS]
 
 
-def _ordered(line: Column, width: int, ranks: bytearray) -> Column:
+def _ordered(line: Column, width: int, ranks: list[list[int]]) -> Column:
     """The line's distinct tokens as longs, rarest first: the rank above the upper 56 bits of the hash."""
-    table = F.lit(ranks)
+
+    def rank(bucket: Column) -> Column:
+        out = F.lit(0)
+        for k, buckets in enumerate(ranks, 1):
+            if buckets:
+                out = F.when(bucket.isin(buckets), F.lit(k)).otherwise(out)
+        return F.when(bucket.isin(ranks[0]), out).otherwise(F.lit(0)) if ranks[0] else out  # most are in none
 
     def key(token: Column) -> Column:
-        rank = F.ascii(F.substring(table, _bucket(token).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(token, 8))
+        return F.shiftleft(rank(_bucket(token)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(token, 8))
 
     return F.sort_array(F.array_distinct(F.transform(_tokens(line, width), key)))
 
@@ -98,7 +102,7 @@ def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int) -> str:
-    most = "(least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos))"
+    most = "least(x.n - x.pos, y.n - y.pos)"  # met at the first token that a similar pair shares
     return (
         f"x.n * 100 >= {percent} * y.n and y.n * 100 >= {percent} * x.n"
         f" and {most} * {100 + percent} >= {percent} * (x.n + y.n)"
@@ -126,7 +130,7 @@ def repeated_lines(
 
     prefixes = judged.select("c", "n", "doc", F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftright("token", 56).cast("int")
-    salts = F.pow(F.lit(2), F.floor((rank - HOT_RANK) / 32) + 3).cast("int")  # twice the parts for twice the count
+    salts = F.pow(F.lit(2), rank - HOT_RANK + 3).cast("int")  # twice the parts for twice the count
     salt = F.when(rank >= HOT_RANK, F.pmod(F.xxhash64("doc"), salts).cast("int")).otherwise(F.lit(0))
     group = Window.partitionBy("token", "salt")
     shared = (

@@ -195,9 +195,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int, p: str, q: str) -> str:
-    """Length and positional bounds of a pair sharing a prefix shingle, as SQL over columns p.n, p.pos, q.n, q.pos."""
+    """Length and positional bounds of a pair sharing a prefix shingle, as SQL over columns p.n, p.pos, q.n, q.pos.
+
+    A pair that is similar enough meets the positional bound at the first shingle that both have, where all common
+    ones are still to come; it need not meet it at the others.
+    """
     need = f"{percent} * ({p}.n + {q}.n)"
-    most = f"(least({p}.pos, {q}.pos) + least({p}.n - {p}.pos, {q}.n - {q}.pos))"
+    most = f"least({p}.n - {p}.pos, {q}.n - {q}.pos)"
     return (
         f"{p}.n * 100 >= {percent} * {q}.n and {q}.n * 100 >= {percent} * {p}.n and {most} * {100 + percent} >= {need}"
     )
