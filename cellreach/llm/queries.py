@@ -84,6 +84,7 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": oracles.OP1,
     "op2_warc": oracles.OP2,
+    "op4_suffix_array_dedup": oracles.OP4,
     "op5_line_dedup": oracles.OP5,
     "op6_ngram_jaccard_join": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
