@@ -145,6 +145,16 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     )
 
 
+def _words8(raw: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as one number, zeros beyond the end; eight more places at the end."""
+    n = len(raw) + 8
+    padded = np.concatenate((raw.astype(np.uint64), np.zeros(16, np.uint64)))
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + n]
+    return word
+
+
 def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of raw in the order of their first `depth` bytes or more, by Larsson-Sadakane refinement.
 
@@ -152,11 +162,8 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     by the group of the suffix that far ahead. Groups of one are left alone.
     """
     n = len(raw)
-    padded = np.concatenate((raw.astype(np.uint64), np.zeros(8, np.uint64)))
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    sa = np.argsort(word, kind="stable")
+    word = _words8(raw)[:n]
+    sa = np.argsort(word)
     ordered = word[sa]
     begins = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     group = np.empty(n + 1, np.int64)  # of a suffix: the place in sa where its group begins
@@ -170,10 +177,11 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
             break
         some = sa[open_at]
         own, ahead = group[some], group[np.minimum(some + h, n)]
-        order = np.lexsort((ahead, own))
-        some, own, ahead = some[order], own[order], ahead[order]
+        both = own * (n + 1) + ahead + 1
+        order = np.argsort(both)
+        some, both = some[order], both[order]
         sa[open_at] = some
-        begins[open_at] = np.concatenate(([True], (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])))
+        begins[open_at] = np.concatenate(([True], both[1:] != both[:-1]))
         starts = np.where(begins[open_at], open_at, 0)
         group[some] = np.maximum.accumulate(starts)
         h *= 2
@@ -189,15 +197,21 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     n = len(raw)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    word = _words8(raw)
     lcp = np.zeros(n, np.int64)
 
     def extend(which: np.ndarray) -> None:
+        """By eight bytes while they are equal, then by the equal leading bytes of the words that differ."""
         which = which[before[which] >= 0]
         while len(which):
             a, b = which + lcp[which], before[which] + lcp[which]
-            which = which[(lcp[which] < cap) & (np.maximum(a, b) < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])]
-            lcp[which] += 1
+            differ = word[a] ^ word[b]
+            same = (differ == 0) & (np.maximum(a, b) + 8 <= n) & (lcp[which] + 8 <= cap)
+            stop, bits = which[~same], differ[~same]
+            equal = sum((bits >> np.uint64(8 * (7 - k)) == 0).astype(np.int64) for k in range(8))
+            lcp[stop] = np.minimum(lcp[stop] + equal, np.minimum(cap, n - np.maximum(stop, before[stop])))
+            which = which[same]
+            lcp[which] += 8
 
     heads = np.arange(0, n, 8)
     extend(heads)
