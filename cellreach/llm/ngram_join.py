@@ -39,12 +39,13 @@ from cellreach.llm.shingles import mix, shingle_sets, text_chunks
 WIDTH = 5
 PERCENT = 80
 #: Buckets of the shingle counts (fixed size, whatever the corpus), and rows of the table that carry them.
-BUCKETS, COUNT_ROWS = 1 << 17, 64
+BUCKET_BITS = 20
+BUCKETS, COUNT_ROWS = 1 << BUCKET_BITS, 64
 #: A bucket this much above the average holds a hot shingle; it is dealt out in salted parts of about this size.
 HOT = 8192
 FRAGMENTS = 4
 
-_BUCKET_SHIFT = np.uint64(64 - 17)
+_BUCKET_SHIFT = np.uint64(64 - BUCKET_BITS)
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -93,16 +94,15 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
 def _bucket_counts(survey: DataFrame) -> np.ndarray:
     """Counts by bucket over all documents: BUCKETS numbers, however large the corpus."""
     step = BUCKETS // COUNT_ROWS
-    rows = (
+    table = (
         survey.where("part is not null")
         .select("part", F.posexplode("counts").alias("at", "c"))
         .groupBy((F.col("part") * step + F.col("at")).alias("bucket"))
         .agg(F.sum("c").alias("c"))
-        .collect()
+        .toArrow()
     )
     out = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["c"]
+    out[table["bucket"].to_numpy()] = table["c"].to_numpy()
     return out
 
 
