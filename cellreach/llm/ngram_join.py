@@ -54,7 +54,7 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, n, node) of every document, and rows (part, counts) of every task's bucket counts."""
-    kind = "doc_id long, n int, node long, part int, counts array<int>"
+    kind = "doc_id long, n int, node long, part int, at array<int>, counts array<int>"
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -70,10 +70,12 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(np.array([_set_key(s) for s in sets], np.uint64).view(np.int64)),
                         pa.nulls(len(ids), pa.int32()),
                         pa.nulls(len(ids), pa.list_(pa.int32())),
+                        pa.nulls(len(ids), pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n", "node", "part", "counts"],
+                    names=["doc_id", "n", "node", "part", "at", "counts"],
                 )
-        step = BUCKETS // COUNT_ROWS
+        used = np.flatnonzero(counts)
+        parts = np.array_split(used, COUNT_ROWS)
         none = pa.nulls(COUNT_ROWS, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
@@ -81,11 +83,10 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
                 pa.nulls(COUNT_ROWS, pa.int32()),
                 none,
                 pa.array(range(COUNT_ROWS), pa.int32()),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, BUCKETS + 1, step), pa.int32()), pa.array(np.minimum(counts, 2**31 - 1), pa.int32())
-                ),
+                pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
+                pa.array([np.minimum(counts[p], 2**31 - 1).astype(np.int32) for p in parts], pa.list_(pa.int32())),
             ],
-            names=["doc_id", "n", "node", "part", "counts"],
+            names=["doc_id", "n", "node", "part", "at", "counts"],
         )
 
     return docs.mapInArrow(run, kind)
@@ -93,12 +94,11 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
 
 def _bucket_counts(survey: DataFrame) -> np.ndarray:
     """Counts by bucket over all documents: BUCKETS numbers, however large the corpus."""
-    step = BUCKETS // COUNT_ROWS
     table = (
         survey.where("part is not null")
-        .select("part", F.posexplode("counts").alias("at", "c"))
-        .groupBy((F.col("part") * step + F.col("at")).alias("bucket"))
-        .agg(F.sum("c").alias("c"))
+        .select(F.explode(F.arrays_zip("at", "counts")).alias("x"))
+        .groupBy(F.col("x.at").alias("bucket"))
+        .agg(F.sum("x.counts").alias("c"))
         .toArrow()
     )
     out = np.zeros(BUCKETS, np.int64)
