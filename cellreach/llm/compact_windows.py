@@ -6,8 +6,8 @@ value is led by a rank of how often the token's bucket occurs in all documents,
 anything rarer is near. Windows are grouped by function and min-hash; of equal windows one row a chunk is
 dealt out. In a group each window is joined with the group's first and with the one before it (windows of equal content side by side),
 never with all. Windows with equal content repeat as they are. Other joined pairs are gathered per pair of documents and diagonal; those that
-enough hash functions agree on are verified: the longest parts dense in common tokens, whose exact Jaccard similarity must reach
-the threshold.
+enough hash functions agree on are verified: all parts dense in common tokens, the longest first, whose exact Jaccard similarity
+must reach the threshold.
 
 Scale: two passes over the texts; the shuffle of windows is some HASHES * 2 / span rows a token. Only documents of candidate pairs are
 fetched again, by a checked broadcast of their ids or by a shuffle. The driver sees the fixed-size bucket counts alone.
@@ -155,26 +155,74 @@ def longest_dense(flags: np.ndarray, share: float) -> tuple[int, int]:
     return best
 
 
-def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
-    """_PASSAGE rows of pairs (doc, lo, ta, o_doc, o_lo, tb) of token slices: the similar parts, as token ranges [s, e)."""
+def _matched(a: np.ndarray, b: np.ndarray, s: int, e: int, shift: int, share: float, span: int, percent: int) -> tuple | None:
+    """(s, e, p, q, similarity) of the part of a[s:e] that is similar enough to a part b[p:q] near its diagonal, if there is one."""
+    while e - s >= span:
+        slack = DIAGONAL + (e - s) // 4  # a dense range cannot drift further
+        at = max(0, s - shift - DIAGONAL - slack)
+        near = b[at : max(at, e - shift + slack)]
+        p, q = longest_dense(np.isin(near, a[s:e]), share)
+        if q - p < span:
+            return None
+        x, y = np.unique(a[s:e]), np.unique(near[p:q])
+        both = len(np.intersect1d(x, y, True))
+        union = len(x) + len(y) - both
+        if 100 * both >= percent * union:
+            return s, e, at + p, at + q, 100 * both // union
+        u, v = longest_dense(np.isin(a[s:e], near[p:q]), share)
+        if v - u == e - s:
+            return None
+        s, e = s + u, s + v
+    return None
+
+
+def similar_parts(a: np.ndarray, b: np.ndarray, shift: int, span: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(s, e, p, q, similarity) of all parts a[s:e] similar to a part b[p:q], the longest first, each with a common token of its own.
+
+    Token i of a is at some i - shift - DIAGONAL + 1 to i - shift of b. What is left beside a part is searched again, with
+    span - 1 tokens of the part itself, so that no range of span tokens is cut.
+    """
     loosest = 2 * percent / (100 + percent)  # equally long sets of that similarity share so much of each
+    common = np.isin(a, b)
+    fresh = common.copy()
+    out, todo = [], [(0, len(a))]
+    while todo:
+        i, j = todo.pop()
+        if j - i < span or not fresh[i:j].any():
+            continue
+        part, dense = None, None
+        for share in (loosest, (1 + 2 * loosest) / 3, (2 + loosest) / 3, 1.0):  # the longest part first
+            s, e = longest_dense(common[i:j], share)
+            if e - s < span:
+                break
+            dense = dense or (i + s, i + e)
+            part = _matched(a, b, i + s, i + e, shift, share, span, percent)
+            if part:
+                break
+        if part:
+            if fresh[part[0] : part[1]].any():
+                out.append(part)
+            fresh[part[0] : part[1]] = False
+            dense = part[:2]
+        elif dense and dense[1] - dense[0] >= 2 * span:
+            middle = sum(dense) // 2
+            todo += [(i, middle + span - 1), (middle, j)]
+            continue
+        if dense:
+            todo += [(i, dense[0] + span - 1), (dense[1] - span + 1, j)]
+    return out
+
+
+def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
+    """_PASSAGE rows of pairs (doc, lo, ta, o_doc, o_lo, tb, shift) of token slices: all similar parts, as token ranges [s, e)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, lo, ta, o_doc, o_lo, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, lo, ta, o_doc, o_lo, tb, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.array(ta, np.int64), np.array(tb, np.int64)
-                for share in (loosest, (1 + 2 * loosest) / 3, (2 + loosest) / 3, 1.0):  # the longest part first
-                    s, e = longest_dense(np.isin(a, b), share)
-                    if e - s < span:
-                        break
-                    p, q = longest_dense(np.isin(b, a[s:e]), share)
-                    x, y = np.unique(a[s:e]), np.unique(b[p:q])
-                    both = len(np.intersect1d(x, y, True))
-                    union = len(x) + len(y) - both
-                    if q - p >= span and 100 * both >= percent * union:
-                        out.append((doc, lo + s, lo + e, o_doc, o_lo + p, o_lo + q, 100 * both // union))
-                        break
+                for s, e, p, q, same in similar_parts(a, b, shift, span, percent):
+                    out.append((doc, lo + s, lo + e, o_doc, o_lo + p, o_lo + q, same))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = zip(*out, strict=True) if out else [()] * 7
             yield pa.RecordBatch.from_arrays(
@@ -251,8 +299,10 @@ def near_passages(
     ids = written(candidates.select("doc").union(candidates.select("o_doc")).distinct(), "windows-ids")
     tokens = written(_tokens(texts.join(small_side(ids), "doc", "left_semi"), width).dropDuplicates(["t_doc"]), "windows-tokens")
     cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
-    one = candidates.join(tokens, F.col("doc") == F.col("t_doc")).select("doc", "lo", cut("lo", "hi").alias("ta"), "o_doc", "o_lo", "o_hi")
-    two = one.join(tokens, F.col("o_doc") == F.col("t_doc")).select("doc", "lo", "ta", "o_doc", "o_lo", cut("o_lo", "o_hi").alias("tb"))
+    one = candidates.join(tokens, F.col("doc") == F.col("t_doc")).select("doc", "lo", cut("lo", "hi").alias("ta"), "o_doc", "o_lo", "o_hi", "diagonal")
+    two = one.join(tokens, F.col("o_doc") == F.col("t_doc")).select(
+        "doc", "lo", "ta", "o_doc", "o_lo", cut("o_lo", "o_hi").alias("tb"), (F.col("diagonal") * DIAGONAL - F.col("lo") + F.col("o_lo")).alias("shift")
+    )
     found = _verified(two, span, percent).distinct()
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
     return found.select(

@@ -247,6 +247,50 @@ def test_near_passages(docs, rows, nothing):
     assert compact_windows.near_passages(nothing).count() == 0
 
 
+def check_passages(out, texts):
+    """Every 50 words that two documents share at about one place are in a passage of the pair, on both sides; all rows are similar."""
+    ws = {i: t.lower().split() for i, t in texts}
+    held = {i: set() for i in ws}
+    for r in out:
+        a = ws[r["doc_id"]][r["start_word"] : r["start_word"] + r["n_words"]]
+        b = ws[r["other_id"]][r["other_start_word"] : r["other_start_word"] + r["other_n_words"]]
+        assert brute.similar(brute.shingles(a), brute.shingles(b)) and min(len(a), len(b)) >= 50
+        held[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+        held[r["other_id"]] |= set(range(r["other_start_word"], r["other_start_word"] + r["other_n_words"]))
+    at = {}
+    for i in ws:
+        for k in range(len(ws[i]) - 49):
+            at.setdefault(tuple(ws[i][k : k + 50]), []).append((i, k))
+    shared = [x for places in at.values() if len({i for i, _ in places}) > 1 for x in places]
+    assert shared and all(set(range(k, k + 50)) <= held[i] for i, k in shared)
+
+
+def test_near_passages_of_one_diagonal(spark):
+    """Documents of one template: every passage is reported, not the longest alone."""
+    r = random.Random(12)
+    prose = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    one, two, three, four = prose(60), prose(60), prose(55), prose(90)
+    texts = [
+        (1, one + prose(200) + two),
+        (2, one + prose(200) + two),
+        (3, prose(30) + three + prose(70) + four + prose(80) + three[::-1] + prose(40)),
+        (4, prose(33) + three + prose(72) + four + prose(75) + three[::-1] + prose(9)),
+        (5, prose(200)),
+    ]
+    texts = [(i, " ".join(t)) for i, t in texts]
+    out = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_passages(out, texts)
+    assert len({(x["doc_id"], x["start_word"] // 100) for x in out}) == 5 and {x["doc_id"] for x in out} == {2, 4}
+
+
+def test_similar_parts_that_the_longest_dense_range_hides():
+    """The parts are side by side in one text and apart in the other."""
+    r = np.random.default_rng(5)
+    p, q, x = (r.integers(0, 2**60, k) for k in (60, 62, 60))
+    got = compact_windows.similar_parts(np.concatenate((p, q)), np.concatenate((p, x, q)), 0, 46, 80)
+    assert len(got) == 2 and {k for s, e, *_ in got for k in range(s, e)} == set(range(122))
+
+
 def test_sharding(docs, rows, nothing):
     got = sharding.shard_by_bytes(docs, 4).collect()
     sizes = {i: len((t or "").encode()) + 1 for i, t, *_ in rows}
