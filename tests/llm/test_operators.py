@@ -283,6 +283,19 @@ def test_near_passages_of_one_diagonal(spark):
     assert len({(x["doc_id"], x["start_word"] // 100) for x in out}) == 5 and {x["doc_id"] for x in out} == {2, 4}
 
 
+def test_near_passages_with_an_edit_are_rarely_missed(spark):
+    """Pairs of 0.82 without 50 equal words, one word changed and one put in: the places shift, and min-hashes alone find them."""
+    r = random.Random(3)
+    texts = []
+    for k in range(300):
+        ws = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join([*ws[:30], "new", "word", *ws[31:]]))]
+    assert brute.similar(brute.shingles(texts[0][1].split()), brute.shingles(texts[1][1].split()))
+    out = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    found = {(x["other_id"], x["doc_id"]) for x in out}
+    assert all(a + 1 == b and a % 2 == 0 for a, b in found) and len(found) >= 297
+
+
 def test_similar_parts_that_the_longest_dense_range_hides():
     """The parts are side by side in one text and apart in the other."""
     r = np.random.default_rng(5)
