@@ -4,13 +4,15 @@ The tokens of a text are its 5-word shingles in order. For each of HASHES hash f
 gives the compact windows (l, c, r) of at least `span` tokens: every passage inside l..r that covers c has token c as its min-hash. A
 value is led by a rank of how often the token's bucket occurs in all documents, the lowest up to COMMON times, so that common lines do not decide min-hashes where
 anything rarer is near. Windows are grouped by function and min-hash; of equal windows one row a chunk is
-dealt out. In a group each window is joined with the group's first and with the one before it (windows of equal content side by side),
-never with all. Windows with equal content repeat as they are. Other joined pairs are gathered per pair of documents and diagonal and all
+dealt out. In a group each window is joined with the group's first and with the one before it (windows of equal content side by side).
+Contents that a verified pair of these joins are united; then windows of different components of a group are joined, each
+pair of contents once, so that all pairs are tried but those inside a component. Windows with equal content repeat as they are. Other joined pairs are gathered per pair of documents and diagonal and all
 verified, whichever hash function they come from: all parts dense in common tokens, the longest first, whose exact Jaccard similarity
 must reach the threshold.
 
 Scale: two passes over the texts; the shuffle of windows is some HASHES * 2 / span rows a token. Only documents of candidate pairs are
-fetched again, by a checked broadcast of their ids or by a shuffle. The driver sees the fixed-size bucket counts alone.
+fetched again, by a checked broadcast of their ids or by a shuffle. Pairs across components grow with the square of the components that share a
+min-hash. The driver sees the fixed-size bucket counts alone.
 
 Defined results: null, empty and short texts (fewer than span + 4 words) have no passages; rows that repeat a doc_id are one document; null
 ids are ignored; passages that repeat within one document are not reported; an empty table gives an empty
@@ -23,10 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.llm.common import small_side, written
+from cellreach.llm.components import connected_components
 from cellreach.llm.ngram_join import _bucket_counts, _buckets, _surveyed
 from cellreach.llm.shingles import mix, text_chunks, word_hashes
 
@@ -87,11 +90,11 @@ def compact_windows(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarr
     return lo[wide], at[wide], hi[wide]
 
 
-_WINDOW = "key long, salt int, f int, doc long, c int, l int, r int, cls long, o_doc long, o_c int, o_l int, o_r int"
+_WINDOW = "key long, salt int, f int, doc long, c int, l int, r int, cls long, o_doc long, o_c int, o_l int, o_r int, borne boolean"
 
 
 def _windows(docs: DataFrame, counts: np.ndarray, width: int, span: int, hashes: int) -> DataFrame:
-    """_WINDOW rows; a window whose content its chunk has had already is salted and carries the first one (o_...)."""
+    """_WINDOW rows; a window whose content its chunk has had already is salted and carries the first one (o_...), which is borne."""
     ranks = np.clip(np.round(8 * np.log2(np.maximum(counts, 1) / (counts.mean() + COMMON))), 0, 127).astype(np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(ranks << np.uint64(57))
 
@@ -120,6 +123,9 @@ def _windows(docs: DataFrame, counts: np.ndarray, width: int, span: int, hashes:
                 origin = first[inverse]
                 again = (origin != np.arange(len(doc))) & (doc[origin] != doc)
                 own = (origin == np.arange(len(doc))) | again  # a repeat within the same document adds nothing
+                borne = np.zeros(len(doc), bool)
+                borne[origin[again]] = True
+                borne = borne[own]
                 every = doc, at, lo, hi
                 doc, at, lo, hi, key, content, f, origin, again = (x[own] for x in (*every, key, content, f, origin, again))
                 spread = (mix(np.arange(len(doc), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
@@ -134,6 +140,7 @@ def _windows(docs: DataFrame, counts: np.ndarray, width: int, span: int, hashes:
                         pa.array(content.view(np.int64)),
                         other[0],
                         *[x.cast(pa.int32()) for x in other[1:]],
+                        pa.array(borne),
                     ],
                     names=[x.split()[0] for x in _WINDOW.split(", ")],
                 )
@@ -188,6 +195,8 @@ def similar_parts(a: np.ndarray, b: np.ndarray, shift: int, span: int, percent:
     """
     loosest = 2 * percent / (100 + percent)  # equally long sets of that similarity share so much of each
     common = np.isin(a, b)
+    if common.sum() < loosest * span - 1e-6:
+        return []
     fresh = common.copy()
     out, todo = [], [(0, len(a))]
     while todo:
@@ -218,15 +227,22 @@ def similar_parts(a: np.ndarray, b: np.ndarray, shift: int, span: int, percent:
 
 
 def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
-    """_PASSAGE rows of pairs (doc, lo, ta, o_doc, o_lo, tb, shift) of token slices: all similar parts, as token ranges [s, e)."""
+    """_PASSAGE rows of pairs (doc, lo, ta, o_doc, o_lo, tb, spots) of token slices: all similar parts of the spots' ranges, as token ranges [s, e)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, lo, ta, o_doc, o_lo, tb, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.array(ta, np.int64), np.array(tb, np.int64)
-                for s, e, p, q, same in similar_parts(a, b, shift, span, percent):
-                    out.append((doc, lo + s, lo + e, o_doc, o_lo + p, o_lo + q, same))
+            slices = []
+            for k in (2, 5):
+                at, held = batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()
+                slices.append([held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            rest = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 6))
+            for doc, start, o_doc, o_start, spots, ta, tb in zip(*rest, *slices, strict=True):
+                for at in spots:
+                    lo, o_lo = at["lo"], at["o_lo"]
+                    a, b = ta[lo - start : at["hi"] - start + 1], tb[o_lo - o_start : at["o_hi"] - o_start + 1]
+                    for s, e, p, q, same in similar_parts(a, b, at["diagonal"] * DIAGONAL - lo + o_lo, span, percent):
+                        out.append((doc, lo + s, lo + e, o_doc, o_lo + p, o_lo + q, same))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = zip(*out, strict=True) if out else [()] * 7
             yield pa.RecordBatch.from_arrays(
@@ -246,6 +262,53 @@ def _tokens(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "t_doc long, tokens array<long>")
 
 
+def _overlap(x: str, y: str) -> str:
+    """Tokens on which two windows lie about their min-hash, as SQL."""
+    return f"(least({x}.c - {x}.l, {y}.c - {y}.l) + least({x}.r - {x}.c, {y}.r - {y}.c) + 1)"
+
+
+def _overlap_of(x: Column, y: Column) -> Column:
+    return F.least(x.c - x.l, y.c - y.l) + F.least(x.r - x.c, y.r - y.c) + 1
+
+
+def _sided(joined: DataFrame, span: int) -> DataFrame:
+    """Pairs of windows x and y of different documents, the later document first; a and b are their contents."""
+    pick = lambda f: [F.when(F.col("x.doc") < F.col("y.doc"), F.col(f"{p}.{f}")).otherwise(F.col(f"{q}.{f}")) for p, q in ("yx", "xy")]
+    (c, o_c), (a, b) = pick("c"), pick("cls")
+    return joined.where(f"x.doc <> y.doc and {_overlap('x', 'y')} >= {span}").select(
+        F.greatest("x.doc", "y.doc").alias("doc"),
+        F.least("x.doc", "y.doc").alias("o_doc"),
+        c.alias("c"),
+        o_c.alias("o_c"),
+        a.alias("a"),
+        b.alias("b"),
+        F.expr("least(x.c - x.l, y.c - y.l)").alias("before"),
+        F.expr("least(x.r - x.c, y.r - y.c)").alias("after"),
+    )
+
+
+def _candidates(sided: DataFrame) -> DataFrame:
+    """The joined windows of each pair of documents and diagonal as one range of tokens of either."""
+    return sided.groupBy("doc", "o_doc", F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal")).agg(
+        F.min(F.col("c") - F.col("before")).alias("lo"),
+        F.max(F.col("c") + F.col("after")).alias("hi"),
+        F.min(F.col("o_c") - F.col("before")).alias("o_lo"),
+        F.max(F.col("o_c") + F.col("after")).alias("o_hi"),
+    )
+
+
+def _similar(texts: DataFrame, candidates: DataFrame, width: int, span: int, percent: int) -> DataFrame:
+    """The distinct _PASSAGE rows of the candidates, whose documents are fetched again."""
+    ids = written(candidates.select("doc").union(candidates.select("o_doc")).distinct(), "windows-ids")
+    tokens = written(_tokens(texts.join(small_side(ids), "doc", "left_semi"), width).dropDuplicates(["t_doc"]), "windows-tokens")
+    cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi")]
+    pairs = candidates.groupBy("doc", "o_doc").agg(*ends, F.collect_list(F.struct("lo", "hi", "o_lo", "o_hi", "diagonal")).alias("spots"))
+    one = pairs.join(tokens, F.col("doc") == F.col("t_doc")).select("doc", "lo", cut("lo", "hi").alias("ta"), "o_doc", "o_lo", "o_hi", "spots")
+    two = one.join(tokens, F.col("o_doc") == F.col("t_doc")).select("doc", "lo", "ta", "o_doc", "o_lo", cut("o_lo", "o_hi").alias("tb"), "spots")
+    return _verified(two, span, percent).distinct()
+
+
 def near_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -256,52 +319,57 @@ def near_passages(
     hashes: int = HASHES,
 ) -> DataFrame:
     """A row per passage and passage of another document that it is joined with: id, start_word, n_words, other_id,
-    other_start_word, other_n_words, percent (similarity, rounded down). Each class of passages is joined by a chain or a star.
+    other_start_word, other_n_words, percent (similarity, rounded down). Passages that are similar are joined, if not directly, through others.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = _bucket_counts(written(_surveyed(texts, width).where("part is not null"), "windows-survey"))
     group = Window.partitionBy("key", "salt")
     own = F.struct("doc", "c", "l", "r", "cls")
-    joined = (
+    live = written(
         _windows(texts, counts, width, span, hashes)
         .withColumn("first", F.min(own).over(group))
         .withColumn("back", F.lag(own).over(group.orderBy("cls", "doc", "c")))
+        .withColumn("mixed", (F.min("cls").over(group) < F.max("cls").over(group)) & ((F.min("doc").over(group) < F.max("doc").over(group)) | F.max("borne").over(group)))
         .withColumn("known", F.when(F.col("salt") > 0, F.struct(*[F.col(f"o_{x}").alias(x) for x in ("doc", "c", "l", "r")], "cls")))
-        .select(
-            "doc", "c", "l", "r", "cls",
-            F.explode(F.when(F.col("salt") > 0, F.array("known")).otherwise(F.array("first", "back"))).alias("o"),
-        )
-        .where("o.doc <> doc")
+        .select("key", own.alias("x"), (F.col("mixed") & (F.col("salt") == 0)).alias("mixed"), F.when(F.col("salt") > 0, F.array("known")).otherwise(F.array("first", "back")).alias("y"))
+        .withColumn("y", F.filter("y", lambda y: (y.doc != F.col("x.doc")) & (_overlap_of(F.col("x"), y) >= span)))
+        .where("mixed or size(y) > 0"),
+        "windows-live",
     )
-    left, right = F.least(F.col("c") - F.col("l"), F.col("o.c") - F.col("o.l")), F.least(F.col("r") - F.col("c"), F.col("o.r") - F.col("o.c"))
-    swap = F.col("doc") < F.col("o.doc")
-    pick = lambda a, b: F.when(swap, b).otherwise(a)  # noqa: E731  the later document first
-    sided = joined.where(left + right + 1 >= span).select(
-        F.greatest("doc", "o.doc").alias("doc"),
-        F.least("doc", "o.doc").alias("o_doc"),
-        pick(F.col("c"), F.col("o.c")).alias("c"),
-        pick(F.col("o.c"), F.col("c")).alias("o_c"),
-        left.alias("before"),
-        right.alias("after"),
+    joined = _sided(live.select("x", F.explode("y").alias("y")), span)
+    first = written(_candidates(joined), "windows-pairs")
+    found = written(_similar(texts, first, width, span, percent), "windows-found")
+    united = joined.where("a <> b").join(found, ["doc", "o_doc"]).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
+    comp = written(connected_components(written(united.select("a", "b").distinct(), "windows-links")), "windows-comps")
+    # Of each content its first and its last window, as a pair may not be of one document.
+    apart = written(
+        live.groupBy("key", F.col("x.cls").alias("node"))
+        .agg(F.min("x").alias("x"), F.max("x").alias("last"), F.max("mixed").alias("mixed"))
+        .where("mixed")
+        .join(comp, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumn("lo", F.min("component").over(Window.partitionBy("key")))
+        .withColumn("hi", F.max("component").over(Window.partitionBy("key")))
+        .where("lo <> hi")
+        .select("key", "node", "component", "x", "last"),
+        "windows-apart",
     )
-    candidates = written(
-        sided.groupBy("doc", "o_doc", F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal"))
-        .agg(
-            F.min(F.col("c") - F.col("before")).alias("lo"),
-            F.max(F.col("c") + F.col("after")).alias("hi"),
-            F.min(F.col("o_c") - F.col("before")).alias("o_lo"),
-            F.max(F.col("o_c") + F.col("after")).alias("o_hi"),
-        ),
-        "windows-pairs",
+    crossed = (
+        apart.alias("p")
+        .join(apart.alias("q"), F.col("p.key") == F.col("q.key"))
+        .where(f"p.node < q.node and p.component <> q.component and {_overlap('p.x', 'q.x')} >= {span}")
+        .selectExpr("if(p.x.doc = q.x.doc and p.last.doc <> q.x.doc, p.last, p.x) as x", "if(p.x.doc = q.x.doc and p.last.doc = q.x.doc, q.last, q.x) as y")
     )
-    ids = written(candidates.select("doc").union(candidates.select("o_doc")).distinct(), "windows-ids")
-    tokens = written(_tokens(texts.join(small_side(ids), "doc", "left_semi"), width).dropDuplicates(["t_doc"]), "windows-tokens")
-    cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
-    one = candidates.join(tokens, F.col("doc") == F.col("t_doc")).select("doc", "lo", cut("lo", "hi").alias("ta"), "o_doc", "o_lo", "o_hi", "diagonal")
-    two = one.join(tokens, F.col("o_doc") == F.col("t_doc")).select(
-        "doc", "lo", "ta", "o_doc", "o_lo", cut("o_lo", "o_hi").alias("tb"), (F.col("diagonal") * DIAGONAL - F.col("lo") + F.col("o_lo")).alias("shift")
+    tried = first.select("doc", "o_doc", "diagonal", *[F.col(x).alias(f"t_{x}") for x in ("lo", "hi", "o_lo", "o_hi")])
+    second = written(
+        _candidates(_sided(crossed, span))
+        .join(tried, ["doc", "o_doc", "diagonal"], "left")
+        .where("not coalesce(t_lo <= lo and t_hi >= hi and t_o_lo <= o_lo and t_o_hi >= o_hi, false)")
+        .select(first.columns),
+        "windows-pairs",
     )
-    found = _verified(two, span, percent).distinct()
+    if second.head(1):
+        found = found.union(_similar(texts, second, width, span, percent)).distinct()
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
     return found.select(
         F.col("doc").alias(id_col),

@@ -296,6 +296,19 @@ def test_near_passages_with_an_edit_are_rarely_missed(spark):
     assert all(a + 1 == b and a % 2 == 0 for a, b in found) and len(found) >= 297
 
 
+def test_near_passages_of_texts_unlike_the_first(spark):
+    """Many families about one passage shorter than the span, which decides most min-hashes: a text's one partner is seldom first or next."""
+    r = random.Random(7)
+    prose = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    middle, families = prose(42), [(prose(9), prose(9)) for _ in range(40)]
+    texts = []
+    for k in range(80):
+        left, right = families[k % 40]
+        texts.append((k, " ".join([*left[:2], f"x{k}", *left[3:], *middle, *right])))
+    out = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(x["other_id"], x["doc_id"]) for x in out} == {(k, k + 40) for k in range(40)}
+
+
 def test_similar_parts_that_the_longest_dense_range_hides():
     """The parts are side by side in one text and apart in the other."""
     r = np.random.default_rng(5)
