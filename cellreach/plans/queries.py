@@ -159,6 +159,24 @@ def target_nodes(spark, d):
     return graph.target_nodes(anchors, sources, comps)
 
 
+def _supplied(spark, d):
+    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")).distinct()
+
+
+@query()
+def connected_components_all(spark, d):
+    return graph.components(_supplied(spark, d))
+
+
+@query()
+def target_nodes_all(spark, d):
+    comps = graph.components(_supplied(spark, d))
+    anchors = comps.where("node >= 1000000").select("node")
+    sources = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
+    return graph.target_nodes(anchors, sources, comps)
+
+
 _NEAR, _RES = 9000.0, 7
 
 
