@@ -45,6 +45,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def folded(text: Column) -> Column:
+    """text with A-Z lower-cased and every one of SPACES as a space."""
+    return F.translate(text, UPPER + SPACES[1:], LOWER + " " * (len(SPACES) - 1))
+
+
 def space_words(text: Column) -> Column:
     """Array of the maximal runs of characters other than SPACES; empty for null."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
@@ -61,6 +66,15 @@ def unpack(df: DataFrame, struct: str, names: list[str], **replaced: Column) ->
     return df.select(*[replaced.get(c, F.col(f"{struct}.`{c}`")).alias(c) for c in names])
 
 
+def row_key(key: Column, text: Column) -> list[Column]:
+    """(doc, th): what tells rows apart and orders them, alike in any order of the input.
+
+    doc is the id, the largest long for a null one; th a hash of id and text, which orders the rows that repeat an id.
+    """
+    key = key.cast("long")
+    return [F.coalesce(key, F.lit(2**63 - 1)).alias("doc"), F.xxhash64(key, text).alias("th")]
+
+
 #: A key list of at most so many rows (some 16 MB) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -83,4 +97,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,95 +1,121 @@
 """Near-duplicate lines across all documents by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its distinct 5-word shingles (A-Z lower-cased); lines of fewer than five words are left alone.
-Tokens are ordered by rarity, rarest first: a rank from the counts of token buckets over all
-documents, ties by hash. Lines with equal sets are one class. A class can only match another at
-similarity t if they share one of their first n - ceil(t n) + 1 tokens (prefix filter); pairs must then
-pass the length and the positional bound before their sets are compared exactly. A line is
-removed if an earlier line (smaller doc_id, or an earlier line of the same document) matches it; lines are judged
+A line is the set of its distinct 5-word shingles (A-Z lower-cased); lines of fewer than five words are left alone
+(`short_lines=True` makes such a line one shingle). Lines with equal sets are one class. Two classes can only be similar
+at t if they share one of their first n - ceil(t n) + 1 tokens in an order that all sets keep to (prefix filter). That
+is used twice:
+
+1. In the order of the tokens' hashes, over all lines: a class none of whose prefix tokens occurs in another class is settled.
+2. For the rest, whose token sets are read again, in the order of rarity: exact counts of every token over those classes,
+   ties by hash. Tokens that occur once come first and can match nothing, so they are counted as places but not
+   shuffled. Pairs that share a prefix token must pass the length and the positional bound before their sets are compared exactly.
+
+A line is removed if an earlier line (of an earlier document, or an earlier line of the same one) matches it; lines are judged
 on the input, not on what is left.
 
-Scale: texts are read three times (counts, prefixes, sets of candidate lines) and shuffled once by
-document, only for documents with candidates; prefixes are shuffled once, hot tokens in
-salted parts. Each token's classes are first tried against the one that has it earliest in
-the order, and only lines that this does not settle are tried against the other earlier ones,
-so groups of near copies do not become all their pairs. The driver holds the fixed-size
-bucket counts alone.
-
-Defined results: null, empty and blank texts have no lines to judge; a null doc_id comes after all others; rows
-that repeat a doc_id are one document and have the same lines removed; a document that loses all its words is dropped by
-`drop_repeated_lines`; empty tables give empty results; other columns are kept as they are. Tokens are
-56-bit hashes, classes 64-bit ones.
+Scale: texts are read three times and shuffled once by document, only documents with lines of step 2. Step 1 shuffles its
+prefixes, some fifth of the tokens, once; tokens of hot buckets in salted parts, which step 2 then decides. Each token's
+classes are first tried against the one that has it earliest in the order, and only classes that this does not settle
+are tried against the other earlier ones, so groups of near copies do not become all their pairs. Nothing but row counts reaches the driver.
+
+Defined results: null, empty and blank texts have no lines to judge. Documents are rows: their order is by id, null ids
+last, then by a hash of the text where an id repeats; rows equal in id and text are one document and have the same lines
+removed. A document that loses all its words is dropped by `drop_repeated_lines`; empty tables give empty
+results; other columns are kept as they are. Tokens and classes are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import SPACES, let, lower_ascii, row_struct, small_side, space_words, unpack, written
+from cellreach.llm.common import SPACES, folded, let, released, row_key, row_struct, small_side, unpack, written
 
 WIDTH = 5
 PERCENT = 80
-#: Buckets of the token counts, as bits; fixed, whatever the corpus.
-BUCKET_BITS = 15
-#: A token's rank is the number of these multiples of the average bucket that its bucket reaches.
-STEPS = (1.25, 2, 4, 8, 16, 32, 64, 128)
-#: Ranks from here on are dealt out in salted parts, twice as many for each further rank.
-HOT_RANK = 3
-
+#: Buckets of the prefix tokens' counts, as bits; fixed, whatever the corpus.
+BUCKET_BITS = 16
+#: A bucket with so many rows above the average is dealt out in salted parts of about that size.
+HOT = 1 << 14
 
-def _tokens(line: Column, width: int) -> Column:
-    """64-bit hashes of the line's shingles, in order; none for fewer words than width."""
 
-    def rolled(words: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(words) - width),
-            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
-        )
+def _tokens(line: Column, width: int, short_lines: bool) -> Column:
+    """The distinct 64-bit hashes of the line's shingles, sorted; none for fewer words than width, or one if `short_lines`."""
+    words = F.array_remove(F.split(folded(line), " "), "")
 
-    hashed = F.transform(space_words(lower_ascii(line)), lambda w: F.xxhash64(w))
-    return let(hashed, lambda w: F.when(F.size(w) >= width, rolled(w)).otherwise(F.array().cast("array<bigint>")))
+    def rolled(hashed: Column) -> Column:
+        n = F.size(hashed)
+        each = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, width)]))
+        whole = F.slice(each, F.lit(1), F.greatest(n - (width - 1), F.lit(0)))
+        return F.when((n > 0) & (n < width), F.array(F.xxhash64(hashed))).otherwise(whole) if short_lines else whole
 
+    return F.sort_array(F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), rolled)))
 
-def _bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - BUCKET_BITS)
 
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100).cast("int") + 1
 
-def _ranks(docs: DataFrame, text_col: str, width: int) -> list[list[int]]:
-    """For each of STEPS the buckets that reach it (and stand out from chance); at most 2**BUCKET_BITS numbers each."""
-    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
-    counts = (
-        lines.select(F.explode(_tokens(F.col("line"), width)).alias("token"))
-        .groupBy(_bucket(F.col("token")).alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .collect()  # one row a bucket, whatever the corpus
-    )
-    mean = max(1.0, sum(r["c"] for r in counts) / (1 << BUCKET_BITS))
-    chance = mean + 5 * math.sqrt(mean)
-    return [[r["b"] for r in counts if r["c"] >= max(chance, step * mean)] for step in STEPS]
 
+def _judged(texts: DataFrame, width: int, percent: int, short_lines: bool) -> DataFrame:
+    """(doc, th, line_no, c, n, prefix) of every line with tokens: its class, their number, and the first ones by hash."""
+    lines = texts.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    tokens = lines.select("doc", "th", "line_no", _tokens(F.col("line"), width, short_lines).alias("tokens")).where(F.size("tokens") > 0)
+    n = F.size("tokens")
+    first = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
+    return tokens.select("doc", "th", "line_no", F.xxhash64("tokens").alias("c"), n.alias("n"), first.alias("prefix"))
 
-def _ordered(line: Column, width: int, ranks: list[list[int]]) -> Column:
-    """The line's distinct tokens as longs, rarest first: the rank above the upper 56 bits of the hash."""
 
-    def rank(bucket: Column) -> Column:
-        out = F.lit(0)
-        for k, buckets in enumerate(ranks, 1):
-            if buckets:
-                out = F.when(bucket.isin(buckets), F.lit(k)).otherwise(out)
-        return F.when(bucket.isin(ranks[0]), out).otherwise(F.lit(0)) if ranks[0] else out  # most are in none
+def _not_alone(judged: DataFrame) -> DataFrame:
+    """(c) of the classes that share a prefix token with another, or have one in a hot bucket."""
+    rows = judged.select("c", F.xxhash64("doc", "th").alias("spread"), F.explode("prefix").alias("token"))
+    bucket = F.shiftrightunsigned("token", 64 - BUCKET_BITS)
+    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    total = judged.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    extra = F.col("k") - F.lit(total >> BUCKET_BITS)
+    hot = sizes.where(extra > HOT).select("bucket", (F.floor(extra / HOT) + 1).alias("parts"))  # at most 2**BUCKET_BITS rows
+    dealt = rows.join(F.broadcast(hot), bucket == F.col("bucket"), "left").select(
+        "token", "c", F.pmod("spread", "parts").cast("int").alias("salt")
+    )
+    group = Window.partitionBy("token", "salt")
+    return (
+        dealt.withColumn("lo", F.min("c").over(group))
+        .withColumn("hi", F.max("c").over(group))
+        .where("salt is not null or lo <> hi")
+        .select("c")
+        .distinct()
+    )
 
-    def key(token: Column) -> Column:
-        return F.shiftleft(rank(_bucket(token)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(token, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(_tokens(line, width), key)))
+def _sets(texts: DataFrame, classes: DataFrame, width: int, short_lines: bool) -> DataFrame:
+    """(c, n, at, tokens) of the classes (c, at), from the lines that bear them first."""
+    where = written(
+        classes.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_set("at.line_no").alias("wanted")),
+        "lines-wanted",
+    )
+    lines = (
+        texts.join(small_side(where), ["doc", "th"])
+        .dropDuplicates(["doc", "th"])
+        .select("doc", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .where(F.array_contains("wanted", F.col("line_no")))
+    )
+    tokens = lines.select(F.struct("doc", "th", "line_no").alias("at"), _tokens(F.col("line"), width, short_lines).alias("tokens"))
+    return tokens.select(F.xxhash64("tokens").alias("c"), F.size("tokens").alias("n"), "at", "tokens")
 
 
-def _prefix_size(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, c, n, at, pos): each set's prefix in the order of rarity, without the tokens that no other set has."""
+    rows = sets.select("c", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    often = rows.join(counts, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("often"))
+    alone = F.col("n") - F.size("often")  # tokens of this set only: the rarest, so they come first
+    left = _prefix_size(F.col("n"), percent) - alone
+    return (
+        often.join(sets.select("c", "n", "at"), "c")
+        .where(left > 0)
+        .select("c", "n", "at", alone.alias("alone"), F.posexplode(F.slice("often", F.lit(1), left)).alias("place", "o"))
+        .select(F.col("o.token").alias("token"), "c", "n", "at", (F.col("alone") + F.col("place")).alias("pos"))
+    )
 
 
 def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,56 +135,14 @@ def _possible(percent: int) -> str:
     )
 
 
-def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
-) -> DataFrame:
-    """(doc, line_no) of every line (from 0) to remove; doc is the id, or the largest long for a null id."""
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text_col).alias("text")
-    )
-    ranks = _ranks(texts, "text", width)
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc", "line_no", _ordered(F.col("line"), width, ranks).alias("tokens")).where(F.size("tokens") > 0)
-    n = F.size("tokens")
-    judged = written(
-        tokens.select(
-            "doc", "line_no", F.xxhash64("tokens").alias("c"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")
-        ),
-        "lines",
-    )
-    classes = judged.groupBy("c").agg(F.min(F.struct("doc", "line_no")).alias("at"))
-
-    prefixes = judged.select("c", "n", "doc", F.posexplode("prefix").alias("pos", "token"))
-    rank = F.shiftright("token", 56).cast("int")
-    salts = F.pow(F.lit(2), rank - HOT_RANK + 3).cast("int")  # twice the parts for twice the count
-    salt = F.when(rank >= HOT_RANK, F.pmod(F.xxhash64("doc"), salts).cast("int")).otherwise(F.lit(0))
-    group = Window.partitionBy("token", "salt")
-    shared = (
-        prefixes.withColumn("salt", salt)
-        .withColumn("lo", F.min("c").over(group))
-        .withColumn("hi", F.max("c").over(group))
-        .where((F.col("lo") != F.col("hi")) | (rank >= HOT_RANK))
-        .select("token", "c", "n", "pos")
-        .distinct()
-    )
-    live = written(shared.join(classes, "c").select("token", "c", "n", "pos", "at"), "lines-live")
+def _gone(sets: DataFrame, percent: int) -> DataFrame:
+    """(c) of the sets that an earlier one matches."""
+    live = written(_prefixes(sets, percent), "lines-prefixes")
     pivots = (
         live.groupBy("token")
-        .agg(F.min(F.struct("pos", "at", "c", "n")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        .where("lo <> hi")
-        .select("token", F.col("p.pos").alias("pos"), F.col("p.at").alias("at"), F.col("p.c").alias("c"), F.col("p.n").alias("n"))
-    )
-    crowded = live.join(pivots.select("token"), "token", "left_semi")
-    wanted = written(
-        crowded.select("at").distinct().groupBy(F.col("at.doc").alias("w_doc")).agg(F.collect_set("at.line_no").alias("w_lines")),
-        "lines-wanted",
-    )
-    some = texts.join(small_side(wanted), F.col("doc") == F.col("w_doc")).select(
-        "w_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    ).where(F.array_contains("w_lines", F.col("line_no")))
-    sets = written(
-        some.select(_ordered(F.col("line"), width, ranks).alias("tokens")).select(F.xxhash64("tokens").alias("c"), "tokens").dropDuplicates(["c"]),
-        "lines-sets",
+        .agg(F.min(F.struct("pos", "at", "c", "n")).alias("p"), F.count(F.lit(1)).alias("k"))
+        .where("k > 1")
+        .select("token", "p.*")
     )
 
     def later_first(x: str, y: str) -> list[Column]:
@@ -177,53 +161,64 @@ def repeated_lines(
         "lines-pairs",
     )
     settled = written(_matches(tried, sets, percent).select("x").distinct(), "lines-settled")
-    open_ones = live.join(settled.select(F.col("x").alias("c")), "c", "left_anti")
-    rest = (
+    open_ones = live.join(small_side(settled.select(F.col("x").alias("c"))), "c", "left_anti")
+    rest = written(
         open_ones.alias("x")
-        .join(crowded.alias("y"), F.col("x.token") == F.col("y.token"))
+        .join(live.alias("y"), F.col("x.token") == F.col("y.token"))
         .where(f"x.at > y.at and {_possible(percent)}")
         .select(F.col("x.c").alias("x"), F.col("y.c").alias("y"))
         .distinct()
-        .join(tried, ["x", "y"], "left_anti")
-    )
-    gone = settled.union(_matches(written(rest, "lines-pairs"), sets, percent).select("x")).distinct()
-    state = classes.join(gone, F.col("c") == F.col("x"), "left").select(
-        "c", F.when(F.col("x").isNull(), F.col("at")).alias("kept_at")
-    )
-    return (
-        judged.select("doc", "line_no", "c")
-        .join(state, "c")
-        .where(~F.struct("doc", "line_no").eqNullSafe(F.col("kept_at")))
-        .select("doc", "line_no")
-        .distinct()
+        .join(tried, ["x", "y"], "left_anti"),
+        "lines-pairs",
     )
+    gone = written(settled.union(_matches(rest, sets, percent).select("x")).distinct().select(F.col("x").alias("c")), "lines-gone")
+    released(live, tried, settled, rest)
+    return gone
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text"))
 
-def _by_document(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Rows of docs packed as `row`, with `gone`: the sorted line numbers to remove, null if none."""
-    removed = (
-        repeated_lines(docs, id_col, text_col, width, percent)
-        .groupBy(F.col("doc").alias("r_doc"))
-        .agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+
+def repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
+) -> DataFrame:
+    """(doc, th, gone) of every document with lines to remove: its key (common.row_key), and their sorted numbers from 0."""
+    texts = _texts(docs, id_col, text_col)
+    judged = written(_judged(texts, width, percent, short_lines), "lines")
+    own = judged.select("doc", "th", "line_no", "c")
+    together = written(_not_alone(judged), "lines-together")
+    first = own.join(small_side(together), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc", "th", "line_no")).alias("at"))
+    classes = written(first, "lines-classes")
+    sets = written(_sets(texts, classes, width, short_lines), "lines-sets")
+    released(together)
+    gone = _gone(sets, percent)
+    released(classes, sets)
+    states = (
+        own.groupBy("c")
+        .agg(F.min(F.struct("doc", "th", "line_no")).alias("at"), F.count(F.lit(1)).alias("k"))
+        .join(gone.withColumn("late", F.lit(True)), "c", "left")
+        .where("late or k > 1")
+        .select("c", "at", "late")
+    )
+    return (
+        own.join(states, "c")
+        .where(F.col("late") | (F.col("at") != F.struct("doc", "th", "line_no")))
+        .groupBy("doc", "th")
+        .agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     )
-    rows = docs.select(row_struct(docs).alias("row"))
-    key = F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(2**63 - 1))
-    return rows.join(removed, key == F.col("r_doc"), "left")
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
 ) -> DataFrame:
     """(id, n_lines, n_removed, removed_lines) of every row: removed_lines are line numbers from 0, comma-joined."""
-    narrow = docs.select(F.col(id_col), F.size(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n_lines"))
-    removed = (
-        repeated_lines(docs, id_col, text_col, width, percent)
-        .groupBy(F.col("doc").alias("r_doc"))
-        .agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    text = F.col(f"`{text_col}`")
+    narrow = docs.select(
+        F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), text), F.size(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n_lines")
     )
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    return narrow.join(removed, key == F.col("r_doc"), "left").select(
-        id_col,
+    return narrow.join(repeated_lines(docs, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left").select(
+        F.col("id").alias(id_col),
         F.col("n_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
@@ -231,13 +226,15 @@ def line_dedup(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
 ) -> DataFrame:
     """docs without the repeated lines; a document that had words and has none left is dropped.
 
     A column n_chars, if there is one, is set to the new length where lines were taken out.
     """
-    out = _by_document(docs, id_col, text_col, width, percent)
+    packed = docs.select(row_struct(docs).alias("row"))
+    rows = packed.select("row", *row_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
+    out = rows.join(repeated_lines(docs, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left")
     text = F.col(f"row.`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
     out = out.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(left).alias("new_text"))
