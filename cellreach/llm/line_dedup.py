@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import SPACES, folded, let, released, row_key, row_struct, small_side, unpack, written
+from cellreach.llm.common import SPACES, folded_words, let, released, row_key, row_struct, rows_once, small_side, unpack, written
 
 WIDTH = 5
 PERCENT = 80
@@ -42,15 +42,13 @@ HOT = 1 << 14
 
 def _tokens(line: Column, width: int, short_lines: bool) -> Column:
     """The distinct 64-bit hashes of the line's shingles, sorted; none for fewer words than width, or one if `short_lines`."""
-    words = F.array_remove(F.split(folded(line), " "), "")
-
     def rolled(hashed: Column) -> Column:
         n = F.size(hashed)
         each = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, width)]))
         whole = F.slice(each, F.lit(1), F.greatest(n - (width - 1), F.lit(0)))
         return F.when((n > 0) & (n < width), F.array(F.xxhash64(hashed))).otherwise(whole) if short_lines else whole
 
-    return F.sort_array(F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), rolled)))
+    return F.sort_array(F.array_distinct(let(F.transform(folded_words(line), lambda w: F.xxhash64(w)), rolled)))
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
@@ -60,21 +58,28 @@ def _prefix_size(n: Column, percent: int) -> Column:
 def _judged(texts: DataFrame, width: int, percent: int, short_lines: bool) -> DataFrame:
     """(doc, th, line_no, c, n, prefix) of every line with tokens: its class, their number, and the first ones by hash."""
     lines = texts.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc", "th", "line_no", _tokens(F.col("line"), width, short_lines).alias("tokens")).where(F.size("tokens") > 0)
+    once = F.explode(F.array(_tokens(F.col("line"), width, short_lines)))  # else the filter would compute the tokens again
+    tokens = lines.select("doc", "th", "line_no", once.alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
     first = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
     return tokens.select("doc", "th", "line_no", F.xxhash64("tokens").alias("c"), n.alias("n"), first.alias("prefix"))
 
 
+def _hot(rows: DataFrame) -> DataFrame:
+    """(bucket, k, parts) of the buckets of tokens that hold many more of the rows than the average; at most 2**BUCKET_BITS."""
+    sizes = rows.groupBy(_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    extra = F.col("k") - F.floor(F.sum("k").over(Window.partitionBy()) / (1 << BUCKET_BITS))
+    return sizes.withColumn("extra", extra).where(F.col("extra") > HOT).select("bucket", "k", (F.floor(F.col("extra") / HOT) + 1).cast("int").alias("parts"))
+
+
+def _bucket() -> Column:
+    return F.shiftrightunsigned("token", 64 - BUCKET_BITS)
+
+
 def _not_alone(judged: DataFrame) -> DataFrame:
     """(c) of the classes that share a prefix token with another, or have one in a hot bucket."""
     rows = judged.select("c", F.xxhash64("doc", "th").alias("spread"), F.explode("prefix").alias("token"))
-    bucket = F.shiftrightunsigned("token", 64 - BUCKET_BITS)
-    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
-    total = judged.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    extra = F.col("k") - F.lit(total >> BUCKET_BITS)
-    hot = sizes.where(extra > HOT).select("bucket", (F.floor(extra / HOT) + 1).alias("parts"))  # at most 2**BUCKET_BITS rows
-    dealt = rows.join(F.broadcast(hot), bucket == F.col("bucket"), "left").select(
+    dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
         "token", "c", F.pmod("spread", "parts").cast("int").alias("salt")
     )
     group = Window.partitionBy("token", "salt")
@@ -94,8 +99,8 @@ def _sets(texts: DataFrame, classes: DataFrame, width: int, short_lines: bool) -
         "lines-wanted",
     )
     lines = (
-        texts.join(small_side(where), ["doc", "th"])
-        .dropDuplicates(["doc", "th"])
+        rows_once(texts)
+        .join(small_side(where), ["doc", "th"])
         .select("doc", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.array_contains("wanted", F.col("line_no")))
     )
@@ -104,10 +109,18 @@ def _sets(texts: DataFrame, classes: DataFrame, width: int, short_lines: bool) -
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, c, n, at, pos): each set's prefix in the order of rarity, without the tokens that no other set has."""
+    """(token, c, n, at, pos): each set's prefix in the order of rarity, without the tokens that no other set has.
+
+    Rarity is the exact count of the token, or, for those of hot buckets, which are counted in salted parts, of the bucket.
+    """
     rows = sets.select("c", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    often = rows.join(counts, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("often"))
+    dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
+        "token", "c", "k", F.pmod("c", "parts").cast("int").alias("salt")
+    )
+    counted = dealt.select(
+        "token", "c", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).alias("k")
+    ).where("k > 1")
+    often = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("often"))
     alone = F.col("n") - F.size("often")  # tokens of this set only: the rarest, so they come first
     left = _prefix_size(F.col("n"), percent) - alone
     return (
@@ -186,8 +199,9 @@ def repeated_lines(
     """(doc, th, gone) of every document with lines to remove: its key (common.row_key), and their sorted numbers from 0."""
     texts = _texts(docs, id_col, text_col)
     judged = written(_judged(texts, width, percent, short_lines), "lines")
-    own = judged.select("doc", "th", "line_no", "c")
     together = written(_not_alone(judged), "lines-together")
+    own = written(judged.select("doc", "th", "line_no", "c"), "lines-own")
+    released(judged)
     first = own.join(small_side(together), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc", "th", "line_no")).alias("at"))
     classes = written(first, "lines-classes")
     sets = written(_sets(texts, classes, width, short_lines), "lines-sets")
