@@ -80,19 +80,36 @@ def unpack(df: DataFrame, struct: str, names: list[str], **replaced: Column) ->
     return df.select(*[replaced.get(c, F.col(f"{struct}.`{c}`")).alias(c) for c in names])
 
 
-def row_key(key: Column, text: Column) -> list[Column]:
-    """(doc, th): what tells rows apart and orders them, alike in any order of the input.
+class RowKey:
+    """(doc, th): what tells the rows of docs apart and orders them, alike in any order of the input.
 
-    doc is the id, the largest long for a null one; th a hash of id and text, which orders the rows that repeat an id.
+    doc is the id, the largest long for a null one. th is 0; if any id repeats (nulls included), a hash of id and text, so that
+    rows of one id and different texts are different documents and rows equal in both are one.
     """
-    key = key.cast("long")
-    return [F.coalesce(key, F.lit(2**63 - 1)).alias("doc"), F.xxhash64(key, text).alias("th")]
 
+    def __init__(self, docs: DataFrame, id_col: str):
+        ids = docs.select(self._doc(F.col(f"`{id_col}`")).alias("doc"))
+        self.repeats = bool(ids.groupBy("doc").agg(F.count(F.lit(1)).alias("times")).where("times > 1").head(1))
 
-def rows_once(texts: DataFrame) -> DataFrame:
-    """texts (doc, th, ...), rows of equal key once; they are shuffled only if any key does repeat."""
-    twice = texts.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    return texts.dropDuplicates(["doc", "th"]) if twice.head(1) else texts
+    @staticmethod
+    def _doc(key: Column) -> Column:
+        return F.coalesce(key.cast("long"), F.lit(2**63 - 1))
+
+    def columns(self, key: Column, text: Column) -> list[Column]:
+        th = F.xxhash64(key.cast("long"), text) if self.repeats else F.lit(0).cast("long")
+        return [self._doc(key).alias("doc"), th.alias("th")]
+
+    def once(self, rows: DataFrame) -> DataFrame:
+        """rows (doc, th, ...) with rows of equal key once; shuffled only if ids repeat."""
+        return rows.dropDuplicates(["doc", "th"]) if self.repeats else rows
+
+
+def equal_texts(texts: DataFrame) -> DataFrame:
+    """(doc, th, size, o_doc, o_th) of every one of texts (doc, th, text) that equals an earlier one, which is o_doc, o_th; size in bytes."""
+    named = texts.select("doc", "th", F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("size"))
+    firsts = named.groupBy("m").agg(F.min(F.struct("doc", "th")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    later = named.join(firsts, "m").where(F.struct("doc", "th") != F.col("first"))
+    return later.select("doc", "th", "size", F.col("first.doc").alias("o_doc"), F.col("first.th").alias("o_th")).distinct()
 
 
 #: A key list of at most so many rows (some 16 MB) is broadcast; a longer one is joined by a shuffle.

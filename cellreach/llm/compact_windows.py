@@ -2,23 +2,29 @@
 
 The tokens of a text are its 5-word shingles in order. For each of HASHES hash functions a Cartesian tree over the tokens' values
 gives the compact windows (l, c, r) of at least `span` tokens: every passage inside l..r that covers c has token c as its min-hash. A
-value is led by a rank of how often the token's bucket occurs in all documents, the lowest up to COMMON times, so that common lines do not decide min-hashes where
-anything rarer is near. Windows are grouped by function and min-hash; of equal windows one row a chunk is
-dealt out. In a group each window is joined with the group's first and with the one before it (windows of equal content side by side).
-Contents that a verified pair of these joins are united; then windows of different components of a group are joined, each
-pair of contents once, so that all pairs are tried but those inside a component. Windows with equal content repeat as they are. Other joined pairs are gathered per pair of documents and diagonal and all
-verified, whichever hash function they come from: all parts dense in common tokens, the longest first, whose exact Jaccard similarity
-must reach the threshold.
-
-Scale: two passes over the texts; the shuffle of windows is some HASHES * 2 / span rows a token. Only documents of candidate pairs are
+value is led by a rank of how often the token's bucket occurs in all documents, the lowest up to COMMON times above the average, so that common
+lines do not decide min-hashes where anything rarer is near. Windows are grouped by function and min-hash, and joined where
+they lie on each other over `span` tokens or more about it:
+
+1. Each window of a group with the window of the group's first document, and windows of equal content with the one before them.
+2. Contents that a verified pair of these joins are united; then windows of different components of a group, each pair of
+   contents once. So all pairs of contents are tried but those inside a component.
+
+Joined windows are gathered by pair of documents. A pair is verified if ENOUGH functions agree on it, or one on windows of equal
+content or of a content that several documents have (for which their first stands). Verified are all parts of the joined ranges that are dense in common
+tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
+passage of the first of them and takes no other part.
+
+Scale: three passes over the texts; the shuffle of windows is some HASHES * 2 / span rows a token. A window that crowds a batch of documents
+is dealt out and compared with the batch's first one only, which takes part in the group for it. Only documents of candidate pairs are
 fetched again, by a checked broadcast of their ids or by a shuffle. Pairs across components grow with the square of the components that share a
 min-hash. The driver sees the fixed-size bucket counts alone.
 
-Defined results: null, empty and short texts (fewer than span + 4 words) have no passages; rows that repeat a doc_id are one document; null
-ids are ignored; passages that repeat within one document are not reported; an empty table gives an empty
-result; other columns are ignored. The search is by min-hash: exact repeats of a window are always found, others if one of HASHES
-functions agrees, which at a similarity of 0.8 fails for 0.2 ** 4 = 0.16 % of passages. Limit: of passages whose common tokens occur
-more than COMMON times, the rarer tokens of an edit decide the min-hashes, and near copies without an equal window can be missed.
+Defined results: null, empty and short texts (fewer than span + 4 words) have no passages; null ids are ignored. Rows equal in id and text are one
+document; rows of one id and different texts are different documents. Passages that repeat within one document are not reported; an empty
+table gives an empty result; other columns are ignored. The search is by min-hash: exact repeats are always found; a
+passage of similarity s is found if ENOUGH of HASHES functions agree, which at 0.8 holds for 99.3 %. Limit: of passages whose common tokens occur
+more than COMMON times above the average, the rarer tokens of an edit decide the min-hashes, and near copies without an equal window can be missed.
 """
 
 from __future__ import annotations
@@ -28,31 +34,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellreach.llm.common import small_side, written
+from cellreach.llm.common import RowKey, equal_texts, released, small_side, space_words, written
 from cellreach.llm.components import connected_components
-from cellreach.llm.ngram_join import _bucket_counts, _buckets, _surveyed
-from cellreach.llm.shingles import mix, text_chunks, word_hashes
+from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
-HASHES = 4
+HASHES, ENOUGH = 5, 2
 #: Tokens by which the places of two joined windows may shift against each other within one candidate.
 DIAGONAL = 64
-SALTS = 1023
+#: A window content that occurs more often in one batch of documents is dealt, but for the first time, to one of so many parts.
+CROWD, SALTS = 64, 1023
 #: Tokens of buckets up to so much above the average all have the lowest rank: else the tokens that an edit made, which are
 #: rarer than those that the copies share, would decide the min-hashes of all near copies.
 COMMON = 1000
 
+_PAIR = ["doc", "th", "o_doc", "o_th"]
+
+
+def token_run(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts one after another: the hash of the shingle that starts there (0 if it would leave its text),
+    whether there is one, and each text's first word (one more at the end)."""
+    words, first = word_hashes(data)
+    tokens = np.zeros(len(words), np.uint64)
+    rolled = rolled_hashes(words, width)
+    tokens[: len(rolled)] = rolled
+    inside = np.arange(len(words)) + width <= np.repeat(first[1:], np.diff(first))
+    tokens[~inside] = 0
+    return tokens, inside, first
+
 
 def token_rows(data: list[bytes], width: int) -> list[np.ndarray]:
     """The shingle hashes of each text in order, repeats and all."""
-    words, first = word_hashes(data)
-    factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    n = max(0, len(words) - width + 1)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(width):
-        rolled += words[k : k + n] * factors[k]
-    rolled = mix(rolled)
-    return [rolled[a : max(a, b - width + 1)] for a, b in zip(first[:-1], first[1:], strict=True)]
+    tokens, _, first = token_run(data, width)
+    return [tokens[a : max(a, b - width + 1)] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def compact_windows(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,65 +104,94 @@ def compact_windows(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarr
     return lo[wide], at[wide], hi[wide]
 
 
-_WINDOW = "key long, salt int, f int, doc long, c int, l int, r int, cls long, o_doc long, o_c int, o_l int, o_r int, borne boolean"
-
+def _token_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """Occurrences of tokens by bucket, over all texts."""
 
-def _windows(docs: DataFrame, counts: np.ndarray, width: int, span: int, hashes: int) -> DataFrame:
-    """_WINDOW rows; a window whose content its chunk has had already is salted and carries the first one (o_...), which is borne."""
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            for _, data in text_chunks(rows, rows):
+                tokens, inside, _ = token_run(data, width)
+                counts += np.bincount(buckets(tokens[inside]), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays(list(count_columns(counts)), names=["part", "counts"])
+
+    return add_up(texts.select("text").mapInArrow(run, COUNT_DDL))
+
+
+_PLACE = [("doc", pa.int64()), ("th", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]
+_WINDOW = "key long, salt int, f int, doc long, th long, c int, l int, r int, cls long, o struct<doc: bigint, th: bigint, c: int, l: int, r: int>, borne boolean"
+
+
+def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int, hashes: int) -> list[np.ndarray]:
+    """Of all windows of the texts: number of the text, c, l, r in its words, key, content, function."""
+    tokens, inside, first = token_run(data, width)
+    led = ranks[buckets(tokens)]
+    places = mix(np.arange(1, len(tokens) + 2, dtype=np.uint64)) | np.uint64(1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
+    out = []
+    for f in range(hashes):
+        values = led | (mix(tokens ^ mix(np.array([f + 1], np.uint64))) >> np.uint64(7)) | np.uint64(1)
+        values[~inside] = 0  # less than all others, so no window goes beyond its text
+        lo, at, hi = compact_windows(values, span)
+        real = values[at] > 0
+        lo, at, hi = lo[real], at[real], hi[real]
+        # Content: the sum of the tokens, their number, the place of c, and the tokens beside it and at the ends.
+        content = total[hi + 1] - total[lo]
+        content = mix(content + places[hi - lo]) ^ mix(tokens[lo] + places[at - lo]) ^ mix(tokens[hi] ^ tokens[at])
+        text = np.searchsorted(first, at, "right") - 1
+        begin = first[text]
+        out.append((text, at - begin, lo - begin, hi - begin, mix(values[at] + np.uint64(f)), content, np.full(len(at), f)))
+    return [np.concatenate([x[k] for x in out]) for k in range(7)]
+
+
+def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes: int) -> DataFrame:
+    """_WINDOW rows; a window whose content crowds its batch is salted and carries the batch's first one (o), which is borne."""
     ranks = np.clip(np.round(8 * np.log2(np.maximum(counts, 1) / (counts.mean() + COMMON))), 0, 127).astype(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(ranks << np.uint64(57))
+    held = texts.sparkSession.sparkContext.broadcast(ranks << np.uint64(57))
 
     def run(batches):
         for batch in batches:
-            for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = []
-                for i, tokens in zip(ids, token_rows(data, width), strict=True):
-                    if i is None or len(tokens) < span:
-                        continue
-                    led = held.value[_buckets(tokens)]
-                    places = mix(np.arange(1, len(tokens) + 2, dtype=np.uint64)) | np.uint64(1)
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
-                    for f in range(hashes):
-                        values = led | (mix(tokens ^ mix(np.array([f + 1], np.uint64))) >> np.uint64(7))
-                        lo, at, hi = compact_windows(values, span)
-                        # Content: the sum of the tokens, their number, the place of c, and the tokens beside it and at the ends.
-                        content = total[hi + 1] - total[lo]
-                        content = mix(content + places[hi - lo]) ^ mix(tokens[lo] + places[at - lo]) ^ mix(tokens[hi] ^ tokens[at])
-                        key = mix(values[at] + np.uint64(f))
-                        parts.append((np.full(len(at), i, np.int64), at, lo, hi, key, content, np.full(len(at), f)))
-                if not parts:
-                    continue
-                doc, at, lo, hi, key, content, f = (np.concatenate([p[k] for p in parts]) for k in range(7))
-                _, first, inverse = np.unique(mix(key) + content, return_index=True, return_inverse=True)
-                origin = first[inverse]
-                again = (origin != np.arange(len(doc))) & (doc[origin] != doc)
-                own = (origin == np.arange(len(doc))) | again  # a repeat within the same document adds nothing
-                borne = np.zeros(len(doc), bool)
-                borne[origin[again]] = True
-                borne = borne[own]
-                every = doc, at, lo, hi
-                doc, at, lo, hi, key, content, f, origin, again = (x[own] for x in (*every, key, content, f, origin, again))
-                spread = (mix(np.arange(len(doc), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
-                other = [pa.array(x[origin], mask=~again) for x in every]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)),
-                        pa.array(np.where(again, spread, 0).astype(np.int32)),
-                        pa.array(f.astype(np.int32)),
-                        pa.array(doc),
-                        *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)],
-                        pa.array(content.view(np.int64)),
-                        other[0],
-                        *[x.cast(pa.int32()) for x in other[1:]],
-                        pa.array(borne),
-                    ],
-                    names=[x.split()[0] for x in _WINDOW.split(", ")],
-                )
-
-    return docs.mapInArrow(run, _WINDOW)
-
-
-_PASSAGE = "doc long, s int, e int, o_doc long, o_s int, o_e int, percent int"
+            ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
+            found = []
+            for rows, data in text_chunks(range(len(ids)), batch.column(2).to_pylist()):
+                part = _chunk_windows(data, held.value, width, span, hashes)
+                part[0] = np.array(rows, np.int64)[part[0]]
+                found.append(part)
+            if not found:
+                continue
+            row, at, lo, hi, key, content, f = (np.concatenate([p[k] for p in found]) for k in range(7))
+            del found
+            _, first, inverse, times = np.unique(mix(key) + content, return_index=True, return_inverse=True, return_counts=True)
+            origin = first[inverse]
+            again = (times[inverse] > CROWD) & (origin != np.arange(len(row)))
+            own = ~again | (row[origin] != row)  # a repeat within the same document adds nothing
+            borne = np.zeros(len(row), bool)
+            borne[origin[again & own]] = True
+            places = ids[row], ths[row], at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)
+            keep = np.flatnonzero(own)
+            spread = (mix(np.arange(len(keep), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
+            again, source = again[keep], origin[keep]
+            other = pa.StructArray.from_arrays(
+                [pa.array(x[source], k) for x, (_, k) in zip(places, _PLACE, strict=True)], [n for n, _ in _PLACE], mask=pa.array(~again)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[keep].view(np.int64)),
+                    pa.array(np.where(again, spread, 0).astype(np.int32)),
+                    pa.array(f[keep].astype(np.int32)),
+                    *[pa.array(x[keep]) for x in places],
+                    pa.array(content[keep].view(np.int64)),
+                    other,
+                    pa.array(borne[keep]),
+                ],
+                names=["key", "salt", "f", "doc", "th", "c", "l", "r", "cls", "o", "borne"],
+            )
+
+    return texts.mapInArrow(run, _WINDOW)
+
+
+_PASSAGE = "doc long, th long, s int, e int, o_doc long, o_th long, o_s int, o_e int, percent int"
 
 
 def longest_dense(flags: np.ndarray, share: float) -> tuple[int, int]:
@@ -227,24 +270,24 @@ def similar_parts(a: np.ndarray, b: np.ndarray, shift: int, span: int, percent:
 
 
 def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
-    """_PASSAGE rows of pairs (doc, lo, ta, o_doc, o_lo, tb, spots) of token slices: all similar parts of the spots' ranges, as token ranges [s, e)."""
+    """_PASSAGE rows of pairs (doc, th, lo, o_doc, o_th, o_lo, spots, ta, tb) with token slices ta and tb: all similar parts of the spots' ranges."""
 
     def run(batches):
         for batch in batches:
             out = []
             slices = []
-            for k in (2, 5):
+            for k in (7, 8):
                 at, held = batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()
                 slices.append([held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
-            rest = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 6))
-            for doc, start, o_doc, o_start, spots, ta, tb in zip(*rest, *slices, strict=True):
+            rest = (batch.column(k).to_pylist() for k in range(7))
+            for doc, th, start, o_doc, o_th, o_start, spots, ta, tb in zip(*rest, *slices, strict=True):
                 for at in spots:
                     lo, o_lo = at["lo"], at["o_lo"]
                     a, b = ta[lo - start : at["hi"] - start + 1], tb[o_lo - o_start : at["o_hi"] - o_start + 1]
                     for s, e, p, q, same in similar_parts(a, b, at["diagonal"] * DIAGONAL - lo + o_lo, span, percent):
-                        out.append((doc, lo + s, lo + e, o_doc, o_lo + p, o_lo + q, same))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            columns = zip(*out, strict=True) if out else [()] * 7
+                        out.append((doc, th, lo + s, lo + e, o_doc, o_th, o_lo + p, o_lo + q, same))
+            kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in _PASSAGE.split(", ")]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PASSAGE.split(", ")]
             )
@@ -252,14 +295,16 @@ def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, _PASSAGE)
 
 
-def _tokens(docs: DataFrame, width: int) -> DataFrame:
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [t.view(np.int64) for t in token_rows(data, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["t_doc", "tokens"])
+            ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
+            for rows, data in text_chunks(range(len(ids)), batch.column(2).to_pylist()):
+                at = np.array(rows, np.int64)
+                lists = pa.array([t.view(np.int64) for t in token_rows(data, width)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ths[at]), lists], names=["doc", "th", "tokens"])
 
-    return docs.mapInArrow(run, "t_doc long, tokens array<long>")
+    return texts.mapInArrow(run, "doc long, th long, tokens array<long>")
 
 
 def _overlap(x: str, y: str) -> str:
@@ -272,41 +317,57 @@ def _overlap_of(x: Column, y: Column) -> Column:
 
 
 def _sided(joined: DataFrame, span: int) -> DataFrame:
-    """Pairs of windows x and y of different documents, the later document first; a and b are their contents."""
-    pick = lambda f: [F.when(F.col("x.doc") < F.col("y.doc"), F.col(f"{p}.{f}")).otherwise(F.col(f"{q}.{f}")) for p, q in ("yx", "xy")]
-    (c, o_c), (a, b) = pick("c"), pick("cls")
-    return joined.where(f"x.doc <> y.doc and {_overlap('x', 'y')} >= {span}").select(
-        F.greatest("x.doc", "y.doc").alias("doc"),
-        F.least("x.doc", "y.doc").alias("o_doc"),
-        c.alias("c"),
-        o_c.alias("o_c"),
-        a.alias("a"),
-        b.alias("b"),
-        F.expr("least(x.c - x.l, y.c - y.l)").alias("before"),
-        F.expr("least(x.r - x.c, y.r - y.c)").alias("after"),
+    """Pairs (x, y, f, sure) of windows of different documents, the later document first; a and b are their contents."""
+    other = joined.where(f"(x.doc <> y.doc or x.th <> y.th) and {_overlap('x', 'y')} >= {span}")
+    back = F.expr("struct(x.doc, x.th) < struct(y.doc, y.th)")
+    p, q = F.when(back, F.col("y")).otherwise(F.col("x")), F.when(back, F.col("x")).otherwise(F.col("y"))
+    return other.select(p.alias("p"), q.alias("q"), "f", "sure").selectExpr(
+        *[f"p.{n} as {n}" for n in ("doc", "th", "c")],
+        *[f"q.{n} as o_{n}" for n in ("doc", "th", "c")],
+        "p.cls as a",
+        "q.cls as b",
+        "least(p.c - p.l, q.c - q.l) as before",
+        "least(p.r - p.c, q.r - q.c) as after",
+        "shiftleft(1, f) as fs",
+        "sure",
     )
 
 
-def _candidates(sided: DataFrame) -> DataFrame:
+def _spots(sided: DataFrame) -> DataFrame:
     """The joined windows of each pair of documents and diagonal as one range of tokens of either."""
-    return sided.groupBy("doc", "o_doc", F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal")).agg(
+    return sided.groupBy(*_PAIR, F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal")).agg(
         F.min(F.col("c") - F.col("before")).alias("lo"),
         F.max(F.col("c") + F.col("after")).alias("hi"),
         F.min(F.col("o_c") - F.col("before")).alias("o_lo"),
         F.max(F.col("o_c") + F.col("after")).alias("o_hi"),
+        F.bit_or("fs").alias("fs"),
+        F.max("sure").alias("sure"),
     )
 
 
-def _similar(texts: DataFrame, candidates: DataFrame, width: int, span: int, percent: int) -> DataFrame:
-    """The distinct _PASSAGE rows of the candidates, whose documents are fetched again."""
-    ids = written(candidates.select("doc").union(candidates.select("o_doc")).distinct(), "windows-ids")
-    tokens = written(_tokens(texts.join(small_side(ids), "doc", "left_semi"), width).dropDuplicates(["t_doc"]), "windows-tokens")
-    cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
+_RANGE = ["lo", "hi", "o_lo", "o_hi", "diagonal"]
+
+
+def _agreed(spots: DataFrame, enough: int) -> DataFrame:
+    """(doc, th, o_doc, o_th, lo, hi, o_lo, o_hi, spots) of the pairs of documents on which enough functions agree."""
     ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi")]
-    pairs = candidates.groupBy("doc", "o_doc").agg(*ends, F.collect_list(F.struct("lo", "hi", "o_lo", "o_hi", "diagonal")).alias("spots"))
-    one = pairs.join(tokens, F.col("doc") == F.col("t_doc")).select("doc", "lo", cut("lo", "hi").alias("ta"), "o_doc", "o_lo", "o_hi", "spots")
-    two = one.join(tokens, F.col("o_doc") == F.col("t_doc")).select("doc", "lo", "ta", "o_doc", "o_lo", cut("o_lo", "o_hi").alias("tb"), "spots")
-    return _verified(two, span, percent).distinct()
+    pairs = spots.groupBy(*_PAIR).agg(
+        *ends, F.collect_list(F.struct(*_RANGE)).alias("spots"), F.bit_or("fs").alias("fs"), F.max("sure").alias("sure")
+    )
+    return pairs.where((F.bit_count("fs") >= enough) | F.col("sure")).drop("fs", "sure")
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, width: int, span: int, percent: int) -> DataFrame:
+    """The distinct _PASSAGE rows of the pairs, whose documents are fetched again; a written table."""
+    ids = written(pairs.select("doc", "th").union(pairs.select("o_doc", "o_th")).distinct(), "windows-ids")
+    tokens = written(_tokens(texts.join(small_side(ids), ["doc", "th"], "left_semi").select("doc", "th", "text"), width), "windows-tokens")
+    cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
+    one = pairs.join(tokens, ["doc", "th"]).withColumn("ta", cut("lo", "hi")).drop("hi", "tokens")
+    two = one.join(tokens.select(F.col("doc").alias("o_doc"), F.col("th").alias("o_th"), "tokens"), ["o_doc", "o_th"])
+    slices = two.select("doc", "th", "lo", "o_doc", "o_th", "o_lo", "spots", "ta", cut("o_lo", "o_hi").alias("tb"))
+    found = written(_verified(slices, span, percent).distinct(), "windows-found")
+    released(ids, tokens)
+    return found
 
 
 def near_passages(
@@ -317,61 +378,88 @@ def near_passages(
     percent: int = PERCENT,
     width: int = WIDTH,
     hashes: int = HASHES,
+    enough: int = ENOUGH,
 ) -> DataFrame:
     """A row per passage and passage of another document that it is joined with: id, start_word, n_words, other_id,
     other_start_word, other_n_words, percent (similarity, rounded down). Passages that are similar are joined, if not directly, through others.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    counts = _bucket_counts(written(_surveyed(texts, width).where("part is not null"), "windows-survey"))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    key, text = RowKey(named, id_col), F.col(f"`{text_col}`")
+    every = named.select(*key.columns(F.col(f"`{id_col}`"), text), text.alias("text")).where("text is not null")
+    copies = written(equal_texts(every), "windows-copies")
+    alike = small_side(copies)
+    texts = key.once(every.join(alike, ["doc", "th"], "left_anti"))
     group = Window.partitionBy("key", "salt")
-    own = F.struct("doc", "c", "l", "r", "cls")
+    own = F.struct("doc", "th", "c", "l", "r", "cls")
+    known = F.struct(*[F.col(f"o.{n}").alias(n) for n, _ in _PLACE], "cls")
+    several = (F.min(F.struct("doc", "th")).over(group) < F.max(F.struct("doc", "th")).over(group)) | F.max("borne").over(group)
     live = written(
-        _windows(texts, counts, width, span, hashes)
+        _windows(texts, _token_counts(texts, width), width, span, hashes)
         .withColumn("first", F.min(own).over(group))
-        .withColumn("back", F.lag(own).over(group.orderBy("cls", "doc", "c")))
-        .withColumn("mixed", (F.min("cls").over(group) < F.max("cls").over(group)) & ((F.min("doc").over(group) < F.max("doc").over(group)) | F.max("borne").over(group)))
-        .withColumn("known", F.when(F.col("salt") > 0, F.struct(*[F.col(f"o_{x}").alias(x) for x in ("doc", "c", "l", "r")], "cls")))
-        .select("key", own.alias("x"), (F.col("mixed") & (F.col("salt") == 0)).alias("mixed"), F.when(F.col("salt") > 0, F.array("known")).otherwise(F.array("first", "back")).alias("y"))
-        .withColumn("y", F.filter("y", lambda y: (y.doc != F.col("x.doc")) & (_overlap_of(F.col("x"), y) >= span)))
+        .withColumn("back", F.lag(own).over(group.orderBy("cls", "doc", "th", "c")))
+        .withColumn("mixed", (F.min("cls").over(group) < F.max("cls").over(group)) & several)
+        .select(
+            "key",
+            "f",
+            own.alias("x"),
+            "borne",
+            (F.col("mixed") & (F.col("salt") == 0)).alias("mixed"),
+            F.when(F.col("salt") > 0, F.array(known)).otherwise(F.array("first", F.when(F.col("back.cls") == F.col("cls"), F.col("back")))).alias("y"),
+        )
+        .withColumn(
+            "y",
+            F.filter("y", lambda y: y.isNotNull() & ((y.doc != F.col("x.doc")) | (y.th != F.col("x.th"))) & (_overlap_of(F.col("x"), y) >= span)),
+        )
         .where("mixed or size(y) > 0"),
         "windows-live",
     )
-    joined = _sided(live.select("x", F.explode("y").alias("y")), span)
-    first = written(_candidates(joined), "windows-pairs")
-    found = written(_similar(texts, first, width, span, percent), "windows-found")
-    united = joined.where("a <> b").join(found, ["doc", "o_doc"]).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
-    comp = written(connected_components(written(united.select("a", "b").distinct(), "windows-links")), "windows-comps")
+    starred = live.select("f", "x", F.explode("y").alias("y")).withColumn("sure", F.expr("x.cls = y.cls"))
+    joined = _sided(starred, span)
+    first = written(_agreed(_spots(joined), enough), "windows-pairs")
+    found = _similar(texts, first, width, span, percent)
+    united = joined.where("a <> b").join(found, _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
+    links = written(united.select("a", "b").distinct(), "windows-links")
+    comp = written(connected_components(links), "windows-comps")
     # Of each content its first and its last window, as a pair may not be of one document.
+    by_key = Window.partitionBy("key")
     apart = written(
-        live.groupBy("key", F.col("x.cls").alias("node"))
-        .agg(F.min("x").alias("x"), F.max("x").alias("last"), F.max("mixed").alias("mixed"))
-        .where("mixed")
+        live.where("mixed")
+        .groupBy("key", "f", F.col("x.cls").alias("node"))
+        .agg(F.min("x").alias("x"), F.max("x").alias("last"), F.max("borne").alias("borne"))
         .join(comp, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .withColumn("lo", F.min("component").over(Window.partitionBy("key")))
-        .withColumn("hi", F.max("component").over(Window.partitionBy("key")))
+        .withColumn("lo", F.min("component").over(by_key))
+        .withColumn("hi", F.max("component").over(by_key))
         .where("lo <> hi")
-        .select("key", "node", "component", "x", "last"),
+        .select("key", "f", "node", "component", "x", "last", F.expr("borne or x.doc <> last.doc or x.th <> last.th").alias("several")),
         "windows-apart",
     )
+    same = "p.x.doc = q.{0}.doc and p.x.th = q.{0}.th"
     crossed = (
         apart.alias("p")
         .join(apart.alias("q"), F.col("p.key") == F.col("q.key"))
         .where(f"p.node < q.node and p.component <> q.component and {_overlap('p.x', 'q.x')} >= {span}")
-        .selectExpr("if(p.x.doc = q.x.doc and p.last.doc <> q.x.doc, p.last, p.x) as x", "if(p.x.doc = q.x.doc and p.last.doc = q.x.doc, q.last, q.x) as y")
+        .selectExpr(
+            "p.f as f",
+            f"if({same.format('x')} and p.several, p.last, p.x) as x",
+            f"if({same.format('x')} and not p.several and q.several, q.last, q.x) as y",
+            "p.several or q.several as sure",
+        )
     )
-    tried = first.select("doc", "o_doc", "diagonal", *[F.col(x).alias(f"t_{x}") for x in ("lo", "hi", "o_lo", "o_hi")])
-    second = written(
-        _candidates(_sided(crossed, span))
-        .join(tried, ["doc", "o_doc", "diagonal"], "left")
+    tried = first.select(*_PAIR, F.explode("spots").alias("t")).select(*_PAIR, "t.diagonal", *[F.col(f"t.{x}").alias(f"t_{x}") for x in _RANGE[:4]])
+    fresh = (
+        _spots(_sided(crossed, span))
+        .join(tried, [*_PAIR, "diagonal"], "left")
         .where("not coalesce(t_lo <= lo and t_hi >= hi and t_o_lo <= o_lo and t_o_hi >= o_hi, false)")
-        .select(first.columns),
-        "windows-pairs",
+        .select(*_PAIR, *_RANGE, "fs", "sure")
     )
+    second = written(_agreed(fresh, enough), "windows-pairs")
+    released(live, links, comp, apart)
     if second.head(1):
         found = found.union(_similar(texts, second, width, span, percent)).distinct()
+    released(first, second)
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
-    return found.select(
+    passages = found.select(
         F.col("doc").alias(id_col),
         F.col("s").cast("long").alias("start_word"),
         words("s", "e").alias("n_words"),
@@ -380,3 +468,6 @@ def near_passages(
         words("o_s", "o_e").alias("other_n_words"),
         "percent",
     )
+    size, none = F.size(space_words(F.col("text"))).cast("long"), F.lit(0).cast("long")
+    whole = key.once(every.join(alike, ["doc", "th"])).select("doc", "o_doc", size.alias("n")).where(F.col("n") >= span + width - 1)
+    return passages.union(whole.select("doc", none, "n", "o_doc", none, "n", F.lit(100)))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellreach.llm.common import SPACES, folded_words, let, released, row_key, row_struct, rows_once, small_side, unpack, written
+from cellreach.llm.common import SPACES, RowKey, folded_words, let, released, row_struct, small_side, unpack, written
 
 WIDTH = 5
 PERCENT = 80
@@ -56,12 +56,12 @@ def _prefix_size(n: Column, percent: int) -> Column:
 
 
 def _judged(texts: DataFrame, width: int, percent: int, short_lines: bool) -> DataFrame:
-    """(doc, th, line_no, c, n, prefix) of every line with tokens: its class, their number, and the first ones by hash."""
+    """(doc, th, line_no, c, n, prefix) of every line: its class, the number of its tokens, and the first ones by hash."""
     lines = texts.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    once = F.explode(F.array(_tokens(F.col("line"), width, short_lines)))  # else the filter would compute the tokens again
-    tokens = lines.select("doc", "th", "line_no", once.alias("tokens")).where(F.size("tokens") > 0)
+    tokens = lines.select("doc", "th", "line_no", _tokens(F.col("line"), width, short_lines).alias("tokens"))
     n = F.size("tokens")
-    first = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
+    first = F.slice("tokens", F.lit(1), F.greatest(_prefix_size(n, percent), F.lit(0)))
+    # Lines without tokens are left to the reader of the written table: a filter here would compute the tokens twice.
     return tokens.select("doc", "th", "line_no", F.xxhash64("tokens").alias("c"), n.alias("n"), first.alias("prefix"))
 
 
@@ -99,8 +99,7 @@ def _sets(texts: DataFrame, classes: DataFrame, width: int, short_lines: bool) -
         "lines-wanted",
     )
     lines = (
-        rows_once(texts)
-        .join(small_side(where), ["doc", "th"])
+        texts.join(small_side(where), ["doc", "th"])
         .select("doc", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.array_contains("wanted", F.col("line_no")))
     )
@@ -113,22 +112,17 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     Rarity is the exact count of the token, or, for those of hot buckets, which are counted in salted parts, of the bucket.
     """
-    rows = sets.select("c", F.explode("tokens").alias("token"))
+    rows = sets.select("c", "n", F.explode("tokens").alias("token"))
     dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
-        "token", "c", "k", F.pmod("c", "parts").cast("int").alias("salt")
+        "token", "c", "n", "k", F.pmod("c", "parts").cast("int").alias("salt")
     )
     counted = dealt.select(
-        "token", "c", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).alias("k")
+        "token", "c", "n", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).alias("k")
     ).where("k > 1")
-    often = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("often"))
-    alone = F.col("n") - F.size("often")  # tokens of this set only: the rarest, so they come first
-    left = _prefix_size(F.col("n"), percent) - alone
-    return (
-        often.join(sets.select("c", "n", "at"), "c")
-        .where(left > 0)
-        .select("c", "n", "at", alone.alias("alone"), F.posexplode(F.slice("often", F.lit(1), left)).alias("place", "o"))
-        .select(F.col("o.token").alias("token"), "c", "n", "at", (F.col("alone") + F.col("place")).alias("pos"))
-    )
+    own = Window.partitionBy("c")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)  # tokens of this set only: the rarest, so they come first
+    placed = counted.select("token", "c", "n", (alone + F.row_number().over(own.orderBy("k", "token")) - 1).cast("int").alias("pos"))
+    return placed.where(F.col("pos") < _prefix_size(F.col("n"), percent)).join(sets.select("c", "at"), "c")
 
 
 def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,22 +183,26 @@ def _gone(sets: DataFrame, percent: int) -> DataFrame:
     return gone
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(*row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text"))
-
-
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
+    docs: DataFrame,
+    key: RowKey,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    short_lines: bool = False,
 ) -> DataFrame:
-    """(doc, th, gone) of every document with lines to remove: its key (common.row_key), and their sorted numbers from 0."""
-    texts = _texts(docs, id_col, text_col)
-    judged = written(_judged(texts, width, percent, short_lines), "lines")
+    """(doc, th, gone) of every document with lines to remove: its key, and their sorted numbers from 0."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(*key.columns(F.col(f"`{id_col}`"), text), text.alias("text"))
+    lines = written(_judged(texts, width, percent, short_lines), "lines")
+    judged = lines.where("n > 0")
     together = written(_not_alone(judged), "lines-together")
     own = written(judged.select("doc", "th", "line_no", "c"), "lines-own")
-    released(judged)
+    released(lines)
     first = own.join(small_side(together), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc", "th", "line_no")).alias("at"))
     classes = written(first, "lines-classes")
-    sets = written(_sets(texts, classes, width, short_lines), "lines-sets")
+    sets = written(_sets(key.once(texts), classes, width, short_lines), "lines-sets")
     released(together)
     gone = _gone(sets, percent)
     released(classes, sets)
@@ -227,11 +225,10 @@ def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
 ) -> DataFrame:
     """(id, n_lines, n_removed, removed_lines) of every row: removed_lines are line numbers from 0, comma-joined."""
-    text = F.col(f"`{text_col}`")
-    narrow = docs.select(
-        F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), text), F.size(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n_lines")
-    )
-    return narrow.join(repeated_lines(docs, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left").select(
+    key = RowKey(docs, id_col)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    narrow = docs.select(own.alias("id"), *key.columns(own, text), F.size(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n_lines"))
+    return narrow.join(repeated_lines(docs, key, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left").select(
         F.col("id").alias(id_col),
         F.col("n_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
@@ -246,9 +243,10 @@ def drop_repeated_lines(
 
     A column n_chars, if there is one, is set to the new length where lines were taken out.
     """
+    key = RowKey(docs, id_col)
     packed = docs.select(row_struct(docs).alias("row"))
-    rows = packed.select("row", *row_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
-    out = rows.join(repeated_lines(docs, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left")
+    rows = packed.select("row", *key.columns(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
+    out = rows.join(repeated_lines(docs, key, id_col, text_col, width, percent, short_lines), ["doc", "th"], "left")
     text = F.col(f"row.`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
     out = out.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(left).alias("new_text"))

@@ -34,35 +34,25 @@ from pyspark.sql import Window
 
 from cellreach.llm.common import small_side, written
 from cellreach.llm.components import connected_components
-from cellreach.llm.shingles import mix, shingle_sets, text_chunks
+from cellreach.llm.shingles import BUCKETS, COUNT_DDL, COUNT_ROWS, add_up, buckets, count_columns, shingle_sets, text_chunks
 
 WIDTH = 5
 PERCENT = 80
-#: Buckets of the shingle counts (fixed size, whatever the corpus), and rows of the table that carry them.
-BUCKET_BITS = 20
-BUCKETS, COUNT_ROWS = 1 << BUCKET_BITS, 64
 #: A bucket this much above the average holds a hot shingle; it is dealt out in salted parts of about this size.
 HOT = 8192
 FRAGMENTS = 4
 
-_BUCKET_SHIFT = np.uint64(64 - BUCKET_BITS)
-
-
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> _BUCKET_SHIFT).astype(np.int64)
-
-
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, n, node) of every document, and rows (part, counts) of every task's bucket counts."""
-    kind = "doc_id long, n int, node long, part int, at array<int>, counts array<int>"
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "n", "node", "part", "counts"]
         for batch in batches:
             for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sets = shingle_sets(data, width)
                 every = np.concatenate(sets)
-                counts += np.bincount(_buckets(every), minlength=BUCKETS)
+                counts += np.bincount(buckets(every), minlength=BUCKETS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -70,40 +60,13 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(np.array([_set_key(s) for s in sets], np.uint64).view(np.int64)),
                         pa.nulls(len(ids), pa.int32()),
                         pa.nulls(len(ids), pa.list_(pa.int32())),
-                        pa.nulls(len(ids), pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n", "node", "part", "at", "counts"],
+                    names=names,
                 )
-        used = np.flatnonzero(counts)
-        parts = np.array_split(used, COUNT_ROWS)
         none = pa.nulls(COUNT_ROWS, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                none,
-                pa.nulls(COUNT_ROWS, pa.int32()),
-                none,
-                pa.array(range(COUNT_ROWS), pa.int32()),
-                pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
-                pa.array([np.minimum(counts[p], 2**31 - 1).astype(np.int32) for p in parts], pa.list_(pa.int32())),
-            ],
-            names=["doc_id", "n", "node", "part", "at", "counts"],
-        )
-
-    return docs.mapInArrow(run, kind)
-
-
-def _bucket_counts(survey: DataFrame) -> np.ndarray:
-    """Counts by bucket over all documents: BUCKETS numbers, however large the corpus."""
-    table = (
-        survey.where("part is not null")
-        .select(F.explode(F.arrays_zip("at", "counts")).alias("x"))
-        .groupBy(F.col("x.at").alias("bucket"))
-        .agg(F.sum("x.counts").alias("c"))
-        .toArrow()
-    )
-    out = np.zeros(BUCKETS, np.int64)
-    out[table["bucket"].to_numpy()] = table["c"].to_numpy()
-    return out
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(COUNT_ROWS, pa.int32()), none, *count_columns(counts)], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, n int, node long, " + COUNT_DDL)
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -126,7 +89,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
                     if not len(s) or (key := _set_key(s)) in seen:
                         continue
                     seen.add(key)
-                    bucket = _buckets(s)
+                    bucket = buckets(s)
                     n = len(s)
                     take = n - -(-n * percent // 100) + 1
                     order = np.lexsort((s, by_bucket[bucket]))[:take]
@@ -214,7 +177,7 @@ def ngram_jaccard_groups(
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = written(_surveyed(texts, width), "ngram-survey")
-    counts = _bucket_counts(survey)
+    counts = add_up(survey.where("part is not null").select("part", "counts"))
     rows = survey.where("part is null").select("doc_id", "n", "node")
 
     same = Window.partitionBy("shingle", "salt")

@@ -2,7 +2,9 @@
 
 Words are maximal runs of bytes other than the six ASCII white-space bytes, A-Z lower-cased.
 A word's hash is a polynomial of its bytes modulo 2**64, mixed; a shingle's hash combines the
-hashes of its words in order. Texts are handled whole, in chunks of a few MB.
+hashes of its words in order. Texts are handled whole, in chunks of about a MB, as the arrays take eight bytes a byte.
+
+Counts of shingles are kept by hash bucket: BUCKETS numbers a task, added up by part before they reach the driver.
 """
 
 from __future__ import annotations
@@ -11,10 +13,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Buckets of the shingle counts (fixed size, whatever the corpus), and rows of the table that carry them.
+BUCKET_BITS = 20
+BUCKETS, COUNT_ROWS = 1 << BUCKET_BITS, 64
+COUNT_DDL = "part int, counts array<int>"
 #: Odd multiplier of the byte polynomial, and odd multipliers of a shingle's words.
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,15 +82,21 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(start, bounds)
 
 
-def shingle_sets(data: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (uint64) of each text; fewer words make one shingle, none make none."""
-    words, first = word_hashes(data)
+def rolled_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
     factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
         rolled += words[k : k + n] * factors[k]
-    rolled = mix(rolled)
+    return mix(rolled)
+
+
+def shingle_sets(data: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (uint64) of each text; fewer words make one shingle, none make none."""
+    words, first = word_hashes(data)
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    rolled = rolled_hashes(words, width)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= width:
@@ -93,3 +107,37 @@ def shingle_sets(data: list[bytes], width: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def count_columns(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's BUCKETS counts as COUNT_ROWS rows (part, counts)."""
+    size = BUCKETS // COUNT_ROWS
+    offsets = pa.array(np.arange(COUNT_ROWS + 1, dtype=np.int32) * size)
+    values = pa.array(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    return pa.array(range(COUNT_ROWS), pa.int32()), pa.ListArray.from_arrays(offsets, values)
+
+
+def add_up(counts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts (part, counts): BUCKETS numbers, however large the corpus."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, held = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for k, part in enumerate(batch.column(0).to_pylist()):
+                more = held[at[k] : at[k + 1]].astype(np.int64)
+                sums[part] = sums[part] + more if part in sums else more
+        if sums:
+            rows = pa.array([s.astype(np.int64) for s in sums.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), rows], names=["part", "total"])
+
+    out = np.zeros((COUNT_ROWS, BUCKETS // COUNT_ROWS), np.int64)
+    for row in counts.repartition("part").mapInArrow(run, "part int, total array<long>").toArrow().to_batches():
+        at, held = row.column(1).offsets.to_numpy(), row.column(1).values.to_numpy()
+        for k, part in enumerate(row.column(0).to_pylist()):
+            out[part] += held[at[k] : at[k + 1]]
+    return out.reshape(-1)

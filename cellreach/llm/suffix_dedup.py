@@ -1,44 +1,46 @@
 """Exact removal of repeated byte strings by suffix arrays.
 
-A byte is removed if a string of `length` bytes that covers it also starts earlier (in a smaller doc_id, or earlier in
-the same document). Only places that may repeat are suffix-sorted:
+A byte is removed if a string of `length` bytes that covers it also starts earlier (in an earlier document, or earlier in
+the same one). Equal texts are found first: all but the first of them go as a whole. Of the others, only places that may repeat are suffix-sorted:
 
 1. Every window of `length` bytes has anchors, the positions of its least 40-byte hash, so equal windows have equal
    anchors at equal places. Anchors (some 3 % of all positions) are dealt out by hash; those whose hash occurs once are dropped.
-2. For the others the surrounding bytes that windows through the anchor can reach are cut out: its context. Equal contexts are one class.
-3. An anchor with one class repeats as a whole: its first occurrence is the class's. The contexts of the others are dealt by anchor into
-   shards of bounded size; each shard gets a suffix array by Larsson-Sadakane refinement
+2. An anchor's label is the place (document and 8 KB region of it) where its hash occurs first. The bytes that windows through a document's anchors of one
+   label can reach are cut out, overlapping ones as one stretch. Equal windows have an anchor in common, so they lie in stretches of one
+   label. Of equal stretches of a label all but the first go as a whole, and the first stands for them.
+3. Stretches are dealt by label into shards of bounded size; each shard gets a suffix array by Larsson-Sadakane refinement
    (doubling, sorted groups left alone) and common prefixes by Kasai's bound; suffixes with a common prefix of `length`
-   bytes or more are one string, whose first start is the least of its contexts'. An anchor with more
-   contexts than a shard holds is sorted in several shards, whose sorted windows are merged by binary search.
-4. Every occurrence whose class has an earlier first start loses the windows in question; runs are united per document.
+   bytes or more are one string, and all of them but the one that starts first are repeats.
+4. A label with more bytes than a shard holds is dealt to several shards, each in a task that may be another's. The distinct strings of these shards
+   are merged by sorting them by digest; all but the first start of each are repeats.
 
-Scale: the anchor shuffle is about half a byte per byte of text; texts are read three times, and shuffled only for documents
-with repeated anchors. Hashes only choose candidates and key classes (64 bits); which windows are equal is
-decided on bytes, within shards, or on 128-bit digests across the shards of one hot anchor.
+Scale: the anchor shuffle is about half a byte per byte of text; texts are read four times, and shuffled only for documents
+with repeated anchors. Hashes only choose candidates; which windows are equal is decided on bytes within shards, and on 128-bit digests for
+whole texts, stretches (64 bits, beside the label's 64), and across the shards of one label.
 
-Defined results: null and empty texts lose nothing; rows that repeat a doc_id are one document; null ids come after all others;
-texts shorter than `length` lose nothing; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts lose nothing, nor do texts shorter than `length`. Documents are rows: their order is by id, null
+ids last, then by a hash of the text where an id repeats; rows equal in id and text are one document and lose the same bytes.
+An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellreach.llm.common import is_small, small_side, written
+from cellreach.llm.common import RowKey, equal_texts, is_small, released, small_side, written
 from cellreach.llm.shingles import mix, powers, text_chunks
 
 LENGTH, ANCHOR = 100, 40
 SHARD_BYTES = 1 << 21
-#: Parts that the further occurrences of an anchor within one chunk are dealt to.
-SALTS = 1023
-LAST = 2**63 - 1
+#: Bytes of a document, as bits, whose anchors have one label.
+REGION_BITS = 13
+#: An anchor that occurs more often in one batch of documents is dealt, but for the first time, to one of so many parts.
+CROWD, SALTS = 64, 1023
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -76,68 +78,106 @@ def anchors_of(data: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     return text, at - first[text], hashes[at]
 
 
-def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(h, salt, doc, pos, known): known if the anchor occurs more than once in its chunk; then the further ones are salted."""
+def _anchor_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(h, salt, doc, th, pos, known) of (doc, th, text): known if the anchor crowds its batch; then the further ones are salted."""
 
     def run(batches):
         for batch in batches:
-            for ids, data in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs, ths = (batch.column(k).to_numpy() for k in (0, 1))
+            found = []
+            for rows, data in text_chunks(range(len(docs)), batch.column(2).to_pylist()):
                 text, pos, hashes = anchors_of(data, length, anchor)
-                _, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                repeat = np.ones(len(hashes), bool)
-                repeat[first] = False
-                spread = (mix(np.arange(len(hashes), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(np.where(repeat, spread, 0).astype(np.int32)),
-                        pa.array(np.array(ids, np.int64)[text]),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(count[inverse] > 1),
-                    ],
-                    names=["h", "salt", "doc", "pos", "known"],
-                )
-
-    return docs.mapInArrow(run, "h long, salt int, doc long, pos int, known boolean")
-
-
-def _digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+                found.append((np.array(rows, np.int64)[text], pos, hashes))
+            if not found:
+                continue
+            row, pos, hashes = (np.concatenate([f[k] for f in found]) for k in range(3))
+            _, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            crowd = count[inverse] > CROWD
+            repeat = crowd.copy()
+            repeat[first] = False
+            spread = (mix(np.arange(len(hashes), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashes.view(np.int64)),
+                    pa.array(np.where(repeat, spread, 0).astype(np.int32)),
+                    pa.array(docs[row]),
+                    pa.array(ths[row]),
+                    pa.array(pos.astype(np.int32)),
+                    pa.array(crowd),
+                ],
+                names=["h", "salt", "doc", "th", "pos", "known"],
+            )
+
+    return texts.mapInArrow(run, "h long, salt int, doc long, th long, pos int, known boolean")
+
+
+def _labelled(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(doc, th, pos, label) of every anchor whose hash occurs more than once."""
+    group = Window.partitionBy("h", "salt")
+    live = written(
+        _anchor_rows(texts, length, anchor)
+        .withColumn("times", F.count(F.lit(1)).over(group))
+        .withColumn("any", F.max("known").over(group))
+        .withColumn("first", F.min(F.struct("doc", "th", "pos")).over(group))
+        .where("salt > 0 or times > 1 or any")
+        .select(
+            F.when(F.col("any"), F.col("h")).alias("h"),
+            "salt",
+            "doc",
+            "th",
+            "pos",
+            F.xxhash64("first.doc", "first.th", F.shiftright("first.pos", REGION_BITS)).alias("label"),
+        ),
+        "suffix-live",
+    )
+    own = live.where("salt = 0")
+    heads = own.where("h is not null").select("h", "label").distinct()
+    spread = live.where("salt > 0").drop("label").join(heads, "h")
+    return own.select("doc", "th", "pos", "label").union(spread.select("doc", "th", "pos", "label"))
 
 
-_CONTEXT = "doc long, pos int, h long, cls long, lead int, context binary"
+_STRETCH = "label long, cls long, doc long, th long, begin int, size int, content binary"
 
 
-def _contexts(placed: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Rows of every repeated anchor of (doc, text, places); of equal contexts in a batch only the first has the bytes."""
+def _stretches(placed: DataFrame, length: int, anchor: int) -> DataFrame:
+    """_STRETCH rows of (doc, th, text, places); of equal stretches of a label in a batch only the first has the bytes."""
     reach = length - anchor
 
     def run(batches):
         for batch in batches:
+            docs, ths = (batch.column(k).to_pylist() for k in (0, 1))
+            at = batch.column(3).offsets.to_numpy()
+            every_pos, every_label = (batch.column(3).values.field(k).to_numpy() for k in (0, 1))
             seen: set = set()
-            rows = []
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 data = text.encode()
-                for p in sorted(places, key=lambda x: x["pos"]):
-                    pos, h = p["pos"], p["h"]
-                    begin = max(0, pos - reach)
-                    context = data[begin : pos + length]
-                    lead = pos - begin
-                    cls = _digest(context + lead.to_bytes(4, "little"))
-                    new = (h, cls) not in seen
-                    seen.add((h, cls))
-                    rows.append((doc, pos, h, cls, lead, context if new else None))
-                if len(rows) > 50_000:
-                    yield _batch(rows, _CONTEXT)
+                pos, label = every_pos[at[k] : at[k + 1]], every_label[at[k] : at[k + 1]]
+                order = np.lexsort((pos, label))
+                pos, label = pos[order].astype(np.int64), label[order]
+                begin, end = np.maximum(pos - reach, 0), np.minimum(pos + length, len(data))
+                cut = np.flatnonzero((label[1:] != label[:-1]) | (begin[1:] > end[:-1])) + 1
+                starts = begin[np.concatenate(([0], cut))].tolist()
+                ends = end[np.concatenate((cut - 1, [len(end) - 1]))].tolist()
+                for s, e, own in zip(starts, ends, label[np.concatenate(([0], cut))].tolist(), strict=True):
+                    if e - s < length:
+                        continue
+                    content = data[s:e]
+                    cls = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+                    new = (own, cls) not in seen
+                    seen.add((own, cls))
+                    rows.append((own, cls, docs[k], ths[k], s, e - s, content if new else None))
+                if len(rows) > 5000:
+                    yield _batch(rows, _STRETCH)
                     rows = []
             if rows:
-                yield _batch(rows, _CONTEXT)
+                yield _batch(rows, _STRETCH)
 
-    return placed.mapInArrow(run, _CONTEXT)
+    return placed.mapInArrow(run, _STRETCH)
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in ddl.split(", ")]
     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays(
@@ -225,186 +265,141 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     return lcp[sa]
 
 
-def _equal_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the contexts: their context, their start in it, and a number that equal windows share."""
-    raw = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
+_RANGE = "doc long, th long, s int, e int, digest binary"
+
+
+def _shard_repeats(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
+    """Ranges (doc, th, s, e) of the bytes of the shard that an earlier place of it has, too, and the first place
+    (doc, th, s, digest) of every distinct string of the stretches dealt to several shards. rows: (doc, th, begin, shared, content)."""
+    rows = sorted(rows, key=lambda r: r[:3])
+    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    sizes = np.array([len(r[4]) for r in rows])
     first = np.cumsum(sizes) - sizes
+    document = np.cumsum([k == 0 or rows[k][:2] != rows[k - 1][:2] for k in range(len(rows))])
+    # (document, place in it) of every byte as one number: stretches of a document may overlap
+    place = np.repeat((document << 32) + np.array([r[2] for r in rows]) - first, sizes) + np.arange(len(raw))
+    inside = np.repeat(first + sizes - length, sizes) >= np.arange(len(raw))
     sa = suffix_array(raw, length)
     lcp = common_prefixes(raw, sa, length)
-    owner = np.searchsorted(first, sa, "right") - 1
     number = np.cumsum(lcp < length)  # a shorter prefix anywhere between two suffixes parts them
-    valid = sa - first[owner] + length <= sizes[owner]
-    return owner[valid], (sa - first[owner])[valid], number[valid]
-
-
-def _first_starts(owner, start, number, doc, pos, lead) -> tuple[np.ndarray, np.ndarray]:
-    """For every window the least (doc, start in the document) of its equal ones."""
-    at = pos[owner] - lead[owner] + start
-    order = np.lexsort((at, doc[owner], number))
-    lead_of = np.concatenate(([True], number[order][1:] != number[order][:-1]))
-    source = order[np.maximum.accumulate(np.where(lead_of, np.arange(len(order)), 0))]
-    best_doc, best_at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    best_doc[order], best_at[order] = doc[owner][source], at[source]
-    return best_doc, best_at
-
-
-_RUNS = "h long, cls long, runs array<struct<lo: int, hi: int, doc: bigint, pos: int>>"
-
-
-def _merged(parts: list[dict], length: int) -> None:
-    """Least first starts across the shards of one anchor: each shard's sorted window digests are searched for in the others'."""
-    keys = np.unique(np.concatenate([p["key"] for p in parts]))
-    best = np.full(len(keys), LAST, np.int64), np.full(len(keys), LAST, np.int64)
-    for p in parts:
-        at = np.searchsorted(keys, p["key"])
-        less = (p["doc"] < best[0][at]) | ((p["doc"] == best[0][at]) & (p["at"] < best[1][at]))
-        order = np.lexsort((p["at"], p["doc"]))[::-1]
-        order = order[less[order]]
-        best[0][at[order]], best[1][at[order]] = p["doc"][order], p["at"][order]
-    for p in parts:
-        at = np.searchsorted(keys, p["key"])
-        p["doc"], p["at"] = best[0][at], best[1][at]
-
-
-def _shard_runs(rows: list[tuple], length: int, shard_bytes: int) -> list[tuple]:
-    """_RUNS rows of all contexts of some anchors (whole anchors). rows: (h, cls, lead, context, doc, pos).
+    valid = inside[sa]
+    sa, number = sa[valid], number[valid]
+    heads = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    least = np.minimum.reduceat(place[sa], heads)
+    times = np.diff(np.append(heads, len(sa)))
+    late = np.zeros(len(raw) + 2, np.int8)  # one place further on
+    late[sa + 1] = place[sa] > np.repeat(least, times)
+    edges = np.flatnonzero(np.diff(late))
+    starts, ends = edges[::2], edges[1::2]  # the last bytes of a stretch start no window, so runs end within theirs
+    owner = np.searchsorted(first, starts, "right") - 1
+    ranges = [
+        (rows[o][0], rows[o][1], rows[o][2] + a, rows[o][2] + b - 1 + length)
+        for o, a, b in zip(owner.tolist(), (starts - first[owner]).tolist(), (ends - first[owner]).tolist(), strict=True)
+    ]
+    merge = []
+    if any(r[3] for r in rows):
+        data = raw.tobytes()
+        shared = np.repeat(np.array([r[3] for r in rows], bool), sizes)
+        wanted = np.repeat(np.logical_or.reduceat(shared[sa], heads), times)
+        mine = np.sort(sa[wanted & (late[sa + 1] == 0)])
+        own = np.searchsorted(first, mine, "right") - 1
+        for o, at in zip(own.tolist(), mine.tolist(), strict=True):
+            doc, th, begin = rows[o][:3]
+            merge.append((doc, th, begin + at - int(first[o]), hashlib.blake2b(data[at : at + length], digest_size=16).digest()))
+    return ranges, merge
+
+
+def _sharded(stretches: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """_RANGE rows of stretches (label, salt, doc, th, begin, shared, content) that come label by label."""
 
-    run: windows that start lo to hi bytes before their anchor's place first occur around the anchor at (doc, pos).
-    """
-    parts, begin, size = [], 0, 0
-    for k, r in enumerate(rows, 1):
-        size += len(r[3])
-        if size >= shard_bytes or k == len(rows):
-            part = rows[begin:k]
-            owner, start, number = _equal_windows([r[3] for r in part], length)
-            h, doc, pos, lead = (np.array([r[i] for r in part], np.int64) for i in (0, 4, 5, 2))
-            first_doc, first_at = _first_starts(owner, start, number, doc, pos, lead)
-            parts.append({"rows": part, "owner": owner, "start": start, "doc": first_doc, "at": first_at, "lead": lead, "h": h})
-            begin, size = k, 0
-    if len(parts) > 1:
-        for p in parts:
-            windows = [
-                hashlib.blake2b(p["rows"][o][3][s : s + length], digest_size=16).digest()
-                for o, s in zip(p["owner"].tolist(), p["start"].tolist(), strict=True)
-            ]
-            p["key"] = np.array(windows, "S16") if windows else np.empty(0, "S16")
-        _merged(parts, length)
-    out = []
-    for p in parts:
-        back = p["lead"][p["owner"]] - p["start"]  # how far before the anchor the window starts
-        order = np.lexsort((back, p["owner"]))
-        owner, back, doc, at = p["owner"][order], back[order], p["doc"][order], p["at"][order] + back[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (back[1:] != back[:-1] + 1) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        cuts = np.append(np.flatnonzero(new), len(owner))
-        runs: dict[int, list] = {}
-        for a, b in pairwise(cuts.tolist()):
-            run = {"lo": int(back[a]), "hi": int(back[b - 1]), "doc": int(doc[a]), "pos": int(at[a])}
-            runs.setdefault(int(owner[a]), []).append(run)
-        out += [(p["rows"][o][0], p["rows"][o][1], r) for o, r in runs.items()]
-    return out
-
-
-def _sharded_runs(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """_RUNS of contexts (h, cls, lead, context, doc, pos) that come anchor by anchor."""
-    schema = pa.schema(
-        [
-            ("h", pa.int64()),
-            ("cls", pa.int64()),
-            ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())]))),
-        ]
-    )
+    def emitted(rows):
+        ranges, merge = _shard_repeats(rows, length)
+        out = [(*r, None) for r in ranges] + [(doc, th, s, s + length, digest) for doc, th, s, digest in merge]
+        for k in range(0, len(out), 50_000):
+            yield _batch(out[k : k + 50_000], _RANGE)
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size >= shard_bytes and r[0] != held[-1][0]:
+            for label, salt, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and size >= shard_bytes and (label, salt) != last:
                     yield from emitted(held)
                     held, size = [], 0
-                held.append(r)
-                size += len(r[3])
+                held.append(tuple(row))
+                size += len(row[-1])
+                last = label, salt
         if held:
             yield from emitted(held)
 
-    def emitted(rows):
-        found = _shard_runs(rows, length, shard_bytes)
-        for k in range(0, len(found), 20_000):
-            some = found[k : k + 20_000]
-            yield pa.RecordBatch.from_pylist([dict(zip(("h", "cls", "runs"), r, strict=True)) for r in some], schema=schema)
-
-    return contexts.mapInArrow(run, _RUNS)
+    return stretches.mapInArrow(run, _RANGE)
 
 
 def repeated_ranges(
     docs: DataFrame,
+    key: RowKey,
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = LENGTH,
     anchor: int = ANCHOR,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """(doc, ranges): the byte ranges, array<struct<s, e>>, that each document with repeats loses; they may overlap."""
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")
-    ).where(F.octet_length("text") >= length)
-    group = Window.partitionBy("h", "salt")
-    live = written(
-        _anchor_rows(texts, length, anchor)
-        .withColumn("times", F.count(F.lit(1)).over(group))
-        .withColumn("any", F.max("known").over(group))
-        .where("salt > 0 or times > 1 or any")
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("h", "pos")).alias("places")),
-        "suffix-live",
-    )
-    ids = written(live.select("doc"), "suffix-ids")
-    own = texts.join(small_side(ids), "doc", "left_semi").dropDuplicates(["doc"])
-    seen = written(_contexts(own.join(live, "doc").select("doc", "text", "places"), length, anchor), "suffix-contexts")
-
-    spread = seen.groupBy("h").agg(
-        F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("doc", "pos")).alias("p"), F.count(F.lit(1)).alias("c")
-    )
-    anchors = written(spread.where("c > 1").select("h", F.col("lo").alias("cls"), "p", (F.col("lo") != F.col("hi")).alias("many")), "suffix-anchors")
-    several = written(anchors.where("many").select("h"), "suffix-several")
-    least = seen.groupBy("h", "cls").agg(F.min(F.struct("doc", "pos")).alias("p"))
-    bytes_of = (
-        seen.where("context is not null")
-        .join(small_side(several), "h", "left_semi")
-        .select("h", "cls", "lead", "context")
-        .dropDuplicates(["h", "cls"])
-    )
-    contexts = (
-        bytes_of.join(least, ["h", "cls"])
-        .select("h", "cls", "lead", "context", F.col("p.doc").alias("doc"), F.col("p.pos").alias("pos"))
-        .repartition("h")
-        .sortWithinPartitions("h", "cls")
+    """(doc, th, ranges): the byte ranges, array<struct<s, e>>, that each document with repeats loses; they may overlap."""
+    text = F.col(f"`{text_col}`")
+    every = docs.select(*key.columns(F.col(f"`{id_col}`"), text), F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    copies = written(equal_texts(every).select("doc", "th", F.lit(0).alias("s"), F.col("size").alias("e")), "suffix-copies")
+    texts = key.once(every.join(small_side(copies.select("doc", "th")), ["doc", "th"], "left_anti"))
+
+    labelled = _labelled(texts, length, anchor)
+    places = written(labelled.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "label")).alias("places")), "suffix-places")
+    placed = texts.join(places, ["doc", "th"]).select("doc", "th", "text", "places")
+    seen = written(_stretches(placed, length, anchor), "suffix-stretches")
+    released(places)
+    classes = written(
+        seen.groupBy("label", "cls").agg(
+            F.min(F.struct("doc", "th", "begin")).alias("p"), F.count(F.lit(1)).alias("times"), F.max("content").alias("content")
+        ),
+        "suffix-classes",
     )
-    sorted_runs = _sharded_runs(contexts, length, shard_bytes)
-    whole = F.struct(
-        F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.col("p.doc").alias("doc"), F.col("p.pos").alias("pos")
+    size = F.octet_length("content").cast("long")
+    large = written(
+        classes.groupBy("label").agg(F.sum(size).alias("size")).where(F.col("size") > shard_bytes).select("label", F.ceil(F.col("size") / shard_bytes).alias("parts")),
+        "suffix-large",
     )
-    runs = sorted_runs.union(anchors.where("not many").select("h", "cls", F.array(whole)))
-    # A whole-class run (lo = -1) means every window that the occurrence's own context has.
-    hits = (
-        seen.select("doc", "pos", "h", "cls", "lead")
-        .join(written(runs, "suffix-runs"), ["h", "cls"])
-        .select("doc", "pos", "lead", F.explode("runs").alias("r"))
-        .where("struct(r.doc, r.pos) < struct(doc, pos)")
+    dealt = (
+        classes.join(small_side(large), "label", "left")
         .select(
-            "doc",
-            F.when(F.col("r.hi") < 0, F.col("pos") - F.col("lead")).otherwise(F.col("pos") - F.col("r.hi")).alias("s"),
-            F.when(F.col("r.hi") < 0, F.col("pos") + length).otherwise(F.col("pos") - F.col("r.lo") + length).alias("e"),
+            "label",
+            F.coalesce(F.pmod(F.xxhash64("cls"), "parts").cast("int"), F.lit(0)).alias("salt"),
+            "p.*",
+            F.col("parts").isNotNull().alias("shared"),
+            "content",
         )
+        .repartition("label", "salt")
+        .sortWithinPartitions("label", "salt")
+    )
+    found = written(_sharded(dealt, length, shard_bytes), "suffix-found")
+    same = Window.partitionBy("digest")
+    across = (
+        found.where("digest is not null")
+        .withColumn("first", F.min(F.struct("doc", "th", "s")).over(same))
+        .where(F.struct("doc", "th", "s") != F.col("first"))
+    )
+    again = (
+        seen.select("label", "cls", "doc", "th", "begin", "size")
+        .join(classes.where("times > 1").select("label", "cls", "p"), ["label", "cls"])
+        .where(F.struct("doc", "th", "begin") != F.col("p"))
+        .select("doc", "th", F.col("begin").alias("s"), (F.col("begin") + F.col("size")).alias("e"))
     )
-    return hits.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    names = ["doc", "th", "s", "e"]
+    every_range = found.where("digest is null").select(names).union(across.select(names)).union(again).union(copies)
+    ranges = written(every_range.groupBy("doc", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "suffix-ranges")
+    released(copies, seen, classes, large, found)
+    return ranges
 
 
 def _kept(rows: DataFrame) -> DataFrame:
     """(id, text, ranges) rows with the ranges united and taken out: (id, n_bytes, n_removed, spans, kept)."""
-    ddl = "id long, n_bytes long, n_removed long, spans array<struct<s: int, e: int>>, kept binary"
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     schema = pa.schema(
         [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]
@@ -416,7 +411,7 @@ def _kept(rows: DataFrame) -> DataFrame:
             for key, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 spans: list[list[int]] = []
-                for s, e in sorted((r["s"], min(r["e"], len(data))) for r in ranges or ()):
+                for s, e in sorted((r["s"], r["e"]) for r in ranges):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], e)
                     else:
@@ -427,7 +422,10 @@ def _kept(rows: DataFrame) -> DataFrame:
                 out.append({"id": key, "n_bytes": len(data), "n_removed": len(data) - len(kept), "spans": named, "kept": kept})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, _KEPT)
+
+
+_KEPT = "id long, n_bytes long, n_removed long, spans array<struct<s: int, e: int>>, kept binary"
 
 
 def remove_repeats(
@@ -439,15 +437,18 @@ def remove_repeats(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) of every row: the byte ranges taken out, and the bytes that stay."""
-    ranges = written(repeated_ranges(docs, id_col, text_col, length, anchor, shard_bytes), "suffix-ranges")
-    key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("id"), F.coalesce(key, F.lit(LAST)).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids = ranges.select("doc")
+    key = RowKey(docs, id_col)
+    ranges = repeated_ranges(docs, key, id_col, text_col, length, anchor, shard_bytes)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(own.cast("long").alias("id"), *key.columns(own, text), F.coalesce(text, F.lit("")).alias("text"))
+    ids = ranges.select("doc", "th")
+    size = F.octet_length("text").cast("long")
+    nothing = F.array().cast("array<struct<s: int, e: int>>")
+    untouched = [F.col("id"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), nothing.alias("spans"), F.encode("text", "UTF-8").alias("kept")]
     if is_small(ids):  # only texts that lose something are shuffled
-        none = F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")
-        cut = rows.join(F.broadcast(ids), "doc", "left_semi").join(ranges, "doc").select("id", "text", "ranges")
-        whole = rows.join(F.broadcast(ids), "doc", "left_anti").select("id", "text", none)
-        found = _kept(whole).union(_kept(cut))
+        cut = rows.join(F.broadcast(ids), ["doc", "th"], "left_semi").join(ranges, ["doc", "th"])
+        whole = rows.join(F.broadcast(ids), ["doc", "th"], "left_anti")
     else:
-        found = _kept(rows.join(ranges, "doc", "left").select("id", "text", "ranges"))
-    return found.withColumnRenamed("id", id_col)
+        cut = rows.join(ranges, ["doc", "th"])
+        whole = rows.join(ids, ["doc", "th"], "left_anti")
+    return _kept(cut.select("id", "text", "ranges")).union(whole.select(*untouched)).withColumnRenamed("id", id_col)
