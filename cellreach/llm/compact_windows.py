@@ -4,14 +4,14 @@ The tokens of a text are its 5-word shingles in order. For each of HASHES hash f
 gives the compact windows (l, c, r) of at least `span` tokens: every passage inside l..r that covers c has token c as its min-hash. A
 value is led by a rank of how often the token's bucket occurs in all documents, the lowest up to COMMON times above the average, so that common
 lines do not decide min-hashes where anything rarer is near. Windows are grouped by function and min-hash, and joined where
-they lie on each other over `span` tokens or more about it:
+they lie on each other over `span` tokens or more about it, and where enough further hashes agree: a sketch of SLOTS min-hashes, of four bits each,
+of the span / 2 tokens on either side of c, of which ENOUGH of one side must be equal (a passage of `span` tokens has all of one side).
 
-1. Each window of a group with the window of the group's first document, and windows of equal content with the one before them.
+1. Each window of a group with the group's first, and windows of equal content with the one before them.
 2. Contents that a verified pair of these joins are united; then windows of different components of a group, each pair of
    contents once. So all pairs of contents are tried but those inside a component.
 
-Joined windows are gathered by pair of documents. A pair is verified if ENOUGH functions agree on it, or one on windows of equal
-content or of a content that several documents have (for which their first stands). Verified are all parts of the joined ranges that are dense in common
+Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
 passage of the first of them and takes no other part.
 
@@ -23,7 +23,7 @@ min-hash. The driver sees the fixed-size bucket counts alone.
 Defined results: null, empty and short texts (fewer than span + 4 words) have no passages; null ids are ignored. Rows equal in id and text are one
 document; rows of one id and different texts are different documents. Passages that repeat within one document are not reported; an empty
 table gives an empty result; other columns are ignored. The search is by min-hash: exact repeats are always found; a
-passage of similarity s is found if ENOUGH of HASHES functions agree, which at 0.8 holds for 99.3 %. Limit: of passages whose common tokens occur
+passage of similarity s is found if one of HASHES functions agrees, which at 0.8 holds for 99.8 %, and its sketch does. Limit: of passages whose common tokens occur
 more than COMMON times above the average, the rarer tokens of an edit decide the min-hashes, and near copies without an equal window can be missed.
 """
 
@@ -39,7 +39,7 @@ from cellreach.llm.components import connected_components
 from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
-HASHES, ENOUGH = 5, 2
+HASHES, SLOTS, ENOUGH = 4, 8, 4
 #: Tokens by which the places of two joined windows may shift against each other within one candidate.
 DIAGONAL = 64
 #: A window content that occurs more often in one batch of documents is dealt, but for the first time, to one of so many parts.
@@ -120,12 +120,44 @@ def _token_counts(texts: DataFrame, width: int) -> np.ndarray:
 
 
 _PLACE = [("doc", pa.int64()), ("th", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]
-_WINDOW = "key long, salt int, f int, doc long, th long, c int, l int, r int, cls long, o struct<doc: bigint, th: bigint, c: int, l: int, r: int>, borne boolean"
+_WINDOW = (
+    "key long, salt int, doc long, th long, c int, l int, r int, cls long, sketch long,"
+    " o struct<doc: bigint, th: bigint, c: int, l: int, r: int>, borne boolean"
+)
+
+
+def sketches(tokens: np.ndarray, inside: np.ndarray, first: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the sketch (SLOTS times four bits) of the `reach` tokens before it and of those after it, within its text."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    spaced = np.arange(len(tokens)) + (text + 1) * reach  # so far apart that no reach has tokens of two texts
+    before, after = np.zeros(len(tokens), np.uint32), np.zeros(len(tokens), np.uint32)
+    for factor in mix(np.arange(101, 101 + SLOTS, dtype=np.uint64)) | np.uint64(1):
+        values = np.full(len(tokens) + (len(first) + 1) * reach, 2**32 - 1, np.uint32)
+        values[spaced] = np.where(inside, (tokens * factor) >> np.uint64(32), 2**32 - 1)
+        step = 1
+        while step * 2 <= reach:
+            values = np.minimum(values[:-step], values[step:])
+            step *= 2
+        values = np.minimum(values[: len(values) - (reach - step)], values[reach - step :])
+        before = (before << np.uint32(4)) | (values[spaced - reach] & np.uint32(15))
+        after = (after << np.uint32(4)) | (values[spaced + 1] & np.uint32(15))
+    return before, after
+
+
+def _agree(x: str, y: str) -> str:
+    """Whether ENOUGH slots of one side are equal in two sketches, as SQL."""
+    low = int("1" * SLOTS, 16)
+    other = f"({x}.sketch ^ {y}.sketch)"
+    unequal = f"({other} | shiftrightunsigned({other}, 1) | shiftrightunsigned({other}, 2) | shiftrightunsigned({other}, 3))"
+    sides = (f"bit_count({unequal} & {mask}L) <= {SLOTS - ENOUGH}" for mask in (low, low << 32))
+    return f"({' or '.join(sides)})"
 
 
 def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int, hashes: int) -> list[np.ndarray]:
-    """Of all windows of the texts: number of the text, c, l, r in its words, key, content, function."""
+    """Of all windows of the texts: number of the text, c, l, r in its words, key, content, sketch."""
     tokens, inside, first = token_run(data, width)
+    before, after = sketches(tokens, inside, first, span // 2)
+    sketch = (before.astype(np.uint64) << np.uint64(32)) | after
     led = ranks[buckets(tokens)]
     places = mix(np.arange(1, len(tokens) + 2, dtype=np.uint64)) | np.uint64(1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
@@ -141,7 +173,7 @@ def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int,
         content = mix(content + places[hi - lo]) ^ mix(tokens[lo] + places[at - lo]) ^ mix(tokens[hi] ^ tokens[at])
         text = np.searchsorted(first, at, "right") - 1
         begin = first[text]
-        out.append((text, at - begin, lo - begin, hi - begin, mix(values[at] + np.uint64(f)), content, np.full(len(at), f)))
+        out.append((text, at - begin, lo - begin, hi - begin, mix(values[at] + np.uint64(f)), content, sketch[at]))
     return [np.concatenate([x[k] for x in out]) for k in range(7)]
 
 
@@ -160,7 +192,7 @@ def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes
                 found.append(part)
             if not found:
                 continue
-            row, at, lo, hi, key, content, f = (np.concatenate([p[k] for p in found]) for k in range(7))
+            row, at, lo, hi, key, content, sketch = (np.concatenate([p[k] for p in found]) for k in range(7))
             del found
             _, first, inverse, times = np.unique(mix(key) + content, return_index=True, return_inverse=True, return_counts=True)
             origin = first[inverse]
@@ -179,13 +211,13 @@ def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes
                 [
                     pa.array(key[keep].view(np.int64)),
                     pa.array(np.where(again, spread, 0).astype(np.int32)),
-                    pa.array(f[keep].astype(np.int32)),
                     *[pa.array(x[keep]) for x in places],
                     pa.array(content[keep].view(np.int64)),
+                    pa.array(sketch[keep].view(np.int64)),
                     other,
                     pa.array(borne[keep]),
                 ],
-                names=["key", "salt", "f", "doc", "th", "c", "l", "r", "cls", "o", "borne"],
+                names=["key", "salt", "doc", "th", "c", "l", "r", "cls", "sketch", "o", "borne"],
             )
 
     return texts.mapInArrow(run, _WINDOW)
@@ -307,32 +339,33 @@ def _tokens(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, th long, tokens array<long>")
 
 
-def _overlap(x: str, y: str) -> str:
-    """Tokens on which two windows lie about their min-hash, as SQL."""
-    return f"(least({x}.c - {x}.l, {y}.c - {y}.l) + least({x}.r - {x}.c, {y}.r - {y}.c) + 1)"
+def _alike(x: str, y: str, span: int) -> str:
+    """Whether two windows of a group lie on each other over span tokens and have like sketches or equal contents, as SQL."""
+    overlap = f"least({x}.c - {x}.l, {y}.c - {y}.l) + least({x}.r - {x}.c, {y}.r - {y}.c) + 1 >= {span}"
+    return f"({overlap} and ({x}.cls = {y}.cls or {_agree(x, y)}))"
 
 
-def _overlap_of(x: Column, y: Column) -> Column:
-    return F.least(x.c - x.l, y.c - y.l) + F.least(x.r - x.c, y.r - y.c) + 1
+def _apart(x: str, y: str) -> str:
+    return f"({x}.doc <> {y}.doc or {x}.th <> {y}.th)"
 
 
-def _sided(joined: DataFrame, span: int) -> DataFrame:
-    """Pairs (x, y, f, sure) of windows of different documents, the later document first; a and b are their contents."""
-    other = joined.where(f"(x.doc <> y.doc or x.th <> y.th) and {_overlap('x', 'y')} >= {span}")
+def _sided(joined: DataFrame) -> DataFrame:
+    """Pairs (x, y) of joined windows, the later document first; a and b are their contents."""
     back = F.expr("struct(x.doc, x.th) < struct(y.doc, y.th)")
     p, q = F.when(back, F.col("y")).otherwise(F.col("x")), F.when(back, F.col("x")).otherwise(F.col("y"))
-    return other.select(p.alias("p"), q.alias("q"), "f", "sure").selectExpr(
+    return joined.select(p.alias("p"), q.alias("q")).selectExpr(
         *[f"p.{n} as {n}" for n in ("doc", "th", "c")],
         *[f"q.{n} as o_{n}" for n in ("doc", "th", "c")],
         "p.cls as a",
         "q.cls as b",
         "least(p.c - p.l, q.c - q.l) as before",
         "least(p.r - p.c, q.r - q.c) as after",
-        "shiftleft(1, f) as fs",
-        "sure",
     )
 
 
+_RANGE = ["lo", "hi", "o_lo", "o_hi", "diagonal"]
+
+
 def _spots(sided: DataFrame) -> DataFrame:
     """The joined windows of each pair of documents and diagonal as one range of tokens of either."""
     return sided.groupBy(*_PAIR, F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal")).agg(
@@ -340,21 +373,13 @@ def _spots(sided: DataFrame) -> DataFrame:
         F.max(F.col("c") + F.col("after")).alias("hi"),
         F.min(F.col("o_c") - F.col("before")).alias("o_lo"),
         F.max(F.col("o_c") + F.col("after")).alias("o_hi"),
-        F.bit_or("fs").alias("fs"),
-        F.max("sure").alias("sure"),
     )
 
 
-_RANGE = ["lo", "hi", "o_lo", "o_hi", "diagonal"]
-
-
-def _agreed(spots: DataFrame, enough: int) -> DataFrame:
-    """(doc, th, o_doc, o_th, lo, hi, o_lo, o_hi, spots) of the pairs of documents on which enough functions agree."""
+def _by_pair(spots: DataFrame) -> DataFrame:
+    """(doc, th, o_doc, o_th, lo, hi, o_lo, o_hi, spots) of every pair of documents."""
     ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi")]
-    pairs = spots.groupBy(*_PAIR).agg(
-        *ends, F.collect_list(F.struct(*_RANGE)).alias("spots"), F.bit_or("fs").alias("fs"), F.max("sure").alias("sure")
-    )
-    return pairs.where((F.bit_count("fs") >= enough) | F.col("sure")).drop("fs", "sure")
+    return spots.groupBy(*_PAIR).agg(*ends, F.collect_list(F.struct(*_RANGE)).alias("spots"))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, width: int, span: int, percent: int) -> DataFrame:
@@ -378,7 +403,6 @@ def near_passages(
     percent: int = PERCENT,
     width: int = WIDTH,
     hashes: int = HASHES,
-    enough: int = ENOUGH,
 ) -> DataFrame:
     """A row per passage and passage of another document that it is joined with: id, start_word, n_words, other_id,
     other_start_word, other_n_words, percent (similarity, rounded down). Passages that are similar are joined, if not directly, through others.
@@ -390,8 +414,8 @@ def near_passages(
     alike = small_side(copies)
     texts = key.once(every.join(alike, ["doc", "th"], "left_anti"))
     group = Window.partitionBy("key", "salt")
-    own = F.struct("doc", "th", "c", "l", "r", "cls")
-    known = F.struct(*[F.col(f"o.{n}").alias(n) for n, _ in _PLACE], "cls")
+    own = F.struct("doc", "th", "c", "l", "r", "cls", "sketch")
+    known = F.struct(*[F.col(f"o.{n}").alias(n) for n, _ in _PLACE], "cls", "sketch")
     several = (F.min(F.struct("doc", "th")).over(group) < F.max(F.struct("doc", "th")).over(group)) | F.max("borne").over(group)
     live = written(
         _windows(texts, _token_counts(texts, width), width, span, hashes)
@@ -400,22 +424,17 @@ def near_passages(
         .withColumn("mixed", (F.min("cls").over(group) < F.max("cls").over(group)) & several)
         .select(
             "key",
-            "f",
             own.alias("x"),
-            "borne",
             (F.col("mixed") & (F.col("salt") == 0)).alias("mixed"),
             F.when(F.col("salt") > 0, F.array(known)).otherwise(F.array("first", F.when(F.col("back.cls") == F.col("cls"), F.col("back")))).alias("y"),
         )
-        .withColumn(
-            "y",
-            F.filter("y", lambda y: y.isNotNull() & ((y.doc != F.col("x.doc")) | (y.th != F.col("x.th"))) & (_overlap_of(F.col("x"), y) >= span)),
-        )
+        .withColumn("y", F.expr(f"filter(y, y -> y is not null and {_apart('x', 'y')} and {_alike('x', 'y', span)})"))
         .where("mixed or size(y) > 0"),
         "windows-live",
     )
-    starred = live.select("f", "x", F.explode("y").alias("y")).withColumn("sure", F.expr("x.cls = y.cls"))
-    joined = _sided(starred, span)
-    first = written(_agreed(_spots(joined), enough), "windows-pairs")
+    joined = _sided(live.select("x", F.explode("y").alias("y")))
+    spots = written(_spots(joined), "windows-spots")
+    first = _by_pair(spots)
     found = _similar(texts, first, width, span, percent)
     united = joined.where("a <> b").join(found, _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
     links = written(united.select("a", "b").distinct(), "windows-links")
@@ -424,40 +443,38 @@ def near_passages(
     by_key = Window.partitionBy("key")
     apart = written(
         live.where("mixed")
-        .groupBy("key", "f", F.col("x.cls").alias("node"))
-        .agg(F.min("x").alias("x"), F.max("x").alias("last"), F.max("borne").alias("borne"))
+        .groupBy("key", F.col("x.cls").alias("node"))
+        .agg(F.min("x").alias("x"), F.max("x").alias("last"))
         .join(comp, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .withColumn("lo", F.min("component").over(by_key))
         .withColumn("hi", F.max("component").over(by_key))
         .where("lo <> hi")
-        .select("key", "f", "node", "component", "x", "last", F.expr("borne or x.doc <> last.doc or x.th <> last.th").alias("several")),
+        .select("key", "node", "component", "x", "last"),
         "windows-apart",
     )
-    same = "p.x.doc = q.{0}.doc and p.x.th = q.{0}.th"
     crossed = (
         apart.alias("p")
         .join(apart.alias("q"), F.col("p.key") == F.col("q.key"))
-        .where(f"p.node < q.node and p.component <> q.component and {_overlap('p.x', 'q.x')} >= {span}")
+        .where(f"p.node < q.node and p.component <> q.component and {_alike('p.x', 'q.x', span)}")
+        .where(f"{_apart('p.x', 'q.x')} or {_apart('p.last', 'q.x')} or {_apart('p.x', 'q.last')}")
         .selectExpr(
-            "p.f as f",
-            f"if({same.format('x')} and p.several, p.last, p.x) as x",
-            f"if({same.format('x')} and not p.several and q.several, q.last, q.x) as y",
-            "p.several or q.several as sure",
+            f"if({_apart('p.x', 'q.x')} or not {_apart('p.last', 'q.x')}, p.x, p.last) as x",
+            f"if({_apart('p.x', 'q.x')} or {_apart('p.last', 'q.x')}, q.x, q.last) as y",
         )
     )
-    tried = first.select(*_PAIR, F.explode("spots").alias("t")).select(*_PAIR, "t.diagonal", *[F.col(f"t.{x}").alias(f"t_{x}") for x in _RANGE[:4]])
+    tried = spots.select(*_PAIR, "diagonal", *[F.col(x).alias(f"t_{x}") for x in _RANGE[:4]])
     fresh = (
-        _spots(_sided(crossed, span))
+        _spots(_sided(crossed))
         .join(tried, [*_PAIR, "diagonal"], "left")
         .where("not coalesce(t_lo <= lo and t_hi >= hi and t_o_lo <= o_lo and t_o_hi >= o_hi, false)")
-        .select(*_PAIR, *_RANGE, "fs", "sure")
+        .select(*_PAIR, *_RANGE)
     )
-    second = written(_agreed(fresh, enough), "windows-pairs")
+    second = written(_by_pair(fresh), "windows-pairs")
     released(live, links, comp, apart)
     if second.head(1):
         found = found.union(_similar(texts, second, width, span, percent)).distinct()
-    released(first, second)
+    released(spots, second)
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
     passages = found.select(
         F.col("doc").alias(id_col),

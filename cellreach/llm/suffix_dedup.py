@@ -11,8 +11,9 @@ the same one). Equal texts are found first: all but the first of them go as a wh
 3. Stretches are dealt by label into shards of bounded size; each shard gets a suffix array by Larsson-Sadakane refinement
    (doubling, sorted groups left alone) and common prefixes by Kasai's bound; suffixes with a common prefix of `length`
    bytes or more are one string, and all of them but the one that starts first are repeats.
-4. A label with more bytes than a shard holds is dealt to several shards, each in a task that may be another's. The distinct strings of these shards
-   are merged by sorting them by digest; all but the first start of each are repeats.
+4. A label with more bytes than a shard holds is dealt to several shards, each in a task that may be another's. Each gives the digests of its distinct
+   strings in as many blocks as there are shards; the blocks of one digest range are merged in one task by binary
+   search, and all but the first start of a string are repeats.
 
 Scale: the anchor shuffle is about half a byte per byte of text; texts are read four times, and shuffled only for documents
 with repeated anchors. Hashes only choose candidates; which windows are equal is decided on bytes within shards, and on 128-bit digests for
@@ -265,19 +266,22 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     return lcp[sa]
 
 
-_RANGE = "doc long, th long, s int, e int, digest binary"
+_RANGE = "doc long, th long, s int, e int, label long, block int, digests binary, places binary"
+#: A place of a distinct string, as it goes from a shard to the merge.
+_PLACE = np.dtype([("doc", "<i8"), ("th", "<i8"), ("s", "<i4")])
 
 
 def _shard_repeats(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
-    """Ranges (doc, th, s, e) of the bytes of the shard that an earlier place of it has, too, and the first place
-    (doc, th, s, digest) of every distinct string of the stretches dealt to several shards. rows: (doc, th, begin, shared, content)."""
-    rows = sorted(rows, key=lambda r: r[:3])
-    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    sizes = np.array([len(r[4]) for r in rows])
+    """Of stretches (label, parts, doc, th, begin, content): ranges (doc, th, s, e) of the bytes that an earlier place of the shard has, too,
+    and, for labels in several shards (parts), blocks (label, block, digests, places) of their distinct strings with the first place of each."""
+    rows = sorted(rows, key=lambda r: r[2:5])
+    raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    sizes = np.array([len(r[5]) for r in rows])
     first = np.cumsum(sizes) - sizes
-    document = np.cumsum([k == 0 or rows[k][:2] != rows[k - 1][:2] for k in range(len(rows))])
+    begin = np.array([r[4] for r in rows])
+    document = np.cumsum([k == 0 or rows[k][2:4] != rows[k - 1][2:4] for k in range(len(rows))])
     # (document, place in it) of every byte as one number: stretches of a document may overlap
-    place = np.repeat((document << 32) + np.array([r[2] for r in rows]) - first, sizes) + np.arange(len(raw))
+    place = np.repeat((document << 32) + begin - first, sizes) + np.arange(len(raw))
     inside = np.repeat(first + sizes - length, sizes) >= np.arange(len(raw))
     sa = suffix_array(raw, length)
     lcp = common_prefixes(raw, sa, length)
@@ -285,36 +289,42 @@ def _shard_repeats(rows: list[tuple], length: int) -> tuple[list[tuple], list[tu
     valid = inside[sa]
     sa, number = sa[valid], number[valid]
     heads = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-    least = np.minimum.reduceat(place[sa], heads)
     times = np.diff(np.append(heads, len(sa)))
+    least = np.repeat(np.minimum.reduceat(place[sa], heads), times)
     late = np.zeros(len(raw) + 2, np.int8)  # one place further on
-    late[sa + 1] = place[sa] > np.repeat(least, times)
+    late[sa + 1] = place[sa] > least
     edges = np.flatnonzero(np.diff(late))
     starts, ends = edges[::2], edges[1::2]  # the last bytes of a stretch start no window, so runs end within theirs
     owner = np.searchsorted(first, starts, "right") - 1
-    ranges = [
-        (rows[o][0], rows[o][1], rows[o][2] + a, rows[o][2] + b - 1 + length)
-        for o, a, b in zip(owner.tolist(), (starts - first[owner]).tolist(), (ends - first[owner]).tolist(), strict=True)
-    ]
-    merge = []
-    if any(r[3] for r in rows):
-        data = raw.tobytes()
-        shared = np.repeat(np.array([r[3] for r in rows], bool), sizes)
-        wanted = np.repeat(np.logical_or.reduceat(shared[sa], heads), times)
-        mine = np.sort(sa[wanted & (late[sa + 1] == 0)])
-        own = np.searchsorted(first, mine, "right") - 1
-        for o, at in zip(own.tolist(), mine.tolist(), strict=True):
-            doc, th, begin = rows[o][:3]
-            merge.append((doc, th, begin + at - int(first[o]), hashlib.blake2b(data[at : at + length], digest_size=16).digest()))
-    return ranges, merge
+    at = begin[owner] + starts - first[owner]
+    ranges = [(*rows[o][2:4], s, s + n - 1 + length) for o, s, n in zip(owner.tolist(), at.tolist(), (ends - starts).tolist(), strict=True)]
+
+    blocks = []
+    group = np.repeat(np.arange(len(heads)), times)
+    firsts = sa[(late[sa + 1] == 0)]  # of a string that starts twice at its first place (overlapping stretches) either will do
+    first_of = np.empty(len(heads), np.int64)
+    first_of[group[late[sa + 1] == 0]] = firsts
+    data = raw.tobytes()
+    for label, parts in {(r[0], r[1]) for r in rows if r[1]}:
+        mine = np.repeat(np.array([r[0] == label for r in rows]), sizes)
+        spots = first_of[np.unique(group[mine[sa]])]
+        digests = [hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in spots.tolist()]
+        own = np.searchsorted(first, spots, "right") - 1
+        places = np.empty(len(spots), _PLACE)
+        places["doc"], places["th"] = (np.array([r[k] for r in rows], np.int64)[own] for k in (2, 3))
+        places["s"] = begin[own] + spots - first[own]
+        keys = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        dealt = keys[:, 0] % np.uint64(parts)
+        blocks += [(label, k, keys[dealt == k].tobytes(), places[dealt == k].tobytes()) for k in range(parts)]
+    return ranges, blocks
 
 
 def _sharded(stretches: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """_RANGE rows of stretches (label, salt, doc, th, begin, shared, content) that come label by label."""
+    """_RANGE rows of stretches (label, salt, parts, doc, th, begin, content) that come label by label."""
 
     def emitted(rows):
-        ranges, merge = _shard_repeats(rows, length)
-        out = [(*r, None) for r in ranges] + [(doc, th, s, s + length, digest) for doc, th, s, digest in merge]
+        ranges, blocks = _shard_repeats(rows, length)
+        out = [(*r, None, None, None, None) for r in ranges] + [(None, None, None, None, *b) for b in blocks]
         for k in range(0, len(out), 50_000):
             yield _batch(out[k : k + 50_000], _RANGE)
 
@@ -326,7 +336,7 @@ def _sharded(stretches: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 if held and size >= shard_bytes and (label, salt) != last:
                     yield from emitted(held)
                     held, size = [], 0
-                held.append(tuple(row))
+                held.append((label, *row))
                 size += len(row[-1])
                 last = label, salt
         if held:
@@ -335,6 +345,45 @@ def _sharded(stretches: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return stretches.mapInArrow(run, _RANGE)
 
 
+def _merged(blocks: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s, e) of the strings in blocks (label, block, digests, places) that start earlier in another shard of the label."""
+    ddl = "doc long, th long, s int, e int"
+
+    def ranges(keys: bytes, places: bytes):
+        key = np.frombuffer(keys, "<u8").reshape(-1, 2)
+        at = np.frombuffer(places, _PLACE)
+        order = np.lexsort((at["s"], at["th"], at["doc"], key[:, 1], key[:, 0]))
+        key, at = key[order], at[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]).any(1)))
+        head = np.flatnonzero(new)
+        source = head[np.searchsorted(head, np.arange(len(key)), "right") - 1]
+        late = np.sort(at[at != at[source]])
+        if not len(late):
+            return
+        go = np.concatenate(([True], (late["doc"][1:] != late["doc"][:-1]) | (late["th"][1:] != late["th"][:-1]) | (late["s"][1:] > late["s"][:-1] + 1)))
+        begins = np.flatnonzero(go)
+        ends = np.append(begins[1:], len(late)) - 1
+        b, e = late[begins], late[ends]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(b["doc"]), pa.array(b["th"]), pa.array(b["s"]), pa.array((e["s"] + length).astype(np.int32))], names=["doc", "th", "s", "e"]
+        )
+
+    def run(batches):
+        last, held = None, ([], [])
+        for batch in batches:
+            for label, block, digests, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last not in (None, (label, block)):
+                    yield from ranges(*map(b"".join, held))
+                    held = [], []
+                last = label, block
+                held[0].append(digests)
+                held[1].append(places)
+        if last:
+            yield from ranges(*map(b"".join, held))
+
+    return blocks.repartition("label", "block").sortWithinPartitions("label", "block").mapInArrow(run, ddl)
+
+
 def repeated_ranges(
     docs: DataFrame,
     key: RowKey,
@@ -371,28 +420,23 @@ def repeated_ranges(
         .select(
             "label",
             F.coalesce(F.pmod(F.xxhash64("cls"), "parts").cast("int"), F.lit(0)).alias("salt"),
+            F.coalesce(F.col("parts").cast("int"), F.lit(0)).alias("parts"),
             "p.*",
-            F.col("parts").isNotNull().alias("shared"),
             "content",
         )
         .repartition("label", "salt")
         .sortWithinPartitions("label", "salt")
     )
     found = written(_sharded(dealt, length, shard_bytes), "suffix-found")
-    same = Window.partitionBy("digest")
-    across = (
-        found.where("digest is not null")
-        .withColumn("first", F.min(F.struct("doc", "th", "s")).over(same))
-        .where(F.struct("doc", "th", "s") != F.col("first"))
-    )
+    names = ["doc", "th", "s", "e"]
+    across = _merged(found.where("label is not null").select("label", "block", "digests", "places"), length)
     again = (
         seen.select("label", "cls", "doc", "th", "begin", "size")
         .join(classes.where("times > 1").select("label", "cls", "p"), ["label", "cls"])
         .where(F.struct("doc", "th", "begin") != F.col("p"))
         .select("doc", "th", F.col("begin").alias("s"), (F.col("begin") + F.col("size")).alias("e"))
     )
-    names = ["doc", "th", "s", "e"]
-    every_range = found.where("digest is null").select(names).union(across.select(names)).union(again).union(copies)
+    every_range = found.where("label is null").select(names).union(across).union(again).union(copies)
     ranges = written(every_range.groupBy("doc", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "suffix-ranges")
     released(copies, seen, classes, large, found)
     return ranges
