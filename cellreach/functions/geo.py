@@ -6,6 +6,10 @@ parent is a bit shift. Its ids are not H3 ids; `h3_parent` does the id arithmeti
 
 from __future__ import annotations
 
+import math
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +41,28 @@ def parent_cell(cell: Column, steps: int = 1) -> Column:
     return (res - steps) * (1 << 2 * _AXIS_BITS) + F.shiftright(x, steps) * (1 << _AXIS_BITS) + F.shiftright(y, steps)
 
 
+def cell_span(low: Column, high: Column, start: float, res: int) -> Column:
+    """All cell numbers along an axis that starts at `start` degrees, from low to high degrees."""
+    per_degree = (1 << (res + _BASE_BITS)) / 360.0
+    return F.sequence(F.floor((low - start) * per_degree), F.floor((high - start) * per_degree))
+
+
+def cells_around(lon: Column, lat: Column, metres: float, res: int) -> Column:
+    """The cells that any point within `metres` of a place can be in (not across the date line)."""
+    dy = F.lit(metres / METRES_PER_DEGREE * 1.000001)
+    dx = dy / F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.9))))
+    rows = cell_span(lat - dy, lat + dy, -90.0, res)
+    across = F.transform(cell_span(lon - dx, lon + dx, -180.0, res), lambda x: F.transform(rows, lambda y: pack_cell(x, y, res)))
+    return F.flatten(across)
+
+
+def cell_centre(cell: Column, res: int) -> tuple[Column, Column]:
+    """lon and lat of the middle of a cell."""
+    mask, side = (1 << _AXIS_BITS) - 1, 360.0 / (1 << (res + _BASE_BITS))
+    x, y = F.shiftright(cell, _AXIS_BITS).bitwiseAND(mask), cell.bitwiseAND(mask)
+    return (x + 0.5) * side - 180.0, (y + 0.5) * side - 90.0
+
+
 def cell_ring(x: Column, y: Column, res: int) -> Column:
     """The nine cells around (x, y), itself included."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -107,20 +133,40 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def wkb_point(wkb: Column) -> tuple[Column, Column]:
-    """lon and lat of a little-endian WKB point, for whole-number bit patterns read by a vectorised UDF."""
-    import struct
-
-    import pandas as pd
-
+    """lon and lat of a little-endian WKB point, read in Arrow batches; null for null or short bytes."""
     @F.pandas_udf("lon double, lat double")
     def decode(values: pd.Series) -> pd.DataFrame:
         rows = [struct.unpack("<dd", bytes(v)[5:21]) if v is not None and len(v) >= 21 else (None, None) for v in values]
-        return pd.DataFrame(rows, columns=["lon", "lat"])
+        return pd.DataFrame(rows, columns=["lon", "lat"], dtype="float64")
 
     point = decode(wkb)
     return point["lon"], point["lat"]
 
 
+def wkb_kind(wkb: Column) -> Column:
+    """The name of a little-endian WKB geometry's type; null for null, short or other bytes."""
+    low = F.conv(F.hex(F.substring(wkb, 2, 1)), 16, 10).cast("int")
+    sound = (F.octet_length(wkb) > 5) & (F.hex(F.substring(wkb, 1, 1)) == "01") & (F.hex(F.substring(wkb, 3, 3)) == "000000")
+    names = F.array(*[F.lit(n) for n in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")])
+    return F.when(sound, F.get(names, low - 1))
+
+
+def wkb_is_empty(wkb: Column) -> Column:
+    """Whether a WKB geometry has no parts: a count of zero, or a point of NaN coordinates."""
+    point = F.hex(F.substring(wkb, 12, 2)).isin("F87F", "F8FF")
+    return F.when(wkb_kind(wkb) == "Point", point).otherwise(F.hex(F.substring(wkb, 6, 4)) == "00000000")
+
+
+def approx_reach(lon: Column, lat: Column, at_lon: float, at_lat: float, minutes: float, metres_per_minute: float = 1500.0, pad: float = 1.4) -> Column:
+    """Whether a place may be reached from (at_lon, at_lat) in some minutes: a generous straight-line radius. Nothing is in no time."""
+    if minutes <= 0:
+        return F.lit(False)
+    radius = minutes * metres_per_minute * pad
+    dx = (lon - at_lon) * (max(math.cos(math.radians(at_lat)), 1e-4) * METRES_PER_DEGREE)
+    dy = (lat - at_lat) * METRES_PER_DEGREE
+    return dx * dx + dy * dy <= radius * radius
+
+
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
     """Whether a point is in a box of two corners, given in any order."""
     x1, y1, x2, y2 = box

@@ -22,6 +22,8 @@ HIGHWAY_KMH = [
     (["service", "unclassified"], 15.0),
 ]
 DEFAULT_KMH = 40.0
+#: Words that labels keep in capitals.
+ACRONYMS = ["OSM", "US", "USA", "UK"]
 
 
 def numbers(text: Column) -> Column:
@@ -95,6 +97,21 @@ def label_of(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))
 
 
+def pretty_label(slug: Column) -> Column:
+    """A slug as a label, every run of letters capitalised, with common acronyms in capitals."""
+    spaced = F.replace(F.trim(slug), F.lit("_"), F.lit(" "))
+    parts = F.regexp_extract_all(spaced, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    out = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+    for word in ACRONYMS:
+        out = F.replace(out, F.lit(word.title()), F.lit(word))
+    return out
+
+
+def sample_value(line: Column, key: str) -> Column:
+    """The number that follows `key=` in a line of telemetry; null if there is none."""
+    return F.nullif(F.regexp_extract(line, rf"\b{key}=(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
+
+
 def looks_like_coordinates(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*-?\d+(\.\d+)?\s*,\s*-?\d+(\.\d+)?\s*$"), F.lit(False))
 

@@ -84,6 +84,17 @@ def minute_bucket(seconds: Column) -> Column:
     return F.when(seconds <= 600, 10).when(seconds <= 1200, 20).when(seconds <= 1800, 30).otherwise(60)
 
 
+def half_even(value: Column, places: int) -> Column:
+    """Rounded to `places` decimals, halves to the even neighbour."""
+    return F.bround(value, places)
+
+
+def sparkline(values: Column) -> Column:
+    """Values scaled to 0..1 between their least and greatest; all 0.5 where these are equal; nulls stay null."""
+    low, high = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.when(x.isNotNull(), F.lit(0.5))))
+
+
 def row_stats(values: Column) -> dict[str, Column]:
     """Mean, least, greatest and sum of an array, nulls left out."""
     some = F.filter(values, lambda x: x.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.functions.units import UNREACHABLE
@@ -12,6 +12,62 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def overlay_errors(df: DataFrame, expected: list[str], key: str = "cell", res: str = "res") -> list[str]:
+    """What is wrong with an overlay table: missing columns, other types than long and int, null keys, repeated (key, res). Empty if nothing is."""
+    missing = missing_columns(df, expected)
+    if missing:
+        return [f"missing columns: {', '.join(missing)}"]
+    kinds = dict(df.dtypes)
+    found = [f"{c} is {kinds[c]}, not {want}" for c, want in ((key, "bigint"), (res, "int")) if kinds[c] != want]
+    if null_keys(df, [key]).head(1):
+        found.append(f"null {key}")
+    if duplicate_keys(df, [key, res]).head(1):
+        found.append(f"repeated ({key}, {res})")
+    return found
+
+
+def enforce_overlay_types(df: DataFrame, key: str = "cell", res: str = "res") -> DataFrame:
+    """df with its key as a long and its resolution as an int, where it has them."""
+    return df.withColumns({c: F.col(c).cast(kind) for c, kind in ((key, "long"), (res, "int")) if c in df.columns})
+
+
+def poi_errors(df: DataFrame, required: list[str]) -> list[str]:
+    """What is wrong with a table of places: missing columns, a provenance that is no list."""
+    found = [f"missing columns: {', '.join(m)}" for m in [missing_columns(df, required)] if m]
+    kind = dict(df.dtypes).get("provenance", "array")
+    return found + ([] if kind.startswith("array") else [f"provenance is {kind}, not a list"])
+
+
+def climate_gaps(columns: list[str], months: list[str]) -> list[str]:
+    """The monthly and derived columns that a climate table lacks."""
+    monthly = [p.format(m) for m in months for p in ("temp_mean_{}_f_q", "ppt_{}_mm_q", "ppt_{}_in_q")]
+    derived = ["temp_mean_ann_f_q", "temp_mean_summer_f_q", "temp_mean_winter_f_q", "ppt_ann_mm_q", "ppt_ann_in_q", "climate_label"]
+    return [c for c in monthly + derived if c not in columns]
+
+
+def tile_errors(layers: dict[str, list[str]], zooms: tuple[int, int], contract: dict) -> list[str]:
+    """What an export of layers (name -> properties) breaks of a contract (layer_name, min_zoom, max_zoom, required_properties)."""
+    name = contract["layer_name"]
+    found = [f"{k} is {z}, not {contract[k]}" for k, z in zip(("min_zoom", "max_zoom"), zooms, strict=True) if z != contract[k]]
+    if name not in layers:
+        return [f"no layer {name}", *found]
+    lacking = sorted(set(contract["required_properties"]) - set(layers[name]))
+    found += [f"missing properties: {', '.join(lacking)}"] if lacking else []
+    return found + ([] if {"a0_id", "a0_s"} <= set(layers[name]) else ["no a0_id, a0_s"])
+
+
+def falling_times(times: DataFrame) -> DataFrame:
+    """(cell, rank) rows of (cell, rank, t) whose time is less than that of the rank before."""
+    before = F.lag("t").over(Window.partitionBy("cell").orderBy("rank"))
+    return times.withColumn("_before", before).where("t < _before").drop("_before")
+
+
+def unpaired_slots(columns: list[str]) -> list[str]:
+    """Slots of a wide travel-time table that have an id without seconds, or the reverse."""
+    slots = {kind: {c[1:-len(kind)] for c in columns if c.startswith("a") and c.endswith(kind) and c[1:-len(kind)].isdigit()} for kind in ("_id", "_s")}
+    return sorted(slots["_id"] ^ slots["_s"], key=int)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

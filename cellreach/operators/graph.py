@@ -107,6 +107,107 @@ def kbest_by_source(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, c
     return _best(parts.mapInPandas(run, "node long, src long, d long"), k)
 
 
+#: Edges of a part of the graph, which one task holds.
+PART_EDGES = 500_000
+_LABELS = "array<struct<node: bigint, src: string, d: bigint, limit: bigint>>"
+
+
+def kbest_by_part(edges: DataFrame, sources: DataFrame, k: int | None, cutoff: int | None = None, parts: int = 32, max_rounds: int = 10_000) -> DataFrame:
+    """(node, src, d): for every node the k least (time, source) over distinct sources (all of them for k None) within the source's limit.
+
+    sources: (node), each a source of its own, or (node, src, limit), nodes of one src being one source; src is text where it is given. The graph is cut
+    into ranges of node ids with about as many edges each. A round searches every part that has new labels to its end, in one task,
+    and sends on only the labels that leave the part; parts without new labels are left alone. So rounds are the times that a path
+    crosses from part to part, not its hops; ids should follow places. Ties are broken by src.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    own = "src" not in sources.columns
+    if own:
+        sources = sources.select("node", F.col("node").cast("string").alias("src"))
+    if "limit" not in sources.columns:
+        sources = sources.withColumn("limit", F.lit(cutoff).cast("long"))
+    total = edges.count()
+    parts = max(1, min(parts, total), -(-total // PART_EDGES))
+    borders = sorted(set(edges.approxQuantile("u", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and total else []
+    held = np.array(borders, np.float64)  # at most as many numbers as there are parts
+    # The part of a node is the number of borders not above it, here and in the tasks.
+    part_of = lambda node: F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<double>"), lambda b: b <= node))
+    packed = cut(
+        edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("long").alias("w"), part_of(F.col("u")).alias("part"))
+        .groupBy("part")
+        .agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
+    )
+
+    def order(src: str):
+        return int(src) if own else src
+
+    def search(rows: list, fresh: list, held_labels: list, part: int) -> tuple[list, list]:
+        near: dict[int, list] = defaultdict(list)
+        for e in rows or ():
+            near[e["u"]].append((e["v"], e["w"]))
+        best: dict[int, dict] = defaultdict(dict)
+        limits: dict[str, int] = {}
+        for x in held_labels or ():
+            best[x["node"]][x["src"]] = x["d"]
+            limits[x["src"]] = x["limit"]
+        heap = []
+        for x in fresh:
+            limits[x["src"]] = x["limit"]
+            if x["d"] <= x["limit"]:
+                heap.append((x["d"], order(x["src"]), x["src"], x["node"]))
+        heapq.heapify(heap)
+        away: dict[tuple, int] = {}
+        while heap:
+            d, rank, src, node = heapq.heappop(heap)
+            mine = best[node]
+            if mine.get(src, d + 1) <= d:
+                continue
+            if k is not None and len(mine) >= k and src not in mine:
+                worst = max(mine, key=lambda s: (mine[s], order(s)))
+                if (mine[worst], order(worst)) < (d, rank):
+                    continue
+                del mine[worst]
+            mine[src] = d
+            for other, w in near.get(node, ()):
+                if d + w > limits[src]:
+                    continue
+                if int(np.searchsorted(held, other, "right")) == part:
+                    if best[other].get(src, d + w + 1) > d + w if other in best else True:
+                        heapq.heappush(heap, (d + w, rank, src, other))
+                elif away.get((other, src), d + w + 1) > d + w:
+                    away[other, src] = d + w
+        label = lambda node, src, d: {"node": node, "src": src, "d": d, "limit": limits[src]}
+        return [label(n, s, d) for n, x in best.items() for s, d in x.items()], [label(n, s, d) for (n, s), d in away.items()]
+
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("src", pa.string()), ("d", pa.int64()), ("limit", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            for part, rows, fresh, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                stay, away = search(rows, fresh, labels, part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([stay], kind), pa.array([away], kind)], names=["part", "labels", "away"]
+                )
+
+    start = sources.select(F.col("node").cast("long").alias("node"), "src", F.lit(0).cast("long").alias("d"), "limit").distinct()
+    state, fresh = None, start
+    for _ in range(max_rounds):
+        coming = fresh.groupBy(part_of(F.col("node")).alias("part")).agg(F.collect_list(F.struct("node", "src", "d", "limit")).alias("fresh"))
+        work = coming.join(packed, "part", "left")
+        work = work.withColumn("labels", F.lit(None).cast(_LABELS)) if state is None else work.join(state, "part", "left")
+        done = cut(work.select("part", "edges", "fresh", "labels").mapInArrow(run, f"part int, labels {_LABELS}, away {_LABELS}"))
+        new = done.select("part", "labels")
+        state = new if state is None else cut(state.join(new, "part", "left_anti").unionByName(new))
+        moved = done.select(F.explode("away").alias("x")).select("x.*")
+        fresh = moved.groupBy("node", "src", "limit").agg(F.min("d").alias("d"))
+        if not fresh.head(1):
+            src = F.col("x.src").cast("long") if own else F.col("x.src")
+            return state.select(F.explode("labels").alias("x")).select("x.node", src.alias("src"), "x.d")
+    raise RuntimeError("relaxation did not settle")
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of weakly connected nodes: the least node reachable either way.
 

@@ -39,6 +39,20 @@ def with_label(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("climate_label", units.climate_label(*columns))
 
 
+def election_overlay(results: DataFrame, counties: DataFrame, year: int = 2024) -> DataFrame:
+    """counties (fips, ...) with rep_share and political_lean of a presidential election, those without votes left out.
+
+    results: (year, county_fips, office, party, candidatevotes); rows of other years, offices and parties are left out.
+    """
+    from cellreach.functions.text import clean_fips
+    from cellreach.operators.tables import share_pivot
+
+    own = results.where((F.col("year") == year) & (F.col("office") == "US PRESIDENT") & F.col("party").isin("DEMOCRAT", "REPUBLICAN"))
+    votes = own.select(clean_fips(F.col("county_fips")).alias("fips"), "party", F.col("candidatevotes").cast("long").alias("votes"))
+    shares = lean(share_pivot(votes, "fips", {"DEMOCRAT": "dem_votes", "REPUBLICAN": "rep_votes"}, "total_votes"), "dem_votes", "rep_votes")
+    return counties.join(shares, "fips")
+
+
 def lean(shares: DataFrame, left: str, right: str) -> DataFrame:
     """With rep_share = right / (left + right) where there are votes, and its bucket."""
     both = F.col(left) + F.col(right)

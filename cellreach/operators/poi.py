@@ -57,6 +57,60 @@ def hospital_or_clinic(category: Column, name: Column) -> Column:
     return F.when((category == "hospital") & ~real, F.lit("clinic")).otherwise(category)
 
 
+#: Words that make a clinic of a hospital in the tagged feed, whose names need not say hospital.
+TAGGED_NOT_HOSPITAL_WORDS = [
+    "urgent care", "urgent_care", "afc urgent", "express care", "quick care",
+    "facial", "cosmetic", "plastic surgery", "dermatology", "spa", "aesthetic", "rejuvenation",
+]
+#: The tag keys that give a place its category, the first one that is mapped.
+TAG_ORDER = ["amenity", "shop", "leisure", "tourism", "aeroway"]
+
+
+def map_tags(pois: DataFrame, mapping: DataFrame) -> DataFrame:
+    """pois (name, tags map) with class, category and subcat of the first key of TAG_ORDER whose value is mapped (key, value, class, category, subcat).
+
+    A hospital by one of TAGGED_NOT_HOSPITAL_WORDS is a clinic; a place of worship has the kind of its religion, and nothing for a religion that
+    is not mapped; airports go.
+    """
+    found = pois
+    for k in TAG_ORDER:
+        own = mapping.where(F.col("key") == k).select(F.col("value").alias(f"_{k}"), F.struct("class", "category", "subcat").alias(f"_x_{k}"))
+        found = found.join(own, F.try_element_at("tags", F.lit(k)) == F.col(f"_{k}"), "left").drop(f"_{k}")
+    found = found.withColumn("_x", F.coalesce(*[F.col(f"_x_{k}") for k in TAG_ORDER])).drop(*[f"_x_{k}" for k in TAG_ORDER])
+    low = F.coalesce(F.lower("name"), F.lit(""))
+    clinic = (F.col("_x.category") == "hospital") & reduce(lambda a, b: a | b, [low.contains(w) for w in TAGGED_NOT_HOSPITAL_WORDS])
+    religion = F.try_element_at("tags", F.lit("religion"))
+    worship = F.coalesce(F.col("_x.category").startswith("place_of_worship") & (religion != ""), F.lit(False))
+    kind = _lookup(F.lower(religion), WORSHIP)
+
+    def pick(field: str, of_clinic: str, of_worship: Column) -> Column:
+        return F.when(clinic, F.lit(of_clinic)).when(worship, F.when(kind.isNotNull(), of_worship)).otherwise(F.col(f"_x.{field}"))
+
+    named = found.withColumns(
+        {
+            "class": pick("class", "health", F.col("_x.class")),
+            "category": pick("category", "clinic", F.concat(F.lit("place_of_worship_"), kind)),
+            "subcat": pick("subcat", "clinic", kind),
+        }
+    )
+    return named.drop("_x").where(F.coalesce("category", F.lit("")) != "airport")
+
+
+def allowed(pois: DataFrame, categories: list[str] = (), brands: list[str] = ()) -> DataFrame:
+    """pois (category, brand_id) of the categories or the brands; with neither list, those that have a category or a brand."""
+    if categories or brands:
+        listed = [F.coalesce(F.col(c).isin(list(some)), F.lit(False)) for c, some in (("category", categories), ("brand_id", brands))]
+        return pois.where(listed[0] | listed[1])
+    return pois.where("category is not null or brand_id is not null")
+
+
+def resolve_brand_text(registry: DataFrame, asked: str) -> str:
+    """The brand id of an id, name or alias, whatever its case; the text itself, lower-cased, if it is none."""
+    low = asked.strip().lower()
+    hit = alias_table(registry).where(F.col("alias") == low).select("brand_id").head(1)
+    return hit[0]["brand_id"] if hit and low else low
+
+
 def worship_kind(religion: Column) -> Column:
     """place_of_worship_<kind>; null for a religion that is not mapped."""
     return F.concat(F.lit("place_of_worship_"), _lookup(F.lower(religion), WORSHIP))

@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from cellreach.functions import geo
 
 
-def _near_cells(points: DataFrame, res: int) -> DataFrame:
-    x, y = geo.cell_xy(F.col("lon"), F.col("lat"), res)
-    return points.withColumn("cell", F.explode(geo.cell_ring(x, y, res)))
+def _near_cells(points: DataFrame, metres: float, res: int) -> DataFrame:
+    return points.withColumn("cell", F.explode(geo.cells_around(F.col("lon"), F.col("lat"), metres, res)))
 
 
 def within(points: DataFrame, places: DataFrame, metres: float, res: int) -> DataFrame:
     """Pairs of points (id, lon, lat) and places (place, p_lon, p_lat) at most `metres` apart, with their distance.
 
-    Cells of the resolution must be at least `metres` wide: a point is joined with the places of its own and the eight cells around.
-    An equi-join on the cell, so crowded cells are split by adaptive execution and no pair outside neighbouring cells is made.
+    A point is joined with the places of all cells that the distance reaches, few if cells are about `metres` wide.
+    An equi-join on the cell, so crowded cells are split by adaptive execution and no pair of far cells is made.
     """
     celled = places.withColumn("cell", geo.cell_of(F.col("p_lon"), F.col("p_lat"), res))
-    pairs = _near_cells(points, res).join(celled, "cell").drop("cell")
+    pairs = _near_cells(points, metres, res).join(celled, "cell").drop("cell")
     return pairs.withColumn("dist", geo.metres_between(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))).where(
         F.col("dist") <= metres
     )
@@ -32,6 +31,29 @@ def knn_join(points: DataFrame, places: DataFrame, k: int, metres: float, res: i
     return within(points, places, metres, res).withColumn("rank", rank).where(F.col("rank") <= k).select("id", "place", "dist", "rank")
 
 
+def knn_any(points: DataFrame, places: DataFrame, k: int, metres: float = 1000.0, res: int = 13) -> DataFrame:
+    """The k nearest places of every point however far they are, ties by place: (id, place, dist, rank from 1).
+
+    Rounds of knn_join with four times the radius (and cells four times as wide): points that have k places within it are done. The last round
+    takes in the whole plane; its points are those with fewer than k places anywhere, or k places further than any earlier radius.
+    """
+    from cellreach.plans.cuts import cut
+
+    done, left = None, points
+    while True:
+        whole = metres * 4 > 4e7 or res <= 0
+        near = cut(knn_join(left, places, k, 1e8 if whole else metres, 0 if whole else res))
+        if whole:
+            return near if done is None else done.unionByName(near)
+        full = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+        mine = near.join(full, "id", "left_semi")
+        done = mine if done is None else done.unionByName(mine)
+        left = cut(left.join(full, "id", "left_anti"))
+        if not left.head(1):
+            return done
+        metres, res = metres * 4, max(res - 2, 0)
+
+
 def snap_connected(candidates: DataFrame, factor: float = 2.0, enough: int = 2) -> DataFrame:
     """One place per id from kNN candidates (id, place, dist, score).
 
@@ -66,28 +88,65 @@ def nearest_by_priority(points: DataFrame, places: DataFrame, limits: list[tuple
     return points.select("id").join(best, "id", "left").select("id", F.coalesce(F.get(names, F.col("k")), F.lit("other")).alias("kind"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(id, poly) of points in polygons (poly, ring array<struct<x, y>>), by bounding box and then ray casting.
+def _boxed(polygons: DataFrame) -> DataFrame:
+    """polygons (poly, ring) with lo_x, hi_x, lo_y and hi_y."""
+    # A field of an array of structs is the array of the field.
+    ends = [f(f"ring.{a}").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))]
+    return polygons.select("poly", "ring", *ends)
+
+
+def _box_cells(df: DataFrame, lo_x, hi_x, lo_y, hi_y, res: int) -> DataFrame:
+    """df with a row per cell of the box, in two steps, so that no row carries more than one side of it."""
+    rows = df.withColumn("_x", F.explode(geo.cell_span(lo_x, hi_x, -180.0, res)))
+    rows = rows.withColumn("_y", F.explode(geo.cell_span(lo_y, hi_y, -90.0, res)))
+    return rows.withColumn("cell", geo.pack_cell(F.col("_x"), F.col("_y"), res)).drop("_x", "_y")
+
 
-    Polygons are boundaries of areas (a bounded list): Spark broadcasts them where their size allows.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, res: int = 6) -> DataFrame:
+    """(id, poly) of points in polygons (poly, ring array<struct<x, y>>), by cell, bounding box and then ray casting.
+
+    An equi-join on the cells of a resolution that the polygon's box covers; choose cells smaller than the usual polygon.
     """
-    # A field of an array of structs is the array of the field.
-    boxed = polygons.select(
-        "poly", "ring", *[f(f"ring.{a}").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))]
-    )
-    # One degree of latitude as the equi-key keeps this from being a cross join.
-    keyed = boxed.withColumn("band", F.explode(F.sequence(F.floor("lo_y").cast("int"), F.floor("hi_y").cast("int"))))
-    banded = points.withColumn("band", F.floor("lat").cast("int"))
-    near = banded.join(keyed, "band").where("lon between lo_x and hi_x and lat between lo_y and hi_y")
+    keyed = _box_cells(_boxed(polygons), *[F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")], res)
+    celled = points.withColumn("cell", geo.cell_of(F.col("lon"), F.col("lat"), res))
+    near = celled.join(keyed, "cell").where("lon between lo_x and hi_x and lat between lo_y and hi_y")
     return near.where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("id", "poly")
 
 
+def polyfill_cells(polygons: DataFrame, res: int) -> DataFrame:
+    """(poly, cell) of the cells whose centre is in a polygon (poly, ring array<struct<x, y>>)."""
+    keyed = _box_cells(_boxed(polygons), *[F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")], res)
+    lon, lat = geo.cell_centre(F.col("cell"), res)
+    return keyed.where(geo.in_ring(lon, lat, F.col("ring"))).select("poly", "cell")
+
+
+def dissolve(covered: DataFrame) -> DataFrame:
+    """(cell) of the union of shapes given as covered cells (poly, cell)."""
+    return covered.select("cell").distinct()
+
+
+def corridor_cells(segments: DataFrame, metres: float, res: int) -> DataFrame:
+    """(cell) of the dissolved buffers of segments (ax, ay, bx, by): cells whose centre is within `metres` of any."""
+    x, y = [(F.least(f"a{a}", f"b{a}"), F.greatest(f"a{a}", f"b{a}")) for a in "xy"]
+    dy = F.lit(metres / geo.METRES_PER_DEGREE * 1.000001)
+    dx = dy / F.cos(F.radians(F.least(F.greatest(F.abs("ay"), F.abs("by")) + dy, F.lit(89.9))))
+    keyed = _box_cells(segments, x[0] - dx, x[1] + dx, y[0] - dy, y[1] + dy, res)
+    lon, lat = geo.cell_centre(F.col("cell"), res)
+    return dissolve(keyed.where(geo.metres_to_segment(lon, lat, *[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= metres))
+
+
+def flag_cells(cells: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """cells (cell, ...) with a boolean: whether the cell is among the members (cell)."""
+    hit = members.select("cell").distinct().withColumn("_in", F.lit(True))
+    return cells.join(hit, "cell", "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
+
+
 def near_segments(points: DataFrame, segments: DataFrame, metres: float, res: int) -> DataFrame:
-    """(id, near): whether a point is within `metres` of a segment (ax, ay, bx, by) no longer than a cell's side."""
-    x, y = geo.cell_xy((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, res)
-    celled = segments.withColumn("cell", geo.pack_cell(x, y, res))
+    """(id, near): whether a point is within `metres` of a segment (ax, ay, bx, by), whatever its length."""
+    x, y = [(F.least(f"a{a}", f"b{a}"), F.greatest(f"a{a}", f"b{a}")) for a in "xy"]
+    celled = _box_cells(segments, *x, *y, res)
     close = geo.metres_to_segment(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")]) <= metres
-    hit = _near_cells(points, res).join(celled, "cell").where(close).select("id").distinct().withColumn("near", F.lit(True))
+    hit = _near_cells(points, metres, res).join(celled, "cell").where(close).select("id").distinct().withColumn("near", F.lit(True))
     return points.select("id").join(hit, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"))
 
 

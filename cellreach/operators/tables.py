@@ -23,6 +23,32 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows in an order, with has_more: whether there are others."""
+    top = df.orderBy(*order).limit(limit + 1)  # so few rows go to one task
+    every = Window.partitionBy()
+    ranked = top.withColumns({"_rank": F.row_number().over(every.orderBy(*order)), "has_more": F.count(F.lit(1)).over(every) > limit})
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+
+
+def prefer(*tables: DataFrame) -> DataFrame:
+    """The first of the tables that has rows; the last one if none has."""
+    for df in tables[:-1]:
+        if df.head(1):
+            return df
+    return tables[-1]
+
+
+def prefer_by_key(keys: list[str], *tables: DataFrame) -> DataFrame:
+    """The rows of all tables, those of a key (null counts as one) from the first table that has it alone."""
+    marked = [df.withColumn("_from", F.lit(k)) for k, df in enumerate(tables)]
+    every = marked[0]
+    for df in marked[1:]:
+        every = every.unionByName(df)
+    first = F.min("_from").over(Window.partitionBy(*keys))
+    return every.withColumn("_first", first).where("_from = _first").drop("_from", "_first")
+
+
 def join_on_shared(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cell", "res")) -> DataFrame:
     """Left join on those keys that both have; other columns of right that left has already are left out."""
     on = [k for k in keys if k in left.columns and k in right.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellreach.functions import geo
 from cellreach.functions.text import label_of
 from cellreach.functions.units import UNREACHABLE
+from cellreach.operators.poi import resolve_brand_text
 from cellreach.operators.graph import kbest, reverse_edges
 from cellreach.operators.spatial import nearest_node
 
@@ -35,6 +36,12 @@ def d_anchor(legs: DataFrame, registry: DataFrame, asked: str) -> DataFrame:
     return out.select("anchor", F.coalesce("seconds", F.lit(UNREACHABLE)).alias("seconds"))
 
 
+def d_anchor_brand(legs: DataFrame, registry: DataFrame, asked: str) -> DataFrame:
+    """(anchor, seconds) of a brand by id, name or alias (registry: brand_id, canonical, aliases); other text is taken as an id."""
+    out = legs.where(F.lower("entity") == resolve_brand_text(registry, asked).lower())
+    return out.select("anchor", F.coalesce("seconds", F.lit(UNREACHABLE)).alias("seconds"))
+
+
 def d_anchor_custom(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, lon: float, lat: float, cutoff: int) -> DataFrame:
     """(anchor, seconds) from every anchor to the node nearest to a place; the sentinel beyond the cutoff."""
     start = nearest_node(nodes, lon, lat).select("node")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellreach.functions import geo, ids, text, units
-from cellreach.operators import checks, graph, overlays, poi, spatial, tables, times
+from cellreach.operators import anchors, checks, graph, overlays, poi, spatial, tables, times
 from cellreach.plans import catalog, standins as s
 from cellreach.plans.livable import State, explain_cells, livable, livable_percent
 from cellreach.plans.standins import table
@@ -726,3 +726,286 @@ def climate_ranges(spark, d):
 def minute_buckets(spark, d):
     least = s.times(spark, d).groupBy(F.col("anchor").alias("cell")).agg(F.min("t").alias("least"))
     return least.withColumn("bucket", units.minute_bucket(F.col("least")))
+
+
+@query(ORACLES["kbest_multisource"])
+def kbest_by_part(spark, d):
+    return graph.kbest_by_part(s.edges(spark, d), s.anchors(spark, d), K, CUTOFF, parts=8)
+
+
+_SITES = "sites AS (SELECT p_partkey AS anchor, p_type AS entity FROM part WHERE p_size >= 46)"
+
+
+def _sites(spark, d):
+    own = table(spark, d, "part").where("p_size >= 46")
+    return own.select(F.col("p_partkey").alias("anchor"), F.col("p_partkey").alias("node"), F.array("p_type").alias("categories"))
+
+
+@query(f"""
+WITH RECURSIVE {s.EDGES}, {_SITES},
+lab(node, entity, d) USING KEY (node, entity) AS (
+  SELECT anchor, entity, CAST(0 AS BIGINT) FROM sites
+  UNION
+  SELECT n.u, n.entity, min(n.nd) FROM (
+    SELECT edges.u AS u, lab.entity AS entity, lab.d + edges.w AS nd FROM lab JOIN edges ON lab.node = edges.v
+  ) n LEFT JOIN recurring.lab r ON r.node = n.u AND r.entity = n.entity
+  WHERE n.nd <= CASE WHEN n.entity = 'PROMO' THEN 120 ELSE 300 END AND (r.d IS NULL OR n.nd < r.d) GROUP BY n.u, n.entity)
+SELECT DISTINCT anchor, lab.entity, d AS seconds FROM lab JOIN (SELECT DISTINCT anchor FROM sites) ON node = anchor""")
+def d_anchor_batch(spark, d):
+    sites = _sites(spark, d)
+    minutes = F.when(F.col("entity") == "PROMO", 2).otherwise(5)
+    targets = anchors.target_entities(sites, sites.select(F.explode("categories").alias("entity"))).withColumn("max_minutes", minutes)
+    return anchors.d_anchor_batch(s.edges(spark, d), sites, targets, parts=8)
+
+
+_LISTED = "listed AS (SELECT p_partkey AS anchor, unnest([p_type, split_part(p_name, ' ', 2), ' ', NULL]) AS entity FROM part)"
+
+
+def _listed(spark, d):
+    second = F.get(F.split("p_name", " "), F.lit(1))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("anchor"), F.array("p_type", second, F.lit(" "), F.lit(None).cast("string")).alias("categories"))
+
+
+@query(f"WITH {_LISTED} SELECT entity, count(*) AS n FROM listed WHERE trim(entity) <> '' GROUP BY entity")
+def entity_counts(spark, d):
+    return anchors.entity_counts(_listed(spark, d))
+
+
+@query(f"WITH {_LISTED} SELECT entity, count(*) AS n FROM listed WHERE entity IN ('PROMO', 'SMALL', 'widget', 'nowhere') GROUP BY entity HAVING count(*) >= 30")
+def target_entities(spark, d):
+    registry = spark.createDataFrame([("PROMO",), ("SMALL",), ("widget",), ("nowhere",)], "entity string")
+    return anchors.target_entities(_listed(spark, d), registry, min_sites=30)
+
+
+@query(f"WITH {s.POINTS} SELECT o_orderkey AS anchor, lon, lat FROM orders LEFT JOIN (SELECT * FROM points WHERE id % 3 > 0) ON id = o_custkey")
+def sites_with_coordinates(spark, d):
+    sites = table(spark, d, "orders").select(F.col("o_orderkey").alias("anchor"), F.col("o_custkey").alias("node"))
+    return anchors.with_coordinates(sites, s.points(spark, d).where("id % 3 > 0").withColumnRenamed("id", "node")).select("anchor", "lon", "lat")
+
+
+@query(f"""
+WITH {s.LEGS}, x AS (SELECT anchor, entity FROM legs WHERE seconds < 90),
+c AS (SELECT entity, n_name AS label, count(*) AS n FROM x JOIN supplier ON s_suppkey = anchor JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) AS k FROM c)
+SELECT entity, 'Nation ' || substr(label, 8) AS label FROM r WHERE k = 1""")
+def infer_labels(spark, d):
+    sites = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return anchors.infer_labels(_legs(spark, d).where("seconds < 90"), sites.select(F.col("s_suppkey").alias("anchor"), F.array("n_name").alias("categories")))
+
+
+@query("SELECT o_orderkey, o_totalprice, true AS has_more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def page_has_more(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return tables.page(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10)
+
+
+@query("""
+WITH a AS (SELECT s_nationkey AS k, s_suppkey AS id FROM supplier WHERE s_acctbal > 5000), b AS (SELECT c_nationkey AS k, c_custkey AS id FROM customer)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)""")
+def preference_union(spark, d):
+    first = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"))
+    second = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"))
+    return tables.prefer_by_key(["k"], first, second)
+
+
+@query("SELECT c_custkey AS id FROM customer")
+def preference_fallback(spark, d):
+    none = table(spark, d, "supplier").where("s_suppkey < 0").select(F.col("s_suppkey").alias("id"))
+    return tables.prefer(none, table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query(f"WITH {s.POINTS} SELECT id FROM points WHERE pow((lon + 72.0) * cos(radians(42.0)) * 111000.0, 2) + pow((lat - 42.0) * 111000.0, 2) <= pow(20 * 1500.0 * 1.4, 2)")
+def radius_prefilter(spark, d):
+    return s.points(spark, d).where(geo.approx_reach(F.col("lon"), F.col("lat"), -72.0, 42.0, 20)).select("id")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END AS label FROM part)
+SELECT label, row_number() OVER (ORDER BY lower(label), label) AS place FROM b""")
+def brands_by_locale(spark, d):
+    labels = table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("label")).distinct()
+    order = Window.orderBy(F.collate("label", "UNICODE_CI"), "label")  # a catalogue's few labels
+    return labels.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("SELECT event_type, round(avg(user_id + 0.5), 6) AS usr, round(avg(value), 6) AS idle FROM events WHERE event_id % 3 > 0 GROUP BY event_type")
+def telemetry_means(spark, d):
+    shown = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("[telemetry][cpu] usr="), F.col("user_id") + 0.5, F.lit("% sys=1.5% idle="), F.format_string("%.2f", "value")))
+    lines = table(spark, d, "events").select("event_type", F.coalesce(shown, F.lit("starting")).alias("line")).where(F.col("line").contains("[telemetry][cpu]"))
+    mean = lambda key: F.round(F.avg(text.sample_value(F.col("line"), key)), 6).alias(key)
+    return lines.groupBy("event_type").agg(mean("usr"), mean("idle"))
+
+
+@query("""
+WITH m AS (SELECT l_suppkey AS id, CAST(avg(l_quantity) FILTER (l_linenumber = 1) AS DOUBLE) AS a, CAST(avg(l_quantity) FILTER (l_linenumber = 2) AS DOUBLE) AS b,
+                  CAST(avg(l_quantity) FILTER (l_linenumber = 3) AS DOUBLE) AS c FROM lineitem GROUP BY 1),
+x AS (SELECT *, least(a, b, c) AS lo, greatest(a, b, c) AS hi FROM m)
+SELECT id, round((a - lo) / (hi - lo), 6) AS first, round((c - lo) / (hi - lo), 6) AS last FROM x WHERE hi > lo""")
+def sparkline(spark, d):
+    mean = lambda n: F.avg(F.when(F.col("l_linenumber") == n, F.col("l_quantity")))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array(mean(1), mean(2), mean(3)).alias("v"))
+    scaled = rows.where(F.array_max("v") > F.array_min("v")).select("id", units.sparkline(F.col("v")).alias("x"))
+    return scaled.select("id", F.round(F.get("x", F.lit(0)), 6).alias("first"), F.round(F.get("x", F.lit(2)), 6).alias("last"))
+
+
+@query("SELECT p_partkey, round_even(CAST(p_partkey * 0.5 + 0.25 AS DOUBLE), 1) AS a, round_even(CAST(p_size + 0.5 AS DOUBLE), 0) AS b FROM part")
+def half_even_rounding(spark, d):
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", units.half_even(F.col("p_partkey") * 0.5 + 0.25, 1).alias("a"), units.half_even(F.col("p_size") + 0.5, 0).alias("b"))
+
+
+_POLYS = "n AS (SELECT n_nationkey AS poly, -73.40037 + (n_nationkey % 5) * 0.6::DOUBLE AS x, 41.25043 + (n_nationkey // 5) * 0.3::DOUBLE AS y FROM nation)"
+_FILLED = f"""{_POLYS},
+c AS (SELECT poly, x, y, unnest(range(floor((x + 180) * 8192 / 360)::BIGINT, floor((x + 180.5) * 8192 / 360)::BIGINT + 1)) AS i FROM n),
+k AS (SELECT *, unnest(range(floor((y + 90) * 8192 / 360)::BIGINT, floor((y + 90.2) * 8192 / 360)::BIGINT + 1)) AS j FROM c),
+e AS (SELECT poly, x, y, 9 * 72057594037927936 + i * 268435456 + j AS cell, (i + 0.5::DOUBLE) * 360 / 8192 - 180 AS lon, (j + 0.5::DOUBLE) * 360 / 8192 - 90 AS lat FROM k),
+filled AS (SELECT poly, cell FROM e WHERE lat > y AND lat < y + 0.2 AND lon > x + (lat - y) AND lon < x + 0.5 - (lat - y))"""
+
+
+def _polygons(spark, d):
+    x = F.lit(-73.40037) + (F.col("n_nationkey") % 5) * 0.6
+    y = F.lit(41.25043) + F.floor(F.col("n_nationkey") / 5) * 0.3
+    corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    ring = F.array(corner(0.0, 0.0), corner(0.5, 0.0), corner(0.3, 0.2), corner(0.2, 0.2), corner(0.0, 0.0))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("poly"), ring.alias("ring"))
+
+
+@query(f"WITH {_FILLED} SELECT poly, cell FROM filled")
+def polyfill_cells(spark, d):
+    return spatial.polyfill_cells(_polygons(spark, d), 9)
+
+
+@query(f"WITH {_FILLED} SELECT DISTINCT cell FROM filled")
+def dissolve_cells(spark, d):
+    twice = spatial.polyfill_cells(_polygons(spark, d), 9)
+    return spatial.dissolve(twice.unionByName(twice.withColumn("poly", F.col("poly") + 100)))
+
+
+_GRID = """
+points AS (SELECT 8 * 72057594037927936 + i * 268435456 + j AS id, (i + 0.5::DOUBLE) * 360 / 4096 - 180 AS lon, (j + 0.5::DOUBLE) * 360 / 4096 - 90 AS lat
+           FROM range(1205, 1262) a(i), range(1490, 1520) b(j))"""
+_CORRIDOR = f"{_GRID}, {s.PLACES}, {_SEGMENTS}, corridor AS (SELECT DISTINCT id AS cell FROM i WHERE sqrt(pow(x1 + t * dx, 2) + pow(y1 + t * dy, 2)) <= 5000)"
+
+
+def _corridor(spark, d):
+    lines = s.places(spark, d).select(
+        F.col("p_lon").alias("ax"), F.col("p_lat").alias("ay"), (F.col("p_lon") + 0.05).alias("bx"), (F.col("p_lat") + 0.03).alias("by")
+    )
+    return spatial.corridor_cells(lines, 5000.0, 8)
+
+
+@query(f"WITH {_CORRIDOR} SELECT cell FROM corridor")
+def dissolve_corridors(spark, d):
+    return _corridor(spark, d)
+
+
+@query(f"WITH {_CORRIDOR} SELECT points.id AS cell, corridor.cell IS NOT NULL AS near_power_corridor FROM points LEFT JOIN corridor ON corridor.cell = points.id WHERE points.id % 3 = 0")
+def corridor_membership(spark, d):
+    cells = spark.range(1205, 1262).crossJoin(spark.range(1490, 1520).withColumnRenamed("id", "j")).select(geo.pack_cell(F.col("id"), F.col("j"), 8).alias("cell"))
+    return spatial.flag_cells(cells.where("cell % 3 = 0"), _corridor(spark, d), "near_power_corridor")
+
+
+@query(f"""
+WITH {s.POINTS}, {s.PLACES}, x AS (SELECT id, place, {s.DIST} AS dist FROM (SELECT * FROM points WHERE id % 5 = 0), places),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, place) AS rank FROM x)
+SELECT id, place, round(dist, 3) AS dist, rank FROM r WHERE rank <= 3""")
+def knn_any(spark, d):
+    near = spatial.knn_any(s.points(spark, d).where("id % 5 = 0"), s.places(spark, d), 3, 4000.0, 9)
+    return near.select("id", "place", F.round("dist", 3).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT DISTINCT l_partkey AS cell FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def hex_outside_core(spark, d):
+    core = table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("cell"))
+    return s.times(spark, d).select("cell").distinct().join(core, "cell", "left_anti")
+
+
+@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 7")
+def except_some(spark, d):
+    sold = table(spark, d, "lineitem").where("l_quantity = 7").select(F.col("l_partkey").alias("id"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id")).subtract(sold)
+
+
+@query("""
+WITH e AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 2020 ELSE 2024 END AS year, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS fips,
+                  CASE WHEN c_custkey % 5 = 0 THEN 'US SENATE' ELSE 'US PRESIDENT' END AS office,
+                  CASE c_custkey % 4 WHEN 0 THEN 'DEMOCRAT' WHEN 1 THEN 'REPUBLICAN' WHEN 2 THEN 'DEMOCRAT' ELSE 'OTHER' END AS party FROM customer),
+v AS (SELECT fips, count(*) FILTER (party = 'DEMOCRAT') * 10 AS dem_votes, count(*) FILTER (party = 'REPUBLICAN') * 10 AS rep_votes FROM e
+      WHERE year = 2024 AND office = 'US PRESIDENT' AND party <> 'OTHER' GROUP BY fips)
+SELECT n_name AS county, dem_votes, rep_votes, round(rep_votes / (dem_votes + rep_votes), 6) AS rep_share FROM nation JOIN v ON fips = lpad(CAST(n_nationkey AS VARCHAR), 5, '0')""")
+def election_overlay(spark, d):
+    key = F.col("c_custkey")
+    results = table(spark, d, "customer").select(
+        F.when(key % 3 == 0, 2020).otherwise(2024).alias("year"),
+        F.concat(F.col("c_nationkey").cast("string"), F.lit(".0")).alias("county_fips"),
+        F.when(key % 5 == 0, "US SENATE").otherwise("US PRESIDENT").alias("office"),
+        F.when(key % 4 == 1, "REPUBLICAN").when(key % 4 == 3, "OTHER").otherwise("DEMOCRAT").alias("party"),
+        F.lit(10).alias("candidatevotes"),
+    )
+    counties = table(spark, d, "nation").select(F.col("n_name").alias("county"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("fips"))
+    return overlays.election_overlay(results, counties).select("county", "dem_votes", "rep_votes", F.round("rep_share", 6).alias("rep_share"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'hospital' WHEN 1 THEN 'place_of_worship' WHEN 2 THEN 'airport' WHEN 3 THEN 'park' WHEN 4 THEN 'cafe' END AS t,
+                  CASE p_partkey % 3 WHEN 0 THEN 'Muslim' WHEN 1 THEN 'other' END AS r, p_partkey % 2 = 0 AS spa FROM part)
+SELECT p_partkey, CASE t WHEN 'hospital' THEN CASE WHEN spa THEN 'clinic' ELSE 'hospital' END WHEN 'place_of_worship' THEN CASE r WHEN 'Muslim' THEN 'place_of_worship_mosque' WHEN 'other' THEN NULL ELSE 'place_of_worship' END
+       WHEN 'park' THEN 'park' WHEN 'cafe' THEN 'bar' END AS category FROM x WHERE t IS DISTINCT FROM 'airport'""")
+def tag_categories(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size") % 6
+    amenity = F.when(size == 0, "hospital").when(size == 1, "place_of_worship").when(size == 4, "bar")
+    tags = {"amenity": amenity, "shop": F.when(size == 4, F.lit("books")), "leisure": F.when(size == 3, F.lit("park")), "aeroway": F.when(size == 2, F.lit("aerodrome")),
+            "religion": F.when(key % 3 == 0, "Muslim").when(key % 3 == 1, "other")}
+    pairs = F.map_filter(F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    pois = table(spark, d, "part").select("p_partkey", F.when(key % 2 == 0, "Grand SPA Hospital").otherwise("General").alias("name"), pairs.alias("tags"))
+    rows = [("amenity", "hospital", "health", "hospital", "hospital"), ("amenity", "place_of_worship", "religious", "place_of_worship", "place_of_worship"), ("amenity", "bar", "food", "bar", "bar"),
+            ("shop", "books", "retail", "books", "books"), ("leisure", "park", "nature", "park", "park"), ("aeroway", "aerodrome", "transport", "airport", "airport")]
+    mapping = spark.createDataFrame(rows, "key string, value string, class string, category string, subcat string")
+    return poi.map_tags(pois, mapping).select("p_partkey", "category")
+
+
+@query("SELECT p_partkey FROM part WHERE p_type IN ('PROMO', 'SMALL') OR p_brand = 'Brand#3'")
+def allowed_pois(spark, d):
+    pois = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"), F.when(F.col("p_size") > 0, F.col("p_brand")).alias("brand_id"))
+    return poi.allowed(pois, ["PROMO", "SMALL"], ["Brand#3"]).select("p_partkey")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS mode,
+       c_custkey % 3 = 0 AS coordinates, CAST(c_custkey * 9 / 5 + 32 AS DOUBLE) AS f, round(c_custkey / 25.4, 6) AS inches FROM customer""")
+def cleaned_columns(spark, d):
+    key = F.col("c_custkey")
+    place = F.when(key % 3 == 0, F.lit(" 42.5, -71")).when(key % 3 == 1, F.lit("42.5 Main St, 7"))
+    return table(spark, d, "customer").select(
+        "c_custkey",
+        text.null_tokens(F.when(key % 4 == 1, F.lit(" NaN ")).otherwise(F.col("c_mktsegment"))).alias("segment"),
+        units.mode_code(F.when(key % 2 == 0, "Walk").when(key % 5 == 0, "bike").otherwise("drive")).cast("int").alias("mode"),
+        text.looks_like_coordinates(place).alias("coordinates"),
+        units.c_to_f(key.cast("double")).alias("f"),
+        F.round(units.mm_to_in(key.cast("double")), 6).alias("inches"),
+    )
+
+
+@query(f"WITH {s.LEGS} SELECT anchor, seconds FROM legs WHERE entity = 'Brand#7'")
+def d_anchor_brand(spark, d):
+    registry = spark.createDataFrame([("Brand#7", "Seven", "the seven; 7th"), ("Brand#8", "Eight", "")], "brand_id string, canonical string, aliases string")
+    return catalog.d_anchor_brand(_legs(spark, d), registry, " 7TH ").select("anchor", "seconds")
+
+
+@query(f"WITH {s.RANKED}, r AS (SELECT *, lag(t) OVER (PARTITION BY cell ORDER BY anchor) AS b, row_number() OVER (PARTITION BY cell ORDER BY anchor) AS n FROM ranked) SELECT cell, anchor, t FROM r WHERE t < b")
+def falling_times(spark, d):
+    return checks.falling_times(_ranked(spark, d).select("cell", F.col("anchor").alias("rank"), "t")).select("cell", F.col("rank").alias("anchor"), "t")
+
+
+@query("""
+WITH s AS (SELECT CAST(CASE WHEN p_size > 45 THEN p_partkey % 20 ELSE p_partkey + 100000 END AS VARCHAR) AS key, p_size, p_type, p_retailprice AS p FROM part)
+SELECT 'repeated site_id' AS rule, key FROM s GROUP BY key HAVING count(*) > 1
+UNION ALL SELECT 'negative node', key FROM s WHERE p_size = 7 UNION ALL SELECT 'empty poi_ids', key FROM s WHERE p_type = 'PROMO'
+UNION ALL SELECT 'bad coordinates', key FROM s WHERE p / 6 > 180""")
+def anchor_contract(spark, d):
+    key = F.col("p_partkey")
+    sites = table(spark, d, "part").select(
+        F.when(F.col("p_size") > 45, key % 20).otherwise(key + 100000).alias("site_id"), key.alias("anchor"), F.when(F.col("p_size") == 7, -1).otherwise(1).alias("node"),
+        (F.col("p_retailprice") / 6).alias("lon"), F.lit(2.0).alias("lat"), F.when(F.col("p_type") != "PROMO", F.array(F.lit("a"))).alias("poi_ids"), F.array(F.lit("b")).alias("categories"),
+    )
+    return anchors.anchor_violations(sites)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellreach.functions.geo import wkb_point
 from cellreach.operators.tables import conform
 
 LEGS = (
@@ -55,28 +58,113 @@ def limits_for(spark: SparkSession, limits: dict, kind: str, entities: DataFrame
 
 
 def read_places(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Places of nested rows (id, names.primary, categories.primary, brand.names.primary, bbox): flat; the box reaches the scan."""
+    """Places of nested rows (id, names.primary, categories.primary, brand.names.primary, bbox): flat; the box reaches the scan.
+
+    The place is that of a WKB point `geometry`, if there is one, else the corner of bbox.
+    """
     df = spark.read.parquet(path)
     if box:
         x1, y1, x2, y2 = box
         df = df.where(F.col("bbox.xmin").between(min(x1, x2), max(x1, x2)) & F.col("bbox.ymin").between(min(y1, y2), max(y1, y2)))
+    lon, lat = wkb_point(F.col("geometry")) if "geometry" in df.columns else (F.col("bbox.xmin"), F.col("bbox.ymin"))
     return df.select(
         F.col("id").alias("ext_id"),
         F.col("names.primary").alias("name"),
         F.col("categories.primary").alias("primary"),
         F.col("brand.names.primary").alias("brand"),
-        F.col("bbox.xmin").cast("double").alias("lon"),
-        F.col("bbox.ymin").cast("double").alias("lat"),
+        lon.cast("double").alias("lon"),
+        lat.cast("double").alias("lat"),
     )
 
 
-def read_water(spark: SparkSession, path: str) -> DataFrame:
-    """Water bodies with a kind of ocean, lake, river or other by subtype."""
+#: Subtypes of water that are read.
+WATER = ["ocean", "sea", "lake", "reservoir", "pond", "lagoon", "river", "canal"]
+
+
+def read_water(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Water bodies of the subtypes of WATER with a kind of ocean, lake, river or other; those whose bbox meets the box, if one is given."""
     sub = F.lower("subtype")
-    kind = F.when(sub.isin("ocean", "sea", "bay"), "ocean").when(sub.isin("lake", "pond", "reservoir"), "lake").when(
-        sub.isin("river", "stream", "canal"), "river"
-    )
-    return spark.read.parquet(path).withColumn("kind", F.coalesce(kind, F.lit("other")))
+    kind = F.when(sub.isin("ocean", "sea"), "ocean").when(sub.isin("lake", "pond", "reservoir"), "lake").when(sub.isin("river", "canal"), "river")
+    df = spark.read.parquet(path).where(sub.isin(WATER))
+    if box:
+        x1, y1, x2, y2 = box
+        meets = [F.col("bbox.xmin") <= max(x1, x2), F.col("bbox.xmax") >= min(x1, x2), F.col("bbox.ymin") <= max(y1, y2), F.col("bbox.ymax") >= min(y1, y2)]
+        for one in meets:
+            df = df.where(one)
+    return df.withColumn("kind", F.coalesce(kind, F.lit("other")))
+
+
+def tagged_pois(features: DataFrame, wanted: dict[str, list[str]] | None = None, columns: tuple[str, ...] = ("name", "brand", "operator")) -> DataFrame:
+    """Features (id, kind, tags map, lon, lat) that are nodes or ways and have a wanted tag, with a column for each tag named (null where absent).
+
+    With nothing wanted, features with any value of the broad keys.
+    """
+    from cellreach.functions.text import tag_match
+
+    own = features.where(F.col("kind").isin("node", "way"))
+    if wanted:
+        own = own.where(tag_match(F.col("tags"), [(k, v) for k, values in wanted.items() for v in values]))
+    else:
+        own = own.where(" or ".join(f"try_element_at(tags, '{k}') is not null" for k in ("amenity", "shop", "leisure", "tourism")))
+    return own.withColumns({c: F.try_element_at("tags", F.lit(c)) for c in columns})
+
+
+def beaches(features: DataFrame) -> DataFrame:
+    """Beaches among features (id, kind, tags, lon, lat): one for each place to six decimals, a node before a way before a relation, then by id."""
+    from cellreach.operators.tables import keep_first
+
+    own = features.where((F.try_element_at("tags", F.lit("natural")) == "beach") & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    rank = F.array_position(F.array(F.lit("node"), F.lit("way"), F.lit("relation")), F.col("kind"))
+    keyed = own.withColumns({"_x": F.round("lon", 6), "_y": F.round("lat", 6)})
+    return keep_first(keyed, ["_x", "_y"], [rank, F.col("id")]).drop("_x", "_y")
+
+
+def read_election(spark: SparkSession, path: str) -> DataFrame:
+    """Votes by county, party and office; columns are found by the header's names, and numbers that do not parse are null."""
+    kinds = {"year": "int", "state": "string", "county_name": "string", "county_fips": "string", "office": "string", "party": "string", "candidatevotes": "int", "totalvotes": "int"}
+    raw = spark.read.csv(path, header=True)
+    return raw.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in kinds.items()])
+
+
+def with_overrides(mapping: DataFrame, overrides: dict[str, list[str]]) -> DataFrame:
+    """mapping (key, value, class, category, subcat) with rows of {"key:value": [class, category, subcat]} put in place of its own.
+
+    Entries without a colon or with fewer than three parts are left out.
+    """
+    rows = [(*k.split(":", 1), *map(str, v[:3])) for k, v in overrides.items() if ":" in k and isinstance(v, (list, tuple)) and len(v) >= 3]
+    if not rows:
+        return mapping
+    new = mapping.sparkSession.createDataFrame(rows, "key string, value string, class string, category string, subcat string")
+    return mapping.join(new, ["key", "value"], "left_anti").unionByName(new)
+
+
+def load_checked(spark: SparkSession, paths: list[str], required: list[str], warn_only: bool = False) -> list[DataFrame]:
+    """The Parquet tables at paths that have the required columns; another one is an error, or left out with a warning."""
+    from pyspark.errors import AnalysisException
+
+    out = []
+    for path in paths:
+        try:
+            df = spark.read.parquet(path)
+            lacking = sorted(set(required) - set(df.columns))
+            if lacking:
+                raise ValueError(f"{path} lacks {', '.join(lacking)}")
+            out.append(df)
+        except (AnalysisException, ValueError) as e:
+            if not warn_only:
+                raise
+            warnings.warn(f"left out: {e}", stacklevel=2)
+    return out
+
+
+def read_first(spark: SparkSession, *paths: str) -> DataFrame:
+    """The Parquet table at the first of the paths that exists."""
+    session = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(session).exists(at):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(", ".join(paths))
 
 
 def read_airports(spark: SparkSession, path: str) -> DataFrame:
@@ -126,18 +214,34 @@ def read_edges(spark: SparkSession, path: str, mode: str = "drive") -> DataFrame
     return raw.select("u", "v", seconds.alias("w"), oneway.alias("oneway"))
 
 
-def month_rasters(paths: DataFrame) -> DataFrame:
-    """(var, month, path): the best file of each month from (path), by ranked file-name patterns, then by path."""
-    patterns = [r"(ppt|tmean|tmin|tmax)_(\d{2})\.tif$", r"(ppt|tmean|tmin|tmax)_30yr_normal_\w+_(\d{2})_bil\.tif$", r"(ppt|tmean|tmin|tmax).*?(\d{2})\.tif$"]
+#: What the name of a month's raster may be, the best first; mon, MON and Mon are the month's short name, mm its number.
+RASTER_NAMES = [".*_{mon}_.*", ".*{mon}", ".*{mon}_.*", ".*{MON}.*", ".*{Mon}.*", ".*_2020{mm}_.*", ".*{mm}_.*", ".*{mm}"]
+
+
+def month_rasters(files: DataFrame) -> DataFrame:
+    """(var, month, path, band) from files (path, bands) named <folder of the variable>/<name>.tif.
+
+    Each month has the file of the best of RASTER_NAMES, ties by path, and in it the month's band if it has several. A variable without a file
+    for every month has twelve bands of its first file; fewer bands are an error.
+    """
+    from cellreach.operators.overlays import MONTHS
     from cellreach.operators.tables import keep_first
 
-    tried = None
-    for rank, p in enumerate(patterns):
-        one = paths.where(F.col("path").rlike(p)).select(
-            F.regexp_extract("path", p, 1).alias("var"), F.regexp_extract("path", p, 2).cast("int").alias("month"), "path", F.lit(rank).alias("rank")
-        )
-        tried = one if tried is None else tried.unionByName(one)
-    return keep_first(tried.where("month between 1 and 12"), ["var", "month"], [F.col("rank"), F.col("path")]).drop("rank")
+    named = files.where(F.col("path").endswith(".tif")).select(
+        "path", "bands", F.element_at(F.split("path", "/"), -2).alias("var"), F.element_at(F.split("path", "/"), -1).alias("_name")
+    )
+    kinds = [(k, m, "^" + p.format(mon=mon, MON=mon.upper(), Mon=mon.title(), mm=f"{m:02d}") + r"\.tif$") for m, mon in enumerate(MONTHS, 1) for k, p in enumerate(RASTER_NAMES)]
+    hits = F.array_compact(F.array(*[F.when(F.col("_name").rlike(p), F.struct(F.lit(m).alias("month"), F.lit(k).alias("rank"))) for k, m, p in kinds]))
+    tried = named.withColumn("x", F.explode(hits)).select("var", "path", "bands", "x.*")
+    best = keep_first(tried, ["var", "month"], [F.col("rank"), F.col("path")])
+    whole = best.groupBy("var").agg(F.count(F.lit(1)).alias("n")).where("n = 12").select("var")
+    own = best.join(whole, "var", "left_semi").select("var", "month", "path", F.when(F.col("bands") > 1, F.col("month")).alias("band"))
+    stacks = keep_first(named.join(whole, "var", "left_anti"), ["var"], [F.col("path")])
+    few = stacks.where("bands < 12").head(1)
+    if few:
+        raise ValueError(f"{few[0]['path']} has {few[0]['bands']} bands, not 12")
+    every = stacks.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).select("var", "month", "path", F.col("month").alias("band"))
+    return own.unionByName(every)
 
 
 def load_cells(spark: SparkSession, *paths: str, res: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellreach.operators.tables import conform
 from cellreach.plans.catalog import geojson_lines
 
 
@@ -14,6 +17,44 @@ def write_legs(legs: DataFrame, base: str) -> None:
     out.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(base)
 
 
+def write_shard(legs: DataFrame, base: str, mode: int, entity: str) -> None:
+    """The legs of one partition in its folder; a file with the schema even if there are none."""
+    own = legs.where((F.col("mode") == mode) & (F.col("entity") == entity)).drop("mode", "entity")
+    folder = f"{base}/mode={mode}/entity={quote(entity, safe=' ')}"
+    own.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    if not own.sparkSession.read.schema(own.schema).parquet(folder).inputFiles():
+        own.sparkSession.createDataFrame([], own.schema).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+
+def prune(spark: SparkSession, base: str, targets: DataFrame) -> list[tuple[int, str]]:
+    """Delete the (mode, entity) partitions on disk that are no targets (mode, entity); those deleted, sorted."""
+    stale = sorted((r["mode"], r["entity"]) for r in stale_partitions(spark, base, targets).collect())  # one row a folder
+    session = spark._jsparkSession.sessionState().newHadoopConf()
+    for mode, entity in stale:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/mode={mode}/entity={quote(entity, safe=' ')}")
+        path.getFileSystem(session).delete(path, True)
+    return stale
+
+
+CANONICAL_POI = (
+    "poi_id string, name string, brand_id string, brand_name string, class string, category string, subcat string, trauma_level string,"
+    " lon float, lat float, geometry binary, source string, ext_id string, h3_r9 string, provenance array<string>"
+)
+
+
+def write_pois(pois: DataFrame, path: str) -> None:
+    """Places with exactly the columns of CANONICAL_POI; missing ones are null, others dropped."""
+    from pyspark.sql import types as T
+
+    conform(pois, T.StructType.fromDDL(CANONICAL_POI)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_with_qa(df: DataFrame, path: str, qa_path: str, columns: list[str], rows_per_file: int = 1_000_000) -> None:
+    """df as Parquet, and some of its columns as CSV with a header for people to look at."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    df.sparkSession.read.parquet(path).select(*columns).write.mode("overwrite").option("header", True).csv(qa_path)
+
+
 def write_by_resolution(cells: DataFrame, base: str, resolutions: list[int]) -> None:
     for res in resolutions:
         cells.where(F.col("res") == res).drop("res").write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/r{res}")
