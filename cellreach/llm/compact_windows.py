@@ -7,9 +7,9 @@ lines do not decide min-hashes where anything rarer is near. Windows are grouped
 they lie on each other over `span` tokens or more about it, and where enough further hashes agree: a sketch of SLOTS min-hashes, of four bits each,
 of the span / 2 tokens on either side of c, of which ENOUGH of one side must be equal (a passage of `span` tokens has all of one side).
 
-1. Each window of a group with the group's first, and windows of equal content with the one before them.
-2. Contents that a verified pair of these joins are united; then windows of different components of a group, each pair of
-   contents once. So all pairs of contents are tried but those inside a component.
+1. Each window of a group with the group's first (the least document's), and windows of equal content with the first of these.
+2. Contents that are verified to be like the first's are one component, as contents have one group each; then windows of different components of
+   a group, each pair of contents once. So all pairs of contents are tried but those inside the component.
 
 Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
@@ -31,11 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellreach.llm.common import RowKey, equal_texts, released, small_side, space_words, written
-from cellreach.llm.components import connected_components
 from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
@@ -144,15 +144,25 @@ def sketches(tokens: np.ndarray, inside: np.ndarray, first: np.ndarray, reach: i
     return before, after
 
 
+_LOW = int("1" * SLOTS, 16)
+
+
 def _agree(x: str, y: str) -> str:
     """Whether ENOUGH slots of one side are equal in two sketches, as SQL."""
-    low = int("1" * SLOTS, 16)
     other = f"({x}.sketch ^ {y}.sketch)"
     unequal = f"({other} | shiftrightunsigned({other}, 1) | shiftrightunsigned({other}, 2) | shiftrightunsigned({other}, 3))"
-    sides = (f"bit_count({unequal} & {mask}L) <= {SLOTS - ENOUGH}" for mask in (low, low << 32))
+    sides = (f"bit_count({unequal} & {mask}L) <= {SLOTS - ENOUGH}" for mask in (_LOW, _LOW << 32))
     return f"({' or '.join(sides)})"
 
 
+def _agree_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same of two arrays of sketches."""
+    other = x ^ y
+    unequal = other | (other >> np.uint64(1)) | (other >> np.uint64(2)) | (other >> np.uint64(3))
+    sides = [np.bitwise_count(unequal & np.uint64(mask)) <= SLOTS - ENOUGH for mask in (_LOW, _LOW << 32)]
+    return sides[0] | sides[1]
+
+
 def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int, hashes: int) -> list[np.ndarray]:
     """Of all windows of the texts: number of the text, c, l, r in its words, key, content, sketch."""
     tokens, inside, first = token_run(data, width)
@@ -223,6 +233,105 @@ def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes
     return texts.mapInArrow(run, _WINDOW)
 
 
+_LIVE = (
+    "key long, doc long, th long, c int, l int, r int, cls long, sketch long,"
+    " y_doc long, y_th long, y_c int, y_l int, y_r int, y_cls long"
+)
+#: Of groups up to this size, members that resemble no other content of the group are left out of the second join at once.
+SMALL_GROUP = 32
+
+
+def _grouped(windows: DataFrame, span: int) -> DataFrame:
+    """_LIVE rows of _WINDOW rows: pairs (with y) of the first join, and (without) the first and last window of each content for the second."""
+    names = ["doc", "th", "c", "l", "r", "cls", "sketch"]
+
+    def alike(w: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        least = np.minimum(w["c"][i] - w["l"][i], w["c"][j] - w["l"][j]) + np.minimum(w["r"][i] - w["c"][i], w["r"][j] - w["c"][j])
+        return (least + 1 >= span) & ((w["cls"][i] == w["cls"][j]) | _agree_of(w["sketch"][i], w["sketch"][j]))
+
+    def apart(w: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (w["doc"][i] != w["doc"][j]) | (w["th"][i] != w["th"][j])
+
+    def grouped(w: dict, n_old: int, open_end: bool):
+        """Of windows sorted by key and document, the first n_old of them carried over: pairs, members, and what to carry over."""
+        n = len(w["key"])
+        every = np.arange(n)
+        new = np.concatenate(([True], w["key"][1:] != w["key"][:-1]))
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        size = np.diff(np.append(start, n))
+        head = start[group]
+        order = np.lexsort((every, w["cls"], group))
+        run = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (w["cls"][order][1:] != w["cls"][order][:-1])))
+        begins = np.flatnonzero(run)
+        ends = np.append(begins[1:], n) - 1
+        own = np.empty(n, np.int64)  # the first window of equal content
+        own[order] = np.repeat(order[begins], np.diff(np.append(begins, n)))
+        fresh = every >= n_old
+        pairs = []
+        for other in (head, own):
+            i = np.flatnonzero(fresh & (other != every) & ((other != head) | (other is head)))
+            i = i[apart(w, i, other[i])]
+            pairs.append((i[alike(w, i, other[i])], other))
+        contents = np.bincount(group[order[begins]], minlength=len(start))
+        last = start + size - 1
+        several = apart(w, start, last) | (np.maximum.reduceat(w["borne"].astype(np.int8), start) > 0)
+        spans = np.zeros(len(start), bool)  # groups that other batches have parts of
+        spans[0] = n_old > 0
+        spans[-1] |= open_end
+        mixed = ((contents > 1) & several) | spans
+        member = np.zeros(n, bool)
+        member[order[begins]] = member[order[ends]] = True
+        member &= mixed[group] & fresh
+        small = (size <= SMALL_GROUP) & ~spans
+        like = ~small[group]
+        some = np.flatnonzero(member & ~like)
+        if len(some):
+            for step in range(1, min(SMALL_GROUP, len(some))):
+                i, j = some[:-step], some[step:]
+                same = group[i] == group[j]
+                if not same.any():
+                    break
+                i, j = i[same], j[same]
+                hit = (w["cls"][i] != w["cls"][j]) & alike(w, i, j)
+                like[i[hit]] = like[j[hit]] = True
+        keep = np.union1d(order[begins][group[order[begins]] == len(start) - 1], start[-1:]) if open_end else np.empty(0, np.int64)
+        return pairs, np.flatnonzero(member & like), {k: v[keep] for k, v in w.items()}
+
+    def emitted(w: dict, pairs: list, members: np.ndarray):
+        i = np.concatenate([p[0] for p in pairs] + [members])
+        j = np.concatenate([other[p] for p, other in pairs] + [np.zeros(len(members), np.int64)])
+        alone = pa.array(np.arange(len(i)) >= len(i) - len(members))
+        columns = [pa.array(w["key"][i]), *[pa.array(w[k][i].view(np.int64) if k == "sketch" else w[k][i]) for k in names]]
+        columns += [pa.array(w[k][j], mask=alone.to_numpy(False)) for k in names[:-1]]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LIVE.split(", ")])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            w = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "salt", "borne", *names)}
+            w["sketch"] = w["sketch"].view(np.uint64)
+            known = np.flatnonzero(w["salt"] > 0)
+            if len(known):
+                o = batch.column("o").take(pa.array(known))
+                i = {k: w[k][known] for k in ("key", *names)}
+                other = [pa.compute.struct_field(o, k) for k in names[:5]]
+                columns = [pa.array(i["key"]), *[pa.array(i[k].view(np.int64) if k == "sketch" else i[k]) for k in names], *other, pa.array(i["cls"])]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LIVE.split(", ")])
+            plain = w["salt"] == 0
+            w = {k: v[plain] for k, v in w.items()}
+            if not len(w["key"]):
+                continue
+            n_old = 0
+            if held is not None and held["key"][0] == w["key"][0]:
+                n_old = len(held["key"])
+                w = {k: np.concatenate((held[k], w[k])) for k in w}
+            pairs, members, held = grouped(w, n_old, True)
+            yield emitted(w, pairs, members)
+
+    return windows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "th", "c").mapInArrow(run, _LIVE)
+
+
 _PASSAGE = "doc long, th long, s int, e int, o_doc long, o_th long, o_s int, o_e int, percent int"
 
 
@@ -340,9 +449,9 @@ def _tokens(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _alike(x: str, y: str, span: int) -> str:
-    """Whether two windows of a group lie on each other over span tokens and have like sketches or equal contents, as SQL."""
+    """Whether two windows of a group lie on each other over span tokens and have like sketches, as SQL."""
     overlap = f"least({x}.c - {x}.l, {y}.c - {y}.l) + least({x}.r - {x}.c, {y}.r - {y}.c) + 1 >= {span}"
-    return f"({overlap} and ({x}.cls = {y}.cls or {_agree(x, y)}))"
+    return f"({overlap} and {_agree(x, y)})"
 
 
 def _apart(x: str, y: str) -> str:
@@ -413,50 +522,29 @@ def near_passages(
     copies = written(equal_texts(every), "windows-copies")
     alike = small_side(copies)
     texts = key.once(every.join(alike, ["doc", "th"], "left_anti"))
-    group = Window.partitionBy("key", "salt")
-    own = F.struct("doc", "th", "c", "l", "r", "cls", "sketch")
-    known = F.struct(*[F.col(f"o.{n}").alias(n) for n, _ in _PLACE], "cls", "sketch")
-    several = (F.min(F.struct("doc", "th")).over(group) < F.max(F.struct("doc", "th")).over(group)) | F.max("borne").over(group)
-    live = written(
-        _windows(texts, _token_counts(texts, width), width, span, hashes)
-        .withColumn("first", F.min(own).over(group))
-        .withColumn("back", F.lag(own).over(group.orderBy("cls", "doc", "th", "c")))
-        .withColumn("mixed", (F.min("cls").over(group) < F.max("cls").over(group)) & several)
-        .select(
-            "key",
-            own.alias("x"),
-            (F.col("mixed") & (F.col("salt") == 0)).alias("mixed"),
-            F.when(F.col("salt") > 0, F.array(known)).otherwise(F.array("first", F.when(F.col("back.cls") == F.col("cls"), F.col("back")))).alias("y"),
-        )
-        .withColumn("y", F.expr(f"filter(y, y -> y is not null and {_apart('x', 'y')} and {_alike('x', 'y', span)})"))
-        .where("mixed or size(y) > 0"),
-        "windows-live",
-    )
-    joined = _sided(live.select("x", F.explode("y").alias("y")))
+    counts = _token_counts(texts, width)
+    live = written(_grouped(_windows(texts, counts, width, span, hashes), span), "windows-live")
+    window = lambda p: F.struct(*[F.col(f"{p}{n}").alias(n) for n in ("doc", "th", "c", "l", "r", "cls")])
+    joined = _sided(live.where("y_doc is not null").select(window("").alias("x"), window("y_").alias("y")))
     spots = written(_spots(joined), "windows-spots")
-    first = _by_pair(spots)
-    found = _similar(texts, first, width, span, percent)
-    united = joined.where("a <> b").join(found, _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
-    links = written(united.select("a", "b").distinct(), "windows-links")
-    comp = written(connected_components(links), "windows-comps")
+    found = _similar(texts, _by_pair(spots), width, span, percent)
+    united = joined.where("a <> b").join(small_side(found), _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
+    linked = written(united.select("a").union(united.select("b")).distinct().select(F.col("a").alias("node"), F.lit(True).alias("linked")), "windows-linked")
     # Of each content its first and its last window, as a pair may not be of one document.
-    by_key = Window.partitionBy("key")
-    apart = written(
-        live.where("mixed")
-        .groupBy("key", F.col("x.cls").alias("node"))
-        .agg(F.min("x").alias("x"), F.max("x").alias("last"))
-        .join(comp, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumn("lo", F.min("component").over(by_key))
-        .withColumn("hi", F.max("component").over(by_key))
-        .where("lo <> hi")
-        .select("key", "node", "component", "x", "last"),
-        "windows-apart",
+    own = F.struct("doc", "th", "c", "l", "r", "cls", "sketch")
+    contents = (
+        live.where("y_doc is null")
+        .groupBy("key", F.col("cls").alias("node"))
+        .agg(F.min(own).alias("x"), F.max(own).alias("last"))
+        .join(small_side(linked), "node", "left")
+        .withColumn("linked", F.coalesce("linked", F.lit(False)))
     )
+    loose = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("key")
+    apart = written(contents.join(loose, "key", "left_semi"), "windows-apart")
     crossed = (
         apart.alias("p")
         .join(apart.alias("q"), F.col("p.key") == F.col("q.key"))
-        .where(f"p.node < q.node and p.component <> q.component and {_alike('p.x', 'q.x', span)}")
+        .where(f"p.node < q.node and not (p.linked and q.linked) and {_alike('p.x', 'q.x', span)}")
         .where(f"{_apart('p.x', 'q.x')} or {_apart('p.last', 'q.x')} or {_apart('p.x', 'q.last')}")
         .selectExpr(
             f"if({_apart('p.x', 'q.x')} or not {_apart('p.last', 'q.x')}, p.x, p.last) as x",
@@ -471,7 +559,7 @@ def near_passages(
         .select(*_PAIR, *_RANGE)
     )
     second = written(_by_pair(fresh), "windows-pairs")
-    released(live, links, comp, apart)
+    released(live, linked, apart)
     if second.head(1):
         found = found.union(_similar(texts, second, width, span, percent)).distinct()
     released(spots, second)

@@ -7,8 +7,8 @@ and records are parsed from it.
 
 Of equal payloads the page with the smallest id is stored as a response, the others as revisits that refer to it.
 
-Scale: payloads are shuffled once, by digest, and only to learn the smallest id; that join may be split
-where one digest is hot, and the digests' smallest ids are pre-aggregated. Archive names are unique to each task attempt and only
+Scale: ids and digests alone are shuffled to learn the smallest id of each payload, pre-aggregated; pages are joined with the list of
+repeats, which is broadcast if a count allows it. Reads are dealt to tasks by bytes of the archives. Archive names are unique to each task attempt and only
 the committed attempt's rows reach the index, so lost executors leave at most unused files.
 
 Defined results: a null html is an empty payload; rows that repeat the smallest id are all responses; a null id is never
@@ -21,18 +21,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellreach.llm.common import fresh_path
+from cellreach.llm.common import fresh_path, small_side, written
 
 ARCHIVE_BYTES = 1 << 26
 #: Ranges closer than this are read in one go, up to READ_BYTES together.
 GAP_BYTES, READ_BYTES = 1 << 16, 1 << 23
+#: Archive bytes that a task reads.
+JOB_BYTES = 1 << 23
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -106,17 +110,13 @@ def write_archives(
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")
     ).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = (
-        pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.coalesce(html_col, F.lit("")).cast("binary")).alias("f_sha"))
-        .groupBy("f_sha")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-        .select("f_sha", "first")
-    )
-    refers = F.when(
-        F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= min_bytes), F.col("first")
-    )
-    marked = rows.join(firsts, F.col("sha") == F.col("f_sha"), "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    # Only ids and digests are shuffled to find equal payloads; the pages go to the few that repeat one, if those are few.
+    narrow = rows.select("page_id", "sha", F.octet_length("html").alias("size"))
+    firsts = narrow.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
+    later = narrow.join(firsts, "sha").where(~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= min_bytes))
+    repeats = written(later.select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "first").distinct(), "warc-repeats")
+    same = (F.col("sha") == F.col("r_sha")) & F.col("page_id").eqNullSafe(F.col("r_id"))
+    marked = rows.join(small_side(repeats), same, "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
     def run(batches):
         system, base = _filesystem(folder)
@@ -173,7 +173,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
 
     A response whose payload does not have its digest is an error.
     """
-    chosen = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    jobs = index.select("archive", "offset", "length", F.floor(F.col("offset") / JOB_BYTES).alias("job"))
+    tasks = math.ceil((index.agg(F.sum("length")).first()[0] or 0) / JOB_BYTES) or 1
+    # Reads follow the bytes of the archives, not those of the index.
+    chosen = jobs.repartition(tasks, "archive", "job").sortWithinPartitions("archive", "offset").drop("job")
 
     def parsed(data: bytes) -> dict:
         fields, http, payload = parse_record(zlib.decompress(data, 31))
@@ -195,11 +198,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     def run(batches):
         system, base = _filesystem(folder)
         for batch in batches:
-            archives, offsets, lengths = (c.to_pylist() for c in batch.columns)
-            for name in dict.fromkeys(archives):
-                ranges = [(o, n) for a, o, n in zip(archives, offsets, lengths, strict=True) if a == name]
+            records = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for name, own in groupby(records, key=lambda r: r[0]):
                 with system.open_input_file(f"{base}/{name}") as f:
-                    for group in coalesce_ranges(ranges):
+                    for group in coalesce_ranges([r[1:] for r in own]):
                         begin = group[0][0]
                         data = f.read_at(group[-1][0] + group[-1][1] - begin, begin)
                         rows = [parsed(data[at - begin : at - begin + size]) for at, size in group]
