@@ -7,9 +7,11 @@ lines do not decide min-hashes where anything rarer is near. Windows are grouped
 they lie on each other over `span` tokens or more about it, and where enough further hashes agree: a sketch of SLOTS min-hashes, of four bits each,
 of the span / 2 tokens on either side of c, of which ENOUGH of one side must be equal (a passage of `span` tokens has all of one side).
 
-1. Each window of a group with the group's first (the least document's), and windows of equal content with the first of these.
-2. Contents that are verified to be like the first's are one component, as contents have one group each; then windows of different components of
-   a group, each pair of contents once. So all pairs of contents are tried but those inside the component.
+1. Each window of a group with a representative of like sketch, representatives of like sketch with each other, and windows of equal content with
+   the first of these. Representatives are chosen in turn, REPRESENTATIVES at most: of the windows that none is like yet, the one nearest
+   to the sketch that most of them have, so that families of like passages have one each.
+2. Contents that are verified to be like one another through these have one label; then windows of different labels in a group, each pair of
+   contents once. So all pairs of contents are tried but those that are connected already.
 
 Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
@@ -237,6 +239,7 @@ _LIVE = (
     "key long, doc long, th long, c int, l int, r int, cls long, sketch long,"
     " y_doc long, y_th long, y_c int, y_l int, y_r int, y_cls long"
 )
+REPRESENTATIVES = 12
 #: Of groups up to this size, members that resemble no other content of the group are left out of the second join at once.
 SMALL_GROUP = 32
 
@@ -252,6 +255,39 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
     def apart(w: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (w["doc"][i] != w["doc"][j]) | (w["th"][i] != w["th"][j])
 
+    def representatives(w: dict, group: np.ndarray, size: np.ndarray, n_old: int):
+        """Of every window its representative (-1: none yet), and the pairs of like representatives."""
+        chosen = np.full(len(group), -1, np.int64)
+        todo = np.flatnonzero(size[group] > 1)
+        so_far: list[np.ndarray] = []
+        leaders = []
+        for _ in range(REPRESENTATIVES):
+            if not len(todo):
+                break
+            new = np.concatenate(([True], group[todo][1:] != group[todo][:-1]))
+            own, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            score = np.zeros(len(todo), np.int64)
+            for slot in range(2 * SLOTS):
+                value = ((w["sketch"][todo] >> np.uint64(4 * slot)) & np.uint64(15)).astype(np.int64)
+                times = np.bincount(own * 16 + value, minlength=16 * len(start)).reshape(-1, 16)
+                score += value == times.argmax(1)[own]
+            best = np.maximum.reduceat(score * (len(todo) + 1) + len(todo) - np.arange(len(todo)), start)
+            leader = todo[len(todo) - best % (len(todo) + 1)]
+            mine = leader[own]
+            like = (todo == mine) | alike(w, todo, mine)
+            chosen[todo[like]] = mine[like]
+            led = np.full(len(size), -1, np.int64)
+            led[group[leader]] = leader
+            for earlier in so_far:
+                i = earlier[group[leader]]
+                fit = (i >= 0) & ((leader >= n_old) | (i >= n_old))
+                i, j = leader[fit], i[fit]
+                both = apart(w, i, j) & alike(w, i, j)
+                leaders.append((i[both], j[both]))
+            so_far.append(led)
+            todo = todo[~like]
+        return chosen, leaders
+
     def grouped(w: dict, n_old: int, open_end: bool):
         """Of windows sorted by key and document, the first n_old of them carried over: pairs, members, and what to carry over."""
         n = len(w["key"])
@@ -260,7 +296,6 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         size = np.diff(np.append(start, n))
-        head = start[group]
         order = np.lexsort((every, w["cls"], group))
         run = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (w["cls"][order][1:] != w["cls"][order][:-1])))
         begins = np.flatnonzero(run)
@@ -268,11 +303,13 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
         own = np.empty(n, np.int64)  # the first window of equal content
         own[order] = np.repeat(order[begins], np.diff(np.append(begins, n)))
         fresh = every >= n_old
+        chosen, leaders = representatives(w, group, size, n_old)
         pairs = []
-        for other in (head, own):
-            i = np.flatnonzero(fresh & (other != every) & ((other != head) | (other is head)))
-            i = i[apart(w, i, other[i])]
-            pairs.append((i[alike(w, i, other[i])], other))
+        for other in (chosen, own):
+            i = np.flatnonzero(fresh & (other >= 0) & (other != every) & ((other is chosen) | (own != chosen)))
+            i = i[apart(w, i, other[i]) & alike(w, i, other[i])]
+            pairs.append((i, other[i]))
+        pairs += leaders
         contents = np.bincount(group[order[begins]], minlength=len(start))
         last = start + size - 1
         several = apart(w, start, last) | (np.maximum.reduceat(w["borne"].astype(np.int8), start) > 0)
@@ -295,12 +332,13 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
                 i, j = i[same], j[same]
                 hit = (w["cls"][i] != w["cls"][j]) & alike(w, i, j)
                 like[i[hit]] = like[j[hit]] = True
-        keep = np.union1d(order[begins][group[order[begins]] == len(start) - 1], start[-1:]) if open_end else np.empty(0, np.int64)
+        firsts = order[begins]
+        keep = np.sort(firsts[group[firsts] == len(start) - 1]) if open_end else np.empty(0, np.int64)
         return pairs, np.flatnonzero(member & like), {k: v[keep] for k, v in w.items()}
 
     def emitted(w: dict, pairs: list, members: np.ndarray):
         i = np.concatenate([p[0] for p in pairs] + [members])
-        j = np.concatenate([other[p] for p, other in pairs] + [np.zeros(len(members), np.int64)])
+        j = np.concatenate([p[1] for p in pairs] + [np.zeros(len(members), np.int64)])
         alone = pa.array(np.arange(len(i)) >= len(i) - len(members))
         columns = [pa.array(w["key"][i]), *[pa.array(w[k][i].view(np.int64) if k == "sketch" else w[k][i]) for k in names]]
         columns += [pa.array(w[k][j], mask=alone.to_numpy(False)) for k in names[:-1]]
@@ -529,22 +567,26 @@ def near_passages(
     spots = written(_spots(joined), "windows-spots")
     found = _similar(texts, _by_pair(spots), width, span, percent)
     united = joined.where("a <> b").join(small_side(found), _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
-    linked = written(united.select("a").union(united.select("b")).distinct().select(F.col("a").alias("node"), F.lit(True).alias("linked")), "windows-linked")
+    links = written(united.select("a", "b").union(united.select("b", "a")).distinct(), "windows-links")
+    # Two steps of least labels: windows that have one label are connected, which is all that is needed of it.
+    least = links.groupBy("a").agg(F.min(F.least("a", "b")).alias("label"))
+    further = links.join(least.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    labels = written(further.select(F.col("a").alias("node"), "label"), "windows-labels")
     # Of each content its first and its last window, as a pair may not be of one document.
     own = F.struct("doc", "th", "c", "l", "r", "cls", "sketch")
     contents = (
         live.where("y_doc is null")
         .groupBy("key", F.col("cls").alias("node"))
         .agg(F.min(own).alias("x"), F.max(own).alias("last"))
-        .join(small_side(linked), "node", "left")
-        .withColumn("linked", F.coalesce("linked", F.lit(False)))
+        .join(small_side(labels), "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
     )
-    loose = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("key")
+    loose = contents.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     apart = written(contents.join(loose, "key", "left_semi"), "windows-apart")
     crossed = (
         apart.alias("p")
         .join(apart.alias("q"), F.col("p.key") == F.col("q.key"))
-        .where(f"p.node < q.node and not (p.linked and q.linked) and {_alike('p.x', 'q.x', span)}")
+        .where(f"p.node < q.node and p.label <> q.label and {_alike('p.x', 'q.x', span)}")
         .where(f"{_apart('p.x', 'q.x')} or {_apart('p.last', 'q.x')} or {_apart('p.x', 'q.last')}")
         .selectExpr(
             f"if({_apart('p.x', 'q.x')} or not {_apart('p.last', 'q.x')}, p.x, p.last) as x",
@@ -559,7 +601,7 @@ def near_passages(
         .select(*_PAIR, *_RANGE)
     )
     second = written(_by_pair(fresh), "windows-pairs")
-    released(live, linked, apart)
+    released(live, links, labels, apart)
     if second.head(1):
         found = found.union(_similar(texts, second, width, span, percent)).distinct()
     released(spots, second)
