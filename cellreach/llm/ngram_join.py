@@ -159,17 +159,26 @@ def _sets(texts: DataFrame, bearers: DataFrame, pairs: DataFrame, width: int, co
     return written(_fragments(own.select("text"), width, counts), "ngram-sets")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, na, b, nb) whose fragments' overlaps sum to a Jaccard similarity of percent or more."""
+def _partial(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with frag and, of that fragment, the sizes of both parts (ka, kb) and of their overlap (c)."""
     left = sets.select(F.col("node").alias("a"), "frag", F.col("part").alias("pa"))
     right = sets.select(F.col("node").alias("b"), "frag", F.col("part").alias("pb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
-        "a", "na", "b", "nb", "frag", F.size(F.array_intersect("pa", "pb")).alias("c")
-    )
-    # Rows that repeat a document repeat its fragments.
-    once = partial.groupBy("a", "na", "b", "nb", "frag").agg(F.max("c").alias("c"))
-    total = once.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
-    return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    both = left.join(small_side(pairs), "a").join(right, ["b", "frag"])
+    return both.select(*pairs.columns, "frag", F.size("pa").alias("ka"), F.size("pb").alias("kb"), F.size(F.array_intersect("pa", "pb")).alias("c"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) whose fragments' overlaps sum to a Jaccard similarity of percent or more.
+
+    The fragment of the rarest shingles is counted first: pairs whose other fragments could not make up for it go no further.
+    """
+    enough = lambda c: 100 * c >= percent * (F.col("na") + F.col("nb") - c)
+    rarest = _partial(pairs, sets.where("frag = 0"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    open_ones = written(rarest.where(enough(most)).select("a", "na", "b", "nb", F.col("c").alias("c0")), "ngram-open")
+    rest = _partial(open_ones, sets.where("frag > 0"))
+    total = rest.groupBy("a", "na", "b", "nb", "c0").agg((F.col("c0") + F.sum("c")).alias("c"))
+    return total.where(enough(F.col("c"))).select("a", "b")
 
 
 def _possible(percent: int, p: str, q: str) -> str:
