@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellreach.llm.common import RowKey, equal_texts, released, small_side, space_words, written
-from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, word_hashes
+from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, texts_of, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
 HASHES, SLOTS, ENOUGH = 4, 8, 4
@@ -112,8 +112,7 @@ def _token_counts(texts: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for _, data in text_chunks(rows, rows):
+            for _, data in text_chunks(range(batch.num_rows), texts_of(batch.column(0))):
                 tokens, inside, _ = token_run(data, width)
                 counts += np.bincount(buckets(tokens[inside]), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays(list(count_columns(counts)), names=["part", "counts"])
@@ -198,7 +197,7 @@ def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
             found = []
-            for rows, data in text_chunks(range(len(ids)), batch.column(2).to_pylist()):
+            for rows, data in text_chunks(range(len(ids)), texts_of(batch.column(2))):
                 part = _chunk_windows(data, held.value, width, span, hashes)
                 part[0] = np.array(rows, np.int64)[part[0]]
                 found.append(part)
@@ -478,7 +477,7 @@ def _tokens(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
-            for rows, data in text_chunks(range(len(ids)), batch.column(2).to_pylist()):
+            for rows, data in text_chunks(range(len(ids)), texts_of(batch.column(2))):
                 at = np.array(rows, np.int64)
                 lists = pa.array([t.view(np.int64) for t in token_rows(data, width)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ths[at]), lists], names=["doc", "th", "tokens"])

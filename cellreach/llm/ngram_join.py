@@ -32,7 +32,7 @@ from pyspark.sql import Window
 
 from cellreach.llm.common import RowKey, released, row_struct, small_side, unpack, written
 from cellreach.llm.components import connected_components
-from cellreach.llm.shingles import BUCKETS, COUNT_DDL, COUNT_ROWS, add_up, buckets, count_columns, shingle_sets, text_chunks
+from cellreach.llm.shingles import BUCKETS, COUNT_DDL, COUNT_ROWS, add_up, buckets, count_columns, shingle_sets, text_chunks, texts_of
 
 WIDTH = 5
 PERCENT = 80
@@ -50,7 +50,7 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
         names = ["doc", "th", "id", "n", "node", "part", "counts"]
         for batch in batches:
             docs_of, ths = (batch.column(k).to_numpy() for k in (0, 1))
-            for rows, data in text_chunks(range(len(docs_of)), batch.column(2).to_pylist()):
+            for rows, data in text_chunks(range(len(docs_of)), texts_of(batch.column(2))):
                 at = np.array(rows, np.int64)
                 sets = shingle_sets(data, width)
                 every = np.concatenate(sets)
@@ -96,8 +96,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
     def run(batches):
         place, salts = held.value
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for _, data in text_chunks(rows, rows):
+            for _, data in text_chunks(range(batch.num_rows), texts_of(batch.column(0))):
                 seen, parts = set(), []
                 for s in shingle_sets(data, width):
                     if not len(s) or (key := _set_key(s)) in seen:
@@ -132,8 +131,7 @@ def _fragments(docs: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for _, data in text_chunks(texts, texts):
+            for _, data in text_chunks(range(batch.num_rows), texts_of(batch.column(0))):
                 rows = []
                 for s in shingle_sets(data, width):
                     key = np.array([_set_key(s)], np.uint64).view(np.int64)[0]

@@ -9,7 +9,7 @@ Counts of shingles are kept by hash bucket: BUCKETS numbers a task, added up by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,7 +53,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def text_chunks(ids: list, texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """A column's texts one by one, so that no task holds a batch of them twice."""
+    return (x.as_py() for x in column)
+
+
+def text_chunks(ids: Iterable, texts: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in runs of about `limit` bytes; a longer text is a run of its own. Null is empty."""
     some, data, size = [], [], 0
     for i, text in zip(ids, texts, strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.llm.common import RowKey, equal_texts, is_small, released, small_side, written
-from cellreach.llm.shingles import mix, powers, text_chunks
+from cellreach.llm.shingles import mix, powers, text_chunks, texts_of
 
 LENGTH, ANCHOR = 100, 40
 SHARD_BYTES = 1 << 21
@@ -86,7 +86,7 @@ def _anchor_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
         for batch in batches:
             docs, ths = (batch.column(k).to_numpy() for k in (0, 1))
             found = []
-            for rows, data in text_chunks(range(len(docs)), batch.column(2).to_pylist()):
+            for rows, data in text_chunks(range(len(docs)), texts_of(batch.column(2))):
                 text, pos, hashes = anchors_of(data, length, anchor)
                 found.append((np.array(rows, np.int64)[text], pos, hashes))
             if not found:
@@ -151,7 +151,7 @@ def _stretches(placed: DataFrame, length: int, anchor: int) -> DataFrame:
             every_pos, every_label = (batch.column(3).values.field(k).to_numpy() for k in (0, 1))
             seen: set = set()
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column(2).to_pylist()):
+            for k, text in enumerate(texts_of(batch.column(2))):
                 data = text.encode()
                 pos, label = every_pos[at[k] : at[k + 1]], every_label[at[k] : at[k + 1]]
                 order = np.lexsort((pos, label))
@@ -204,10 +204,10 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(raw)
     word = _words8(raw)[:n]
-    sa = np.argsort(word)
+    sa = np.argsort(word).astype(np.int32)
     ordered = word[sa]
     begins = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group = np.empty(n + 1, np.int64)  # of a suffix: the place in sa where its group begins
+    group = np.empty(n + 1, np.int32)  # of a suffix: the place in sa where its group begins
     group[n] = -1
     group[sa] = np.flatnonzero(begins)[np.cumsum(begins) - 1]
     h = 8
@@ -218,7 +218,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
             break
         some = sa[open_at]
         own, ahead = group[some], group[np.minimum(some + h, n)]
-        both = own * (n + 1) + ahead + 1
+        both = own.astype(np.int64) * (n + 1) + ahead + 1
         order = np.argsort(both)
         some, both = some[order], both[order]
         sa[open_at] = some
@@ -236,10 +236,10 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     more with its own. Every eighth suffix is compared from its start, the others from the bound that gives.
     """
     n = len(raw)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     word = _words8(raw)
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
 
     def extend(which: np.ndarray) -> None:
         """By eight bytes while they are equal, then by the equal leading bytes of the words that differ."""
@@ -285,7 +285,7 @@ def _shard_repeats(rows: list[tuple], length: int) -> tuple[list[tuple], list[tu
     inside = np.repeat(first + sizes - length, sizes) >= np.arange(len(raw))
     sa = suffix_array(raw, length)
     lcp = common_prefixes(raw, sa, length)
-    number = np.cumsum(lcp < length)  # a shorter prefix anywhere between two suffixes parts them
+    number = np.cumsum(lcp < length, dtype=np.int32)  # a shorter prefix anywhere between two suffixes parts them
     valid = inside[sa]
     sa, number = sa[valid], number[valid]
     heads = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
