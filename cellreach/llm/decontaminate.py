@@ -1,42 +1,44 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Every benchmark item is cut into windows of 10 consecutive words (a shorter item is one window). To
-contain a window, a document must have its rarest word, so one word is the necessary prefix:
-rarity is the number of documents with the word, counted over all documents. A document's words
-are joined with these prefix words; a hit at a place fixes where the window must start (positional
-bound) and whether it fits in (length bound), and then the words of that place are
-compared exactly with the window.
+Every benchmark item is cut into windows of 10 consecutive words (a shorter item is one window). A window's set is that of its shingles of
+SHINGLE words, or itself if it is shorter. Shingles are ordered by rarity: how often their hash bucket occurs in all documents. To contain a window a
+document must have all of its shingles, so the rarest alone is the necessary prefix. The documents' shingles are joined
+with these prefixes; a hit fixes where the window must start (positional bound) and whether it fits in (length
+bound), and then the words of that place are compared exactly with the window.
 
-Scale: documents are not shuffled; two passes over the texts, each a map. The benchmark is taken in
-blocks of at most BLOCK_BYTES, each block's index being what a task holds; with more than one block
-the table is written to the shared folder between blocks. Counts are kept for the block's words only.
+Scale: two passes over the texts, each a map, whatever the size of the benchmark: one counts buckets, one looks shingles up in a bitmap of the prefixes
+(BITMAP_BITS, fixed) and emits those that may be one, with the words around them. Only these are joined with the table of windows, which is
+broadcast if its items have at most `block_bytes` of text, else by a shuffle. Documents are not shuffled but to drop
+those that are hit, if there are too many of these to broadcast their ids. The driver holds the bitmap and the fixed-size counts.
 
 Defined results: a null text has no words and is clean; an item without words has no windows; an item
-with a null id marks documents but is not listed; equal items are each listed; repeated rows are each
-judged; an empty benchmark leaves every document clean; an empty table gives an empty result.
+with a null id marks documents but is not listed; equal items are each listed; rows equal in id and text are each
+judged alike, rows of one id and different texts on their own; an empty benchmark leaves every document clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellreach.llm.common import fresh_path, row_struct, unpack
+from cellreach.llm.common import RowKey, released, row_struct, small_side, unpack, written
+from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, texts_of, word_runs
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 5
+#: Bytes of benchmark text up to which the windows are broadcast.
 BLOCK_BYTES = 1 << 23
+#: Bits of the bitmap of prefixes, as bits of a hash.
+BITMAP_BITS = 24
 
 #: Bytes of words as they are, A-Z lower-cased, all other bytes as spaces.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
+_GAP = np.frombuffer(_FOLD, np.uint8) == 0x20
 
-_HITS = "n_words long, runs array<struct<s: int, e: int>>, items array<long>, n_anonymous long"
+_SCAN = "doc long, th long, id long, n_words long, h long, pos int, begin int, around array<binary>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,131 +46,154 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's (item id, text) rows in blocks of about block_bytes."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r["i"], r["t"]) for r in part.collect()]
+def _keys(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words, told apart from those of other widths."""
+    return mix(rolled_hashes(words, width) + np.uint64(width))
+
+
+def _widths(benchmark: DataFrame) -> list[int]:
+    """The numbers of words that shingles of the benchmark (i, t) have: SHINGLE of them, and fewer for shorter items."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([min(len(words_of(t)), SHINGLE) for t in batch.column(0).to_pylist()], pa.int32())], names=["k"]
+            )
+
+    found = benchmark.select("t").mapInArrow(run, "k int").where("k > 0").distinct()
+    return sorted(r["k"] for r in found.collect())  # SHINGLE numbers at most
+
 
+def _shingle_counts(texts: DataFrame, widths: list[int]) -> np.ndarray:
+    """How often shingles of these widths occur in all texts, by bucket."""
 
-def _windows(items: list[tuple], width: int) -> dict[tuple, list]:
-    """Item ids by window; a window that an item repeats has the id once."""
-    found: dict[tuple, list] = defaultdict(list)
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            window = tuple(words[i : i + width])
-            if not found[window] or found[window][-1] != item:
-                found[window].append(item)
-    return dict(found)
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, data in text_chunks(range(batch.num_rows), texts_of(batch.column(0))):
+                words, _, _, first = word_runs(data, _GAP)
+                ends = np.repeat(first[1:], np.diff(first))
+                for k in widths:
+                    inside = np.arange(len(words) - k + 1) + k <= ends[: max(0, len(words) - k + 1)]
+                    counts += np.bincount(buckets(_keys(words, k)[inside]), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays(list(count_columns(counts)), names=["part", "counts"])
+
+    return add_up(texts.select("text").mapInArrow(run, COUNT_DDL))
 
 
-def _document_counts(docs: DataFrame, text_col: str, vocabulary: list[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of the vocabulary occurs."""
-    held = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
+def _windows(benchmark: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
+    """(h, at, n, words, item) of every window of the benchmark (i, t): its prefix shingle, where that begins, and its words."""
+    held = benchmark.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        number = held.value
-        counts: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in number.keys() & set(words_of(text)):
-                    counts[number[w]] += 1
-        if counts:
+            rows: list[tuple] = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = [(text or "").encode()]
+                hashes = word_runs(data, _GAP)[0]
+                if not len(hashes):
+                    continue
+                words = words_of(text)
+                k = min(len(words), SHINGLE)
+                keys = _keys(hashes, k)
+                rank = held.value[buckets(keys)]
+                for s in range(max(1, len(words) - width + 1)):
+                    n = min(width, len(words))
+                    span = range(s, s + n - k + 1)
+                    best = min(span, key=lambda p: (int(rank[p]), int(keys[p])))
+                    rows.append((int(keys[best].view(np.int64)), best - s, n, words[s : s + n], item))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["k", "c"]
+                [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["h", "at", "n", "words", "item"]
             )
 
-    rows = docs.select(text_col).mapInArrow(run, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
-    return {vocabulary[r["k"]]: r["c"] for r in rows}
-
-
-def _index(windows: dict[tuple, list], counts: dict[bytes, int]) -> dict[bytes, dict[tuple[int, int], dict]]:
-    """By prefix word: for each (place in the window, window length) the windows and their item ids."""
-    index: dict[bytes, dict] = {}
-    for window, items in windows.items():
-        at = min(range(len(window)), key=lambda k: (counts.get(window[k], 0), window[k]))
-        index.setdefault(window[at], {}).setdefault((at, len(window)), {})[window] = items
-    return index
-
-
-def _search(index: dict, words: list[bytes]) -> tuple[list[tuple[int, int]], set, bool]:
-    """Runs of hit words, the items hit, and whether an item without id is among them."""
-    runs, items, n = [], set(), len(words)
-    for p, w in enumerate(words):
-        places = index.get(w)
-        if places:
-            for (at, length), windows in places.items():
-                s = p - at
-                if s >= 0 and s + length <= n:
-                    got = windows.get(tuple(words[s : s + length]))
-                    if got:
-                        runs.append((s, s + length))
-                        items.update(got)
-    merged: list[tuple[int, int]] = []
-    for s, e in sorted(runs):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    return merged, items - {None}, None in items
-
-
-def _hits(docs: DataFrame, text_col: str, items: list[tuple], width: int):
-    """A column function over the text: _HITS for one block of the benchmark."""
-    windows = _windows(items, width)
-    vocabulary = sorted({w for window in windows for w in window})
-    index = docs.sparkSession.sparkContext.broadcast(_index(windows, _document_counts(docs, text_col, vocabulary)))
-
-    @F.pandas_udf(_HITS)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                words = words_of(text)
-                runs, found, anonymous = _search(index.value, words)
-                rows.append((len(words), [{"s": s, "e": e} for s, e in runs], sorted(found), int(anonymous)))
-            yield pd.DataFrame(rows, columns=["n_words", "runs", "items", "n_anonymous"])
+    return benchmark.mapInArrow(run, "h long, at int, n int, words array<binary>, item long").distinct()
 
-    return search
 
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """Which upper BITMAP_BITS of hashes any prefix has, as bits; its size is fixed."""
+    place = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
+    found = windows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITMAP_BITS}) & 63L))")).alias("bits"))
+    table = found.toArrow()
+    out = np.zeros((1 << BITMAP_BITS) // 64, np.uint64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out
 
-def _judged(
-    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, block_bytes: int
-) -> DataFrame:
-    """(row, n_words, n_hit, items): every row of docs with its hits in the whole benchmark."""
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    rows, found = docs.select(row_struct(docs).alias("row")), []
-    for k, items in enumerate(blocks):
-        if k:
-            at = fresh_path(docs.sparkSession, "decontaminate")
-            rows.write.parquet(at)
-            rows = docs.sparkSession.read.schema(rows.schema).parquet(at)
-        search = _hits(docs, text_col, items, width)
-        rows = rows.withColumn(f"b{k}", search(F.col(f"row.`{text_col}`")))
-        found.append(f"b{k}")
-    if not found:
-        rows = rows.withColumn("b0", _hits(docs, text_col, [], width)(F.col(f"row.`{text_col}`")))
-        found = ["b0"]
-    runs = F.array_sort(F.concat(*[F.col(f"{b}.runs") for b in found]))
+
+def _scan(rows: DataFrame, bitmap: np.ndarray, widths: list[int], width: int) -> DataFrame:
+    """Of rows (doc, th, id, text): one of _SCAN for each (h null), and one for each place of a shingle that the bitmap has."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = held.value
+        for batch in batches:
+            docs, ths = (batch.column(k).to_numpy() for k in (0, 1))
+            ids = batch.column(2).to_pylist()
+            for at, data in text_chunks(range(len(docs)), texts_of(batch.column(3))):
+                words, start, end, first = word_runs(data, _GAP)
+                folded = (b"\n".join(data) + b"\n").translate(_FOLD)
+                sizes = np.diff(first)
+                out = [(int(docs[r]), int(ths[r]), ids[r], int(n), None, None, None, None) for r, n in zip(at, sizes.tolist(), strict=True)]
+                ends = np.repeat(first[1:], sizes)
+                for k in widths:
+                    keys = _keys(words, k)
+                    place = keys >> np.uint64(64 - BITMAP_BITS)
+                    maybe = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+                    hits = np.flatnonzero((maybe > 0) & (np.arange(len(keys)) + k <= ends[: len(keys)]))
+                    text = np.searchsorted(first, hits, "right") - 1
+                    for p, t in zip(hits.tolist(), text.tolist(), strict=True):
+                        a, b = max(int(first[t]), p - width + 1), min(int(first[t + 1]), p + width)
+                        r, begin = at[t], int(first[t])
+                        around = folded[start[a] : end[b - 1]].split()
+                        out.append((int(docs[r]), int(ths[r]), None, None, int(keys[p].view(np.int64)), p - begin, a - begin, around))
+                kinds = {"long": pa.int64(), "int": pa.int32(), "array<binary>": pa.list_(pa.binary())}
+                fields = [x.split() for x in _SCAN.split(", ")]
+                columns = zip(*out, strict=True) if out else [()] * len(fields)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields]
+                )
+
+    return rows.mapInArrow(run, _SCAN)
+
+
+def _hits(scan: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """(doc, th, n_hit, items) of the documents that hold a window: how many of their words lie in one, and the items."""
+    own = windows.select(F.col("h").alias("w_h"), "at", "n", "words", "item")
+    both = scan.where("h is not null").join(F.broadcast(own) if small else own, F.col("h") == F.col("w_h"))
+    begins = F.col("pos") - F.col("at")
+    inside = F.slice("around", F.greatest(begins - F.col("begin") + 1, F.lit(1)), F.col("n"))
+    exact = both.where((begins >= F.col("begin")) & (inside == F.col("words")))
+    runs = exact.select("doc", "th", F.struct(begins.alias("s"), (begins + F.col("n")).alias("e")).alias("run"), "item")
+    by = runs.groupBy("doc", "th").agg(F.sort_array(F.collect_set("run")).alias("runs"), F.sort_array(F.collect_set("item")).alias("items"))
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
-        runs,
+        "runs",
         start,
         lambda a, r: F.struct(
             F.greatest(a["to"], r["e"]).alias("to"),
             (a["n"] + F.greatest(r["e"] - F.greatest(a["to"], r["s"]), F.lit(0))).alias("n"),
         ),
     )
-    return rows.select(
-        "row",
-        F.col(f"{found[0]}.n_words").alias("n_words"),
-        covered["n"].alias("n_hit"),
-        F.array_distinct(F.concat(*[F.col(f"{b}.items") for b in found])).alias("items"),
-    )
+    return by.select("doc", "th", covered["n"].alias("n_hit"), "items")
+
+
+def _judged(
+    docs: DataFrame, key: RowKey, benchmark: DataFrame, id_col: str | None, text_col: str, item_col: str, item_text_col: str, width: int, block_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """(doc, th, id, n_words) of every row, and _hits; both from written tables."""
+    text = F.col(f"`{text_col}`")
+    own = F.col(f"`{id_col}`")
+    rows = docs.select(*key.columns(own, text), own.cast("long").alias("id"), text.alias("text"))
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    widths = _widths(items)
+    counts = _shingle_counts(rows, widths) if widths else np.zeros(BUCKETS, np.int64)
+    windows = written(_windows(items, counts, width), "decontaminate-windows")
+    scan = written(_scan(rows, _bitmap(windows), widths, width), "decontaminate-scan")
+    hits = written(_hits(scan, windows, size <= block_bytes), "decontaminate-hits")
+    released(windows)
+    return scan.where("h is null").select("doc", "th", "id", "n_words"), hits
 
 
 def decontaminate(
@@ -182,8 +207,13 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items) of every row: how many of its words lie in a window of an item, and the items."""
-    judged = _judged(docs, benchmark, text_col, item_col, item_text_col, width, block_bytes)
-    return judged.select(F.col(f"row.`{id_col}`").alias(id_col), "n_words", "n_hit", "items")
+    rows, hits = _judged(docs, RowKey(docs, id_col), benchmark, id_col, text_col, item_col, item_text_col, width, block_bytes)
+    return rows.join(small_side(hits), ["doc", "th"], "left").select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+    )
 
 
 def drop_contaminated(
@@ -194,10 +224,14 @@ def drop_contaminated(
     item_text_col: str = "text",
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    id_col: str = "doc_id",
 ) -> DataFrame:
     """The rows of docs that hold no window of any item; same columns."""
-    judged = _judged(docs, benchmark, text_col, item_col, item_text_col, width, block_bytes)
-    return unpack(judged.where("n_hit = 0"), "row", docs.columns)
+    key = RowKey(docs, id_col)
+    _, hits = _judged(docs, key, benchmark, id_col, text_col, item_col, item_text_col, width, block_bytes)
+    packed = docs.select(row_struct(docs).alias("row"))
+    keyed = packed.select("row", *key.columns(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
+    return unpack(keyed.join(small_side(hits.select("doc", "th")), ["doc", "th"], "left_anti"), "row", docs.columns)
 
 
 def digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

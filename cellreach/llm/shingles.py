@@ -73,18 +73,25 @@ def text_chunks(ids: Iterable, texts: Iterable, limit: int = CHUNK_BYTES) -> Ite
         yield some, data
 
 
-def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts one after another, and each text's first word (one more at the end)."""
+def word_runs(data: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts one after another (runs of bytes that are not `space`): hashes, and where they start and end in the texts
+    joined by line feeds; and each text's first word (one more at the end)."""
     raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    space = _SPACE[raw]
-    before = np.concatenate(([True], space[:-1]))
-    start, end = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+    gap = space[raw]
+    before = np.concatenate(([True], gap[:-1]))
+    start, end = np.flatnonzero(before & ~gap), np.flatnonzero(~before & gap)
     up, down = powers(len(raw))
     total = np.cumsum(_FOLD[raw] * up)
     left = np.where(start > 0, total[start - 1], np.uint64(0))
     words = mix((total[end - 1] - left) * down[start] + (end - start).astype(np.uint64))
     bounds = np.concatenate(([0], np.cumsum([len(b) + 1 for b in data])))
-    return words, np.searchsorted(start, bounds)
+    return words, start, end, np.searchsorted(start, bounds)
+
+
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts one after another, and each text's first word (one more at the end)."""
+    words, _, _, first = word_runs(data)
+    return words, first
 
 
 def rolled_hashes(words: np.ndarray, width: int) -> np.ndarray:
