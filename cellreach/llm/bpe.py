@@ -201,7 +201,7 @@ class BulkEncoder:
         for i in plain:
             some.append(i)
             size += len(texts[i])
-            if size > 1 << 21 or i == plain[-1]:
+            if size > 1 << 19 or i == plain[-1]:
                 for k, ids in zip(some, self._plain([texts[j].lower() for j in some]), strict=True):
                     out[k] = ids
                 size, some = 0, []

@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from cellreach.llm.bpe import BulkEncoder
 from cellreach.llm.common import fresh_path
+from cellreach.llm.shingles import texts_of
 
 MAX_LEN = 2048
 SEPARATOR = 0
 #: Rows of a (length, salt) group that are ranked together, about.
 RANKED_TOGETHER = 100_000
 STEPS = 200
+#: Characters that a task encodes at once, long texts as a whole.
+CHUNK_CHARS = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -57,14 +60,15 @@ def pieces_of(
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            size, lo = 0, 0
-            for hi in range(1, len(keys) + 1):
-                size += len(texts[hi - 1] or "")
-                if size < 1 << 22 and hi < len(keys):
+            keys = batch.column(0).to_pylist()
+            size, lo, some = 0, 0, []
+            for hi, text in enumerate(texts_of(batch.column(1)), 1):
+                some.append(text)
+                size += len(text or "")
+                if size < CHUNK_CHARS and hi < len(keys):
                     continue
                 rows = []
-                for key, ids in zip(keys[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                for key, ids in zip(keys[lo:hi], encoder.encode(some), strict=True):
                     ids = np.append(ids, SEPARATOR).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), max_len)):
                         part = ids[at : at + max_len]
@@ -73,7 +77,7 @@ def pieces_of(
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 arrays = [pa.array(list(c), k) for c, k in zip(columns[: len(names)], kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                size, lo = 0, hi
+                size, lo, some = 0, hi, []
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, kind)
 
