@@ -10,8 +10,9 @@ of the span / 2 tokens on either side of c, of which ENOUGH of one side must be
 1. Each window of a group with a representative of like sketch, representatives of like sketch with each other, and windows of equal content with
    the first of these. Representatives are chosen in turn, REPRESENTATIVES at most: of the windows that none is like yet, the one nearest
    to the sketch that most of them have, so that families of like passages have one each.
-2. Contents that are verified to be like one another through these have one label; then windows of different labels in a group, each pair of
-   contents once. So all pairs of contents are tried but those that are connected already.
+2. The passages that are verified are united: those of a pair, and those of one document that overlap by MERGE tokens or more. Then windows of
+   a group whose places are not in passages so connected, each pair of contents once. So all pairs of contents are tried but
+   those that are connected already.
 
 Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
@@ -34,10 +35,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.llm.common import RowKey, equal_texts, released, small_side, space_words, written
+from cellreach.llm.components import connected_components
 from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, texts_of, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
@@ -49,6 +51,8 @@ CROWD, SALTS = 64, 1023
 #: Tokens of buckets up to so much above the average all have the lowest rank: else the tokens that an edit made, which are
 #: rarer than those that the copies share, would decide the min-hashes of all near copies.
 COMMON = 1000
+#: Tokens that passages of one document share if they are one passage.
+MERGE = 34
 
 _PAIR = ["doc", "th", "o_doc", "o_th"]
 
@@ -234,9 +238,10 @@ def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes
     return texts.mapInArrow(run, _WINDOW)
 
 
+#: Members of groups (o_doc null), and the ranges of joined pairs, the later document first.
 _LIVE = (
-    "key long, doc long, th long, c int, l int, r int, cls long, sketch long,"
-    " y_doc long, y_th long, y_c int, y_l int, y_r int, y_cls long"
+    "key long, cls long, sketch long, doc long, th long, c int, l int, r int,"
+    " o_doc long, o_th long, o_l int, o_r int, diagonal int"
 )
 REPRESENTATIVES = 12
 #: Of groups up to this size, members that resemble no other content of the group are left out of the second join at once.
@@ -244,7 +249,7 @@ SMALL_GROUP = 32
 
 
 def _grouped(windows: DataFrame, span: int) -> DataFrame:
-    """_LIVE rows of _WINDOW rows: pairs (with y) of the first join, and (without) the first and last window of each content for the second."""
+    """_LIVE rows of _WINDOW rows: pairs of the first join, and the first and last window of each content for the second."""
     names = ["doc", "th", "c", "l", "r", "cls", "sketch"]
 
     def alike(w: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -335,12 +340,21 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
         keep = np.sort(firsts[group[firsts] == len(start) - 1]) if open_end else np.empty(0, np.int64)
         return pairs, np.flatnonzero(member & like), {k: v[keep] for k, v in w.items()}
 
-    def emitted(w: dict, pairs: list, members: np.ndarray):
-        i = np.concatenate([p[0] for p in pairs] + [members])
-        j = np.concatenate([p[1] for p in pairs] + [np.zeros(len(members), np.int64)])
-        alone = pa.array(np.arange(len(i)) >= len(i) - len(members))
-        columns = [pa.array(w["key"][i]), *[pa.array(w[k][i].view(np.int64) if k == "sketch" else w[k][i]) for k in names]]
-        columns += [pa.array(w[k][j], mask=alone.to_numpy(False)) for k in names[:-1]]
+    def ranges(x: dict, y: dict) -> list:
+        """The columns of _LIVE of joined windows x and y."""
+        back = (x["doc"] < y["doc"]) | ((x["doc"] == y["doc"]) & (x["th"] < y["th"]))
+        p, q = ({k: np.where(back, two[k], one[k]) for k in names[:5]} for one, two in ((x, y), (y, x)))
+        before, after = np.minimum(p["c"] - p["l"], q["c"] - q["l"]), np.minimum(p["r"] - p["c"], q["r"] - q["c"])
+        none = [pa.nulls(len(back), pa.int64())] * 3
+        sides = [[pa.array(z["doc"]), pa.array(z["th"]), *lead, pa.array(z["c"] - before), pa.array(z["c"] + after)] for z, lead in ((p, [pa.array(p["c"])]), (q, []))]
+        return [*none, *sides[0], *sides[1], pa.array((p["c"] - q["c"]) // np.int32(DIAGONAL))]
+
+    def members_of(w: dict, i: np.ndarray) -> list:
+        """The columns of _LIVE of single windows."""
+        own = [pa.array(w["key"][i]), pa.array(w["cls"][i]), pa.array(w["sketch"][i].view(np.int64)), *[pa.array(w[k][i]) for k in names[:5]]]
+        return [*own, *[pa.nulls(len(i), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]]
+
+    def batch_of(columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LIVE.split(", ")])
 
     def run(batches):
@@ -351,10 +365,8 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
             known = np.flatnonzero(w["salt"] > 0)
             if len(known):
                 o = batch.column("o").take(pa.array(known))
-                i = {k: w[k][known] for k in ("key", *names)}
-                other = [pa.compute.struct_field(o, k) for k in names[:5]]
-                columns = [pa.array(i["key"]), *[pa.array(i[k].view(np.int64) if k == "sketch" else i[k]) for k in names], *other, pa.array(i["cls"])]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LIVE.split(", ")])
+                other = {k: pa.compute.struct_field(o, k).to_numpy() for k in names[:5]}
+                yield batch_of(ranges({k: w[k][known] for k in names[:5]}, other))
             plain = w["salt"] == 0
             w = {k: v[plain] for k, v in w.items()}
             if not len(w["key"]):
@@ -364,7 +376,9 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
                 n_old = len(held["key"])
                 w = {k: np.concatenate((held[k], w[k])) for k in w}
             pairs, members, held = grouped(w, n_old, True)
-            yield emitted(w, pairs, members)
+            i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            yield batch_of(ranges({k: w[k][i] for k in names[:5]}, {k: w[k][j] for k in names[:5]}))
+            yield batch_of(members_of(w, members))
 
     return windows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "th", "c").mapInArrow(run, _LIVE)
 
@@ -496,32 +510,43 @@ def _apart(x: str, y: str) -> str:
 
 
 def _sided(joined: DataFrame) -> DataFrame:
-    """Pairs (x, y) of joined windows, the later document first; a and b are their contents."""
+    """The ranges of joined windows (x, y), the later document first."""
     back = F.expr("struct(x.doc, x.th) < struct(y.doc, y.th)")
     p, q = F.when(back, F.col("y")).otherwise(F.col("x")), F.when(back, F.col("x")).otherwise(F.col("y"))
+    before, after = "least(p.c - p.l, q.c - q.l)", "least(p.r - p.c, q.r - q.c)"
     return joined.select(p.alias("p"), q.alias("q")).selectExpr(
-        *[f"p.{n} as {n}" for n in ("doc", "th", "c")],
-        *[f"q.{n} as o_{n}" for n in ("doc", "th", "c")],
-        "p.cls as a",
-        "q.cls as b",
-        "least(p.c - p.l, q.c - q.l) as before",
-        "least(p.r - p.c, q.r - q.c) as after",
+        *[f"{z}.{n} as {lead}{n}" for z, lead in (("p", ""), ("q", "o_")) for n in ("doc", "th")],
+        *[x for z, lead in (("p", ""), ("q", "o_")) for x in (f"{z}.c - {before} as {lead}l", f"{z}.c + {after} as {lead}r")],
+        f"int(floor((p.c - q.c) / {DIAGONAL})) as diagonal",
     )
 
 
 _RANGE = ["lo", "hi", "o_lo", "o_hi", "diagonal"]
 
 
-def _spots(sided: DataFrame) -> DataFrame:
-    """The joined windows of each pair of documents and diagonal as one range of tokens of either."""
-    return sided.groupBy(*_PAIR, F.floor((F.col("c") - F.col("o_c")) / DIAGONAL).alias("diagonal")).agg(
-        F.min(F.col("c") - F.col("before")).alias("lo"),
-        F.max(F.col("c") + F.col("after")).alias("hi"),
-        F.min(F.col("o_c") - F.col("before")).alias("o_lo"),
-        F.max(F.col("o_c") + F.col("after")).alias("o_hi"),
+def _spots(ranges: DataFrame) -> DataFrame:
+    """Ranges (doc, th, l, r, o_doc, o_th, o_l, o_r, diagonal) of each pair of documents and diagonal as one of either."""
+    return ranges.groupBy(*_PAIR, "diagonal").agg(
+        F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("o_l").alias("o_lo"), F.max("o_r").alias("o_hi")
     )
 
 
+def _connected(found: DataFrame) -> DataFrame:
+    """(doc, th, s, e, label) of the united passages of each document in _PASSAGE rows; passages of one label are connected."""
+    sides = found.select("doc", "th", "s", "e").union(found.select("o_doc", "o_th", "o_s", "o_e")).distinct()
+    by = Window.partitionBy("doc", "th").orderBy("s", "e")
+    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("s") > reach - MERGE, 1).otherwise(F.when(reach.isNull(), 1).otherwise(0))
+    one = sides.withColumn("new", new).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    named = written(one.select("doc", "th", "s", "e", F.xxhash64("doc", "th", "part").alias("node")), "windows-passages")
+    mine = named.withColumnRenamed("node", "a")
+    theirs = named.select(F.col("doc").alias("o_doc"), F.col("th").alias("o_th"), F.col("s").alias("o_s"), F.col("e").alias("o_e"), F.col("node").alias("b"))
+    pairs = found.join(mine, ["doc", "th", "s", "e"]).join(theirs, ["o_doc", "o_th", "o_s", "o_e"]).select("a", "b")
+    comps = connected_components(written(pairs.distinct(), "windows-links"))
+    labelled = named.join(comps, "node", "left").select("doc", "th", "s", "e", F.coalesce("component", "node").alias("label"))
+    return written(labelled.groupBy("doc", "th", "label").agg(F.min("s").alias("s"), F.max("e").alias("e")), "windows-labels")
+
+
 def _by_pair(spots: DataFrame) -> DataFrame:
     """(doc, th, o_doc, o_th, lo, hi, o_lo, o_hi, spots) of every pair of documents."""
     ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi")]
@@ -561,23 +586,18 @@ def near_passages(
     texts = key.once(every.join(alike, ["doc", "th"], "left_anti"))
     counts = _token_counts(texts, width)
     live = written(_grouped(_windows(texts, counts, width, span, hashes), span), "windows-live")
-    window = lambda p: F.struct(*[F.col(f"{p}{n}").alias(n) for n in ("doc", "th", "c", "l", "r", "cls")])
-    joined = _sided(live.where("y_doc is not null").select(window("").alias("x"), window("y_").alias("y")))
-    spots = written(_spots(joined), "windows-spots")
+    spots = written(_spots(live.where("o_doc is not null")), "windows-spots")
     found = _similar(texts, _by_pair(spots), width, span, percent)
-    united = joined.where("a <> b").join(small_side(found), _PAIR).where("c >= s and c < e and o_c >= o_s and o_c < o_e")
-    links = written(united.select("a", "b").union(united.select("b", "a")).distinct(), "windows-links")
-    # Two steps of least labels: windows that have one label are connected, which is all that is needed of it.
-    least = links.groupBy("a").agg(F.min(F.least("a", "b")).alias("label"))
-    further = links.join(least.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    labels = written(further.select(F.col("a").alias("node"), "label"), "windows-labels")
+    passages = _connected(found)
     # Of each content its first and its last window, as a pair may not be of one document.
     own = F.struct("doc", "th", "c", "l", "r", "cls", "sketch")
+    members = live.where("o_doc is null").groupBy("key", F.col("cls").alias("node")).agg(F.min(own).alias("x"), F.max(own).alias("last"))
+    place = passages.select(F.col("doc").alias("p_doc"), F.col("th").alias("p_th"), F.col("s").alias("p_s"), F.col("e").alias("p_e"), "label")
+    here = (F.col("x.doc") == F.col("p_doc")) & (F.col("x.th") == F.col("p_th")) & (F.col("x.c") >= F.col("p_s")) & (F.col("x.c") < F.col("p_e"))
     contents = (
-        live.where("y_doc is null")
-        .groupBy("key", F.col("cls").alias("node"))
-        .agg(F.min(own).alias("x"), F.max(own).alias("last"))
-        .join(small_side(labels), "node", "left")
+        members.join(small_side(place), here, "left")
+        .groupBy("key", "node", "x", "last")
+        .agg(F.min("label").alias("label"))
         .withColumn("label", F.coalesce("label", "node"))
     )
     loose = contents.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
@@ -600,12 +620,12 @@ def near_passages(
         .select(*_PAIR, *_RANGE)
     )
     second = written(_by_pair(fresh), "windows-pairs")
-    released(live, links, labels, apart)
+    released(live, passages, apart)
     if second.head(1):
         found = found.union(_similar(texts, second, width, span, percent)).distinct()
     released(spots, second)
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
-    passages = found.select(
+    result = found.select(
         F.col("doc").alias(id_col),
         F.col("s").cast("long").alias("start_word"),
         words("s", "e").alias("n_words"),
@@ -616,4 +636,4 @@ def near_passages(
     )
     size, none = F.size(space_words(F.col("text"))).cast("long"), F.lit(0).cast("long")
     whole = key.once(every.join(alike, ["doc", "th"])).select("doc", "o_doc", size.alias("n")).where(F.col("n") >= span + width - 1)
-    return passages.union(whole.select("doc", none, "n", "o_doc", none, "n", F.lit(100)))
+    return result.union(whole.select("doc", none, "n", "o_doc", none, "n", F.lit(100)))
