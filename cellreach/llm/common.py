@@ -17,11 +17,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    It is set here (to a temporary folder) only where the session names none, as in local tests.
+    It is set here (to a temporary folder) only where the session names none and is a local one, as in tests.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellreach-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 

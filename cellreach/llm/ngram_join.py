@@ -161,7 +161,8 @@ def _partial(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with frag and, of that fragment, the sizes of both parts (ka, kb) and of their overlap (c)."""
     left = sets.select(F.col("node").alias("a"), "frag", F.col("part").alias("pa"))
     right = sets.select(F.col("node").alias("b"), "frag", F.col("part").alias("pb"))
-    both = left.join(small_side(pairs), "a").join(right, ["b", "frag"])
+    wanted = pairs.select("b").distinct()  # so that only sets of pairs are shuffled
+    both = left.join(small_side(pairs), "a").join(right.join(small_side(wanted), "b", "left_semi"), ["b", "frag"])
     return both.select(*pairs.columns, "frag", F.size("pa").alias("ka"), F.size("pb").alias("kb"), F.size(F.array_intersect("pa", "pb")).alias("c"))
 
 
