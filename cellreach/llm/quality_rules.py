@@ -109,7 +109,7 @@ def _losses(
     )
     often = (
         lines.groupBy("q_host", "h")
-        .agg(F.count_distinct(F.coalesce(F.col("q_id"), F.lit(-1))).alias("docs"), F.min("q_id").alias("first"))
+        .agg((F.count_distinct("q_id") + F.max(F.col("q_id").isNull().cast("int"))).alias("docs"), F.min("q_id").alias("first"))
         .where(F.col("docs") > max_docs_per_line)
         .select(F.col("q_host").alias("o_host"), F.col("h").alias("o_h"), F.col("first"))
     )
