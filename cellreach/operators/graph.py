@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from cellreach.plans.cuts import cut
 
-#: Edges that a task may hold for the per-source strategy (some 200 MB).
-MAX_TASK_EDGES = 5_000_000
-
-
 def build_edges(raw: DataFrame) -> DataFrame:
     """(u, v, w) from (u, v, w, oneway): two-way edges get their reverse."""
     forward = raw.select("u", "v", "w")
@@ -38,15 +34,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def _best(labels: DataFrame, k: int) -> DataFrame:
-    """The k least (d, src) of each node, a source once."""
-    each = labels.groupBy("node", "src").agg(F.min("d").alias("d"))
-    if k == 1:
-        return each.groupBy("node").agg(F.min(F.struct("d", "src")).alias("x")).select("node", "x.src", "x.d")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "src"))
-    return each.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
-
-
 def kbest(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, max_rounds: int = 10_000) -> DataFrame:
     """(node, src, d): for every node the k least (time, source) over distinct sources with time <= cutoff.
 
@@ -74,39 +61,6 @@ def kbest(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, max_rounds:
     raise RuntimeError("relaxation did not settle")
 
 
-def kbest_by_source(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, chunk: int = 32) -> DataFrame:
-    """The same result by a bounded search from every source, tasks sharing out the sources.
-
-    The edge list is held by every task and must be short (MAX_TASK_EDGES, counted first). For road networks, whose paths have many hops.
-    """
-    if edges.limit(MAX_TASK_EDGES + 1).count() > MAX_TASK_EDGES:
-        raise ValueError("too many edges for one task; use kbest")
-    graph: dict[int, list] = defaultdict(list)
-    for r in edges.select("u", "v", "w").toLocalIterator():
-        graph[r["u"]].append((r["v"], r["w"]))
-    held = edges.sparkSession.sparkContext.broadcast(dict(graph))
-
-    def run(batches):
-        import pandas as pd
-
-        near = held.value
-        for batch in batches:
-            for src in batch["node"]:
-                best, heap = {src: 0}, [(0, src)]
-                while heap:
-                    d, node = heapq.heappop(heap)
-                    if d > best[node]:
-                        continue
-                    for other, w in near.get(node, ()):
-                        if d + w <= cutoff and d + w < best.get(other, cutoff + 1):
-                            best[other] = d + w
-                            heapq.heappush(heap, (d + w, other))
-                yield pd.DataFrame({"node": list(best), "src": src, "d": list(best.values())})
-
-    parts = sources.select("node").distinct().repartition(max(1, chunk), "node")
-    return _best(parts.mapInPandas(run, "node long, src long, d long"), k)
-
-
 #: Edges of a part of the graph, which one task holds.
 PART_EDGES = 500_000
 _LABELS = "array<struct<node: bigint, src: string, d: bigint, limit: bigint>>"
@@ -208,6 +162,11 @@ def kbest_by_part(edges: DataFrame, sources: DataFrame, k: int | None, cutoff: i
     raise RuntimeError("relaxation did not settle")
 
 
+def kbest_by_source(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, chunk: int = 32) -> DataFrame:
+    """The rows of kbest by kbest_by_part, `chunk` being the number of parts. For road networks, whose paths have many hops."""
+    return kbest_by_part(edges, sources.select("node").distinct(), k, cutoff, parts=chunk)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of weakly connected nodes: the least node reachable either way.
 

@@ -56,6 +56,8 @@ def livable(cells: DataFrame, ranked: DataFrame, legs: DataFrame, state: State)
         return chosen.select("cell")
     asked = spark.createDataFrame([(k, v * 60) for k, v in state.wanted.items()], "entity string, limit int")
     legs = legs.join(F.broadcast(asked), "entity", "left_semi")
+    if keep is not None:  # cells that the overlays rule out are not composed
+        ranked = ranked.join(chosen.select("cell").distinct(), "cell", "left_semi")
     known = asked.join(legs.select("entity").distinct(), "entity", "left_semi")
     need = known.agg(F.count(F.lit(1)).alias("need"))
     passed = (

@@ -576,7 +576,10 @@ def hospital_reclass(spark, d):
     return table(spark, d, "part").select("p_partkey", poi.hospital_or_clinic(F.lit("hospital"), F.expr(_NAME)).alias("category"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('drive|' || p_partkey)) AS x FROM part)
+SELECT p_partkey, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4, 1)
+       || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS site_id FROM h""")
 def uuid5_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", ids.uuid5(F.concat(F.lit("drive|"), F.col("p_partkey").cast("string"))).alias("site_id"))
 
