@@ -66,13 +66,22 @@ PART_EDGES = 500_000
 _LABELS = "array<struct<node: bigint, src: string, d: bigint, limit: bigint>>"
 
 
-def kbest_by_part(edges: DataFrame, sources: DataFrame, k: int | None, cutoff: int | None = None, parts: int = 32, max_rounds: int = 10_000) -> DataFrame:
+def kbest_by_part(
+    edges: DataFrame,
+    sources: DataFrame,
+    k: int | None,
+    cutoff: int | None = None,
+    parts: int = 32,
+    max_rounds: int = 10_000,
+    targets: DataFrame | None = None,
+) -> DataFrame:
     """(node, src, d): for every node the k least (time, source) over distinct sources (all of them for k None) within the source's limit.
 
     sources: (node), each a source of its own, or (node, src, limit), nodes of one src being one source; src is text where it is given. The graph is cut
     into ranges of node ids with about as many edges each. A round searches every part that has new labels to its end, in one task,
     and sends on only the labels that leave the part; parts without new labels are left alone. So rounds are the times that a path
-    crosses from part to part, not its hops; ids should follow places. Ties are broken by src.
+    crosses from part to part, not its hops; ids should follow places. Ties are broken by src. With targets (node) only their rows are given, and once
+    each has k labels, those that are further than the furthest of these are not sent on.
     """
     import numpy as np
     import pyarrow as pa
@@ -147,6 +156,13 @@ def kbest_by_part(edges: DataFrame, sources: DataFrame, k: int | None, cutoff: i
 
     start = sources.select(F.col("node").cast("long").alias("node"), "src", F.lit(0).cast("long").alias("d"), "limit").distinct()
     state, fresh = None, start
+    goals = None if targets is None else cut(targets.select("node").distinct())
+    n_goals = 0 if goals is None else goals.count()
+
+    def labels_of(state: DataFrame) -> DataFrame:
+        rows = state.select(F.explode("labels").alias("x")).select("x.node", "x.src", "x.d")
+        return rows if goals is None else rows.join(goals, "node", "left_semi")
+
     for _ in range(max_rounds):
         coming = fresh.groupBy(part_of(F.col("node")).alias("part")).agg(F.collect_list(F.struct("node", "src", "d", "limit")).alias("fresh"))
         work = coming.join(packed, "part", "left")
@@ -156,9 +172,13 @@ def kbest_by_part(edges: DataFrame, sources: DataFrame, k: int | None, cutoff: i
         state = new if state is None else cut(state.join(new, "part", "left_anti").unionByName(new))
         moved = done.select(F.explode("away").alias("x")).select("x.*")
         fresh = moved.groupBy("node", "src", "limit").agg(F.min("d").alias("d"))
+        if goals is not None and k is not None:
+            full = labels_of(state).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where(F.col("n") >= k)
+            settled = full.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+            if settled["n"] == n_goals:
+                fresh = fresh.where(F.col("d") <= (settled["d"] or 0))
         if not fresh.head(1):
-            src = F.col("x.src").cast("long") if own else F.col("x.src")
-            return state.select(F.explode("labels").alias("x")).select("x.node", src.alias("src"), "x.d")
+            return labels_of(state).select("node", F.col("src").cast("long" if own else "string").alias("src"), "d")
     raise RuntimeError("relaxation did not settle")
 
 

@@ -197,3 +197,38 @@ def test_water_of_no_time(spark):
     df = spark.createDataFrame([(-71.0, 42.0)], "lon double, lat double")
     assert df.where(geo.approx_reach(F.col("lon"), F.col("lat"), -71.0, 42.0, 0)).count() == 0
     assert df.where(geo.approx_reach(F.col("lon"), F.col("lat"), -71.0, 42.0, 1)).count() == 1
+
+
+def test_targets_stop_the_search_early(spark):
+    r = random.Random(9)
+    rows = [(k, k + 1, 1) for k in range(60)] + [(r.randrange(60), r.randrange(60), r.randrange(1, 9)) for _ in range(40)]
+    edges = spark.createDataFrame(rows, "u long, v long, w long")
+    sources = spark.createDataFrame([(0,), (5,)], "node long")
+    goals = spark.createDataFrame([(7,), (9,), (9,)], "node long")
+    got = {tuple(x) for x in graph.kbest_by_part(edges, sources, 2, 500, parts=6, targets=goals).select("node", "src", "d").collect()}
+    assert got == {x for x in brute_kbest(rows, [0, 5], 2, 500) if x[0] in (7, 9)} and len(got) == 4
+
+
+def test_ordered_fingerprint(spark):
+    df = spark.createDataFrame([(k, k % 3) for k in range(50)], "k long, v long")
+    one, same = (tables.ordered_fingerprint(x, ["v"], ["k"]).first() for x in (df, df.repartition(7).orderBy(F.desc("k"))))
+    other = tables.ordered_fingerprint(df, ["v"], ["v", "k"]).first()
+    assert one == same and one["n"] == 50 and one["digest"] != other["digest"]
+
+
+def test_cache_is_built_again_when_sources_change(spark, tmp_path):
+    from cellreach.sources import cache
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    stamp = lambda *rows: spark.createDataFrame(list(rows), "path string, size long, stamp long")
+    first = stamp(("a", 1, 1), ("b", 2, None))
+    folder = f"{tmp_path}/cache"
+    assert cache.load_or_build(spark, folder, first, build).count() == 1
+    assert cache.load_or_build(spark, folder, first, build).count() == 1
+    assert cache.load_or_build(spark, folder, stamp(("a", 1, 2), ("b", 2, None)), build).count() == 2
+    assert [r["path"] for r in cache.changed_sources(first, stamp(("a", 1, 1), ("c", 2, None))).orderBy("path").collect()] == ["b", "c"]
