@@ -12,7 +12,8 @@ of the span / 2 tokens on either side of c, of which ENOUGH of one side must be
    to the sketch that most of them have, so that families of like passages have one each.
 2. The passages that are verified are united: those of a pair, and those of one document that overlap by MERGE tokens or more. Then windows of
    a group whose places are not in passages so connected, each pair of contents once. So all pairs of contents are tried but
-   those that are connected already.
+   those that are connected already; ranges in which any passage would overlap connected ones so far are left out, and so are verified
+   pairs that do.
 
 Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
@@ -543,8 +544,24 @@ def _connected(found: DataFrame) -> DataFrame:
     theirs = named.select(F.col("doc").alias("o_doc"), F.col("th").alias("o_th"), F.col("s").alias("o_s"), F.col("e").alias("o_e"), F.col("node").alias("b"))
     pairs = found.join(mine, ["doc", "th", "s", "e"]).join(theirs, ["o_doc", "o_th", "o_s", "o_e"]).select("a", "b")
     comps = connected_components(written(pairs.distinct(), "windows-links"))
-    labelled = named.join(comps, "node", "left").select("doc", "th", "s", "e", F.coalesce("component", "node").alias("label"))
-    return written(labelled.groupBy("doc", "th", "label").agg(F.min("s").alias("s"), F.max("e").alias("e")), "windows-labels")
+    united = named.groupBy("doc", "th", "node").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    labelled = united.join(comps, "node", "left").select("doc", "th", "s", "e", F.coalesce("component", "node").alias("label"))
+    return written(labelled, "windows-labels")
+
+
+def _new(pairs: DataFrame, passages: DataFrame, within: str) -> DataFrame:
+    """Those of pairs (doc, th, o_doc, o_th, ...) whose two sides are not both in passages of one label; `within` is SQL of a
+    side's range [x, y) and a passage's [s, e)."""
+    keys = [c for c in pairs.columns if c != "spots"]
+    names = ("lo", "hi + 1") if "lo" in keys else ("s", "e")
+    sides = []
+    for lead in ("", "o_"):
+        own = passages.select(F.col("doc").alias(f"{lead}doc"), F.col("th").alias(f"{lead}th"), F.col("s").alias("p_s"), F.col("e").alias("p_e"), "label")
+        x, y = (lead + n for n in names)
+        held = within.replace("{x}", f"({x})").replace("{y}", f"({y})").replace("{s}", "p_s").replace("{e}", "p_e")
+        sides.append(pairs.select(*keys).join(small_side(own), [f"{lead}doc", f"{lead}th"]).where(held).select(*keys, "label"))
+    known = sides[0].intersect(sides[1]).drop("label").distinct()
+    return pairs.join(known, keys, "left_anti")
 
 
 def _by_pair(spots: DataFrame) -> DataFrame:
@@ -619,10 +636,15 @@ def near_passages(
         .where("not coalesce(t_lo <= lo and t_hi >= hi and t_o_lo <= o_lo and t_o_hi >= o_hi, false)")
         .select(*_PAIR, *_RANGE)
     )
+    # A passage of span tokens inside such a range overlaps the connected one by MERGE tokens or more.
+    slack = span - MERGE * span // SPAN
+    fresh = _new(written(fresh, "windows-fresh"), passages, f"{{x}} >= {{s}} - {slack} and {{y}} <= {{e}} + {slack} and {{e}} - {{s}} >= {span}")
     second = written(_by_pair(fresh), "windows-pairs")
-    released(live, passages, apart)
+    released(live, apart)
     if second.head(1):
-        found = found.union(_similar(texts, second, width, span, percent)).distinct()
+        more = _similar(texts, second, width, span, percent)
+        overlap = f"least({{y}}, {{e}}) - greatest({{x}}, {{s}}) >= {MERGE * span // SPAN}"
+        found = found.union(_new(more, passages, overlap)).distinct()
     released(spots, second)
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
     result = found.select(
