@@ -263,9 +263,17 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
     def representatives(w: dict, group: np.ndarray, size: np.ndarray, n_old: int):
         """Of every window its representative (-1: none yet), and the pairs of like representatives."""
         chosen = np.full(len(group), -1, np.int64)
+        chosen[:n_old] = np.arange(n_old)  # the carried ones are representatives of the first group
         todo = np.flatnonzero(size[group] > 1)
+        todo = todo[todo >= n_old]
         so_far: list[np.ndarray] = []
         leaders = []
+        for old in range(n_old):
+            mine = todo[group[todo] == 0]
+            like = mine[alike(w, mine, np.full(len(mine), old))]
+            chosen[like] = old
+            todo = todo[chosen[todo] < 0]
+            so_far.append(np.where(np.arange(len(size)) == 0, old, -1))
         for _ in range(REPRESENTATIVES):
             if not len(todo):
                 break
@@ -337,8 +345,10 @@ def _grouped(windows: DataFrame, span: int) -> DataFrame:
                 i, j = i[same], j[same]
                 hit = (w["cls"][i] != w["cls"][j]) & alike(w, i, j)
                 like[i[hit]] = like[j[hit]] = True
-        firsts = order[begins]
-        keep = np.sort(firsts[group[firsts] == len(start) - 1]) if open_end else np.empty(0, np.int64)
+        # The last group may go on: a few of its representatives are carried over, so that what a batch costs does not grow with the group.
+        keep = np.unique(chosen[(group == len(start) - 1) & (chosen >= 0)])[:REPRESENTATIVES] if open_end else np.empty(0, np.int64)
+        if open_end and not len(keep):
+            keep = start[-1:]
         return pairs, np.flatnonzero(member & like), {k: v[keep] for k, v in w.items()}
 
     def ranges(x: dict, y: dict) -> list:
