@@ -52,6 +52,8 @@ CROWD, SALTS = 64, 1023
 #: Tokens of buckets up to so much above the average all have the lowest rank: else the tokens that an edit made, which are
 #: rarer than those that the copies share, would decide the min-hashes of all near copies.
 COMMON = 1000
+#: Pairs of documents that a task holds at once while it verifies them.
+PAIRS_PER_BATCH = 200
 #: Tokens that passages of one document share if they are one passage.
 MERGE = 34
 
@@ -588,7 +590,14 @@ def _similar(texts: DataFrame, pairs: DataFrame, width: int, span: int, percent:
     one = pairs.join(tokens, ["doc", "th"]).withColumn("ta", cut("lo", "hi")).drop("hi", "tokens")
     two = one.join(tokens.select(F.col("doc").alias("o_doc"), F.col("th").alias("o_th"), "tokens"), ["o_doc", "o_th"])
     slices = two.select("doc", "th", "lo", "o_doc", "o_th", "o_lo", "spots", "ta", cut("o_lo", "o_hi").alias("tb"))
-    found = written(_verified(slices, span, percent).distinct(), "windows-found")
+    # Slices of long texts are large: fewer of them at a time keep the tasks' memory small, whatever the texts.
+    spark, rows = pairs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(PAIRS_PER_BATCH))
+    try:
+        found = written(_verified(slices, span, percent).distinct(), "windows-found")
+    finally:
+        spark.conf.set(rows, before)
     released(ids, tokens)
     return found
 
