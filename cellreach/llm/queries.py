@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellreach.llm import oracles
+from cellreach.llm.alignment import align
 from cellreach.llm.compact_windows import near_passages
 from cellreach.llm.decontaminate import decontaminate, digest
 from cellreach.llm.line_dedup import line_dedup
@@ -16,6 +17,8 @@ from cellreach.llm.sharding import shard_by_bytes
 from cellreach.llm.suffix_dedup import remove_repeats
 from cellreach.llm.url_filter import judge_urls
 from cellreach.llm.warc import archive_round_trip
+from cellreach.llm.whitening import whiten
+from cellreach.llm.winnowing import compare_with_next
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLES = {
