@@ -40,7 +40,7 @@ from cellreach.llm.shingles import texts_of
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters that a task encodes at once, ids that it aligns at once, and distinct pairs that it holds before it sends them on.
-CHUNK_CHARS, CHUNK_IDS, HELD_PAIRS = 1 << 20, 1 << 19, 1 << 22
+CHUNK_CHARS, CHUNK_IDS, HELD_PAIRS = 1 << 18, 1 << 18, 1 << 21
 ID_BITS = 32
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -228,6 +228,8 @@ class CountShards:
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of keys in ascending order."""
         out = np.empty(len(keys), np.int64)
+        if not len(keys):
+            return out
         cuts = np.append(np.searchsorted(keys, self.firsts[1:]), len(keys))
         lo = 0
         for name, hi in zip(self.names, cuts.tolist(), strict=True):
