@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 METRES_PER_DEGREE = 111_000.0
 #: Cells of the square grid have 360 / 2**(res + 4) degrees a side.
-_BASE_BITS, _AXIS_BITS = 4, 28
+BASE_BITS, AXIS_BITS = 4, 28
 
 
 def cell_xy(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
-    per_degree = (1 << (res + _BASE_BITS)) / 360.0
+    per_degree = (1 << (res + BASE_BITS)) / 360.0
     return F.floor((lon + 180.0) * per_degree), F.floor((lat + 90.0) * per_degree)
 
 
 def pack_cell(x: Column, y: Column, res: int) -> Column:
-    return F.lit(res).cast("long") * (1 << 2 * _AXIS_BITS) + x * (1 << _AXIS_BITS) + y
+    return F.lit(res).cast("long") * (1 << 2 * AXIS_BITS) + x * (1 << AXIS_BITS) + y
 
 
 def cell_of(lon: Column, lat: Column, res: int) -> Column:
@@ -34,16 +34,16 @@ def cell_of(lon: Column, lat: Column, res: int) -> Column:
 
 def parent_cell(cell: Column, steps: int = 1) -> Column:
     """The cell that holds this one, `steps` resolutions up."""
-    mask = (1 << _AXIS_BITS) - 1
-    res = F.shiftright(cell, 2 * _AXIS_BITS)
-    x = F.shiftright(cell, _AXIS_BITS).bitwiseAND(mask)
+    mask = (1 << AXIS_BITS) - 1
+    res = F.shiftright(cell, 2 * AXIS_BITS)
+    x = F.shiftright(cell, AXIS_BITS).bitwiseAND(mask)
     y = cell.bitwiseAND(mask)
-    return (res - steps) * (1 << 2 * _AXIS_BITS) + F.shiftright(x, steps) * (1 << _AXIS_BITS) + F.shiftright(y, steps)
+    return (res - steps) * (1 << 2 * AXIS_BITS) + F.shiftright(x, steps) * (1 << AXIS_BITS) + F.shiftright(y, steps)
 
 
 def cell_span(low: Column, high: Column, start: float, res: int) -> Column:
     """All cell numbers along an axis that starts at `start` degrees, from low to high degrees."""
-    per_degree = (1 << (res + _BASE_BITS)) / 360.0
+    per_degree = (1 << (res + BASE_BITS)) / 360.0
     return F.sequence(F.floor((low - start) * per_degree), F.floor((high - start) * per_degree))
 
 
@@ -58,8 +58,8 @@ def cells_around(lon: Column, lat: Column, metres: float, res: int) -> Column:
 
 def cell_centre(cell: Column, res: int) -> tuple[Column, Column]:
     """lon and lat of the middle of a cell."""
-    mask, side = (1 << _AXIS_BITS) - 1, 360.0 / (1 << (res + _BASE_BITS))
-    x, y = F.shiftright(cell, _AXIS_BITS).bitwiseAND(mask), cell.bitwiseAND(mask)
+    mask, side = (1 << AXIS_BITS) - 1, 360.0 / (1 << (res + BASE_BITS))
+    x, y = F.shiftright(cell, AXIS_BITS).bitwiseAND(mask), cell.bitwiseAND(mask)
     return (x + 0.5) * side - 180.0, (y + 0.5) * side - 90.0
 
 
@@ -71,10 +71,10 @@ def cell_ring(x: Column, y: Column, res: int) -> Column:
 
 def cell_boundary(cell: Column) -> Column:
     """Closed ring of (lon, lat) corners."""
-    mask = (1 << _AXIS_BITS) - 1
-    res = F.shiftright(cell, 2 * _AXIS_BITS)
-    side = F.lit(360.0) / F.pow(F.lit(2.0), res + _BASE_BITS)
-    x, y = F.shiftright(cell, _AXIS_BITS).bitwiseAND(mask), cell.bitwiseAND(mask)
+    mask = (1 << AXIS_BITS) - 1
+    res = F.shiftright(cell, 2 * AXIS_BITS)
+    side = F.lit(360.0) / F.pow(F.lit(2.0), res + BASE_BITS)
+    x, y = F.shiftright(cell, AXIS_BITS).bitwiseAND(mask), cell.bitwiseAND(mask)
     corner = lambda i, j: F.array((x + i) * side - 180.0, (y + j) * side - 90.0)
     return F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
 
