@@ -18,9 +18,15 @@ METRES_PER_DEGREE = 111_000.0
 BASE_BITS, AXIS_BITS = 4, 28
 
 
-def cell_xy(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
+def _axis_cell(value: Column, start: float, res: int) -> Column:
+    """The cell number along an axis from start to -start degrees; what lies beyond an end is in the last cell there."""
     per_degree = (1 << (res + BASE_BITS)) / 360.0
-    return F.floor((lon + 180.0) * per_degree), F.floor((lat + 90.0) * per_degree)
+    last = int(-2 * start * per_degree) - 1
+    return F.least(F.greatest(F.floor((value - start) * per_degree), F.lit(0)), F.lit(last))
+
+
+def cell_xy(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
+    return _axis_cell(lon, -180.0, res), _axis_cell(lat, -90.0, res)
 
 
 def pack_cell(x: Column, y: Column, res: int) -> Column:
@@ -42,9 +48,8 @@ def parent_cell(cell: Column, steps: int = 1) -> Column:
 
 
 def cell_span(low: Column, high: Column, start: float, res: int) -> Column:
-    """All cell numbers along an axis that starts at `start` degrees, from low to high degrees."""
-    per_degree = (1 << (res + BASE_BITS)) / 360.0
-    return F.sequence(F.floor((low - start) * per_degree), F.floor((high - start) * per_degree))
+    """All cell numbers along an axis from `start` to -start degrees, from low to high degrees: as many as the axis has at most."""
+    return F.sequence(_axis_cell(low, start, res), _axis_cell(high, start, res))
 
 
 def cells_around(lon: Column, lat: Column, metres: float, res: int) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.plans.cuts import cut
 
+
 def build_edges(raw: DataFrame) -> DataFrame:
     """(u, v, w) from (u, v, w, oneway): two-way edges get their reverse."""
     forward = raw.select("u", "v", "w")
@@ -61,9 +63,117 @@ def kbest(edges: DataFrame, sources: DataFrame, k: int, cutoff: int, max_rounds:
     raise RuntimeError("relaxation did not settle")
 
 
-#: Edges of a part of the graph, which one task holds.
-PART_EDGES = 500_000
-_LABELS = "array<struct<node: bigint, src: string, d: bigint, limit: bigint>>"
+#: Edges of a part of the graph, which one task holds, and places of the table of times that it fills at once.
+PART_EDGES, TABLE_PLACES = 500_000, 1 << 23
+_FAR = np.iinfo(np.int64).max
+
+
+class _Part:
+    """One part of the graph in a task: its edges by the node that they leave, and searches that stay inside."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, held: np.ndarray, fresh: np.ndarray, inside):
+        own = inside(v)
+        self.nodes = np.unique(np.concatenate([u, v[own], held[:, 0], fresh[:, 0]]))
+        order = np.argsort(u, kind="stable")
+        u, self.v, self.w, self.own = u[order], v[order], w[order], own[order]
+        self.first = np.searchsorted(u, self.nodes)
+        self.count = np.searchsorted(u, self.nodes, "right") - self.first
+        self.to = np.searchsorted(self.nodes, self.v)  # of own ones
+
+    def leave(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, edge) of all edges that leave nodes."""
+        n = self.count[node]
+        row = np.repeat(np.arange(len(node)), n)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[node], n)
+
+
+def _least(*keys: np.ndarray) -> np.ndarray:
+    """Rows that come first among those of equal leading keys, by the last key; in order of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys[:-1]:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order[new]
+
+
+def _search_all(part: _Part, held: np.ndarray, fresh: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """(node, src, d) that got better, with all sources kept; sources are independent of each other and taken a few at a time."""
+    out = []
+    sources = np.unique(fresh[:, 1])
+    step = max(1, TABLE_PLACES // max(len(part.nodes), 1))
+    for lo in range(0, len(sources), step):
+        some = sources[lo : lo + step]
+        best = np.full((len(some), len(part.nodes)), _FAR)
+        for rows in (held, fresh):
+            at = np.minimum(np.searchsorted(some, rows[:, 1]), len(some) - 1)
+            mine = some[at] == rows[:, 1]
+            np.minimum.at(best, (at[mine], np.searchsorted(part.nodes, rows[mine, 0])), rows[mine, 2])
+            if rows is held:
+                before = best.copy()
+        limit = np.full(len(some), -1)
+        known = np.isin(fresh[:, 1], some)
+        limit[np.searchsorted(some, fresh[known, 1])] = limits[known]
+        best[best > limit[:, None]] = _FAR
+        best = np.minimum(best, before)
+        src, node = np.nonzero(best < before)
+        while len(src):
+            row, edge = part.leave(node)
+            time = best[src[row], node[row]] + part.w[edge]
+            ok = part.own[edge] & (time <= limit[src[row]])
+            s, t, time = src[row][ok], part.to[edge[ok]], time[ok]
+            better = time < best[s, t]
+            s, t, time = s[better], t[better], time[better]
+            np.minimum.at(best, (s, t), time)
+            changed = np.unique(s * len(part.nodes) + t)
+            src, node = np.divmod(changed, len(part.nodes))
+        src, node = np.nonzero(best < before)
+        out.append(np.stack([part.nodes[node], some[src], best[src, node]], 1))
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+
+def _search_k(part: _Part, held: np.ndarray, fresh: np.ndarray, limits: np.ndarray, k: int) -> np.ndarray:
+    """(node, src, d) that got better, with the k least (d, src) kept of each node."""
+    d = np.full((len(part.nodes), k), _FAR)
+    src = np.full((len(part.nodes), k), _FAR)
+
+    def put(node, s, time):
+        """Labels merged into their nodes' slots; those that are new there."""
+        touched = np.unique(node)
+        all_node = np.concatenate([np.repeat(touched, k), node])
+        all_src, all_d = np.concatenate([src[touched].ravel(), s]), np.concatenate([d[touched].ravel(), time])
+        new = np.arange(len(all_node)) >= len(touched) * k
+        real = all_d < _FAR
+        all_node, all_src, all_d, new = all_node[real], all_src[real], all_d[real], new[real]
+        one = _least(all_node, all_src, all_d * 2 + new)
+        one = one[np.lexsort((all_src[one], all_d[one], all_node[one]))]
+        at = np.searchsorted(touched, all_node[one])
+        rank = np.arange(len(one)) - np.searchsorted(at, at)
+        one, at, rank = one[rank < k], at[rank < k], rank[rank < k]
+        d[touched], src[touched] = _FAR, _FAR
+        d[touched[at], rank], src[touched[at], rank] = all_d[one], all_src[one]
+        one = one[new[one]]
+        return all_node[one], all_src[one], all_d[one]
+
+    if len(held):
+        put(np.searchsorted(part.nodes, held[:, 0]), held[:, 1], held[:, 2])
+    before_d, before_src = d.copy(), src.copy()
+    known, at = np.unique(fresh[:, 1], return_index=True)
+    limit = limits[at]
+    start = fresh[fresh[:, 2] <= limits]
+    node, s, time = put(np.searchsorted(part.nodes, start[:, 0]), start[:, 1], start[:, 2])
+    while len(node):
+        row, edge = part.leave(node)
+        new = time[row] + part.w[edge]
+        ok = part.own[edge] & (new <= limit[np.searchsorted(known, s[row])])
+        node, s, time = put(part.to[edge[ok]], s[row][ok], new[ok])
+    n, slot = np.nonzero(d < _FAR)
+    rows = np.stack([n, src[n, slot], d[n, slot]], 1)
+    n, slot = np.nonzero(before_d < _FAR)
+    old = np.stack([n, before_src[n, slot], before_d[n, slot]], 1)
+    whole = lambda x: np.ascontiguousarray(x).view([("", np.int64)] * 3).ravel()
+    rows = rows[~np.isin(whole(rows), whole(old))]
+    return np.stack([part.nodes[rows[:, 0]], rows[:, 1], rows[:, 2]], 1)
 
 
 def kbest_by_part(
@@ -78,107 +188,89 @@ def kbest_by_part(
     """(node, src, d): for every node the k least (time, source) over distinct sources (all of them for k None) within the source's limit.
 
     sources: (node), each a source of its own, or (node, src, limit), nodes of one src being one source; src is text where it is given. The graph is cut
-    into ranges of node ids with about as many edges each. A round searches every part that has new labels to its end, in one task,
-    and sends on only the labels that leave the part; parts without new labels are left alone. So rounds are the times that a path
-    crosses from part to part, not its hops; ids should follow places. Ties are broken by src. With targets (node) only their rows are given, and once
-    each has k labels, those that are further than the furthest of these are not sent on.
+    into ranges of node ids with about as many edges each, kept as arrays. A round searches every part that has new labels to its end, in one task and in
+    numpy, and sends on only the labels that leave the part; parts without new labels are left alone. So rounds are the times that a path
+    crosses from part to part, not its hops; ids should follow places. What a round improves is written as a table of its own and never again: a part's labels
+    are the least of these, as is the result. Ties are broken by src. With k, limits that differ by source leave out what only a label
+    beyond a node's k best could bring. With targets (node) only their rows are given, and once each has k labels, those that are further than the furthest
+    of these are not sent on.
     """
-    import numpy as np
-    import pyarrow as pa
-
     own = "src" not in sources.columns
     if own:
-        sources = sources.select("node", F.col("node").cast("string").alias("src"))
+        sources = sources.select("node", F.col("node").cast("long").alias("src"))
+        names = None
+    else:
+        # Numbers in the order of the names: what is sorted and written once keeps its numbers.
+        names = cut(sources.select("src").distinct().orderBy("src").withColumn("number", F.monotonically_increasing_id()))
+        sources = sources.join(names, "src").drop("src").withColumnRenamed("number", "src")
     if "limit" not in sources.columns:
         sources = sources.withColumn("limit", F.lit(cutoff).cast("long"))
+    edges = cut(edges.select(*[F.col(c).cast("long").alias(c) for c in "uvw"]))  # counted, sampled and packed
     total = edges.count()
     parts = max(1, min(parts, total), -(-total // PART_EDGES))
     borders = sorted(set(edges.approxQuantile("u", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and total else []
-    held = np.array(borders, np.float64)  # at most as many numbers as there are parts
+    held_borders = np.array(borders, np.float64)  # at most as many numbers as there are parts
     # The part of a node is the number of borders not above it, here and in the tasks.
     part_of = lambda node: F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<double>"), lambda b: b <= node))
+    lists = lambda *names: [F.collect_list(n).alias(n) for n in names]
     packed = cut(
-        edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("long").alias("w"), part_of(F.col("u")).alias("part"))
+        edges.withColumn("part", part_of(F.col("u")))
         .groupBy("part")
-        .agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
+        .agg(*lists("u", "v", "w"))
     )
 
-    def order(src: str):
-        return int(src) if own else src
-
-    def search(rows: list, fresh: list, held_labels: list, part: int) -> tuple[list, list]:
-        near: dict[int, list] = defaultdict(list)
-        for e in rows or ():
-            near[e["u"]].append((e["v"], e["w"]))
-        best: dict[int, dict] = defaultdict(dict)
-        limits: dict[str, int] = {}
-        for x in held_labels or ():
-            best[x["node"]][x["src"]] = x["d"]
-            limits[x["src"]] = x["limit"]
-        heap = []
-        for x in fresh:
-            limits[x["src"]] = x["limit"]
-            if x["d"] <= x["limit"]:
-                heap.append((x["d"], order(x["src"]), x["src"], x["node"]))
-        heapq.heapify(heap)
-        away: dict[tuple, int] = {}
-        while heap:
-            d, rank, src, node = heapq.heappop(heap)
-            mine = best[node]
-            if mine.get(src, d + 1) <= d:
-                continue
-            if k is not None and len(mine) >= k and src not in mine:
-                worst = max(mine, key=lambda s: (mine[s], order(s)))
-                if (mine[worst], order(worst)) < (d, rank):
-                    continue
-                del mine[worst]
-            mine[src] = d
-            for other, w in near.get(node, ()):
-                if d + w > limits[src]:
-                    continue
-                if int(np.searchsorted(held, other, "right")) == part:
-                    if best[other].get(src, d + w + 1) > d + w if other in best else True:
-                        heapq.heappush(heap, (d + w, rank, src, other))
-                elif away.get((other, src), d + w + 1) > d + w:
-                    away[other, src] = d + w
-        label = lambda node, src, d: {"node": node, "src": src, "d": d, "limit": limits[src]}
-        return [label(n, s, d) for n, x in best.items() for s, d in x.items()], [label(n, s, d) for (n, s), d in away.items()]
-
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("src", pa.string()), ("d", pa.int64()), ("limit", pa.int64())]))
-
     def run(batches):
         for batch in batches:
-            for part, rows, fresh, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stay, away = search(rows, fresh, labels, part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([stay], kind), pa.array([away], kind)], names=["part", "labels", "away"]
-                )
-
-    start = sources.select(F.col("node").cast("long").alias("node"), "src", F.lit(0).cast("long").alias("d"), "limit").distinct()
-    state, fresh = None, start
+            for r in range(len(batch)):
+                part = batch.column("part")[r].as_py()
+                array = lambda n: x.values.to_numpy() if (x := batch.column(n)[r]).values is not None else np.empty(0, np.int64)  # noqa: B023, E731
+                held = np.stack([array(n) for n in ("h_node", "h_src", "h_d")], 1)
+                fresh, limits = np.stack([array(n) for n in ("node", "src", "d")], 1), array("limit")
+                mine = _Part(*[array(n) for n in "uvw"], held, fresh, lambda v: np.searchsorted(held_borders, v, "right") == part)  # noqa: B023
+                better = _search_all(mine, held, fresh, limits) if k is None else _search_k(mine, held, fresh, limits, k)
+                row, edge = mine.leave(np.searchsorted(mine.nodes, better[:, 0]))
+                known, at = np.unique(fresh[:, 1], return_index=True)
+                limit = limits[at][np.searchsorted(known, better[row, 1])]
+                time = better[row, 2] + mine.w[edge]
+                out = ~mine.own[edge] & (time <= limit)
+                away = [mine.v[edge[out]], better[row[out], 1], time[out], limit[out]]
+                first = _least(*away[:3])
+                columns = [pa.array([part], pa.int32())] + [pa.array([c], pa.list_(pa.int64())) for c in [*better.T, *[c[first] for c in away]]]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "node", "src", "d", "a_node", "a_src", "a_d", "a_limit"])
+
+    ddl = "part int, " + ", ".join(f"{n} array<bigint>" for n in ("node", "src", "d", "a_node", "a_src", "a_d", "a_limit"))
+    fresh = sources.select(F.col("node").cast("long").alias("node"), "src", F.lit(0).cast("long").alias("d"), "limit").distinct()
+    deltas: list[DataFrame] = []
     goals = None if targets is None else cut(targets.select("node").distinct())
     n_goals = 0 if goals is None else goals.count()
 
-    def labels_of(state: DataFrame) -> DataFrame:
-        rows = state.select(F.explode("labels").alias("x")).select("x.node", "x.src", "x.d")
-        return rows if goals is None else rows.join(goals, "node", "left_semi")
+    def labels() -> DataFrame:
+        """The least of all that rounds have found, cut to the k best of each node."""
+        rows = reduce(DataFrame.unionByName, deltas).select(F.explode(F.arrays_zip("node", "src", "d")).alias("x")).select("x.node", "x.src", "x.d")
+        rows = rows if goals is None else rows.join(goals, "node", "left_semi")
+        least = rows.groupBy("node", "src").agg(F.min("d").alias("d"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "src"))
+        return least if k is None else least.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
 
     for _ in range(max_rounds):
-        coming = fresh.groupBy(part_of(F.col("node")).alias("part")).agg(F.collect_list(F.struct("node", "src", "d", "limit")).alias("fresh"))
-        work = coming.join(packed, "part", "left")
-        work = work.withColumn("labels", F.lit(None).cast(_LABELS)) if state is None else work.join(state, "part", "left")
-        done = cut(work.select("part", "edges", "fresh", "labels").mapInArrow(run, f"part int, labels {_LABELS}, away {_LABELS}"))
-        new = done.select("part", "labels")
-        state = new if state is None else cut(state.join(new, "part", "left_anti").unionByName(new))
-        moved = done.select(F.explode("away").alias("x")).select("x.*")
-        fresh = moved.groupBy("node", "src", "limit").agg(F.min("d").alias("d"))
+        work = fresh.groupBy(part_of(F.col("node")).alias("part")).agg(*lists("node", "src", "d", "limit")).join(packed, "part", "left")
+        if deltas:
+            flat = [F.flatten(F.collect_list(n)).alias(f"h_{n}") for n in ("node", "src", "d")]
+            work = work.join(reduce(DataFrame.unionByName, deltas).groupBy("part").agg(*flat), "part", "left")
+        else:
+            work = work.withColumns({f"h_{n}": F.lit(None).cast("array<bigint>") for n in ("node", "src", "d")})
+        done = cut(work.mapInArrow(run, ddl))
+        deltas.append(done.select("part", "node", "src", "d"))
+        moved = done.select(F.explode(F.arrays_zip("a_node", "a_src", "a_d", "a_limit")).alias("x"))
+        fresh = moved.groupBy(F.col("x.a_node").alias("node"), F.col("x.a_src").alias("src"), F.col("x.a_limit").alias("limit")).agg(F.min("x.a_d").alias("d"))
         if goals is not None and k is not None:
-            full = labels_of(state).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where(F.col("n") >= k)
+            full = labels().groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where(F.col("n") >= k)
             settled = full.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
             if settled["n"] == n_goals:
                 fresh = fresh.where(F.col("d") <= (settled["d"] or 0))
         if not fresh.head(1):
-            return labels_of(state).select("node", F.col("src").cast("long" if own else "string").alias("src"), "d")
+            found = labels()
+            return found.select("node", "src", "d") if own else found.withColumnRenamed("src", "number").join(names, "number").select("node", "src", "d")
     raise RuntimeError("relaxation did not settle")
 
 

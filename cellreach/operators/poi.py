@@ -117,14 +117,27 @@ def worship_kind(religion: Column) -> Column:
 
 
 def map_categories(pois: DataFrame, mapping: DataFrame, key: str = "primary") -> DataFrame:
-    """pois with class, category and subcat of a mapping table (key, class, category, subcat); airports and unmapped worship go.
+    """pois (name, religion, `key`, ...) with class, category and subcat of a mapping table (`key`, class, category, subcat).
 
-    Columns: name, religion (may be null) and `key`.
+    A hospital whose name does not bear that out is a clinic in all three. A place of worship takes the kind of its religion, if one is given (an empty
+    text is none), and goes if that is not mapped; airports go.
     """
-    mapped = pois.join(mapping, key, "left")
-    worship = F.col(key).contains("place_of_worship") & F.col("religion").isNotNull()
-    category = F.when(worship, worship_kind(F.col("religion"))).otherwise(hospital_or_clinic(F.col("category"), F.col("name")))
-    return mapped.withColumn("category", category).where(~(worship & F.col("category").isNull()) & (F.coalesce("category", F.lit("")) != "airport"))
+    mapped = pois.join(mapping.select(key, F.struct("class", "category", "subcat").alias("_x")), key, "left")
+    worship = F.coalesce(F.lower(key).contains("place_of_worship") & (F.col("religion") != ""), F.lit(False))
+    kind = _lookup(F.lower("religion"), WORSHIP)
+    clinic = F.col("_x.category") != hospital_or_clinic(F.col("_x.category"), F.col("name"))
+
+    def pick(field: str, of_clinic: str, of_worship: Column) -> Column:
+        return F.when(worship, of_worship).when(clinic, F.lit(of_clinic)).otherwise(F.col(f"_x.{field}"))
+
+    named = mapped.withColumns(
+        {
+            "class": pick("class", "health", F.lit("religious")),
+            "category": pick("category", "clinic", worship_kind(F.col("religion"))),
+            "subcat": pick("subcat", "clinic", kind),
+        }
+    )
+    return named.where(~(worship & kind.isNull()) & (F.coalesce("category", F.lit("")) != "airport")).drop("_x")
 
 
 def resolve_brand(pois: DataFrame, aliases: DataFrame, candidates: list[str]) -> DataFrame:

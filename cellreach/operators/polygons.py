@@ -325,7 +325,7 @@ def points_in(points: DataFrame, polygons: DataFrame, res: int, id_col: str = "p
     parts = bool(polygons.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").head(1))
     cells = cover(polygons, SquareGrid(), res, id_col, rings_col).withColumnRenamed("cell", "_cell")
     x, y = geo.cell_centre(F.col("_cell"), res)
-    celled = points.where("lon is not null and lat is not null").withColumns({"_cell": geo.cell_of(F.col("lon"), F.col("lat"), res), "_row": F.monotonically_increasing_id()})
+    celled = points.where("lon between -180 and 180 and lat between -90 and 90").withColumns({"_cell": geo.cell_of(F.col("lon"), F.col("lat"), res), "_row": F.monotonically_increasing_id()})
     near = celled.join(cells, "_cell")
     e = F.col("edges")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.functions import geo
+from cellreach.operators.polygons import points_in, polyfill
 
 
 def _near_cells(points: DataFrame, metres: float, res: int) -> DataFrame:
@@ -88,13 +89,6 @@ def nearest_by_priority(points: DataFrame, places: DataFrame, limits: list[tuple
     return points.select("id").join(best, "id", "left").select("id", F.coalesce(F.get(names, F.col("k")), F.lit("other")).alias("kind"))
 
 
-def _boxed(polygons: DataFrame) -> DataFrame:
-    """polygons (poly, ring) with lo_x, hi_x, lo_y and hi_y."""
-    # A field of an array of structs is the array of the field.
-    ends = [f(f"ring.{a}").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))]
-    return polygons.select("poly", "ring", *ends)
-
-
 def _box_cells(df: DataFrame, lo_x, hi_x, lo_y, hi_y, res: int) -> DataFrame:
     """df with a row per cell of the box, in two steps, so that no row carries more than one side of it."""
     rows = df.withColumn("_x", F.explode(geo.cell_span(lo_x, hi_x, -180.0, res)))
@@ -103,21 +97,16 @@ def _box_cells(df: DataFrame, lo_x, hi_x, lo_y, hi_y, res: int) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, res: int = 6) -> DataFrame:
-    """(id, poly) of points in polygons (poly, ring array<struct<x, y>>), by cell, bounding box and then ray casting.
+    """(id, poly) of points in polygons (poly, ring array<struct<x, y>>): an equi-join on cells that are inside as a whole or have a few edges.
 
-    An equi-join on the cells of a resolution that the polygon's box covers; choose cells smaller than the usual polygon.
+    Choose cells smaller than the usual polygon.
     """
-    keyed = _box_cells(_boxed(polygons), *[F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")], res)
-    celled = points.withColumn("cell", geo.cell_of(F.col("lon"), F.col("lat"), res))
-    near = celled.join(keyed, "cell").where("lon between lo_x and hi_x and lat between lo_y and hi_y")
-    return near.where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("id", "poly")
+    return points_in(points, polygons.withColumn("rings", F.array("ring")), res).select("id", "poly")
 
 
 def polyfill_cells(polygons: DataFrame, res: int) -> DataFrame:
     """(poly, cell) of the cells whose centre is in a polygon (poly, ring array<struct<x, y>>)."""
-    keyed = _box_cells(_boxed(polygons), *[F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")], res)
-    lon, lat = geo.cell_centre(F.col("cell"), res)
-    return keyed.where(geo.in_ring(lon, lat, F.col("ring"))).select("poly", "cell")
+    return polyfill(polygons.withColumn("rings", F.array("ring")), res)
 
 
 def dissolve(covered: DataFrame) -> DataFrame:

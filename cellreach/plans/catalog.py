@@ -9,7 +9,7 @@ from cellreach.functions import geo
 from cellreach.functions.text import label_of
 from cellreach.functions.units import UNREACHABLE
 from cellreach.operators.poi import resolve_brand_text
-from cellreach.operators.graph import kbest, reverse_edges
+from cellreach.operators.graph import kbest_by_part, reverse_edges
 from cellreach.operators.spatial import nearest_node
 
 
@@ -45,7 +45,7 @@ def d_anchor_brand(legs: DataFrame, registry: DataFrame, asked: str) -> DataFram
 def d_anchor_custom(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, lon: float, lat: float, cutoff: int) -> DataFrame:
     """(anchor, seconds) from every anchor to the node nearest to a place; the sentinel beyond the cutoff."""
     start = nearest_node(nodes, lon, lat).select("node")
-    times = kbest(reverse_edges(edges), start, 1, cutoff).select(F.col("node").alias("n"), "d")
+    times = kbest_by_part(reverse_edges(edges), start, 1, cutoff).select(F.col("node").alias("n"), "d")
     seconds = F.least(F.coalesce("d", F.lit(UNREACHABLE)), F.lit(UNREACHABLE)).cast("int")
     return anchors.join(times, anchors["node"] == times["n"], "left").select(F.col("node").alias("anchor"), seconds.alias("seconds"))
 

@@ -552,20 +552,32 @@ def brand_resolve(spark, d):
 
 
 _RAW = "CASE p_size % 5 WHEN 0 THEN 'hospital' WHEN 1 THEN 'airport' WHEN 2 THEN 'place_of_worship' WHEN 3 THEN 'park' ELSE 'other' END"
-_FAITH = "CASE p_partkey % 4 WHEN 0 THEN 'Muslim' WHEN 1 THEN 'sikh' WHEN 2 THEN 'unknown' END"
+_FAITH = "CASE p_partkey % 5 WHEN 0 THEN 'Muslim' WHEN 1 THEN 'sikh' WHEN 2 THEN 'unknown' WHEN 3 THEN '' END"
+_RAW_CASE = _RAW.replace("'place_of_worship'", "CASE WHEN p_partkey % 2 = 0 THEN 'Place_of_Worship' ELSE 'place_of_worship' END")
 
 
 @query(f"""
-WITH x AS (SELECT p_partkey, p_name, {_RAW} AS c, {_FAITH} AS f FROM part),
-y AS (SELECT p_partkey, CASE WHEN c = 'hospital' THEN 'clinic' WHEN c = 'place_of_worship' AND f = 'Muslim' THEN 'place_of_worship_mosque' WHEN c = 'place_of_worship' AND f = 'sikh' THEN 'place_of_worship_temple'
-  WHEN c = 'place_of_worship' AND f = 'unknown' THEN '-' WHEN c = 'place_of_worship' THEN 'place_of_worship_church' WHEN c = 'other' THEN NULL ELSE c END AS category FROM x)
-SELECT * FROM y WHERE coalesce(category, '') NOT IN ('airport', '-')""")
+WITH x AS (SELECT p_partkey, {_RAW} AS c, {_FAITH} AS f, p_partkey % 3 = 0 AS named FROM part),
+y AS (SELECT p_partkey,
+  CASE WHEN c = 'place_of_worship' THEN CASE f WHEN 'Muslim' THEN 'mosque' WHEN 'sikh' THEN 'temple' WHEN 'unknown' THEN '-' ELSE 'church' END
+       WHEN c = 'hospital' AND named THEN 'hospital' WHEN c = 'hospital' THEN 'clinic' WHEN c = 'other' THEN NULL ELSE c END AS subcat,
+  CASE c WHEN 'place_of_worship' THEN 'religious' WHEN 'hospital' THEN 'health' WHEN 'park' THEN 'recreation' END AS class, c FROM x)
+SELECT p_partkey, class, CASE WHEN c = 'place_of_worship' THEN 'place_of_worship_' || subcat ELSE subcat END AS category, subcat
+FROM y WHERE coalesce(subcat, '') NOT IN ('airport', '-')""")
 def category_map(spark, d):
     mapping = spark.createDataFrame(
-        [("hospital", "hospital"), ("airport", "airport"), ("place_of_worship", "place_of_worship_church"), ("park", "park")], "primary string, category string"
+        [
+            ("hospital", "health", "hospital", "hospital"),
+            ("airport", "transport", "airport", "airport"),
+            ("place_of_worship", "religious", "place_of_worship_church", "church"),
+            ("Place_of_Worship", "religious", "place_of_worship_church", "church"),
+            ("park", "recreation", "park", "park"),
+        ],
+        "primary string, class string, category string, subcat string",
     )
-    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.expr(_RAW).alias("primary"), F.expr(_FAITH).alias("religion"))
-    return poi.map_categories(rows, mapping).select("p_partkey", "category")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" General Hospital"))).otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select("p_partkey", name.alias("name"), F.expr(_RAW_CASE).alias("primary"), F.expr(_FAITH).alias("religion"))
+    return poi.map_categories(rows, mapping).select("p_partkey", "class", "category", "subcat")
 
 
 _NAME = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' General Hospital' WHEN 1 THEN ' Medical Center' WHEN 2 THEN ' Hospital Urgent Care' ELSE '' END"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +15,33 @@ def write_legs(legs: DataFrame, base: str) -> None:
     out.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(base)
 
 
+def partition_folder(spark: SparkSession, base: str, mode: int, entity: str | None) -> str:
+    """The folder that Spark's own writer gives a partition, with its escaping."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join([base.rstrip("/"), names.getPartitionPathString("mode", str(mode)), names.getPartitionPathString("entity", entity)])
+
+
 def write_shard(legs: DataFrame, base: str, mode: int, entity: str) -> None:
     """The legs of one partition in its folder; a file with the schema even if there are none."""
     own = legs.where((F.col("mode") == mode) & (F.col("entity") == entity)).drop("mode", "entity")
-    folder = f"{base}/mode={mode}/entity={quote(entity, safe=' ')}"
+    folder = partition_folder(own.sparkSession, base, mode, entity)
     own.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     if not own.sparkSession.read.schema(own.schema).parquet(folder).inputFiles():
         own.sparkSession.createDataFrame([], own.schema).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
 def prune(spark: SparkSession, base: str, targets: DataFrame) -> list[tuple[int, str]]:
-    """Delete the (mode, entity) partitions on disk that are no targets (mode, entity); those deleted, sorted."""
-    stale = sorted((r["mode"], r["entity"]) for r in stale_partitions(spark, base, targets).collect())  # one row a folder
+    """Delete the (mode, entity) partitions on disk that are no targets (mode, entity); those deleted, sorted.
+
+    Raises where a folder that should go is still there afterwards.
+    """
+    stale = sorted(((r["mode"], r["entity"]) for r in stale_partitions(spark, base, targets).collect()), key=str)  # one row a folder
     session = spark._jsparkSession.sessionState().newHadoopConf()
     for mode, entity in stale:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/mode={mode}/entity={quote(entity, safe=' ')}")
-        path.getFileSystem(session).delete(path, True)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(partition_folder(spark, base, mode, entity))
+        store = path.getFileSystem(session)
+        if not store.delete(path, True) or store.exists(path):
+            raise OSError(f"cannot delete {path}")
     return stale
 
 
@@ -83,4 +92,5 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataF
 
 def stale_partitions(spark: SparkSession, base: str, targets: DataFrame) -> DataFrame:
     """(mode, entity) partitions on disk that are no targets."""
-    return spark.read.parquet(base).select("mode", "entity").distinct().join(targets, ["mode", "entity"], "left_anti")
+    there = spark.read.schema("mode int, entity string").parquet(base).distinct()
+    return there.join(targets.select(F.col("mode").cast("int"), "entity"), ["mode", "entity"], "left_anti")

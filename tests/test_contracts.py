@@ -156,6 +156,56 @@ def test_shards_prune_and_qa(spark, tmp_path):
     assert kept.columns[:3] == ["poi_id", "name", "brand_id"] and dict(kept.dtypes)["provenance"] == "array<string>" and not checks.poi_errors(kept, ["poi_id"])
 
 
+ODD = ["a&b", "café", "x=y", "50%", "a/b", "007", "two  words", "q?*:#", "日本"]
+
+
+def test_odd_entity_names_are_written_pruned_and_read(spark, tmp_path):
+    legs = spark.createDataFrame([(k, e, 0, 10 + k) for k, e in enumerate(ODD)], "anchor long, entity string, mode int, seconds int")
+    base = f"{tmp_path}/legs"
+    sinks.write_legs(legs, base)
+    kept = lambda: {(r["entity"], r["anchor"]) for r in spark.read.schema("anchor long, seconds int, mode int, entity string").parquet(base).collect()}
+    assert kept() == {(e, k) for k, e in enumerate(ODD)}
+    for e in ODD[:5]:
+        sinks.write_shard(legs.withColumn("anchor", F.col("anchor") + 100), base, 0, e)
+    assert kept() == {(e, k + 100 * (k < 5)) for k, e in enumerate(ODD)}
+    targets = spark.createDataFrame([(0, e) for e in ODD[1::2]], "mode int, entity string")
+    assert set(sinks.prune(spark, base, targets)) == {(0, e) for e in ODD[::2]}
+    assert {e for e, _ in kept()} == set(ODD[1::2]) and sinks.prune(spark, base, targets) == []
+
+
+def test_ten_thousand_far_points(spark):
+    """Points that have fewer places than asked for anywhere meet a cell of the coarsest level each, not millions."""
+    points = spark.range(10_000).select("id", (F.col("id") % 360 - 180).cast("double").alias("lon"), (F.col("id") % 181 - 90).cast("double").alias("lat"))
+    places = spark.createDataFrame([(1, 180.0, 90.0), (2, 0.0, 0.0)], "place long, p_lon double, p_lat double")
+    got = spatial.knn_any(points, places, 3, metres=1e6, res=4)
+    assert got.count() == 20_000
+    cells = points.limit(1).select(F.size(geo.cells_around(F.col("lon"), F.col("lat"), 1e8, 0)).alias("n"))
+    assert cells.first()["n"] == 128
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_parted_search_of_named_sources_with_limits(spark, k):
+    r = random.Random(9)
+    rows = [(r.randrange(50), r.randrange(50), r.randrange(1, 9)) for _ in range(200)]
+    starts = [(r.randrange(50), r.choice("abcd")) for _ in range(12)]
+    # The k best are exact where all sources have one limit.
+    limit = {"a": 30, "b": 12, "c": 4, "d": 0} if k is None else dict.fromkeys("abcd", 14)
+    near = {}
+    for name in limit:
+        d = {n: 0 for n, s in starts if s == name}
+        for _ in range(60):
+            for u, v, w in rows:
+                if u in d and d[u] + w <= limit[name]:
+                    d[v] = min(d.get(v, 10**9), d[u] + w)
+        near |= {(n, name): t for n, t in d.items()}
+    want = {(n, s, t) for (n, s), t in near.items()}
+    if k:
+        want = {x for n in range(50) for x in sorted((y for y in want if y[0] == n), key=lambda y: (y[2], y[1]))[:k]}
+    sources = spark.createDataFrame([(n, s, limit[s]) for n, s in starts], "node long, src string, limit long")
+    got = graph.kbest_by_part(spark.createDataFrame(rows, "u long, v long, w long"), sources, k, parts=4).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
 def test_overlay_contract(spark):
     df = spark.createDataFrame([(1, 7), (1, 7), (None, 8)], "cell long, res int")
     assert checks.overlay_errors(df, ["cell", "res"]) == ["null cell", "repeated (cell, res)"]
