@@ -342,3 +342,152 @@ def points_in(points: DataFrame, polygons: DataFrame, res: int, id_col: str = "p
     inside = near.where(F.col("whole") | (F.col("inside") != odd))
     inside = inside.dropDuplicates(["_row", id_col]) if parts else inside
     return inside.select(*points.columns, id_col)
+
+
+@dataclass(frozen=True)
+class RasterGrid:
+    """Pixels of a raster as the cells of the last level of a hierarchy; ids are row and column, of blocks of pixels above that level."""
+
+    west: float
+    north: float
+    width: float  # of a pixel, in degrees
+    height: float
+    columns: int
+    rows: int
+
+    max_children = 4
+
+    @property
+    def depth(self) -> int:
+        return max(self.columns - 1, self.rows - 1, 1).bit_length()
+
+    def roots(self) -> np.ndarray:
+        return np.zeros(1, np.int64)
+
+    def level(self, ids: np.ndarray) -> np.ndarray:
+        return ids >> 56
+
+    def row_col(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (ids >> 28) & ((1 << 28) - 1), ids & ((1 << 28) - 1)
+
+    def children(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = self.row_col(ids)
+        level = self.level(ids) + 1
+        r, c = (np.stack([2 * x + k for k in ks], 1) for x, ks in ((row, (0, 0, 1, 1)), (col, (0, 1, 0, 1))))
+        span = 1 << (self.depth - level)[:, None]
+        inside = (r * span < self.rows) & (c * span < self.columns)
+        return ((level[:, None] << 56) | (r << 28) | c)[inside], np.repeat(np.arange(len(ids)), inside.sum(1))
+
+    def boxes(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        row, col = self.row_col(ids)
+        span = 2.0 ** (self.depth - self.level(ids))
+        return self.west + (col + 0.5) * span * self.width, self.north - (row + 0.5) * span * self.height, span * self.width / 2, span * self.height / 2
+
+
+#: A polygon whose box holds no more pixels is tested against each of them, together with the others of its batch.
+FEW_PIXELS = 256
+
+
+def _touched_few(rings: list, grid: RasterGrid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(polygon, row, col) of the pixels that polygons of few pixels touch, and which polygons have too many."""
+    sides = [edges_of(r) for r in rings]
+    count = np.array([len(e) for e in sides])
+    edges = np.concatenate([*sides, np.empty((0, 4))])
+    owner = np.repeat(np.arange(len(sides)), count)
+    lo = np.full((len(sides), 2), np.inf)
+    hi = np.full((len(sides), 2), -np.inf)
+    np.minimum.at(lo, owner, np.minimum(edges[:, :2], edges[:, 2:]))
+    np.maximum.at(hi, owner, np.maximum(edges[:, :2], edges[:, 2:]))
+    # A touch from outside counts, so pixels that end at the box do too.
+    clip = lambda x, n: np.clip(np.nan_to_num(x, posinf=1e15, neginf=-1e15), -1, n)
+    c0, c1 = (clip((x - grid.west) / grid.width, grid.columns + 1) for x in (lo[:, 0], hi[:, 0]))
+    r0, r1 = (clip((grid.north - y) / grid.height, grid.rows + 1) for y in (hi[:, 1], lo[:, 1]))
+    c0, r0 = (np.maximum(np.ceil(x - 1e-9) - 1, 0).astype(np.int64) for x in (c0, r0))
+    c1, r1 = (np.minimum(np.floor(x + 1e-9), n - 1).astype(np.int64) for x, n in ((c1, grid.columns), (r1, grid.rows)))
+    n = np.where(count > 0, np.maximum(c1 - c0 + 1, 0) * np.maximum(r1 - r0 + 1, 0), 0)
+    many = n > FEW_PIXELS
+    n = np.where(many, 0, n)
+    poly = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(poly)) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.maximum(c1 - c0 + 1, 1)[poly]
+    row, col = r0[poly] + k // wide, c0[poly] + k % wide
+    pixel, at = _pairs((np.cumsum(count) - count)[poly], count[poly])
+    x, y = grid.west + (col + 0.5) * grid.width, grid.north - (row + 0.5) * grid.height
+    e = edges[at]
+    half = [np.full(len(pixel), s / 2) for s in (grid.width, grid.height)]
+    near = np.bincount(pixel, _near(x[pixel], y[pixel], *half, e), len(poly)) > 0
+    inside = np.bincount(pixel, rays(x[pixel], y[pixel], e), len(poly)) % 2 == 1
+    keep = near | inside
+    return poly[keep], row[keep], col[keep], many
+
+
+def touched_pixels(polygons: DataFrame, grid: RasterGrid, id_col: str = "poly", rings_col: str = "rings") -> DataFrame:
+    """(id, row, col) of every pixel of a raster that a polygon touches, be it at a corner; parts of an id are united."""
+    kind = polygons.schema[id_col].dataType.simpleString()
+
+    def few(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                poly, row, col, _ = _touched_few(part.column(1).to_pylist(), grid)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(poly)), pa.array(row), pa.array(col)], names=["key", "row", "col"])
+
+    def crowded(batches):
+        for batch in batches:
+            many = np.concatenate([_touched_few(batch.column(1).slice(lo, 1024).to_pylist(), grid)[3] for lo in range(0, len(batch), 1024)] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(many))
+
+    rings_kind = polygons.schema[rings_col].dataType.simpleString()
+    source = polygons.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{rings_col}`").alias("rings"))
+    large = cover(source.mapInArrow(crowded, f"key {kind}, rings {rings_kind}"), grid, grid.depth, "key")
+    pixel = F.col("cell").bitwiseAND((1 << 56) - 1)
+    found = source.mapInArrow(few, f"key {kind}, row long, col long").unionByName(
+        large.select("key", F.shiftright(pixel, 28).alias("row"), pixel.bitwiseAND((1 << 28) - 1).alias("col"))
+    )
+    return found.distinct().withColumnRenamed("key", id_col)
+
+
+def zonal_mean_touched(polygons: DataFrame, pixels: DataFrame, grid: RasterGrid, id_col: str = "poly", rings_col: str = "rings", no_data: float = -9999.0) -> DataFrame:
+    """(id, n, mean) of the values of all pixels (row, col, value) that a polygon touches.
+
+    Null, NaN and no-data values do not count; a polygon without any other has n 0 and a null mean.
+    """
+    value = F.when(~F.isnan("value") & (F.col("value") != no_data), F.col("value"))
+    held = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), value.alias("value"))
+    joined = touched_pixels(polygons, grid, id_col, rings_col).join(held.where("value is not null"), ["row", "col"])
+    means = joined.groupBy(id_col).agg(F.count("value").alias("n"), F.avg("value").alias("mean")).withColumnRenamed(id_col, "_key")
+    every = polygons.select(id_col).distinct()
+    return every.join(means, every[id_col].eqNullSafe(means["_key"]), "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
+def shares(covered: DataFrame, id_col: str = "poly", levels: int = 4) -> DataFrame:
+    """(id, cell, share) of H3 cells of `cover`: the part of each cell that the polygon has, by the middles of the cells some levels below (2,401 by default)."""
+    kind = covered.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        grid = H3Grid()
+        for batch in batches:
+            ids = batch.column("cell").to_numpy()
+            share = np.array(batch.column("whole").to_pylist(), float)
+            inside = batch.column("inside").to_pylist()
+            for k in np.flatnonzero(share == 0).tolist():
+                e = batch.column("edges")[k].values.to_numpy().reshape(-1, 4)
+                own = ids[k : k + 1]
+                x0, y0 = h3.centres(own)
+                below, _ = h3.children(own, int(h3.resolution(own)[0]) + levels)
+                x, y, *_ = grid.boxes(below)
+                p, q = np.repeat(np.arange(len(x)), len(e)), np.tile(np.arange(len(e)), len(x))
+                odd = np.bincount(p, paths(np.full(len(p), x0[0]), np.full(len(p), y0[0]), x[p], y[p], e[q]), len(x)) % 2 == 1
+                share[k] = (odd != inside[k]).mean()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("cell"), pa.array(share)], names=["key", "cell", "share"])
+
+    named = covered.select(F.col(f"`{id_col}`").alias("key"), "cell", "whole", "inside", "edges")
+    return named.mapInArrow(run, f"key {kind}, cell long, share double").groupBy("key", "cell").agg(F.least(F.sum("share"), F.lit(1.0)).alias("share")).withColumnRenamed("key", id_col)
+
+
+def cells_by_largest_share(polygons: DataFrame, res: int, id_col: str = "poly", rings_col: str = "rings") -> DataFrame:
+    """(cell, id, share) of every H3 cell that a polygon meets: the polygon that has most of it, ties to the least id."""
+    from cellreach.operators.tables import keep_first
+
+    each = shares(cover(polygons, H3Grid(), res, id_col, rings_col), id_col).where("share > 0")
+    return keep_first(each, ["cell"], [F.col("share").desc(), F.col(id_col)]).select("cell", id_col, "share")

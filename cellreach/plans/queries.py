@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellreach.functions import geo, ids, text, units
-from cellreach.operators import anchors, checks, graph, overlays, poi, spatial, tables, times
+from cellreach.functions import geo, h3, ids, text, units
+from cellreach.operators import anchors, checks, graph, overlays, poi, polygons, spatial, tables, times
+from cellreach.operators.polygons import RasterGrid
 from cellreach.plans import catalog, standins as s
 from cellreach.plans.livable import State, explain_cells, livable, livable_percent
 from cellreach.plans.standins import table
@@ -1024,3 +1025,58 @@ def anchor_contract(spark, d):
         (F.col("p_retailprice") / 6).alias("lon"), F.lit(2.0).alias("lat"), F.when(F.col("p_type") != "PROMO", F.array(F.lit("a"))).alias("poi_ids"), F.array(F.lit("b")).alias("categories"),
     )
     return anchors.anchor_violations(sites)
+
+
+#: Off the thousandths that points lie on, so that no pixel is touched by a hair.
+_WEST, _NORTH, _PIXEL, _COLUMNS, _ROWS = -73.5203172, 43.0101939, 0.125, 30, 20
+_PIXELS = f"""px AS (SELECT p_partkey // {_COLUMNS} % {_ROWS} AS r, p_partkey % {_COLUMNS} AS c, CASE WHEN min(p_size) = 1 THEN -9999 ELSE min(p_size) END AS v FROM part GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {s.POINTS}, {_PIXELS}, held AS (
+  SELECT id, lon, lat, 0.01 + (id % 7) * 0.03::DOUBLE AS reach, {_WEST} + (c + 0.5::DOUBLE) * {_PIXEL} AS x, {_NORTH} - (r + 0.5::DOUBLE) * {_PIXEL} AS y, v FROM points, px WHERE v <> -9999),
+touched AS (SELECT * FROM held WHERE greatest(abs(x - lon) - {_PIXEL / 2}, 0) + greatest(abs(y - lat) - {_PIXEL / 2}, 0) <= reach)
+SELECT p.id, count(v) AS n, CAST(sum(v) AS DOUBLE) / count(v) AS mean FROM points p LEFT JOIN touched t ON t.id = p.id GROUP BY p.id""")
+def zonal_mean_touched(spark, d):
+    """Diamonds about points on a raster of parts: the mean of all pixels that a diamond touches, not of those alone whose centre it holds."""
+    grid = RasterGrid(_WEST, _NORTH, _PIXEL, _PIXEL, _COLUMNS, _ROWS)
+    key = F.col("p_partkey")
+    least = table(spark, d, "part").groupBy(F.expr(f"p_partkey div {_COLUMNS} % {_ROWS}").alias("row"), (key % _COLUMNS).alias("col")).agg(F.min("p_size").alias("v"))
+    pixels = least.select("row", "col", F.when(F.col("v") == 1, -9999.0).otherwise(F.col("v").cast("double")).alias("value"))
+    reach = F.lit(0.01) + (F.col("id") % 7) * 0.03
+    corner = lambda a, b: F.struct((F.col("lon") + reach * a).alias("x"), (F.col("lat") + reach * b).alias("y"))
+    rings = F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)))
+    return polygons.zonal_mean_touched(s.points(spark, d).select("id", rings.alias("rings")), pixels, grid, "id")
+
+
+@query()
+def h3_cells(spark, d):
+    """H3 cells of all points at the resolutions in use, and whether the coarser ones are the finest one's parents."""
+    points = s.points(spark, d)
+    cells = points.select("id", *[h3.h3_cell(F.col("lon"), F.col("lat"), r).alias(f"r{r}") for r in (7, 8, 9, 11)])
+    up = lambda r: geo.h3_parent(F.col("r11"), r)
+    return cells.select("id", *[geo.h3_string(F.col(f"r{r}")).alias(f"r{r}") for r in (7, 8, 9, 11)], *[geo.h3_string(up(r)).alias(f"up{r}") for r in (7, 8, 9)])
+
+
+@query()
+def h3_boundaries(spark, d):
+    """Middle and boundary of each H3 cell of resolution 8 that has a point."""
+    own = s.points(spark, d).select(h3.h3_cell(F.col("lon"), F.col("lat"), 8).alias("cell")).distinct()
+    lon, lat = h3.h3_centre(F.col("cell"))
+    return own.select("cell", lon.alias("lon"), lat.alias("lat"), h3.h3_boundary(F.col("cell")).alias("ring"))
+
+
+@query()
+def h3_polygon_cells(spark, d):
+    """H3 cells of resolution 7 whose middle is in a polygon."""
+    return polygons.h3_polyfill(_polygons(spark, d).withColumn("rings", F.array("ring")), 7)
+
+
+@query()
+def county_cells(spark, d):
+    """The county with most of each H3 cell, joined with its vote: polygons of nations stand in for counties, balances of their customers for votes."""
+    cells = polygons.cells_by_largest_share(_polygons(spark, d).withColumn("rings", F.array("ring")), 6)
+    votes = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("poly")).agg(
+        F.sum(F.when(F.col("c_acctbal") < 4500, 1).otherwise(0)).alias("rep"), F.count(F.lit(1)).alias("total")
+    )
+    return cells.join(votes, "poly").select("cell", "poly", "share", (F.col("rep") / F.col("total")).alias("rep_share"))
