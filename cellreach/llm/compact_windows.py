@@ -15,6 +15,8 @@ of the span / 2 tokens on either side of c, of which ENOUGH of one side must be
    those that are connected already; ranges in which any passage would overlap connected ones so far are left out, and so are verified
    pairs that do.
 
+3. Exact repeats of `span` tokens that no passage so far holds are joined (`exact_passages`), so that each is in a passage in either document.
+
 Joined windows are gathered by pair of documents and diagonal. Verified are all parts of the joined ranges that are dense in common
 tokens, the longest first: their exact Jaccard similarity must reach the threshold. Equal texts are found beforehand; each is a
 passage of the first of them and takes no other part.
@@ -26,8 +28,8 @@ min-hash. The driver sees the fixed-size bucket counts alone.
 
 Defined results: null, empty and short texts (fewer than span + 4 words) have no passages; null ids are ignored. Rows equal in id and text are one
 document; rows of one id and different texts are different documents. Passages that repeat within one document are not reported; an empty
-table gives an empty result; other columns are ignored. The search is by min-hash: exact repeats are always found; a
-passage of similarity s is found if one of HASHES functions agrees, which at 0.8 holds for 99.8 %, and its sketch does. Limit: of passages whose common tokens occur
+table gives an empty result; other columns are ignored. Exact repeats are always found: each 50 words that two documents share lie in a row's passage in
+either, if not in one row of both. For the rest the search is by min-hash: a passage of similarity s is found if one of HASHES functions agrees, which at 0.8 holds for 99.8 %, and its sketch does. Limit: of passages whose common tokens occur
 more than COMMON times above the average, the rarer tokens of an edit decide the min-hashes, and near copies without an equal window can be missed.
 """
 
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from cellreach.llm.common import RowKey, equal_texts, released, small_side, space_words, written
 from cellreach.llm.components import connected_components
+from cellreach.llm.exact_passages import exact_passages
 from cellreach.llm.shingles import BUCKETS, COUNT_DDL, add_up, buckets, count_columns, mix, rolled_hashes, text_chunks, texts_of, word_hashes
 
 WIDTH, SPAN, PERCENT = 5, 46, 80
@@ -171,7 +174,7 @@ def _agree_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sides[0] | sides[1]
 
 
-def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int, hashes: int) -> list[np.ndarray]:
+def chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int, hashes: int) -> list[np.ndarray]:
     """Of all windows of the texts: number of the text, c, l, r in its words, key, content, sketch."""
     tokens, inside, first = token_run(data, width)
     before, after = sketches(tokens, inside, first, span // 2)
@@ -195,17 +198,22 @@ def _chunk_windows(data: list[bytes], ranks: np.ndarray, width: int, span: int,
     return [np.concatenate([x[k] for x in out]) for k in range(7)]
 
 
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """By bucket of tokens the upper bits of their values: how often they occur, the lowest up to COMMON times above the average."""
+    ranks = np.clip(np.round(8 * np.log2(np.maximum(counts, 1) / (counts.mean() + COMMON))), 0, 127).astype(np.uint64)
+    return ranks << np.uint64(57)
+
+
 def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes: int) -> DataFrame:
     """_WINDOW rows; a window whose content crowds its batch is salted and carries the batch's first one (o), which is borne."""
-    ranks = np.clip(np.round(8 * np.log2(np.maximum(counts, 1) / (counts.mean() + COMMON))), 0, 127).astype(np.uint64)
-    held = texts.sparkSession.sparkContext.broadcast(ranks << np.uint64(57))
+    held = texts.sparkSession.sparkContext.broadcast(ranks_of(counts))
 
     def run(batches):
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (0, 1))
             found = []
             for rows, data in text_chunks(range(len(ids)), texts_of(batch.column(2))):
-                part = _chunk_windows(data, held.value, width, span, hashes)
+                part = chunk_windows(data, held.value, width, span, hashes)
                 part[0] = np.array(rows, np.int64)[part[0]]
                 found.append(part)
             if not found:
@@ -612,7 +620,8 @@ def near_passages(
     hashes: int = HASHES,
 ) -> DataFrame:
     """A row per passage and passage of another document that it is joined with: id, start_word, n_words, other_id,
-    other_start_word, other_n_words, percent (similarity, rounded down). Passages that are similar are joined, if not directly, through others.
+    other_start_word, other_n_words, percent (similarity, rounded down), component. Passages that are similar are joined, if not directly, through
+    others; those so connected have one component, as have equal texts (apart from the passages in them).
     """
     named = docs.where(F.col(f"`{id_col}`").isNotNull())
     key, text = RowKey(named, id_col), F.col(f"`{text_col}`")
@@ -665,6 +674,12 @@ def near_passages(
         overlap = f"least({{y}}, {{e}}) - greatest({{x}}, {{s}}) >= {MERGE * span // SPAN}"
         found = found.union(_new(more, passages, overlap)).distinct()
     released(spots, second)
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(counts))
+    exact = exact_passages(texts, ranks, found, width, span)
+    found = found.union(exact)
+    labels = _connected(found).select(*[F.col(c).alias(f"l_{c}") for c in ("doc", "th", "s", "e")], F.col("label").alias("component"))
+    mine = (F.col("doc") == F.col("l_doc")) & (F.col("th") == F.col("l_th")) & (F.col("s") >= F.col("l_s")) & (F.col("e") <= F.col("l_e"))
+    found = found.join(labels, mine).drop("l_doc", "l_th", "l_s", "l_e")
     words = lambda s, e: (F.col(e) - F.col(s) + width - 1).cast("long")
     result = found.select(
         F.col("doc").alias(id_col),
@@ -674,7 +689,8 @@ def near_passages(
         F.col("o_s").cast("long").alias("other_start_word"),
         words("o_s", "o_e").alias("other_n_words"),
         "percent",
+        "component",
     )
     size, none = F.size(space_words(F.col("text"))).cast("long"), F.lit(0).cast("long")
-    whole = key.once(every.join(alike, ["doc", "th"])).select("doc", "o_doc", size.alias("n")).where(F.col("n") >= span + width - 1)
-    return result.union(whole.select("doc", none, "n", "o_doc", none, "n", F.lit(100)))
+    whole = key.once(every.join(alike, ["doc", "th"])).select("doc", "o_doc", "o_th", size.alias("n")).where(F.col("n") >= span + width - 1)
+    return result.union(whole.select("doc", none, "n", "o_doc", none, "n", F.lit(100), F.xxhash64("o_doc", "o_th", F.lit("text"))))
