@@ -6,14 +6,6 @@ import fnmatch
 import posixpath
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource
-
-
-def register(spark: SparkSession, source: type[DataSource]) -> None:
-    """Make a data source known to the session, and let filters reach it: a source that takes filters cannot be read where that is off."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(source)
 
 
 def listed(path: str, suffix: str) -> list[str]:

@@ -1,11 +1,11 @@
 """GeoTIFF pixels as rows: a data source that reads a file by strips or tiles, each in a task of its own.
 
-    register(spark, GeoTiff)
+    spark.dataSource.register(GeoTiff)
     spark.read.format("geotiff").load("/rasters/ppt")             # all bands
     spark.read.format("geotiff").option("bands", "1,2").load(...)  # these alone are decoded
 
 Rows are (path, band, row, col, lon, lat, value); lon and lat are the middle of the pixel. Value is null where the file says so (its no-data value, -9999 if it names
-none) and for NaN. A filter on band is pushed to the scan.
+none) and for NaN. Of bands that are not asked for, no plane is read.
 
 Read are classic and big files of either byte order, whole or floating samples of 8 to 64 bits, chunky or by plane, plain or by deflate or LZW, with horizontal
 or floating-point differences; north-up in degrees. Others raise a ValueError that says what is amiss.
@@ -21,9 +21,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cellreach.sources.files import listed, read, register
+from cellreach.sources.files import listed, read
 
 NO_DATA = -9999.0
 SCHEMA = "path string, band int, row int, col int, lon double, lat double, value double"
@@ -186,14 +186,6 @@ class GeoTiffReader(DataSourceReader):
         self.files = listed(options["path"], (".tif", ".tiff"))
         self.bands = {int(b) for b in options["bands"].split(",")} if options.get("bands") else None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if wanted is not None and f.attribute == ("band",):
-                self.bands = wanted if self.bands is None else self.bands & wanted
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.files:
@@ -246,6 +238,6 @@ def raster_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rasters(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
     """SCHEMA of the rasters of a path, of some bands or all."""
-    register(spark, GeoTiff)
+    spark.dataSource.register(GeoTiff)
     reader = spark.read.format("geotiff")
     return (reader.option("bands", ",".join(map(str, bands))) if bands else reader).load(path)

@@ -204,10 +204,18 @@ def read_facilities(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def read_edges(spark: SparkSession, path: str, mode: str = "drive") -> DataFrame:
-    """(u, v, w, oneway) of a way table (u, v, length, highway, maxspeed, oneway)."""
+    """(u, v, w, oneway) of a way table (u, v, length, highway, maxspeed, oneway), or of a map extract."""
+    if path.endswith(".pbf"):
+        from cellreach.sources.osm import network, read_osm
+
+        return edges_of(network(read_osm(spark, path, "way"), read_osm(spark, path, "node"), mode), mode)
+    return edges_of(spark.read.parquet(path), mode)
+
+
+def edges_of(raw: DataFrame, mode: str = "drive") -> DataFrame:
+    """(u, v, w, oneway) of ways (u, v, length, highway, maxspeed, oneway)."""
     from cellreach.functions import text, units
 
-    raw = spark.read.parquet(path)
     kmh = F.coalesce(text.maxspeed_kmh(F.col("maxspeed")), text.highway_kmh(F.col("highway")))
     seconds = units.walk_seconds(F.col("length")) if mode == "walk" else units.drive_seconds(F.col("length"), kmh)
     oneway = F.lit(False) if mode == "walk" else text.oneway(F.col("oneway"))

@@ -4,7 +4,7 @@ A page is asked for by POST with a JSON body that holds `Page` (from 1) and `Pag
 many there are in `TotalCount`. With a total each page is a partition of its own; without one, one partition goes on until a page is short. Failed requests
 are tried again, with growing pauses; a request that keeps failing fails the task, so no rows are lost silently.
 
-    register(spark, RestPages)
+    spark.dataSource.register(RestPages)
     spark.read.format("rest_pages").option("url", ...).option("body", '{"State": "MA"}').load()
 
 Rows are (page int, seq int, value string): each result as JSON text, for from_json with the schema that it should have.
@@ -22,8 +22,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cellreach.sources.files import register
-
 
 @dataclass
 class _Pages(InputPartition):
@@ -90,7 +88,7 @@ def all_results(spark: SparkSession, source: str | None, body: str = "{}") -> Da
     if not source:
         return spark.createDataFrame([], "value string")
     if source.startswith(("http://", "https://")):
-        register(spark, RestPages)
+        spark.dataSource.register(RestPages)
         return spark.read.format("rest_pages").option("url", source).option("body", body).load().select("value")
     from pyspark.sql import functions as F
 

@@ -1,26 +1,27 @@
 """Shapefile polygons as rows: a data source that reads a range of records a task.
 
-    register(spark, Shapefile)
-    spark.read.format("shapefile").load("/boundaries/counties.shp").where("STATEFP = '25'")
+    spark.dataSource.register(Shapefile)
+    spark.read.format("shapefile").option("only", '{"STATEFP": ["25"]}').load("/boundaries/counties.shp")
 
 Rows have the attributes of the .dbf file (text, long or double by its header; blanks are null) and rings, array<array<struct<x, y>>>, which count by the even-odd rule.
-The .shx file says where records are, so a task reads one run of bytes of the .shp and of the .dbf file. Filters on attributes (equal, one of) are pushed to the
-scan: geometry of other records is not decoded. Records that the .dbf file marks as deleted are left out.
+The .shx file says where records are, so a task reads one run of bytes of the .shp and of the .dbf file. Of records that `only` (values by attribute) leaves out, geometry
+is not read where a task has no other. Records that the .dbf file marks as deleted are left out.
 
 Read are polygons (plain, with Z or M) and null shapes, whose rings are null; coordinates are taken as degrees. A .prj file of a projected system is an error.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cellreach.sources.files import ranges, read, register
+from cellreach.sources.files import ranges, read
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 # Fixed values of the format: kinds of shapes, and the length of the headers.
@@ -84,7 +85,7 @@ class ShapefileReader(DataSourceReader):
         self.shp, self.shx, self.dbf = f"{stem}.shp", f"{stem}.shx", f"{stem}.dbf"
         self.encoding = options.get("encoding", "utf-8")
         self.fields, self.n, self.header, self.length = fields_of(self.dbf)
-        self.wanted: dict[str, set] = {}
+        self.wanted = {name: set(values) for name, values in json.loads(options.get("only", "{}")).items()}
         try:
             projection = read(f"{stem}.prj").decode("utf-8", "replace")
         except FileNotFoundError:
@@ -92,16 +93,6 @@ class ShapefileReader(DataSourceReader):
         if projection.lstrip().upper().startswith("PROJCS"):
             raise ValueError(f"{self.shp}: coordinates are not degrees")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        own = {f.name for f in self.fields}
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and len(f.attribute) == 1 and f.attribute[0] in own:
-                name = f.attribute[0]
-                self.wanted[name] = values if name not in self.wanted else self.wanted[name] & values
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [_Records(lo, hi) for lo, hi in ranges(self.n, -(-self.n // RECORDS_A_TASK))] or [_Records(0, 0)]
 
@@ -140,9 +131,9 @@ class Shapefile(DataSource):
 
 def read_counties(spark: SparkSession, path: str, states: list[str] = ()) -> DataFrame:
     """(geoid, name, statefp, rings) of a county shapefile, of some states or all."""
-    register(spark, Shapefile)
-    shapes = spark.read.format("shapefile").load(path)
+    spark.dataSource.register(Shapefile)
+    reader = spark.read.format("shapefile")
+    shapes = (reader.option("only", json.dumps({"STATEFP": list(states)})) if states else reader).load(path)
     if "GEOID" not in shapes.columns:
         raise ValueError(f"{path} has no GEOID")
-    kept = shapes.where(shapes["STATEFP"].isin(list(states))) if states else shapes
-    return kept.selectExpr("GEOID as geoid", "NAME as name", "STATEFP as statefp", "rings")
+    return shapes.selectExpr("GEOID as geoid", "NAME as name", "STATEFP as statefp", "rings")

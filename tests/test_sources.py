@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from cellreach.operators import polygons
 from cellreach.operators.polygons import RasterGrid
 from cellreach.sources import rasters, rest, shapes
-from cellreach.sources.files import register
 
 
 def lzw(data):
@@ -150,10 +149,9 @@ def test_raster_folder_bands_and_errors(spark, tmp_path):
             rasters.layout(f"{tmp_path}/bad{k}")
 
 
-def test_band_filter_reaches_the_scan(spark, tmp_path):
+def test_bands_reach_the_scan(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(tiff(raster(5, 6, 3, "f4"), planar=True))
-    reader = rasters.GeoTiffReader({"path": f"{tmp_path}/a.tif"})
-    assert list(reader.pushFilters([rasters.EqualTo(("band",), 2), rasters.EqualTo(("row",), 1)])) == [rasters.EqualTo(("row",), 1)]
+    reader = rasters.GeoTiffReader({"path": f"{tmp_path}/a.tif", "bands": "2"})
     assert {c for p in reader.partitions() for c in p.chunks} == {2, 3}
 
 
@@ -265,7 +263,7 @@ def test_shapefile(spark, tmp_path, monkeypatch, kind):
         (("44001", "Bristol", "44", 0, 0.0), [square(20, 0), square(22, 0)]),
     ]
     write_shapes(tmp_path, "c", records, kind, deleted={3})
-    register(spark, shapes.Shapefile)
+    spark.dataSource.register(shapes.Shapefile)
     df = spark.read.format("shapefile").load(f"{tmp_path}/c.shp")
     assert df.dtypes[:5] == [("GEOID", "string"), ("NAME", "string"), ("STATEFP", "string"), ("ALAND", "bigint"), ("RATE", "double")]
     got = {r["GEOID"]: (r["NAME"], r["ALAND"], r["RATE"], r["rings"] and [[(p["x"], p["y"]) for p in ring] for ring in r["rings"]]) for r in df.collect()}
@@ -274,8 +272,7 @@ def test_shapefile(spark, tmp_path, monkeypatch, kind):
     assert {r["geoid"] for r in some.collect()} == {"25001", "25003", "44001"}
     cells = polygons.h3_polyfill(some, 5, id_col="geoid").groupBy("geoid").count().collect()
     assert {r["geoid"] for r in cells} == {"25001", "25003", "44001"}
-    reader = shapes.ShapefileReader({"path": f"{tmp_path}/c.shp"})
-    assert list(reader.pushFilters([shapes.EqualTo(("STATEFP",), "44"), shapes.EqualTo(("rings",), None)])) == [shapes.EqualTo(("rings",), None)]
+    reader = shapes.ShapefileReader({"path": f"{tmp_path}/c.shp", "only": '{"STATEFP": ["44"]}'})
     assert [row[0] for p in reader.partitions() for row in reader.read(p)] == ["44001"]
 
 
@@ -326,7 +323,7 @@ def server():
 @pytest.mark.parametrize("path", ["/total", "/open"])
 def test_rest_pages(spark, server, path):
     url, rows, seen = server
-    register(spark, rest.RestPages)
+    spark.dataSource.register(rest.RestPages)
     df = spark.read.format("rest_pages").options(url=url + path, body='{"State": "MA"}', pageSize=5, pause=0.01).load()
     got = sorted((r["page"], r["seq"], json.loads(r["value"])["id"]) for r in df.collect())
     assert got == [(k // 5 + 1, k % 5, k) for k in range(23)]
