@@ -131,3 +131,15 @@ def climate_violations(df: DataFrame, temps: list[str], rains: list[str]) -> Dat
         for c in temps + rains
     ]
     return sums.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
+def climate_warnings(df: DataFrame, summer: str, winter: str, rain_mm: list[str], month_most: float = 1000.0) -> DataFrame:
+    """(rule, n): how many rows look wrong, though they break no limit: a month of more rain than month_most mm, a summer colder than the winter, one of the two missing."""
+    rules = {
+        "summer colder than winter": F.col(summer) < F.col(winter),
+        "one season missing": F.col(summer).isNull() != F.col(winter).isNull(),
+        **{f"much rain in {c}": F.col(c) > month_most for c in rain_mm},
+    }
+    counts = df.agg(*[F.count_if(bad).alias(name) for name, bad in rules.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("n")) for name in rules])
+    return counts.select(F.explode(rows).alias("x")).select("x.*").where("n > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,43 @@ def conform(df: DataFrame, schema: T.StructType, renamed: dict[str, str] | None
     )
 
 
+_WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+_REAL = [T.FloatType(), T.DoubleType()]
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrower of the types that hold the values of both: whole numbers, reals (double beside long or int), timestamps over dates, text over all plain ones."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    if a in _REAL + _WHOLE and b in _REAL + _WHOLE:
+        small = [T.FloatType(), T.ByteType(), T.ShortType()]
+        return T.FloatType() if a in small and b in small else T.DoubleType()
+    if {type(a), type(b)} == {T.DateType, T.TimestampType}:
+        return T.TimestampType()
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        return T.DecimalType(min(38, max(a.precision - a.scale, b.precision - b.scale) + scale), scale)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider(a.elementType, b.elementType))
+    if any(isinstance(t, T.ArrayType | T.MapType | T.StructType | T.BinaryType) for t in (a, b)):
+        raise TypeError(f"no type holds {a.simpleString()} and {b.simpleString()}")
+    return T.StringType()
+
+
+def union_widened(*tables: DataFrame) -> DataFrame:
+    """All rows by column names, each column in the widest type that any table gives it; columns that a table lacks are null."""
+    kinds: dict[str, T.DataType] = {}
+    for df in tables:
+        for f in df.schema:
+            kinds[f.name] = wider(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    return reduce(DataFrame.unionByName, [conform(df, schema) for df in tables])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the given order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

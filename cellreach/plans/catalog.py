@@ -23,6 +23,33 @@ def catalog(pois: DataFrame) -> DataFrame:
     return pois.where("category is not null").groupBy("category").agg(F.array_sort(F.collect_set("brand_id")).alias("brands"))
 
 
+#: Labels of the categories that the catalogue groups.
+HOSPITAL_LABEL = "Hospital"
+TRAUMA_LABELS = ["Level 1 Trauma (Adults)", "Level 1 Trauma (Pediatric)"]
+
+
+def catalog_categories(legs: DataFrame, registry: DataFrame, pois: DataFrame) -> DataFrame:
+    """(id, label, group, brands) of every category with a leg (registry: category_id, numeric_id, display_name; legs by category_id; pois: category, brand_id).
+
+    A category that the registry lacks has a label made from its id. Hospitals and trauma centres have a group; brands are sorted, and empty where there are none.
+    """
+    there = legs.select(F.col("entity").alias("category_id")).distinct()
+    label = F.coalesce("display_name", F.concat(F.lit("Category "), F.col("category_id")))
+    group = F.when(label == HOSPITAL_LABEL, "hospital").when(label.isin(TRAUMA_LABELS), "hospital_trauma")
+    listed = there.join(registry, "category_id", "left").select("category_id", F.coalesce(F.col("numeric_id").cast("string"), "category_id").alias("id"), label.alias("label"), group.alias("group"))
+    own = pois.select(F.trim("category").alias("category_id"), F.trim("brand_id").alias("brand")).where("brand <> ''")
+    brands = own.groupBy("category_id").agg(F.array_sort(F.collect_set("brand")).alias("brands"))
+    empty = F.array().cast("array<string>")
+    return listed.join(brands, "category_id", "left").select("id", "label", "group", F.coalesce("brands", empty).alias("brands"))
+
+
+def catalog_brands(pois: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, label) of every brand that a place has: its registered name (brand_id, canonical), else its id as a label."""
+    there = pois.select(F.trim("brand_id").alias("id")).where("id <> ''").distinct()
+    named = registry.select(F.col("brand_id").alias("id"), "canonical").dropDuplicates(["id"])
+    return there.join(named, "id", "left").select("id", F.coalesce(F.nullif("canonical", F.lit("")), label_of(F.col("id"))).alias("label"))
+
+
 def d_anchor(legs: DataFrame, registry: DataFrame, asked: str) -> DataFrame:
     """(anchor, seconds) of a category by slug, numeric id or label (registry: category_id, numeric_id, display_name)."""
     low = asked.strip().lower()

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellreach.functions import geo, h3, ids, text, units
+from cellreach.functions import geo, h3, ids, rings, text, units
 from cellreach.operators import anchors, checks, graph, overlays, poi, polygons, spatial, tables, times
 from cellreach.operators.polygons import RasterGrid
 from cellreach.plans import catalog, standins as s
 from cellreach.plans.livable import State, explain_cells, livable, livable_percent
+from cellreach.plans.livable import livable_layers as layers
 from cellreach.plans.standins import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,9 +260,9 @@ def allowlist_semi(spark, d):
     return part.join(brands, F.col("p_brand") == F.col("b"), "left").where(F.col("p_type").isin("PROMO", "SMALL") | F.col("ok")).select("p_partkey")
 
 
-@query("SELECT DISTINCT l_partkey AS cell FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1500)")
+@query("SELECT DISTINCT l_partkey AS cell FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1500 AND p_size <= 40)")
 def hex_anti_core(spark, d):
-    core = s.cells(spark, d).where("is_core").select("cell")
+    core = s.cells(spark, d).where("is_core and not near_power_corridor").select("cell")
     return s.times(spark, d).select("cell").distinct().join(core, "cell", "left_anti")
 
 
@@ -667,9 +668,9 @@ def union_by_name(spark, d):
     return one.unionByName(two, allowMissingColumns=True)
 
 
-@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1")
 def except_ids(spark, d):
-    sold = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"))
+    sold = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").select(F.col("l_partkey").alias("id"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id")).subtract(sold)
 
 
@@ -1080,3 +1081,87 @@ def county_cells(spark, d):
         F.sum(F.when(F.col("c_acctbal") < 4500, 1).otherwise(0)).alias("rep"), F.count(F.lit(1)).alias("total")
     )
     return cells.join(votes, "poly").select("cell", "poly", "share", (F.col("rep") / F.col("total")).alias("rep_share"))
+
+
+_WALK = "walked AS (SELECT cell, anchor, t * 3 AS t FROM ranked)"
+
+
+@query(f"""
+WITH {s.RANKED}, {s.LEGS}, {s.CELLS}, {_WALK},
+open AS (SELECT cell FROM cells WHERE NOT near_power_corridor),
+drive AS (SELECT cell FROM (SELECT cell, entity, min(t + seconds) AS total FROM ranked JOIN legs USING (anchor) WHERE entity IN ('Brand#1', 'Brand#2') GROUP BY ALL)
+  WHERE total <= CASE entity WHEN 'Brand#1' THEN 360 ELSE 1800 END GROUP BY cell HAVING count(*) = 2),
+walk AS (SELECT cell FROM (SELECT cell, entity, min(t + seconds) AS total FROM walked JOIN legs USING (anchor) WHERE entity = 'Brand#7' GROUP BY ALL) WHERE total <= 720)
+SELECT 'drive' AS mode, cell FROM open JOIN drive USING (cell) UNION ALL SELECT 'walk', cell FROM open JOIN walk USING (cell)""")
+def livable_layers(spark, d):
+    """One entity by foot and two by car (one with the default time); an overlay binds both layers, an entity without legs neither."""
+    ranked, legs = _ranked(spark, d).select("cell", "anchor", "t"), _legs(spark, d).select("anchor", "entity", "seconds")
+    both = lambda df, walk: df.withColumn("mode", F.lit("drive")).unionByName(walk.withColumn("mode", F.lit("walk")))
+    state = State({"Brand#1": 6, "Brand#2": None, "Brand#7": 12, "nothing": 1}, avoid_power_lines=True, modes={"Brand#7": "walk", "nothing": "walk"})
+    return layers(s.cells(spark, d), both(ranked, ranked.withColumn("t", F.col("t") * 3)), both(legs, legs), state)
+
+
+@query(f"""
+WITH {s.LEGS}, {s.POIS},
+registry AS (SELECT DISTINCT p_brand AS category_id, CAST(substr(p_brand, 7) AS INTEGER) AS numeric_id,
+  CASE p_brand WHEN 'Brand#1' THEN 'Hospital' WHEN 'Brand#2' THEN 'Level 1 Trauma (Adults)' ELSE 'The ' || p_brand END AS display_name FROM part WHERE p_brand <> 'Brand#9'),
+own AS (SELECT upper(substr(brand_id, 1, 1)) || substr(brand_id, 2) AS category_id, list(DISTINCT category ORDER BY category) AS brands FROM pois WHERE brand_id IS NOT NULL AND brand_id <> 'brand#3' GROUP BY 1)
+SELECT coalesce(CAST(numeric_id AS VARCHAR), category_id) AS id, coalesce(display_name, 'Category ' || category_id) AS label,
+  CASE display_name WHEN 'Hospital' THEN 'hospital' WHEN 'Level 1 Trauma (Adults)' THEN 'hospital_trauma' END AS "group", array_to_string(coalesce(brands, []), ',') AS brands
+FROM (SELECT DISTINCT entity AS category_id FROM legs) LEFT JOIN registry USING (category_id) LEFT JOIN own USING (category_id)""")
+def catalog_categories(spark, d):
+    """Every category with a leg: brands of parts stand in for categories, their kinds for brands."""
+    brand = F.col("p_brand")
+    name = F.when(brand == "Brand#1", "Hospital").when(brand == "Brand#2", "Level 1 Trauma (Adults)").otherwise(F.concat(F.lit("The "), brand))
+    listed = table(spark, d, "part").where("p_brand <> 'Brand#9'").select(brand.alias("category_id"), F.substring(brand, 7, 9).cast("int").alias("numeric_id"), name.alias("display_name"))
+    places = s.pois(spark, d).where("brand_id <> 'brand#3'").select(F.initcap("brand_id").alias("category_id"), F.col("category").alias("brand_id")).withColumnRenamed("category_id", "category")
+    found = catalog.catalog_categories(_legs(spark, d), listed.distinct(), places)
+    return found.withColumn("brands", F.array_join("brands", ","))
+
+
+@query(f"""
+WITH {s.POIS} SELECT DISTINCT brand_id AS id, CASE WHEN brand_id = 'brand#1' THEN 'First' ELSE upper(substr(brand_id, 1, 1)) || substr(brand_id, 2) END AS label
+FROM pois WHERE brand_id IS NOT NULL""")
+def catalog_brands(spark, d):
+    registry = spark.createDataFrame([("brand#1", "First"), ("brand#2", ""), ("other", "Other")], "brand_id string, canonical string")
+    return catalog.catalog_brands(s.pois(spark, d), registry)
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_linenumber AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS note FROM lineitem
+UNION ALL SELECT o_orderstatus, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), o_orderpriority FROM orders""")
+def union_widened(spark, d):
+    """Whole numbers beside text, and int beside float, which double alone holds."""
+    one = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("int").alias("v"))
+    two = table(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_totalprice").cast("float").alias("v"), F.col("o_orderpriority").alias("note"))
+    return tables.union_widened(one, two)
+
+
+@query("""
+WITH c AS (SELECT c_acctbal AS a, c_custkey AS k FROM customer)
+SELECT * FROM (SELECT 'summer colder than winter' AS rule, count(*) FILTER (k % 5 > 0 AND k % 7 > 0 AND a < k) AS n FROM c
+UNION ALL SELECT 'one season missing', count(*) FILTER ((k % 5 = 0) <> (k % 7 = 0)) FROM c
+UNION ALL SELECT 'much rain in jan', count(*) FILTER (a > 1000) FROM c UNION ALL SELECT 'much rain in feb', count(*) FILTER (a > 1000000) FROM c) WHERE n > 0""")
+def climate_warnings(spark, d):
+    key, value = F.col("c_custkey"), F.col("c_acctbal")
+    rows = table(spark, d, "customer").select(
+        F.when(key % 5 > 0, value).alias("summer"), F.when(key % 7 > 0, key.cast("double")).alias("winter"), value.alias("jan"), (value / 1000).alias("feb")
+    )
+    return checks.climate_warnings(rows, "summer", "winter", ["jan", "feb"])
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS id, c_custkey % 100 AS x, c_custkey % 90 AS y, 1.0::DOUBLE + c_custkey % 7 AS r, c_custkey % 3 = 0 AS bow FROM customer)
+SELECT id, CASE WHEN bow THEN r * r / 2 ELSE r * r - r * r / 16 END AS area, CASE WHEN bow THEN 2 ELSE 2 END AS n_rings, true AS inside FROM c""")
+def valid_polygons(spark, d):
+    """Bow-ties, and squares with a hole that is given the wrong way round: areas after they are made valid, and a point inside of each."""
+    x, y, r = (F.col("c_custkey") % 100).cast("double"), (F.col("c_custkey") % 90).cast("double"), F.lit(1.0) + F.col("c_custkey") % 7
+    at = lambda a, b: F.struct((x + r * a).alias("x"), (y + r * b).alias("y"))
+    bow = F.array(F.array(at(0.0, 0.0), at(1.0, 1.0), at(1.0, 0.0), at(0.0, 1.0)))
+    hollow = F.array(F.array(at(0.0, 0.0), at(0.0, 1.0), at(1.0, 1.0), at(1.0, 0.0)), F.array(at(0.5, 0.5), at(0.75, 0.5), at(0.75, 0.75), at(0.5, 0.75)))
+    shapes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, bow).otherwise(hollow).alias("rings"))
+    valid = shapes.withColumn("rings", rings.make_valid(F.col("rings")))
+    px, py = rings.representative_point(F.col("rings"))
+    held = valid.withColumns({"px": px, "py": py})
+    odd = F.aggregate(F.transform("rings", lambda ring: geo.in_ring(F.col("px"), F.col("py"), ring).cast("int")), F.lit(0), lambda a, b: a + b)
+    return held.select("id", F.round(rings.rings_area(F.col("rings")), 9).alias("area"), F.size("rings").alias("n_rings"), (odd % 2 == 1).alias("inside"))

@@ -110,9 +110,16 @@ def tagged_pois(features: DataFrame, wanted: dict[str, list[str]] | None = None,
 
 
 def beaches(features: DataFrame) -> DataFrame:
-    """Beaches among features (id, kind, tags, lon, lat): one for each place to six decimals, a node before a way before a relation, then by id."""
+    """Beaches among features (id, kind, tags, lon, lat): one for each place to six decimals, a node before a way before a relation, then by id.
+
+    With a column `rings`, shapes without a place of their own have a point inside their area; those without any area go.
+    """
+    from cellreach.functions.rings import representative_point
     from cellreach.operators.tables import keep_first
 
+    if "rings" in features.columns:
+        x, y = representative_point(F.col("rings"))
+        features = features.withColumns({"lon": F.coalesce("lon", x), "lat": F.coalesce("lat", y)}).drop("rings")
     own = features.where((F.try_element_at("tags", F.lit("natural")) == "beach") & F.col("lon").isNotNull() & F.col("lat").isNotNull())
     rank = F.array_position(F.array(F.lit("node"), F.lit("way"), F.lit("relation")), F.col("kind"))
     keyed = own.withColumns({"_x": F.round("lon", 6), "_y": F.round("lat", 6)})
@@ -179,28 +186,43 @@ def read_airports(spark: SparkSession, path: str) -> DataFrame:
     return out.na.drop(subset=["lon", "lat"])
 
 
-def read_facilities(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_facilities(spark: SparkSession, path: str | list[str], multi_line: bool | None = True) -> DataFrame:
     """Trauma facilities of {"results": [...]} documents or JSON lines: parents and children flat, with the level of their programmes.
 
-    A child without a place takes its parent's.
+    A child without a place takes its parent's. Of rows of one name, level and place to five decimals the first stays: files in the order of
+    their names, and in a file the order of its rows. multi_line=None tries documents and takes lines where a file is none.
     """
+    if multi_line is None:
+        whole = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.results").isNotNull().alias("document"), F.input_file_name().alias("file"))
+        kinds = {r["file"]: r["document"] for r in whole.collect()}  # a row a file
+        some = [[f for f, document in kinds.items() if document is want] for want in (True, False)]
+        tables = [read_facilities(spark, files, want) for files, want in zip(some, (True, False), strict=True) if files]
+        return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1]).distinct()
     place = "struct<latitude: double, longitude: double>"
     core = f"name: string, guid: string, country: string, locationPoint: {place}, programs: array<struct<levels: array<string>>>"
     row = f"{core}, childInstitutions: array<struct<{core}>>"
     ddl = f"results array<struct<{row}>>" if multi_line else row.replace(": ", " ", 6)
-    df = spark.read.schema(ddl).json(path, multiLine=multi_line)
-    rows = df.select(F.explode("results").alias("r")) if multi_line else df.select(F.struct("*").alias("r"))
+    read = spark.read.schema(ddl).json(path, multiLine=multi_line).select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    if multi_line:
+        rows = read.select("_file", F.posexplode("results").alias("_at", "r"))
+    else:
+        rows = read.select("_file", F.col("_line").alias("_at"), F.struct(*[c for c in read.columns if c[0] != "_"]).alias("r"))
     pick = lambda x, at: F.struct(x["name"].alias("name"), x["guid"].alias("ext_id"), x["country"].alias("country"), at.alias("at"), x["programs"].alias("programs"))
     parent = F.col("r.locationPoint")
     children = F.transform(
         F.coalesce("r.childInstitutions", F.array().cast(f"array<struct<{core}>>")), lambda c: pick(c, F.coalesce(c["locationPoint"], parent))
     )
-    every = rows.select(F.explode(F.concat(F.array(pick(F.col("r"), parent)), children)).alias("x")).select("x.*")
+    every = rows.select("_file", "_at", F.posexplode(F.concat(F.array(pick(F.col("r"), parent)), children)).alias("_child", "x")).select("_file", "_at", "_child", "x.*")
     levels = F.array_distinct(F.flatten(F.transform(F.coalesce("programs", F.array().cast("array<struct<levels: array<string>>>")), lambda p: p["levels"])))
     known = F.create_map(*[F.lit(v) for kv in TRAUMA_LEVELS.items() for v in kv])
     named = every.withColumn("level", F.explode(levels)).withColumn("trauma_level", F.try_element_at(known, F.col("level")))
     ok = named.where("trauma_level is not null and trim(country) in ('US', 'USA', 'United States')")
-    return ok.select("name", "ext_id", "trauma_level", F.col("at.longitude").alias("lon"), F.col("at.latitude").alias("lat")).distinct()
+    flat = ok.select("name", "ext_id", "trauma_level", F.col("at.longitude").alias("lon"), F.col("at.latitude").alias("lat"), "_file", "_at", "_child")
+    from cellreach.operators.tables import keep_first
+
+    placed = flat.withColumns({"_x": F.round("lon", 5), "_y": F.round("lat", 5)})
+    first = keep_first(placed, ["name", "trauma_level", "_x", "_y"], [F.col("_file"), F.col("_at"), F.col("_child")])
+    return first.select("name", "ext_id", "trauma_level", "lon", "lat")
 
 
 def read_edges(spark: SparkSession, path: str, mode: str = "drive") -> DataFrame:
