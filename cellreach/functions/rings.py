@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 RINGS = "array<array<struct<x: double, y: double>>>"
 #: Pairs of sides that are compared at once.
 BLOCK = 1 << 20
+#: Sides whose directions differ by less (the sine between them) lie one way.
+PARALLEL = 1e-12
 
 
 def corners_of(rings) -> list[np.ndarray]:
@@ -34,62 +36,117 @@ def _area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def _crossings(ring: np.ndarray) -> list[tuple[int, float, int, float, np.ndarray]]:
-    """(side, place on it, other side, place on it, point) where sides of a ring that are not next to each other meet."""
-    a, b = ring, np.roll(ring, -1, 0)
+def _cuts(e: np.ndarray) -> list[list[tuple[float, float, float]]]:
+    """Of each side (x1, y1, x2, y2) the places (share of it, x, y) where another one meets it, ends that lie on it included."""
+    a, b = e[:, :2], e[:, 2:]
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    n, out = len(ring), []
-    step = max(1, BLOCK // n)
-    for k in range(0, n, step):
-        i = np.arange(k, min(k + step, n))
-        meet = ((lo[i, None] <= hi[None]) & (hi[i, None] >= lo[None])).all(2)
-        meet &= np.arange(n)[None] > i[:, None] + 1
+    out: list[list[tuple[float, float, float]]] = [[] for _ in e]
+    for k in range(0, len(e), max(1, BLOCK // len(e))):
+        i = np.arange(k, min(k + max(1, BLOCK // len(e)), len(e)))
+        meet = ((lo[i, None] <= hi[None]) & (hi[i, None] >= lo[None])).all(2) & (np.arange(len(e))[None] > i[:, None])
         p, q = np.nonzero(meet)
         p = p + k
-        some = ~((p == 0) & (q == n - 1))
-        p, q = p[some], q[some]
-        d, e, w = b[p] - a[p], b[q] - a[q], a[q] - a[p]
-        cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+        d, f, w = b[p] - a[p], b[q] - a[q], a[q] - a[p]
+        cross = d[:, 0] * f[:, 1] - d[:, 1] * f[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            s, t = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / cross, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / cross
-        ok = (cross != 0) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
-        out += [(int(x), float(u), int(y), float(v), a[x] + u * d_) for x, u, y, v, d_ in zip(p[ok], s[ok], q[ok], t[ok], d[ok], strict=True)]
-        # Sides on one line: the ends of one that lie on the other.
-        for x, y in zip(p[~ok & (cross == 0)], q[~ok & (cross == 0)], strict=True):
-            for side, other, ends in ((x, y, (a[y], b[y])), (y, x, (a[x], b[x]))):
+            s, t = (w[:, 0] * f[:, 1] - w[:, 1] * f[:, 0]) / cross, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / cross
+        one_way = np.abs(cross) <= PARALLEL * np.hypot(*d.T) * np.hypot(*f.T)
+        ok = ~one_way & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+        for x, u, y, v, point in zip(p[ok].tolist(), s[ok].tolist(), q[ok].tolist(), t[ok].tolist(), (a[p[ok]] + s[ok, None] * d[ok]).tolist(), strict=True):
+            out[x].append((u, *point))
+            out[y].append((v, *point))
+        for x, y in zip(p[one_way].tolist(), q[one_way].tolist(), strict=True):
+            for side, other in ((x, y), (y, x)):
                 along = b[side] - a[side]
-                for k_, end in enumerate(ends):
+                for end in (a[other], b[other]):
                     v = end - a[side]
-                    if along[0] * v[1] == along[1] * v[0] and 0 <= (v @ along) <= along @ along:
-                        out.append((int(side), float(v @ along / (along @ along)), int(other), float(k_), end))
+                    if abs(along[0] * v[1] - along[1] * v[0]) <= PARALLEL * np.hypot(*along) * np.hypot(*v) and 0 <= v @ along <= along @ along:
+                        out[side].append((float(v @ along / (along @ along)), *end.tolist()))
     return out
 
 
-def _loops(ring: np.ndarray) -> list[np.ndarray]:
-    """The simple loops of a ring that may cross or touch itself: walking along it, each return to a place cuts off a loop."""
-    cuts: dict[int, list] = {}
-    for i, s, j, t, point in _crossings(ring):
-        cuts.setdefault(i, []).append((s, tuple(point)))
-        cuts.setdefault(j, []).append((t, tuple(point)))
-    path: list[tuple] = []
-    for k, corner in enumerate(map(tuple, ring.tolist())):
-        path.append(corner)
-        path += [p for _, p in sorted(cuts.get(k, ()))]
-    out, stack, where = [], [], {}
-    for point in path:
-        if stack and stack[-1] == point:
+def _pieces(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, and pairs of them: the sides cut wherever they meet; pieces that lie on each other an even number of times are none."""
+    e = np.concatenate([np.concatenate([r, np.roll(r, -1, 0)], 1) for r in rings])
+    grain = max(float(np.abs(e).max()), 1e-300) * 1e-13
+    nodes: dict[tuple, int] = {}
+    places: list[tuple] = []
+
+    def node(x: float, y: float) -> int:
+        key = round(x / grain), round(y / grain)
+        if key not in nodes:
+            nodes[key] = len(places)
+            places.append((x, y))
+        return nodes[key]
+
+    count: dict[tuple[int, int], int] = {}
+    for side, cuts in zip(e.tolist(), _cuts(e), strict=True):
+        path = [node(*side[:2]), *[node(x, y) for _, x, y in sorted(cuts)], node(*side[2:])]
+        for u, v in zip(path, path[1:], strict=False):
+            if u != v:
+                pair = min(u, v), max(u, v)
+                count[pair] = count.get(pair, 0) + 1
+    odd = [pair for pair, n in count.items() if n % 2]
+    return np.array(places), np.array(odd, np.int64).reshape(-1, 2)
+
+
+def _inside_left(places: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Pairs turned so that what is inside, by the even-odd rule, is on their left."""
+    a, b = places[pairs[:, 0]], places[pairs[:, 1]]
+    flat = np.abs(b[:, 1] - a[:, 1]) < np.abs(b[:, 0] - a[:, 0])  # judged by a ray to the north, others by one to the east
+    keep = np.empty(len(pairs), bool)
+    for axis, some in ((1, np.flatnonzero(~flat)), (0, np.flatnonzero(flat))):
+        for k in some.tolist():
+            middle = (a[k] + b[k]) / 2
+            over = (a[:, axis] > middle[axis]) != (b[:, axis] > middle[axis])
+            over[k] = False
+            p, q = a[over], b[over]
+            at = (q[:, 1 - axis] - p[:, 1 - axis]) * (middle[axis] - p[:, axis]) / (q[:, axis] - p[:, axis]) + p[:, 1 - axis]
+            beyond = bool((at > middle[1 - axis]).sum() % 2)  # whether the side that the ray goes to is inside
+            rises = b[k, axis] > a[k, axis]
+            # East is on the right of what goes north; north is on the left of what goes east.
+            keep[k] = (beyond != rises) if axis == 1 else (beyond == rises)
+    return np.where(keep[:, None], pairs, pairs[:, ::-1])
+
+
+def valid(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Closed simple rings of the same even-odd area: shells counter-clockwise, holes clockwise; they meet at corners at most."""
+    if not rings:
+        return []
+    places, pairs = _pieces(rings)
+    if not len(pairs):
+        return []
+    pairs = _inside_left(places, pairs)
+    leave: dict[int, list[int]] = {}
+    for k, u in enumerate(pairs[:, 0].tolist()):
+        leave.setdefault(u, []).append(k)
+    step = places[pairs[:, 1]] - places[pairs[:, 0]]
+    heading = np.arctan2(step[:, 1], step[:, 0])
+    free = np.ones(len(pairs), bool)
+    out = []
+    for first in range(len(pairs)):
+        if not free[first]:
             continue
-        if point in where:
-            at = where[point]
-            out.append(np.array(stack[at:]))
-            for gone in stack[at + 1 :]:
-                del where[gone]
-            del stack[at + 1 :]
-        else:
-            where[point] = len(stack)
-            stack.append(point)
-    out.append(np.array(stack))
-    return [loop for loop in out if len(loop) > 2 and _area(loop) != 0]
+        ring, k = [], first
+        while free[k]:
+            free[k] = False
+            ring.append(int(pairs[k, 0]))
+            ways = [w for w in leave[int(pairs[k, 1])] if free[w] or w == first]
+            if not ways:
+                break
+            # The sharpest turn to the left keeps areas that touch at a corner apart.
+            k = max(ways, key=lambda w: (heading[w] - heading[k] + np.pi) % (2 * np.pi))  # noqa: B023
+        # A corner that comes twice is where two rings touch.
+        stack: list[int] = []
+        for corner in [*ring, ring[0]]:
+            if corner in stack:
+                at = stack.index(corner)
+                if len(stack) - at > 2:
+                    out.append(places[[*stack[at:], corner]])
+                del stack[at + 1 :]
+            else:
+                stack.append(corner)
+    return sorted(out, key=lambda r: -abs(_area(r[:-1])))
 
 
 def scan_point(rings: list[np.ndarray]) -> tuple[float, float] | None:
@@ -116,28 +173,6 @@ def scan_point(rings: list[np.ndarray]) -> tuple[float, float] | None:
     return None
 
 
-def _holds(ring: np.ndarray, x: float, y: float) -> bool:
-    a, b = ring, np.roll(ring, -1, 0)
-    over = (a[:, 1] > y) != (b[:, 1] > y)
-    a, b = a[over], b[over]
-    return bool(((b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0] > x).sum() % 2)
-
-
-def valid(rings: list[np.ndarray]) -> list[np.ndarray]:
-    """Closed simple rings of the same even-odd area: shells counter-clockwise, each before the holes in it, holes clockwise."""
-    loops = sorted((loop for ring in rings for loop in _loops(ring)), key=lambda r: -abs(_area(r)))
-    boxes = [(r.min(0), r.max(0)) for r in loops]
-    out = []
-    for k, loop in enumerate(loops):
-        inside = scan_point([loop])
-        if inside is None:
-            continue
-        depth = sum((boxes[j][0] <= inside).all() and (boxes[j][1] >= inside).all() and _holds(loops[j], *inside) for j in range(len(loops)) if j != k and abs(_area(loops[j])) >= abs(_area(loop)))
-        turned = loop if (_area(loop) > 0) == (depth % 2 == 0) else loop[::-1]
-        out.append(np.concatenate([turned, turned[:1]]))
-    return out
-
-
 def make_valid(rings: Column) -> Column:
     """Rings without crossings that hold the same places by the even-odd rule; null where nothing is left."""
 

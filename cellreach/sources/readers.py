@@ -201,7 +201,9 @@ def read_facilities(spark: SparkSession, path: str | list[str], multi_line: bool
     place = "struct<latitude: double, longitude: double>"
     core = f"name: string, guid: string, country: string, locationPoint: {place}, programs: array<struct<levels: array<string>>>"
     row = f"{core}, childInstitutions: array<struct<{core}>>"
-    ddl = f"results array<struct<{row}>>" if multi_line else row.replace(": ", " ", 6)
+    ddl = f"results array<struct<{row}>>"
+    if not multi_line:
+        ddl = T.StructType.fromDDL(ddl)["results"].dataType.elementType
     read = spark.read.schema(ddl).json(path, multiLine=multi_line).select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
     if multi_line:
         rows = read.select("_file", F.posexplode("results").alias("_at", "r"))
