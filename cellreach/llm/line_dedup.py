@@ -1,7 +1,7 @@
 """Near-duplicate lines across all documents by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its distinct 5-word shingles (A-Z lower-cased); lines of fewer than five words are left alone
-(`short_lines=True` makes such a line one shingle). Lines with equal sets are one class. Two classes can only be similar
+A line is the set of its distinct 5-word shingles (A-Z lower-cased); a line of one to four words is one shingle
+(`short_lines=False` leaves such lines alone). Lines with equal sets are one class. Two classes can only be similar
 at t if they share one of their first n - ceil(t n) + 1 tokens in an order that all sets keep to (prefix filter). That
 is used twice:
 
@@ -41,7 +41,7 @@ HOT = 1 << 14
 
 
 def _tokens(line: Column, width: int, short_lines: bool) -> Column:
-    """The distinct 64-bit hashes of the line's shingles, sorted; none for fewer words than width, or one if `short_lines`."""
+    """The distinct 64-bit hashes of the line's shingles, sorted; of fewer words than width one if `short_lines`, else none."""
     def rolled(hashed: Column) -> Column:
         n = F.size(hashed)
         each = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, width)]))
@@ -190,7 +190,7 @@ def repeated_lines(
     text_col: str = "text",
     width: int = WIDTH,
     percent: int = PERCENT,
-    short_lines: bool = False,
+    short_lines: bool = True,
 ) -> DataFrame:
     """(doc, th, gone) of every document with lines to remove: its key, and their sorted numbers from 0."""
     text = F.col(f"`{text_col}`")
@@ -222,7 +222,7 @@ def repeated_lines(
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = True
 ) -> DataFrame:
     """(id, n_lines, n_removed, removed_lines) of every row: removed_lines are line numbers from 0, comma-joined."""
     key = RowKey(docs, id_col)
@@ -237,7 +237,7 @@ def line_dedup(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short_lines: bool = True
 ) -> DataFrame:
     """docs without the repeated lines; a document that had words and has none left is dropped.
 

@@ -80,7 +80,7 @@ WITH l AS (SELECT doc_id, k - 1 AS line_no, regexp_extract_all({_FOLDED.replace(
            FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k
                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 t AS (SELECT DISTINCT doc_id, line_no, array_to_string(ws[i:i + 4], ' ') AS g
-      FROM (SELECT doc_id, line_no, ws, unnest(range(1, len(ws) - 3)) AS i FROM l WHERE len(ws) >= 5)),
+      FROM (SELECT doc_id, line_no, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM l WHERE len(ws) > 0)),
 n AS (SELECT doc_id, line_no, count(*) AS n FROM t GROUP BY ALL),
 p AS (SELECT x.doc_id AS xd, x.line_no AS xl, y.doc_id AS yd, y.line_no AS yl, count(*) AS c
       FROM t x JOIN t y ON x.g = y.g AND (x.doc_id, x.line_no) > (y.doc_id, y.line_no) GROUP BY ALL),

@@ -53,7 +53,7 @@ def repeated_lines(docs):
     for i, text in sorted(docs):
         for k, line in enumerate((text or "").split("\n")):
             ws = words(line.translate(FOLD))
-            if len(ws) >= 5:
+            if ws:  # fewer than five words are one shingle
                 s = shingles(ws)
                 if any(similar(s, x) for x in seen):
                     gone.add((i, k))

@@ -55,9 +55,9 @@ def test_line_dedup_of_rows(spark, order):
 
 def test_short_lines(spark):
     df = spark.createDataFrame([(1, "a b\nB A\nlong line of five words\nA  b"), (2, "a b\n\nnew"), (3, "a b c d e\na b c d")], "doc_id long, text string")
-    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(df, short_lines=True).collect()}
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(df).collect()}
     assert got == {1: "3", 2: "0", 3: ""}
-    assert {r["removed_lines"] for r in line_dedup.line_dedup(df).collect()} == {""}
+    assert {r["removed_lines"] for r in line_dedup.line_dedup(df, short_lines=False).collect()} == {""}
 
 
 def test_folding_tells_all_other_characters_apart(spark):
