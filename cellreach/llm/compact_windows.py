@@ -204,9 +204,8 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
     return ranks << np.uint64(57)
 
 
-def _windows(texts: DataFrame, counts: np.ndarray, width: int, span: int, hashes: int) -> DataFrame:
-    """_WINDOW rows; a window whose content crowds its batch is salted and carries the batch's first one (o), which is borne."""
-    held = texts.sparkSession.sparkContext.broadcast(ranks_of(counts))
+def _windows(texts: DataFrame, held, width: int, span: int, hashes: int) -> DataFrame:
+    """_WINDOW rows; a window whose content crowds its batch is salted and carries the batch's first one (o), which is borne. held: ranks_of, broadcast."""
 
     def run(batches):
         for batch in batches:
@@ -629,8 +628,8 @@ def near_passages(
     copies = written(equal_texts(every), "windows-copies")
     alike = small_side(copies)
     texts = key.once(every.join(alike, ["doc", "th"], "left_anti"))
-    counts = _token_counts(texts, width)
-    live = written(_grouped(_windows(texts, counts, width, span, hashes), span), "windows-live")
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(_token_counts(texts, width)))
+    live = written(_grouped(_windows(texts, ranks, width, span, hashes), span), "windows-live")
     spots = written(_spots(live.where("o_doc is not null")), "windows-spots")
     found = _similar(texts, _by_pair(spots), width, span, percent)
     passages = _connected(found)
@@ -674,8 +673,8 @@ def near_passages(
         overlap = f"least({{y}}, {{e}}) - greatest({{x}}, {{s}}) >= {MERGE * span // SPAN}"
         found = found.union(_new(more, passages, overlap)).distinct()
     released(spots, second)
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(counts))
     exact = exact_passages(texts, ranks, found, width, span)
+    ranks.destroy()
     found = found.union(exact)
     labels = _connected(found).select(*[F.col(c).alias(f"l_{c}") for c in ("doc", "th", "s", "e")], F.col("label").alias("component"))
     mine = (F.col("doc") == F.col("l_doc")) & (F.col("th") == F.col("l_th")) & (F.col("s") >= F.col("l_s")) & (F.col("e") <= F.col("l_e"))
