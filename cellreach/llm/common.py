@@ -141,9 +141,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables made by `written` that nothing will read again."""
     for table in tables:
-        session = table.sparkSession
-        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        removed(table.sparkSession, table.written_to)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellreach.llm.common import fresh_path
+from cellreach.llm.common import fresh_path, removed
 from cellreach.llm.decontaminate import drop_contaminated
 from cellreach.llm.line_dedup import drop_repeated_lines
 from cellreach.llm.ngram_join import keep_first_of_groups
@@ -55,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         path = fresh_path(spark, name)
         kept.write.parquet(path)
         docs = spark.read.schema(kept.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            removed(spark, before)  # nothing reads it any more
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are a table of its own by now
+    removed(spark, before)
+    return out
