@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellreach.functions import geo
+from cellreach.functions import geo, h3
 from cellreach.functions.ids import uuid5
 from cellreach.functions.text import coalesce_text
 from cellreach.operators.tables import keep_first
@@ -158,16 +158,30 @@ def alias_table(brands: DataFrame) -> DataFrame:
     return keep_first(rows.where("alias <> ''"), ["alias"], [F.col("brand_id")])
 
 
-def conflate(pois: DataFrame, merge_sources: bool = False, fine: int = 17, coarse: int = 16) -> DataFrame:
+#: H3 resolutions of the conflation key: of branded places and of others.
+H3_FINE, H3_COARSE = 11, 10
+
+
+def with_h3_r9(pois: DataFrame) -> DataFrame:
+    """pois (lon, lat) with their H3 cell of resolution 9 as text, as the canonical schema has it."""
+    return pois.withColumn("h3_r9", geo.h3_string(h3.h3_cell(F.col("lon"), F.col("lat"), 9)))
+
+
+def conflate(pois: DataFrame, merge_sources: bool = False, fine: int = 17, coarse: int = 16, grid: str = "square") -> DataFrame:
     """One row per duplicate key, preferring branded rows and then the better source; ties by poi_id.
 
     The key is brand, name, category, fine cell and eight characters of ext_id for branded rows, else name,
-    category, coarse cell and ext_id. With merge_sources, ext_id is left out, so that feeds are merged.
+    category, coarse cell and ext_id. With merge_sources, ext_id is left out, so that feeds are merged. grid="h3" takes the H3 cells of
+    H3_FINE and H3_COARSE.
     """
     brand = coalesce_text(F.col("brand_id"))
     text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     ext = F.lit("") if merge_sources else F.when(brand.isNotNull(), F.substring("ext_id", 1, 8)).otherwise(F.col("ext_id"))
-    cell = F.when(brand.isNotNull(), geo.cell_of(F.col("lon"), F.col("lat"), fine)).otherwise(geo.cell_of(F.col("lon"), F.col("lat"), coarse))
+    place = F.col("lon"), F.col("lat")
+    if grid == "h3":
+        cell = F.when(brand.isNotNull(), h3.h3_cell(*place, H3_FINE)).otherwise(h3.h3_cell(*place, H3_COARSE))
+    else:
+        cell = F.when(brand.isNotNull(), geo.cell_of(*place, fine)).otherwise(geo.cell_of(*place, coarse))
     keyed = pois.withColumns(
         {"_k1": F.coalesce(brand, F.lit("")), "_k2": text(F.col("name")), "_k3": text(F.col("category")), "_k4": cell, "_k5": F.coalesce(ext, F.lit(""))}
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellreach.functions import geo
+from cellreach.functions import geo, h3
 from cellreach.operators.polygons import points_in, polyfill
 
 
@@ -139,10 +139,11 @@ def near_segments(points: DataFrame, segments: DataFrame, metres: float, res: in
     return points.select("id").join(hit, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def zonal_mean(pixels: DataFrame, res: int) -> DataFrame:
-    """(cell, n, mean) of pixels (lon, lat, value); null values are no data."""
+def zonal_mean(pixels: DataFrame, res: int, grid: str = "square") -> DataFrame:
+    """(cell, n, mean) of pixels (lon, lat, value) by the cell of their middle, on the square grid or H3; null values are no data."""
+    cell_of = h3.h3_cell if grid == "h3" else geo.cell_of
     return (
         pixels.where("value is not null")
-        .groupBy(geo.cell_of(F.col("lon"), F.col("lat"), res).alias("cell"))
+        .groupBy(cell_of(F.col("lon"), F.col("lat"), res).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     )

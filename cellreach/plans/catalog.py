@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellreach.functions import geo
+from cellreach.functions import geo, h3
 from cellreach.functions.text import label_of
 from cellreach.functions.units import UNREACHABLE
 from cellreach.operators.poi import resolve_brand_text
@@ -88,10 +88,11 @@ def poi_points(pois: DataFrame, brands: list[str] = (), category: str | None = N
     return out if box is None else out.where(geo.in_box(F.col("lon"), F.col("lat"), box))
 
 
-def geojson_lines(cells: DataFrame, id_col: str = "cell") -> DataFrame:
-    """(value): a GeoJSON feature per cell as a line; null properties are left out."""
+def geojson_lines(cells: DataFrame, id_col: str = "cell", grid: str = "square") -> DataFrame:
+    """(value): a GeoJSON feature per cell, of the square grid or H3 (whose ids are printed in hex), as a line; null properties are left out."""
+    boundary, text = (h3.h3_boundary, geo.h3_string) if grid == "h3" else (geo.cell_boundary, lambda c: c.cast("string"))
     names = [c for c in cells.columns if c != id_col]
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(geo.cell_boundary(F.col(id_col))).alias("coordinates"))
-    props = F.struct(F.col(id_col).cast("string").alias("cell"), *[F.col(c) for c in names])
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(boundary(F.col(id_col))).alias("coordinates"))
+    props = F.struct(text(F.col(id_col)).alias("cell"), *[F.col(c) for c in names])
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))
     return cells.select(F.to_json(feature).alias("value"))

@@ -1165,3 +1165,16 @@ def valid_polygons(spark, d):
     held = valid.withColumns({"px": px, "py": py})
     odd = F.aggregate(F.transform("rings", lambda ring: geo.in_ring(F.col("px"), F.col("py"), ring).cast("int")), F.lit(0), lambda a, b: a + b)
     return held.select("id", F.round(rings.rings_area(F.col("rings")), 9).alias("area"), F.size("rings").alias("n_rings"), (odd % 2 == 1).alias("inside"))
+
+
+@query()
+def conflate_h3(spark, d):
+    """Conflation with the key's spatial part on H3: resolution 11 of branded places, 10 of others."""
+    return poi.with_h3_r9(poi.conflate(s.pois(spark, d), merge_sources=True, grid="h3")).select("poi_id", "source", "h3_r9")
+
+
+@query()
+def h3_features(spark, d):
+    """GeoJSON features of the H3 cells of points, with the number of points in each."""
+    own = s.points(spark, d).groupBy(h3.h3_cell(F.col("lon"), F.col("lat"), 8).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return catalog.geojson_lines(own, grid="h3")

@@ -45,3 +45,26 @@ def test_polygon_cells(spark):
     assert got == want
     cells = queries.county_cells(spark, SF).collect()
     assert len({r["cell"] for r in cells}) == len(cells) and all(0 < r["share"] <= 1 and 0 <= r["rep_share"] <= 1 for r in cells)
+
+
+def test_conflation_and_features(spark):
+    import json
+
+    pois = standins.pois(spark, SF).collect()
+    place = np.array([(r["lon"], r["lat"]) for r in pois])
+    cell = {res: h3.cells(*place.T, res) for res in (8, 9, 10, 11)}
+    best = {}
+    for k, r in enumerate(pois):
+        branded = r["brand_id"] is not None
+        key = (r["brand_id"] or "", r["name"].strip().lower(), (r["category"] or "").strip().lower(), int(cell[11 if branded else 10][k]))
+        rank = (not branded, {"overture": 0, "osm": 1}.get(r["source"], 2), r["poi_id"])
+        best[key] = min(best.get(key, (rank, k)), (rank, k))
+    want = {(pois[k]["poi_id"], format(int(cell[9][k]), "x")) for _, k in best.values()}
+    got = queries.conflate_h3(spark, SF).collect()
+    assert {(r["poi_id"], r["h3_r9"]) for r in got} == want and len(got) == len(want) < len(pois)
+    features = [json.loads(r["value"]) for r in queries.h3_features(spark, SF).collect()]
+    points = standins.points(spark, SF).count()
+    assert sum(f["properties"]["n"] for f in features) == points
+    ids = np.array([int(f["properties"]["cell"], 16) for f in features])
+    for f, ring in zip(features, h3.boundaries(ids), strict=True):
+        assert np.allclose(f["geometry"]["coordinates"][0], ring)
