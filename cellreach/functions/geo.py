@@ -105,9 +105,9 @@ def metres_between(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
     return F.sqrt(dx * dx + dy * dy)
 
 
-def metres_to_segment(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance of a point from the segment a-b on the plane at the point's latitude."""
-    k = F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat))
+def metres_to_segment(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column, plane: Column | None = None) -> Column:
+    """Distance of a point from the segment a-b on the plane at the point's latitude, or at another."""
+    k = F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat if plane is None else plane))
     x1, y1 = (ax - lon) * k, (ay - lat) * METRES_PER_DEGREE
     dx, dy = (bx - ax) * k, (by - ay) * METRES_PER_DEGREE
     norm = dx * dx + dy * dy

@@ -15,3 +15,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellreach-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, per_task: int, *keys: str) -> DataFrame:
+    """df dealt to tasks of about per_task rows, by keys if any: small rows that much work follows from, which Spark would put into few tasks by their size."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // per_task))
+    return df.repartition(tasks, *keys)

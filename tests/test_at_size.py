@@ -1,9 +1,9 @@
 """What larger tables showed: whole jobs, and operators whose work follows their result."""
 
+import math
 import random
 
-from pyspark.sql import functions as F
-
+from cellreach.operators import spatial
 from cellreach.plans.queries import QUERIES
 
 
@@ -12,3 +12,52 @@ def test_except_ids_takes_every_returned_line(spark, tmp_path):
     lines = [(1, "R", 1), (2, "R", 2), (3, "N", 1)]
     spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [r["id"] for r in QUERIES["except_ids"](spark, str(tmp_path)).collect()] == [3]
+
+
+def _metres(a, b):
+    k = 111000.0 * math.cos(math.radians((a[1] + b[1]) / 2))
+    return math.hypot((b[0] - a[0]) * k, (b[1] - a[1]) * 111000.0)
+
+
+def test_nearest_places_of_crowds(spark, monkeypatch):
+    """Crowds of places are searched nearby, lone points far off, and many points at a spot once."""
+    r = random.Random(5)
+    places = [(k, -72 + r.random() * 0.1, 42 + r.random() * 0.1) for k in range(1500)] + [(5000 + k, -72.05, 42.05) for k in range(300)] + [(9000, -70.0, 42.0)]
+    points = [(k, -72 + k % 20 * 0.005, 42 + k % 15 * 0.006) for k in range(600)] + [(700, -72.05, 42.05), (701, -70.01, 42.0), (702, -60.0, 10.0)]
+    pairs, own = [], spatial.within
+
+    def counted(*args):
+        found = own(*args)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(spatial, "within", counted)
+    near, to = spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(places, "place long, p_lon double, p_lat double")
+    want = {i: sorted((_metres((x, y), (px, py)), p) for p, px, py in places) for i, x, y in points}
+    got = {}
+    for row in spatial.knn_join(near, to, 3, 9000.0, 7).collect():
+        got[row["id"], row["rank"]] = row["place"]
+    assert got == {(i, n + 1): p for i, rows in want.items() for n, (d, p) in enumerate(rows[:3]) if d <= 9000}
+    assert sum(pairs) < len(points) * len(places) / 10  # all of them within the last distance: over 700,000
+    any_ = {(row["id"], row["rank"]): row["place"] for row in spatial.knn_any(near, to, 3, 4000.0, 9).collect()}
+    assert any_ == {(i, n + 1): p for i, rows in want.items() for n, (_, p) in enumerate(rows[:3])}
+
+
+def test_corridors_of_crowds(spark):
+    r = random.Random(6)
+    lines = [(x := -72 + r.random() * 0.2, y := 42 + r.random() * 0.2, x + 0.05, y + 0.03) for _ in range(25)] + [(-71.0, 41.0, -69.0, 43.0), (-68.0, 44.0, -68.0, 44.0)]
+    points = [(k, -72.1 + r.random() * 0.4, 41.9 + r.random() * 0.4) for k in range(500)] + [(600 + k, -71 + k * 0.02, 41 + k * 0.02 + r.random() * 0.04) for k in range(100)]
+    points += [(701, -68.0, 44.01), (702, -68.0, 44.02), (703, None, 44.0)]
+
+    def off(x, y, ax, ay, bx, by):
+        k = 111000.0 * math.cos(math.radians(y))
+        x1, y1, dx, dy = (ax - x) * k, (ay - y) * 111000.0, (bx - ax) * k, (by - ay) * 111000.0
+        n = dx * dx + dy * dy
+        t = min(max(-(x1 * dx + y1 * dy) / n, 0), 1) if n else 0
+        return math.hypot(x1 + t * dx, y1 + t * dy)
+
+    near, segments = spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(lines, "ax double, ay double, bx double, by double")
+    for metres in (300.0, 1500.0):
+        got = {row["id"]: row["near"] for row in spatial.near_segments(near, segments, metres, 7).collect()}
+        assert got == {i: x is not None and any(off(x, y, *s) <= metres for s in lines) for i, x, y in points}
+        assert 100 < sum(got.values()) < len(points) or metres < 1000
