@@ -23,12 +23,22 @@ def widen(ranked: DataFrame, k: int = K) -> DataFrame:
 
 
 def compose(ranked: DataFrame, legs: DataFrame) -> DataFrame:
-    """(cell, entity, total): the least t + seconds over anchors both tables have (min-plus product)."""
-    return (
-        ranked.join(legs.select("anchor", "entity", "seconds"), "anchor")
-        .groupBy("cell", "entity")
-        .agg(F.min(F.col("t") + F.col("seconds")).alias("total"))
-    )
+    """(cell, entity, total): the least t + seconds over anchors both tables have (min-plus product).
+
+    An anchor's legs go to its cells as one row, and are taken apart where a cell's rows are together, so that the product is never shuffled.
+    """
+    each = F.sort_array(F.collect_list(F.struct("entity", "seconds")))
+    packed = legs.groupBy("anchor").agg(each.alias("x")).select("anchor", F.col("x.entity").alias("entities"), F.col("x.seconds").alias("all_seconds"))
+    met = ranked.select("cell", "anchor", "t").join(packed, "anchor").select("cell", "t", "entities", "all_seconds").repartition("cell")
+    legs_of = met.select("cell", "t", F.explode(F.arrays_zip("entities", "all_seconds")).alias("x"))
+    return legs_of.groupBy("cell", F.col("x.entities").alias("entity")).agg(F.min(F.col("t") + F.col("x.all_seconds")).alias("total"))
+
+
+def compose_pairs(ranked: DataFrame, legs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of compose for pairs (cell, entity) alone: each is met with its cell's anchors, then with the one leg of each."""
+    asked = ranked.select("cell", "anchor", "t").join(pairs.select("cell", "entity").distinct(), "cell")
+    both = asked.join(legs.select("anchor", "entity", "seconds"), ["anchor", "entity"])
+    return both.groupBy("cell", "entity").agg(F.min(F.col("t") + F.col("seconds")).alias("total"))
 
 
 def compose_wide(wide: DataFrame, legs: DataFrame, entity: str, k: int = K) -> DataFrame:

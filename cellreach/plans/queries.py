@@ -641,8 +641,8 @@ WITH {s.RANKED}, {s.LEGS}, c AS (SELECT cell, entity, min(t + seconds) AS actual
 e AS (SELECT p_partkey AS cell, p_brand AS entity, p_size * 12 AS expected, 120 AS tolerance FROM part)
 SELECT cell, entity, expected, actual, actual - expected AS delta, coalesce(abs(actual - expected) <= tolerance, false) AS ok FROM e LEFT JOIN c USING (cell, entity)""")
 def golden_check(spark, d):
-    computed = times.compose(_ranked(spark, d), _legs(spark, d)).withColumnRenamed("total", "actual")
     expected = table(spark, d, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("entity"), (F.col("p_size") * 12).alias("expected"), F.lit(120).alias("tolerance"))
+    computed = times.compose_pairs(_ranked(spark, d), _legs(spark, d), expected).withColumnRenamed("total", "actual")
     return checks.golden(expected, computed, ["cell", "entity"]).select("cell", "entity", "expected", "actual", "delta", "ok")
 
 

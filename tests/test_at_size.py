@@ -3,7 +3,7 @@
 import math
 import random
 
-from cellreach.operators import spatial
+from cellreach.operators import spatial, times
 from cellreach.plans.queries import QUERIES
 
 
@@ -61,3 +61,21 @@ def test_corridors_of_crowds(spark):
         got = {row["id"]: row["near"] for row in spatial.near_segments(near, segments, metres, 7).collect()}
         assert got == {i: x is not None and any(off(x, y, *s) <= metres for s in lines) for i, x, y in points}
         assert 100 < sum(got.values()) < len(points) or metres < 1000
+
+
+def test_product_of_times_is_not_shuffled(spark):
+    """40 cells of 20 anchors with 30 legs each: the exchanges carry anchors' rows, not their legs one by one."""
+    ranked = spark.createDataFrame([(c, a, (c * 7 + a * 3) % 50, a) for c in range(40) for a in range(20)], "cell long, anchor long, t long, rank int")
+    legs = spark.createDataFrame([(a, f"e{e}" if e else None, (a * 5 + e * 11) % 60) for a in range(25) for e in range(30)], "anchor long, entity string, seconds long")
+    want = {}
+    for c, a, t in ((r["cell"], r["anchor"], r["t"]) for r in ranked.collect()):
+        for e in range(30):
+            key = c, f"e{e}" if e else None
+            want[key] = min(want.get(key, 999), t + (a * 5 + e * 11) % 60)
+    out = times.compose(ranked, legs)
+    assert {(r["cell"], r["entity"]): r["total"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("HashAggregate(keys=[cell") < plan.index("Generate explode") < plan.index("Exchange hashpartitioning(cell")
+    pairs = spark.createDataFrame([(c, f"e{e}") for c in (3, 39, 77) for e in (1, 29, 88)], "cell long, entity string")
+    got = {(r["cell"], r["entity"]): r["total"] for r in times.compose_pairs(ranked, legs, pairs).collect()}
+    assert got == {k: want[k] for k in ((c, f"e{e}") for c in (3, 39) for e in (1, 29))}
