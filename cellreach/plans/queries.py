@@ -11,6 +11,7 @@ from cellreach.functions import geo, h3, ids, rings, text, units
 from cellreach.operators import anchors, checks, graph, overlays, poi, polygons, spatial, tables, times
 from cellreach.operators.polygons import RasterGrid
 from cellreach.plans import catalog, standins as s
+from cellreach.plans.cuts import spread
 from cellreach.plans.livable import State, explain_cells, livable, livable_percent
 from cellreach.plans.livable import livable_layers as layers
 from cellreach.plans.standins import table
@@ -1159,8 +1160,10 @@ def valid_polygons(spark, d):
     at = lambda a, b: F.struct((x + r * a).alias("x"), (y + r * b).alias("y"))
     bow = F.array(F.array(at(0.0, 0.0), at(1.0, 1.0), at(1.0, 0.0), at(0.0, 1.0)))
     hollow = F.array(F.array(at(0.0, 0.0), at(0.0, 1.0), at(1.0, 1.0), at(1.0, 0.0)), F.array(at(0.5, 0.5), at(0.75, 0.5), at(0.75, 0.75), at(0.5, 0.75)))
-    shapes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, bow).otherwise(hollow).alias("rings"))
-    valid = shapes.withColumn("rings", rings.make_valid(F.col("rings")))
+    own = spread(table(spark, d, "customer").select("c_custkey"), 20_000)  # small keys of much work
+    shapes = own.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, bow).otherwise(hollow).alias("rings"))
+    # Dealt again, as calls on calls in one stage would make the rings twice.
+    valid = shapes.withColumn("rings", rings.make_valid(F.col("rings"))).repartition(own.rdd.getNumPartitions(), "id")
     px, py = rings.representative_point(F.col("rings"))
     held = valid.withColumns({"px": px, "py": py})
     odd = F.aggregate(F.transform("rings", lambda ring: geo.in_ring(F.col("px"), F.col("py"), ring).cast("int")), F.lit(0), lambda a, b: a + b)

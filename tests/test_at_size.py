@@ -3,6 +3,9 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
+from cellreach.functions import rings
 from cellreach.operators import spatial, times
 from cellreach.plans.queries import QUERIES
 
@@ -79,3 +82,17 @@ def test_product_of_times_is_not_shuffled(spark):
     pairs = spark.createDataFrame([(c, f"e{e}") for c in (3, 39, 77) for e in (1, 29, 88)], "cell long, entity string")
     got = {(r["cell"], r["entity"]): r["total"] for r in times.compose_pairs(ranked, legs, pairs).collect()}
     assert got == {k: want[k] for k in ((c, f"e{e}") for c in (3, 39) for e in (1, 29))}
+
+
+def test_few_sides_as_many(spark, monkeypatch):
+    """Plain numbers and arrays give the same rings, and the query makes them once."""
+    r = random.Random(8)
+    shapes = [[[(float(r.randrange(5)), float(r.randrange(5))) for _ in range(r.randrange(3, 6))] for _ in range(r.randrange(1, 4))] for _ in range(150)]
+    shown = [[[{"x": x, "y": y} for x, y in ring] for ring in s] for s in shapes]
+    made = lambda: [[ring.tolist() for ring in rings.valid(rings.corners_of(s))] for s in shown]
+    few = made()
+    monkeypatch.setattr(rings, "FEW", 0)
+    assert made() == few and sum(map(len, few)) > 150
+    plan = QUERIES["valid_polygons"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    calls = [line.count("of(") for line in plan.splitlines() if "ArrowEvalPython [" in line]
+    assert calls == [1, 1]
