@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellreach.functions.units import UNREACHABLE
+from cellreach.plans.cuts import spread
+
+#: Rows of times in a task.
+TASK_ROWS = 500_000
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
@@ -105,6 +109,11 @@ def faster_parents(parents: DataFrame, children: DataFrame) -> DataFrame:
     return parents.join(least, ["parent", "anchor"]).where("t < child_t")
 
 
+def dealt_by_parent(times: DataFrame) -> DataFrame:
+    """times (parent, anchor, ...) dealt to tasks of about TASK_ROWS rows; what is grouped or joined by parent and anchor then stays there."""
+    return spread(times, TASK_ROWS, "parent", "anchor")
+
+
 def golden(expected: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
     """expected (keys, expected, tolerance) against computed (keys, actual): delta and whether it is within tolerance; no figure fails."""
     both = expected.join(computed, keys, "left").withColumn("delta", F.col("actual") - F.col("expected"))

@@ -459,7 +459,7 @@ def sentinel_ratio(spark, d):
 WITH {s.TIMES}, p AS (SELECT cell // 4 AS parent, anchor, avg(t) - 600 AS t FROM times GROUP BY 1, 2), c AS (SELECT cell // 4 AS parent, anchor, min(t) AS child_t FROM times GROUP BY 1, 2)
 SELECT parent, anchor, round(t, 6) AS t, child_t FROM p JOIN c USING (parent, anchor) WHERE t < child_t""")
 def cross_res_invariant(spark, d):
-    fine = s.times(spark, d).withColumn("parent", F.floor(F.col("cell") / 4))
+    fine = checks.dealt_by_parent(s.times(spark, d).select(F.floor(F.col("cell") / 4).alias("parent"), "anchor", "t"))
     coarse = fine.groupBy("parent", "anchor").agg((F.avg("t") - 600).alias("t"))
     return checks.faster_parents(coarse, fine).select("parent", "anchor", F.round("t", 6).alias("t"), "child_t")
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellreach.functions import rings
-from cellreach.operators import graph, spatial, times
+from cellreach.operators import checks, graph, spatial, times
 from cellreach.plans.queries import QUERIES
 from tests.test_operators import brute_kbest
 
@@ -131,3 +131,18 @@ def test_a_part_is_searched_in_small_steps(monkeypatch):
     want = {(b, s, d) for (b, s), d in out.items() if sum((e, t) < (d, s) for (n, t), e in out.items() if n == b) < 3}
     assert {tuple(x) for x in np.stack(graph._leaving(part, best, starts, limits, 3)[:3], 1).tolist()} == want
     assert max(seen) <= 100 + 60
+
+
+def test_times_are_dealt_by_their_number(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, whatever the session's number of shuffle partitions."""
+    monkeypatch.setattr(times, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(4000).selectExpr("id % 90 as cell", "id % 70 as anchor", "id * 31 % 500 as t")
+    out = times.widen(times.cell_topk(rows))
+    assert out.count() == 90 and out.rdd.getNumPartitions() == 40
+
+
+def test_parents_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(checks, "TASK_ROWS", 100, raising=False)
+    d = "/root/testdata/sf0.001"
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
+    assert QUERIES["cross_res_invariant"](spark, d).rdd.getNumPartitions() == tasks > 4
