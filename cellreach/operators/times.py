@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 20
+from cellreach.plans.cuts import spread
+
+#: Rows of times in a task, and the most anchors of a cell.
+TASK_ROWS, K = 500_000, 20
 
 
 def cell_topk(times: DataFrame, k: int = K) -> DataFrame:
-    """(cell, anchor, t, rank from 0): per cell the k anchors of least time, an anchor once, ties by anchor."""
-    least = times.groupBy("cell", "anchor").agg(F.min("t").alias("t"))
+    """(cell, anchor, t, rank from 0): per cell the k anchors of least time, an anchor once, ties by anchor.
+
+    Times are dealt once, by cell, to tasks of about TASK_ROWS rows: what follows by cell has them together, however many there are.
+    """
+    least = spread(times.select("cell", "anchor", "t"), TASK_ROWS, "cell").groupBy("cell", "anchor").agg(F.min("t").alias("t"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("t", "anchor")) - 1
     return least.withColumn("rank", rank).where(F.col("rank") < k)
 
