@@ -17,7 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, per_task: int, *keys: str) -> DataFrame:
-    """df dealt to tasks of about per_task rows, by keys if any: small rows that much work follows from, which Spark would put into few tasks by their size."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // per_task))
+def spread(df: DataFrame, per_task: int, *keys: str, rows: int | None = None) -> DataFrame:
+    """df, whose rows are counted if their number is not given, dealt to tasks of about per_task rows, by keys if any.
+
+    For small rows that much work follows from, which Spark would put into few tasks by their size, and for tables that the session has too few shuffle partitions for.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(df.count() if rows is None else rows) // per_task))
     return df.repartition(tasks, *keys)

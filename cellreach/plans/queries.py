@@ -163,8 +163,9 @@ def target_nodes(spark, d):
 
 
 def _supplied(spark, d):
-    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")).distinct()
+    items = spread(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), graph.TASK_EDGES, "l_orderkey")
+    both = items.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))
 
 
 @query()

@@ -146,3 +146,20 @@ def test_parents_are_dealt_by_their_number(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
     assert QUERIES["cross_res_invariant"](spark, d).rdd.getNumPartitions() == tasks > 4
+
+
+def test_edges_of_components_are_dealt_by_their_number(spark, monkeypatch):
+    """More edges make more tasks, not larger ones; rows repeated or null, and the query's own edges, are as before."""
+    dealt, own = [], graph.spread if hasattr(graph, "spread") else None
+
+    def counted(df, *args, **more):
+        out = own(df, *args, **more)
+        dealt.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 50, raising=False)
+    monkeypatch.setattr(graph, "spread", counted, raising=False)
+    edges = spark.createDataFrame([(k, 1000 + k % 3) for k in range(300)] * 2, "u long, v long")
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {**{k: k % 3 for k in range(300)}, 1000: 0, 1001: 1, 1002: 2}
+    assert dealt[0] == 24 and set(dealt[1:]) == {12}
