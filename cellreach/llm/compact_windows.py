@@ -12,8 +12,8 @@ of the span / 2 tokens on either side of c, of which ENOUGH of one side must be
    to the sketch that most of them have, so that families of like passages have one each.
 2. The passages that are verified are united: those of a pair, and those of one document that overlap by MERGE tokens or more. Then windows of
    a group whose places are not in passages so connected, each pair of contents once. So all pairs of contents are tried but
-   those that are connected already; ranges in which any passage would overlap connected ones so far are left out, and so are verified
-   pairs that do.
+   those that are connected already. Left out are verified pairs whose sides overlap connected passages by MERGE tokens or more, and, before they
+   are verified, ranges whose common tokens leave no room for another pair.
 
 3. Exact repeats of `span` tokens that no passage so far holds are joined (`exact_passages`), so that each is in a passage in either document.
 
@@ -481,28 +481,119 @@ def similar_parts(a: np.ndarray, b: np.ndarray, shift: int, span: int, percent:
     return out
 
 
+#: Tokens of joined ranges that a task looks at together.
+TOKENS_AT_ONCE = 1 << 18
+
+
+def _least_common(span: int, percent: int) -> float:
+    """So many tokens of either range are in the other one if any parts of span tokens or more are similar."""
+    return 2 * percent / (100 + percent) * span - 1e-6
+
+
+def shared_tokens(a: tuple, b: tuple) -> np.ndarray:
+    """Of joined ranges (token values, where each range starts in them, where it ends) the number of a's tokens that are in b, or a little more.
+
+    Tokens are marked by hashes of token and range, so equal tokens are never missed.
+    """
+    n = len(a[1])
+    names = mix(np.arange(1, n + 1, dtype=np.uint64))
+    shift = np.uint64(64 - max(16, int(16 * (b[2] - b[1]).sum()).bit_length()))
+
+    def marks(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = end - start
+        which = np.repeat(np.arange(n), size)
+        at = np.arange(len(which)) + np.repeat(start - np.cumsum(size) + size, size)
+        return which, ((values[at].view(np.uint64) ^ names[which]) >> shift).astype(np.int64)
+
+    seen = np.zeros(1 << (64 - int(shift)), bool)
+    seen[marks(*b)[1]] = True
+    which, mark = marks(*a)
+    return np.bincount(which[seen[mark]], minlength=n)
+
+
+def _by_label(passages: list[dict] | None) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list[tuple[int, int]]] = {}
+    for x in passages or ():
+        out.setdefault(x["label"], []).append((x["s"], x["e"]))
+    return {label: sorted(parts) for label, parts in out.items()}
+
+
+def _has_room(flags: np.ndarray, start: int, parts: list[tuple[int, int]], span: int, percent: int, shared: int) -> bool:
+    """Whether a range that is dense in flags (of the tokens from start on) and overlaps each of the sorted parts by less than `shared` can have span tokens."""
+    share, left = 2 * percent / (100 + percent), 0
+    for s, e in [*parts, (start + len(flags) + shared, 0)]:
+        piece = flags[left : max(0, s + shared - 1 - start)]
+        if len(piece) >= span and piece.sum() >= _least_common(span, percent):
+            x, y = longest_dense(piece, share)
+            if y - x >= span:
+                return True
+        left = max(left, e - shared + 1 - start)
+    return False
+
+
+def may_be_new(a: np.ndarray, b: np.ndarray, starts: tuple[int, int], known: tuple[dict, dict], span: int, percent: int) -> bool:
+    """Whether ranges a and b of two texts (from `starts` on) can have similar parts that do not both overlap passages of one label by `merge_of(span)`.
+
+    known: of either text the sorted passages by label. A part that overlaps a passage by less reaches beyond it on one side, so it lies between two of them.
+    """
+    shared, flags = merge_of(span), {}
+    for label in known[0].keys() & known[1].keys():
+        flags = flags or {0: np.isin(a, b), 1: np.isin(b, a)}
+        if not any(_has_room(flags[k], starts[k], known[k][label], span, percent, shared) for k in (0, 1)):
+            return False
+    return True
+
+
+def is_known(part: tuple[int, int, int, int], known: tuple[dict, dict], shared: int) -> bool:
+    """Whether both sides of part (s, e, p, q) overlap passages of one label by `shared` tokens or more."""
+    def held(s: int, e: int, parts: list[tuple[int, int]]) -> bool:
+        return any(min(e, y) - max(s, x) >= shared for x, y in parts)
+
+    s, e, p, q = part
+    return any(held(s, e, known[0][label]) and held(p, q, known[1][label]) for label in known[0].keys() & known[1].keys())
+
+
+def merge_of(span: int) -> int:
+    return MERGE * span // SPAN
+
+
 def _verified(pairs: DataFrame, span: int, percent: int) -> DataFrame:
-    """_PASSAGE rows of pairs (doc, th, lo, o_doc, o_th, o_lo, spots, ta, tb) with token slices ta and tb: all similar parts of the spots' ranges."""
+    """_PASSAGE rows of pairs (doc, th, lo, o_doc, o_th, o_lo, spots, ta, tb) with token slices ta and tb: all similar parts of the spots' ranges.
+
+    With columns ha and hb, the passages (s, e, label) of either document there, parts whose two sides are in passages of one label are left out.
+    """
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in _PASSAGE.split(", ")]
+    names = [x.split()[0] for x in _PASSAGE.split(", ")]
+
+    def parts(batch: pa.RecordBatch):
+        spots = batch.column(6)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
+        spots = spots.flatten()
+        lo, hi, o_lo, o_hi, diagonal = (pa.compute.struct_field(spots, n).to_numpy().astype(np.int64) for n in _RANGE)
+        sides = []
+        for k, first, last, begin in ((7, lo, hi, 2), (8, o_lo, o_hi, 5)):
+            at = batch.column(k).offsets.to_numpy().astype(np.int64)
+            start = at[row] + first - batch.column(begin).to_numpy()[row]
+            sides.append((batch.column(k).values.to_numpy(), start, np.minimum(start + last - first + 1, at[row + 1])))
+        ids = [batch.column(k).to_pylist() for k in (0, 1, 3, 4)]
+        cuts = np.cumsum(sum(end - start for _, start, end in sides)) // TOKENS_AT_ONCE
+        for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(cuts)) + 1):
+            shared = shared_tokens(*[(values, start[some], end[some]) for values, start, end in sides])
+            for i in some[shared >= _least_common(span, percent)].tolist():
+                a, b = (values[start[i] : end[i]] for values, start, end in sides)
+                x, y, r = int(lo[i]), int(o_lo[i]), row[i]
+                known = tuple(_by_label(batch.column(k)[r].as_py()) for k in (9, 10)) if batch.num_columns > 9 else ({}, {})
+                if not may_be_new(a, b, (x, y), known, span, percent):
+                    continue
+                for s, e, p, q, same in similar_parts(a, b, int(diagonal[i]) * DIAGONAL - x + y, span, percent):
+                    part = x + s, x + e, y + p, y + q
+                    if not is_known(part, known, merge_of(span)):
+                        yield (ids[0][r], ids[1][r], *part[:2], ids[2][r], ids[3][r], *part[2:], same)
 
     def run(batches):
         for batch in batches:
-            out = []
-            slices = []
-            for k in (7, 8):
-                at, held = batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()
-                slices.append([held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
-            rest = (batch.column(k).to_pylist() for k in range(7))
-            for doc, th, start, o_doc, o_th, o_start, spots, ta, tb in zip(*rest, *slices, strict=True):
-                for at in spots:
-                    lo, o_lo = at["lo"], at["o_lo"]
-                    a, b = ta[lo - start : at["hi"] - start + 1], tb[o_lo - o_start : at["o_hi"] - o_start + 1]
-                    for s, e, p, q, same in similar_parts(a, b, at["diagonal"] * DIAGONAL - lo + o_lo, span, percent):
-                        out.append((doc, th, lo + s, lo + e, o_doc, o_th, o_lo + p, o_lo + q, same))
-            kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in _PASSAGE.split(", ")]
-            columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PASSAGE.split(", ")]
-            )
+            columns = list(zip(*parts(batch), strict=True)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns or [()] * len(kinds), kinds, strict=True)], names=names)
 
     return pairs.mapInArrow(run, _PASSAGE)
 
@@ -568,35 +659,27 @@ def _connected(found: DataFrame) -> DataFrame:
     return written(labelled, "windows-labels")
 
 
-def _new(pairs: DataFrame, passages: DataFrame, within: str) -> DataFrame:
-    """Those of pairs (doc, th, o_doc, o_th, ...) whose two sides are not both in passages of one label; `within` is SQL of a
-    side's range [x, y) and a passage's [s, e)."""
-    keys = [c for c in pairs.columns if c != "spots"]
-    names = ("lo", "hi + 1") if "lo" in keys else ("s", "e")
-    sides = []
-    for lead in ("", "o_"):
-        own = passages.select(F.col("doc").alias(f"{lead}doc"), F.col("th").alias(f"{lead}th"), F.col("s").alias("p_s"), F.col("e").alias("p_e"), "label")
-        x, y = (lead + n for n in names)
-        held = within.replace("{x}", f"({x})").replace("{y}", f"({y})").replace("{s}", "p_s").replace("{e}", "p_e")
-        sides.append(pairs.select(*keys).join(small_side(own), [f"{lead}doc", f"{lead}th"]).where(held).select(*keys, "label"))
-    known = sides[0].intersect(sides[1]).drop("label").distinct()
-    return pairs.join(known, keys, "left_anti")
-
-
 def _by_pair(spots: DataFrame) -> DataFrame:
     """(doc, th, o_doc, o_th, lo, hi, o_lo, o_hi, spots) of every pair of documents."""
     ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("o_lo").alias("o_lo"), F.max("o_hi").alias("o_hi")]
     return spots.groupBy(*_PAIR).agg(*ends, F.collect_list(F.struct(*_RANGE)).alias("spots"))
 
 
-def _similar(texts: DataFrame, pairs: DataFrame, width: int, span: int, percent: int) -> DataFrame:
-    """The distinct _PASSAGE rows of the pairs, whose documents are fetched again; a written table."""
+def _similar(texts: DataFrame, pairs: DataFrame, width: int, span: int, percent: int, passages: DataFrame | None = None) -> DataFrame:
+    """The distinct _PASSAGE rows of the pairs, whose documents are fetched again; a written table. Those whose two sides are in passages
+    (doc, th, s, e, label) of one label are left out."""
     ids = written(pairs.select("doc", "th").union(pairs.select("o_doc", "o_th")).distinct(), "windows-ids")
     tokens = written(_tokens(texts.join(small_side(ids), ["doc", "th"], "left_semi").select("doc", "th", "text"), width), "windows-tokens")
+    texts_of_pairs, held, o_held = tokens, [], []
+    if passages is not None:
+        own = passages.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e", "label")).alias("held"))
+        texts_of_pairs = tokens.join(own, ["doc", "th"], "left")
+        near = lambda lo, hi: F.filter("held", lambda h: (h["s"] <= F.col(hi)) & (h["e"] > F.col(lo)))
+        held, o_held = [near("lo", "hi").alias("ha")], [near("o_lo", "o_hi").alias("hb")]
     cut = lambda lo, hi: F.slice("tokens", F.col(lo) + 1, F.col(hi) - F.col(lo) + 1)
-    one = pairs.join(tokens, ["doc", "th"]).withColumn("ta", cut("lo", "hi")).drop("hi", "tokens")
-    two = one.join(tokens.select(F.col("doc").alias("o_doc"), F.col("th").alias("o_th"), "tokens"), ["o_doc", "o_th"])
-    slices = two.select("doc", "th", "lo", "o_doc", "o_th", "o_lo", "spots", "ta", cut("o_lo", "o_hi").alias("tb"))
+    one = pairs.join(texts_of_pairs, ["doc", "th"]).select(*_PAIR, "lo", "o_lo", "o_hi", "spots", cut("lo", "hi").alias("ta"), *held)
+    two = one.join(texts_of_pairs.withColumnsRenamed({"doc": "o_doc", "th": "o_th"}), ["o_doc", "o_th"])
+    slices = two.select("doc", "th", "lo", "o_doc", "o_th", "o_lo", "spots", "ta", cut("o_lo", "o_hi").alias("tb"), *[F.col("ha")] * len(held), *o_held)
     # Slices of long texts are large: fewer of them at a time keep the tasks' memory small, whatever the texts.
     spark, rows = pairs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows)
@@ -663,15 +746,10 @@ def near_passages(
         .where("not coalesce(t_lo <= lo and t_hi >= hi and t_o_lo <= o_lo and t_o_hi >= o_hi, false)")
         .select(*_PAIR, *_RANGE)
     )
-    # A passage of span tokens inside such a range overlaps the connected one by MERGE tokens or more.
-    slack = span - MERGE * span // SPAN
-    fresh = _new(written(fresh, "windows-fresh"), passages, f"{{x}} >= {{s}} - {slack} and {{y}} <= {{e}} + {slack} and {{e}} - {{s}} >= {span}")
     second = written(_by_pair(fresh), "windows-pairs")
     released(live, apart)
     if second.head(1):
-        more = _similar(texts, second, width, span, percent)
-        overlap = f"least({{y}}, {{e}}) - greatest({{x}}, {{s}}) >= {MERGE * span // SPAN}"
-        found = found.union(_new(more, passages, overlap)).distinct()
+        found = found.union(_similar(texts, second, width, span, percent, passages)).distinct()
     released(spots, second)
     exact = exact_passages(texts, ranks, found, width, span)
     ranks.destroy()
