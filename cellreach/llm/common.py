@@ -51,9 +51,9 @@ def folded(text: Column) -> Column:
     """A string that two texts share if and only if they are equal but for the case of A-Z.
 
     Each UTF-8 byte is read as one character and lower-cased, which is many times as fast as `translate`. The lead bytes C0 to
-    DE become E0 to FE with it, which no other character can have: those are followed by more bytes.
+    DE become E0 to FE with it, which no other character can have: those are followed by more bytes. ASCII texts are the same as their bytes.
     """
-    return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.lower(F.decode(text.cast("binary"), "ISO-8859-1")))
 
 
 def folded_words(line: Column) -> Column:

@@ -72,6 +72,14 @@ def _hot(rows: DataFrame) -> DataFrame:
     return sizes.withColumn("extra", extra).where(F.col("extra") > HOT).select("bucket", "k", (F.floor(F.col("extra") / HOT) + 1).cast("int").alias("parts"))
 
 
+def _group() -> Column:
+    """What the rows of a token, or of one of its salted parts, have in common: one number, by which Spark sorts many times as fast as by two.
+
+    Where two share it by chance, all rows of either do, so every set still has the same order.
+    """
+    return F.when(F.col("salt").isNull(), F.col("token")).otherwise(F.xxhash64("token", "salt"))
+
+
 def _bucket() -> Column:
     return F.shiftrightunsigned("token", 64 - BUCKET_BITS)
 
@@ -81,12 +89,12 @@ def _not_alone(judged: DataFrame) -> DataFrame:
     rows = judged.select("c", F.xxhash64("doc", "th").alias("spread"), F.explode("prefix").alias("token"))
     dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
         "token", "c", F.pmod("spread", "parts").cast("int").alias("salt")
-    )
-    group = Window.partitionBy("token", "salt")
+    ).select(_group().alias("g"), "c", F.col("salt").isNotNull().alias("hot"))
+    group = Window.partitionBy("g")
     return (
         dealt.withColumn("lo", F.min("c").over(group))
         .withColumn("hi", F.max("c").over(group))
-        .where("salt is not null or lo <> hi")
+        .where("hot or lo <> hi")
         .select("c")
         .distinct()
     )
@@ -115,10 +123,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.select("c", "n", F.explode("tokens").alias("token"))
     dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
         "token", "c", "n", "k", F.pmod("c", "parts").cast("int").alias("salt")
-    )
-    counted = dealt.select(
-        "token", "c", "n", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).alias("k")
-    ).where("k > 1")
+    ).select(_group().alias("g"), "token", "c", "n", "k")
+    counted = dealt.select("token", "c", "n", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).alias("k")).where("k > 1")
     own = Window.partitionBy("c")
     alone = F.col("n") - F.count(F.lit(1)).over(own)  # tokens of this set only: the rarest, so they come first
     placed = counted.select("token", "c", "n", (alone + F.row_number().over(own.orderBy("k", "token")) - 1).cast("int").alias("pos"))
@@ -200,19 +206,15 @@ def repeated_lines(
     together = written(_not_alone(judged), "lines-together")
     own = written(judged.select("doc", "th", "line_no", "c"), "lines-own")
     released(lines)
-    first = own.join(small_side(together), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc", "th", "line_no")).alias("at"))
-    classes = written(first, "lines-classes")
-    sets = written(_sets(key.once(texts), classes, width, short_lines), "lines-sets")
+    # Classes of one line that share nothing are of no more use.
+    firsts = own.groupBy("c").agg(F.min(F.struct("doc", "th", "line_no")).alias("at"), F.count(F.lit(1)).alias("k"))
+    open_ones = small_side(together).withColumn("open", F.lit(True))
+    classes = written(firsts.join(open_ones, "c", "left").where("open or k > 1").select("c", "at", "k", F.col("open").isNotNull().alias("open")), "lines-classes")
+    sets = written(_sets(key.once(texts), classes.where("open").select("c", "at"), width, short_lines), "lines-sets")
     released(together)
     gone = _gone(sets, percent)
-    released(classes, sets)
-    states = (
-        own.groupBy("c")
-        .agg(F.min(F.struct("doc", "th", "line_no")).alias("at"), F.count(F.lit(1)).alias("k"))
-        .join(gone.withColumn("late", F.lit(True)), "c", "left")
-        .where("late or k > 1")
-        .select("c", "at", "late")
-    )
+    released(sets)
+    states = classes.join(small_side(gone).withColumn("late", F.lit(True)), "c", "left").where("late or k > 1").select("c", "at", "late")
     return (
         own.join(states, "c")
         .where(F.col("late") | (F.col("at") != F.struct("doc", "th", "line_no")))
