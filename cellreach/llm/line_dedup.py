@@ -123,8 +123,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.select("c", "n", F.explode("tokens").alias("token"))
     dealt = rows.join(F.broadcast(_hot(rows)), _bucket() == F.col("bucket"), "left").select(
         "token", "c", "n", "k", F.pmod("c", "parts").cast("int").alias("salt")
-    ).select(_group().alias("g"), "token", "c", "n", "k")
-    counted = dealt.select("token", "c", "n", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).alias("k")).where("k > 1")
+    ).select(_group().alias("g"), F.when(F.col("salt").isNotNull(), F.col("token")).alias("own"), "c", "n", "k")  # the token once a row
+    counted = dealt.select(F.coalesce("own", "g").alias("token"), "c", "n", F.coalesce("k", F.count(F.lit(1)).over(Window.partitionBy("g"))).alias("k")).where("k > 1")
     own = Window.partitionBy("c")
     alone = F.col("n") - F.count(F.lit(1)).over(own)  # tokens of this set only: the rarest, so they come first
     placed = counted.select("token", "c", "n", (alone + F.row_number().over(own.orderBy("k", "token")) - 1).cast("int").alias("pos"))
