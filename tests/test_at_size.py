@@ -170,3 +170,10 @@ def test_kbest_rounds_are_crossings_of_parts(spark):
     path = spark.createDataFrame([(k, k + 1, 2) for k in range(40)], "u long, v long, w long")
     got = {tuple(r) for r in graph.kbest(path, spark.createDataFrame([(0,)], "node long"), 1, 70, max_rounds=12).select("node", "src", "d").collect()}
     assert got == {(k, 0, 2 * k) for k in range(36)}
+
+
+def test_knn_any_takes_every_point(spark):
+    d = "/root/testdata/sf0.001"
+    want = {(r["c_custkey"], k) for r in spark.read.parquet(f"{d}/customer.parquet").collect() for k in (1, 2, 3)}
+    got = [(r["id"], r["rank"]) for r in QUERIES["knn_any"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
